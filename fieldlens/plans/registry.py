@@ -11,6 +11,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import profile as P
 from ..functions.context import resolve_context
@@ -53,9 +54,22 @@ def _report(df: DataFrame):
     return resolve_context(df.columns, "report")
 
 
+def portable(df: DataFrame) -> DataFrame:
+    """Outputs compared across engines: dates as ISO text, nullable flags as DOUBLE."""
+    out = []
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, T.DateType):
+            c = c.cast("string")
+        elif isinstance(f.dataType, T.IntegerType) and f.name.startswith("Flag_"):
+            c = c.cast("double")
+        out.append(c.alias(f.name))
+    return df.select(*out)
+
+
 def _with_flagged(fn: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fn(flagged(spark, sf_dir))
+        return portable(fn(flagged(spark, sf_dir)))
     return run
 
 
@@ -73,8 +87,8 @@ def _module_flags(module: str) -> Callable[[DataFrame], DataFrame]:
 def _fcs_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FCS module only under the dashboard preset (high > 100, staple < 2); narrow and lazy."""
     f = run_checks(survey(spark, sf_dir), P.dashboard(), only=["FCS"])
-    return f.select("_uuid", "row_seq", "FCS", "FCG", "Flag_FCS_Missing", "Flag_FCS_Erroneous", "Flag_FCS_Identical",
-                    "Flag_FCS_LowStaple", "Flag_FCS_Low", "Flag_FCS_High", "Flag_FCS_Overall")
+    return portable(f.select("_uuid", "row_seq", "FCS", "FCG", "Flag_FCS_Missing", "Flag_FCS_Erroneous", "Flag_FCS_Identical",
+                    "Flag_FCS_LowStaple", "Flag_FCS_Low", "Flag_FCS_High", "Flag_FCS_Overall"))
 
 
 def _error_log(module: str) -> Callable[[DataFrame], DataFrame]:
@@ -110,7 +124,8 @@ QUERIES.update({
     "straight_lining": _with_flagged(lambda f: M.straight_lining(f, _dash(f))),
     "missing_pct_by_enumerator": _with_flagged(lambda f: M.missing_pct_by_enumerator(f, _dash(f))),
     "valid_duration_by_enumerator": _with_flagged(lambda f: M.valid_duration_by_enumerator(f, _dash(f))),
-    "enumerator_scorecard": _with_flagged(lambda f: M.enumerator_scorecard(f, _dash(f))),
+    "enumerator_scorecard": _with_flagged(  # straight_line is NULL for enumerators without any
+        lambda f: M.enumerator_scorecard(f, _dash(f)).withColumn("straight_line", F.col("straight_line").cast("double"))),
     "enumerator_deviation": _with_flagged(lambda f: M.enumerator_deviation(f, _dash(f))),
     "submission_matrix": _with_flagged(lambda f: M.submission_matrix(f, _dash(f))),
     # slice 5: breakdowns
@@ -141,7 +156,8 @@ QUERIES.update({
     "area_completion": _with_flagged(lambda f: D.area_completion(f, _dash(f), SAMPLE_TARGET)),
     # sources
     "survey_shape": lambda spark, sf: shape(survey(spark, sf)),
-    "survey_preview": lambda spark, sf: preview(survey(spark, sf).select("_uuid", "row_seq", "EnuName", "today", "FCSStap")),
+    "survey_preview": lambda spark, sf: portable(
+        preview(survey(spark, sf).select("_uuid", "row_seq", "EnuName", "today", "FCSStap"))),
 })
 for _m in P.MODULE_ORDER:
     QUERIES[f"error_log_{_m.lower()}"] = _with_flagged(_error_log(_m))
