@@ -14,8 +14,9 @@ from __future__ import annotations
 
 import hashlib
 import os
+from contextlib import contextmanager
 from pathlib import Path
-from typing import Callable
+from typing import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,7 +52,31 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hpath)
 
 
-def materialize(spark: SparkSession, build: Callable[[], DataFrame], name: str) -> DataFrame:
+# The rule projections are ~300 expressions wide.  Fused into one whole-stage
+# method they exceed the JVM's 64 KB limit and Spark falls back after a failed
+# compile; per-operator codegen splits them into methods instead.  Applied only
+# while the flagged table is written; narrow monitoring plans keep fusion.
+RULE_JOB_CONF = {"spark.sql.codegen.maxFields": "30"}
+
+
+@contextmanager
+def session_conf(spark: SparkSession, conf: Mapping[str, str]):
+    """Set session options for the jobs run inside the block, then restore them."""
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+def materialize(spark: SparkSession, build: Callable[[], DataFrame], name: str,
+                conf: Mapping[str, str] = RULE_JOB_CONF) -> DataFrame:
     """Write ``build()`` as Parquet under the checkpoint folder once; return a scan of it.
 
     ``build`` is only called when the table is not there yet.  The write is
@@ -61,5 +86,6 @@ def materialize(spark: SparkSession, build: Callable[[], DataFrame], name: str)
     base = checkpoint_dir(spark).rstrip("/")
     path = f"{base}/fieldlens/{name}"
     if not _exists(spark, f"{path}/_SUCCESS"):
-        build().write.mode("overwrite").parquet(path)
+        with session_conf(spark, conf):
+            build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

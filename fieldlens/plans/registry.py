@@ -17,7 +17,7 @@ from .. import profile as P
 from ..functions.context import resolve_context
 from ..operators import deliver as D
 from ..operators import monitor as M
-from ..sources.fixture import events_path, load_fixture_survey
+from ..sources.fixture import events_path, survey_from_events
 from ..sources.survey import preview, shape
 from .engine import module_view, run_checks
 from .materialize import code_version, input_fingerprint, materialize
@@ -36,7 +36,8 @@ def balanced(spark: SparkSession, df: DataFrame) -> DataFrame:
 
 
 def survey(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return balanced(spark, load_fixture_survey(spark, sf_dir))
+    # Balance the narrow ``events`` scan, before the survey columns are derived.
+    return survey_from_events(balanced(spark, spark.read.parquet(events_path(sf_dir))))
 
 
 def flagged(spark: SparkSession, sf_dir: str, prof: P.Profile | None = None) -> DataFrame:
