@@ -1,19 +1,16 @@
-"""Row-level rule expressions.
+"""Row-level rule expressions (C1-C8) as Spark SQL expression text.
 
-Every builder returns a ``Column``; nothing here touches data.  Flags are
-nullable integers: 1 = raised, 0 = passed, NULL = not evaluated.  All
-comparisons are made null-safe so that a NULL answer never raises a flag,
-mirroring "NaN compares False" in the rule definitions.
+Each builder returns SQL text; the engine turns every output column into one
+``F.expr`` (a single call into the JVM per column instead of one per operator
+node).  Flags are nullable integers: 1 = raised, 0 = passed, NULL = not
+evaluated.  All comparisons are null-safe so that a NULL answer never raises
+a flag, mirroring "NaN compares False" in the rule definitions.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache, reduce
 from typing import Iterable, Sequence
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from ..profile import ColumnSpec
 
 # Fixed wording of our narratives (own text).
@@ -22,123 +19,135 @@ SEP_MESSAGES = "; "
 SEP_ITEMS = ", "
 
 
-@lru_cache(maxsize=4096)
-def col(name: str) -> Column:
-    """Column reference (memoized: expressions are built once per name on the driver)."""
-    return F.col(f"`{name}`")
+def q(name: str) -> str:
+    """Quoted column reference."""
+    return f"`{name}`"
+
+
+def num(v: float) -> str:
+    """Double literal."""
+    return f"{float(v)!r}D"
+
+
+def text(s: str) -> str:
+    """String literal."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-@lru_cache(maxsize=4096, typed=True)
-def lit(value) -> Column:
-    return F.lit(value)
+def concat(*parts: str) -> str:
+    return f"concat({', '.join(parts)})"
 
 
-def safe(cond: Column) -> Column:
+def safe(cond: str) -> str:
     """NULL -> false."""
-    return F.coalesce(cond, lit(False))
+    return f"coalesce({cond}, false)"
 
 
-def any_of(conds: Iterable[Column]) -> Column:
+def any_of(conds: Iterable[str]) -> str:
     conds = [safe(c) for c in conds]
-    return reduce(lambda a, b: a | b, conds) if conds else lit(False)
+    return "(" + " OR ".join(conds) + ")" if conds else "false"
 
 
-def all_of(conds: Iterable[Column]) -> Column:
+def all_of(conds: Iterable[str]) -> str:
     conds = [safe(c) for c in conds]
-    return reduce(lambda a, b: a & b, conds) if conds else lit(False)
+    return "(" + " AND ".join(conds) + ")" if conds else "false"
 
 
-def is_in(c: Column, values: Sequence[float]) -> Column:
-    return safe(c.isin([float(v) for v in values]))
+def is_in(c: str, values: Sequence[float]) -> str:
+    return safe(f"{c} IN ({', '.join(num(v) for v in values)})")
 
 
-def sum_nulls_as_zero(names: Sequence[str]) -> Column:
+def sum_nulls_as_zero(names: Sequence[str]) -> str:
     """Row sum skipping NULLs; an all-NULL row sums to 0."""
-    return reduce(lambda a, b: a + b, [F.coalesce(col(n), lit(0.0)) for n in names])
+    return "(" + " + ".join(f"coalesce({q(n)}, 0.0D)" for n in names) + ")"
 
 
-def weighted_sum(weights: dict[str, float]) -> Column:
+def weighted_sum(weights: dict[str, float]) -> str:
     """Null-propagating weighted sum (plain ``+``)."""
-    return reduce(lambda a, b: a + b, [col(n) * lit(float(w)) for n, w in weights.items()])
+    return "(" + " + ".join(f"{q(n)} * {num(w)}" for n, w in weights.items()) + ")"
 
 
-def num_text(c: Column) -> Column:
+def num_text(c: str) -> str:
     """Double as text, always with a decimal part: 9 -> '9.0', 0.5 -> '0.5'."""
-    integral = (c == F.floor(c)) & (F.abs(c) < lit(1e15))
-    return F.when(integral, F.concat(c.cast("bigint").cast("string"), lit(".0"))).otherwise(c.cast("string"))
+    return (f"CASE WHEN {c} = floor({c}) AND abs({c}) < 1.0E15D "
+            f"THEN concat(CAST(CAST({c} AS BIGINT) AS STRING), '.0') ELSE CAST({c} AS STRING) END")
 
 
-def name_list(pairs: Sequence[tuple[str, Column]]) -> Column:
+def name_list(pairs: Sequence[tuple[str, str]]) -> str:
     """Comma list of the names whose condition holds (in the given order)."""
-    return F.concat_ws(SEP_ITEMS, *[F.when(safe(cond), lit(name)) for name, cond in pairs])
+    if not pairs:
+        return "''"
+    items = ", ".join(f"CASE WHEN {safe(cond)} THEN {text(name)} END" for name, cond in pairs)
+    return f"concat_ws({text(SEP_ITEMS)}, {items})"
 
 
 # -- C1 / C2: missing ---------------------------------------------------------
 
-def missing_any(required: Sequence[str]) -> Column:
+def missing_any(required: Sequence[str]) -> str:
     """1 if any present required column is NULL; no column -> 0."""
     if not required:
-        return lit(0)
-    return any_of([col(c).isNull() for c in required]).cast("int")
+        return "0"
+    return f"CAST({any_of([f'{q(c)} IS NULL' for c in required])} AS INT)"
 
 
-def missing_all(columns: Sequence[str]) -> Column:
+def missing_all(columns: Sequence[str]) -> str:
     """1 only if every listed column is NULL; no column -> 0."""
     if not columns:
-        return lit(0)
-    return all_of([col(c).isNull() for c in columns]).cast("int")
+        return "0"
+    return f"CAST({all_of([f'{q(c)} IS NULL' for c in columns])} AS INT)"
 
 
-def missing_text(required: Sequence[str]) -> Column:
-    return F.concat(lit("Missing answers: "), name_list([(c, col(c).isNull()) for c in required]))
+def missing_text(required: Sequence[str]) -> str:
+    return concat(text("Missing answers: "), name_list([(c, f"{q(c)} IS NULL") for c in required]))
 
 
 # -- C3 / C4 / C5: erroneous --------------------------------------------------
 
-def out_of_spec(spec: ColumnSpec) -> Column:
+def out_of_spec(spec: ColumnSpec) -> str:
     """Value below min, above max, or outside the code list (NULL never counts)."""
-    c = col(spec.name)
+    c = q(spec.name)
     conds = []
     if spec.min is not None:
-        conds.append(c < lit(float(spec.min)))
+        conds.append(f"{c} < {num(spec.min)}")
     if spec.max is not None:
-        conds.append(c > lit(float(spec.max)))
+        conds.append(f"{c} > {num(spec.max)}")
     if spec.choices is not None:
-        conds.append(c.isNotNull() & ~c.isin([float(v) for v in spec.choices]))
+        conds.append(f"({c} IS NOT NULL AND NOT {c} IN ({', '.join(num(v) for v in spec.choices)}))")
     return any_of(conds)
 
 
-def erroneous_when_answered(missing: Column, bad: Column) -> Column:
+def erroneous_when_answered(missing: str, bad: str) -> str:
     """NULL when the module is missing, else the 0/1 outcome."""
-    return F.when(missing == 0, safe(bad).cast("int"))
+    return f"CASE WHEN {missing} = 0 THEN CAST({safe(bad)} AS INT) END"
 
 
-def erroneous_text(specs: Sequence[ColumnSpec]) -> Column:
-    items = [F.when(out_of_spec(s), F.concat(lit(f"{s.name}="), num_text(col(s.name)))) for s in specs]
-    return F.concat(lit("Out of range: "), F.concat_ws(SEP_ITEMS, *items))
+def erroneous_text(specs: Sequence[ColumnSpec]) -> str:
+    if not specs:
+        return text("Out of range: ")
+    items = ", ".join(f"CASE WHEN {out_of_spec(s)} THEN concat({text(s.name + '=')}, {num_text(q(s.name))}) END"
+                      for s in specs)
+    return concat(text("Out of range: "), f"concat_ws({text(SEP_ITEMS)}, {items})")
 
 
 # -- C6: gated check ----------------------------------------------------------
 
-def gate(cond: Column, missing: Column, erroneous: Column) -> Column:
+def gate(cond: str, missing: str, erroneous: str) -> str:
     """Evaluate only when missing == 0 and erroneous == 0; else NULL."""
-    return F.when((missing == 0) & (erroneous == 0), safe(cond).cast("int"))
+    return f"CASE WHEN {missing} = 0 AND {erroneous} = 0 THEN CAST({safe(cond)} AS INT) END"
 
 
 # -- C7: rollup -----------------------------------------------------------------
 
-def rollup(flags: Sequence[Column]) -> Column:
+def rollup(flags: Sequence[str]) -> str:
     """1 if any flag equals 1 (NULL counts as no)."""
     if not flags:
-        return lit(0)
-    if len(flags) == 1:
-        return F.coalesce(flags[0], lit(0)).cast("int")
-    return F.greatest(*[F.coalesce(f, lit(0)) for f in flags]).cast("int")
+        return "0"
+    return "CAST(greatest(" + ", ".join(f"coalesce({f}, 0)" for f in flags) + ", 0) AS INT)"
 
 
 # -- C8: narrative --------------------------------------------------------------
 
-def narrative(parts: Sequence[tuple[Column, Column]]) -> Column:
+def narrative(parts: Sequence[tuple[str, str]]) -> str:
     """Messages of raised flags, in check order, joined by '; '."""
-    joined = F.concat_ws(SEP_MESSAGES, *[F.when(flag == 1, msg) for flag, msg in parts])
-    return F.when(joined == "", lit(NO_ISSUES)).otherwise(joined)
+    joined = f"concat_ws({text(SEP_MESSAGES)}, " + ", ".join(f"CASE WHEN {flag} = 1 THEN {msg} END" for flag, msg in parts) + ")"
+    return f"coalesce(nullif({joined}, ''), {text(NO_ISSUES)})"

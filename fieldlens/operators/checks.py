@@ -1,4 +1,4 @@
-"""The ten rule modules (D1-D7, E1-E32) as column expressions.
+"""The ten rule modules (D1-D7, E1-E32) as Spark SQL expression text.
 
 Each builder receives the set of column names available at that point of the
 run (input columns plus derived columns of earlier modules) and the profile,
@@ -16,27 +16,26 @@ from pyspark.sql import functions as F
 
 from .. import profile as P
 from ..functions import rules as R
-from ..functions.rules import col
+from ..functions.rules import concat, num, num_text, q, text
 
 
 @dataclass
 class Check:
     name: str
-    cond: Column | None
-    message: Column
-    flag: Column | None = None  # full flag expression when not a plain gate
-    details: list[Column] = field(default_factory=list)  # extra narrative parts when raised
+    cond: str | None
+    message: str
+    flag: str | None = None  # full flag expression when not a plain gate
+    details: list[str] = field(default_factory=list)  # extra narrative parts when raised
 
 
 @dataclass
 class ModulePlan:
     name: str
-    derived: dict[str, Column]
-    output_derived: tuple[str, ...]
-    missing: Column
-    missing_msg: Column
-    erroneous: Column  # may refer to the module's Missing flag by name
-    erroneous_msg: Column
+    derived: dict[str, str]
+    missing: str
+    missing_msg: str
+    erroneous: str  # may refer to the module's Missing flag by name
+    erroneous_msg: str
     checks: list[Check]
 
     def flag(self, check: str) -> str:
@@ -59,18 +58,12 @@ def _present(names, avail) -> list[str]:
     return [n for n in names if n in avail]
 
 
-def _lit(v) -> Column:
-    return F.lit(str(v))
-
-
-def _generic(name, specs, avail) -> tuple[Column, Column, Column, Column]:
+def _generic(name, specs, avail) -> tuple[str, str, str, str]:
     """C1 + C3 over the declared specs that are present."""
     specs = [s for s in specs if s.name in avail]
     required = [s.name for s in specs if s.required]
-    missing = R.missing_any(required)
-    miss_flag = col(f"Flag_{name}_Missing")
-    erroneous = R.erroneous_when_answered(miss_flag, R.any_of([R.out_of_spec(s) for s in specs]))
-    return missing, R.missing_text(required), erroneous, R.erroneous_text(specs)
+    erroneous = R.erroneous_when_answered(q(f"Flag_{name}_Missing"), R.any_of([R.out_of_spec(s) for s in specs]))
+    return R.missing_any(required), R.missing_text(required), erroneous, R.erroneous_text(specs)
 
 
 def _fmt(v: float) -> str:
@@ -84,7 +77,7 @@ def demo(avail: set[str], p: P.Profile) -> ModulePlan:
     male, female = _present(P.DEMO_MALE, avail), _present(P.DEMO_FEMALE, avail)
     adult, child, f1259 = (_present(x, avail) for x in (P.DEMO_ADULT, P.DEMO_CHILD, P.DEMO_F1259))
     all_groups = list(dict.fromkeys(male + female))
-    derived: dict[str, Column] = {}
+    derived: dict[str, str] = {}
     for out, names in (("Sum_M", male), ("Sum_F", female), ("Sum_All", all_groups),
                        ("Sum_Adults", adult), ("Sum_Children", child), ("Sum_F1259", f1259)):
         if names:
@@ -92,88 +85,77 @@ def demo(avail: set[str], p: P.Profile) -> ModulePlan:
     checks: list[Check] = []
     if "HHSize" in avail:
         thr = t["high_hhsize_threshold"]
-        checks.append(Check(
-            "HighHHSize", col("HHSize") > F.lit(float(thr)),
-            F.concat(F.lit("Household size "), R.num_text(col("HHSize")), F.lit(f" is above {thr}")),
-        ))
+        checks.append(Check("HighHHSize", f"`HHSize` > {num(thr)}",
+                            concat(text("Household size "), num_text("`HHSize`"), text(f" is above {thr}"))))
         if all_groups:
             tol = t["hhsize_sum_tolerance"]
             checks.append(Check(
-                "SumMismatch", F.abs(col("Sum_All") - col("HHSize")) > F.lit(float(tol)),
-                F.concat(F.lit("Roster total "), R.num_text(col("Sum_All")), F.lit(" differs from household size "),
-                         R.num_text(col("HHSize")), F.lit(f" by more than {tol}")),
+                "SumMismatch", f"abs(`Sum_All` - `HHSize`) > {num(tol)}",
+                concat(text("Roster total "), num_text("`Sum_All`"), text(" differs from household size "),
+                       num_text("`HHSize`"), text(f" by more than {tol}")),
             ))
     if "Sum_Adults" in derived:
-        checks.append(Check("NoAdults", col("Sum_Adults") == 0, F.lit("Roster lists no member aged 18 or over")))
+        checks.append(Check("NoAdults", "`Sum_Adults` = 0", text("Roster lists no member aged 18 or over")))
     if "HHPregLactNb" in avail and "Sum_F1259" in derived:
         checks.append(Check(
-            "PLWExceeds", col("HHPregLactNb") > col("Sum_F1259"),
-            F.concat(F.lit("Pregnant/lactating count "), R.num_text(col("HHPregLactNb")),
-                     F.lit(" exceeds females aged 12-59 ("), R.num_text(col("Sum_F1259")), F.lit(")")),
+            "PLWExceeds", "`HHPregLactNb` > `Sum_F1259`",
+            concat(text("Pregnant/lactating count "), num_text("`HHPregLactNb`"),
+                   text(" exceeds females aged 12-59 ("), num_text("`Sum_F1259`"), text(")")),
         ))
-    m, mm, e, em = _generic("Demo", P.DEMO_SPECS, avail)
-    return ModulePlan("Demo", derived, (), m, mm, e, em, checks)
+    return ModulePlan("Demo", derived, *_generic("Demo", P.DEMO_SPECS, avail), checks)
 
 
 # -- FCS ------------------------------------------------------------------------
 
-def fcg_band(score: Column, poor: float, borderline: float) -> Column:
+def fcg_band(score: str, poor: float, borderline: float) -> str:
     """Left-closed bands Poor < poor <= Borderline < borderline <= Acceptable."""
-    return (F.when(score < F.lit(float(poor)), F.lit("Poor"))
-            .when(score < F.lit(float(borderline)), F.lit("Borderline"))
-            .when(score >= F.lit(float(borderline)), F.lit("Acceptable")))
+    return (f"CASE WHEN {score} < {num(poor)} THEN 'Poor' WHEN {score} < {num(borderline)} THEN 'Borderline' "
+            f"WHEN {score} >= {num(borderline)} THEN 'Acceptable' END")
 
 
-def _identical(names: list[str]) -> Column:
+def _identical(names: list[str]) -> str:
     """All present answers equal and the first one not zero."""
-    cols = [col(n) for n in names]
-    same = F.greatest(*cols) == F.least(*cols)
-    first_not_zero = F.coalesce(cols[0] != 0, F.lit(True))
-    return same & first_not_zero
+    cols = ", ".join(q(n) for n in names)
+    return f"(greatest({cols}) = least({cols}) AND coalesce({q(names[0])} <> 0, true))"
 
 
 def fcs(avail: set[str], p: P.Profile) -> ModulePlan:
     t = p.thresholds["FCS"]
     groups = _present(P.FCS_GROUPS, avail)
-    derived: dict[str, Column] = {}
-    checks: list[Check] = []
-    m, mm, e, em = _generic("FCS", P.FCS_SPECS, avail)
+    gen = _generic("FCS", P.FCS_SPECS, avail)
     if not groups:  # no answers at all: no score and no specific check
-        return ModulePlan("FCS", derived, (), m, mm, e, em, checks)
-    derived["FCS"] = R.weighted_sum({g: P.FCS_WEIGHTS[g] for g in groups})
-    derived["FCG"] = fcg_band(col("FCS"), t["fcg_poor_threshold"], t["fcg_borderline_threshold"])
+        return ModulePlan("FCS", {}, *gen, [])
+    derived = {"FCS": R.weighted_sum({g: P.FCS_WEIGHTS[g] for g in groups}),
+               "FCG": fcg_band("`FCS`", t["fcg_poor_threshold"], t["fcg_borderline_threshold"])}
+    checks: list[Check] = []
     if len(groups) > 1:
         checks.append(Check("Identical", _identical(groups),
-                            F.lit(f"All {len(groups)} food-group answers are the same non-zero value")))
+                            text(f"All {len(groups)} food-group answers are the same non-zero value")))
     if "FCSStap" in avail:
         thr = t["low_staple_threshold"]
-        checks.append(Check("LowStaple", col("FCSStap") < F.lit(float(thr)),
-                            F.concat(F.lit("Staples eaten on "), R.num_text(col("FCSStap")),
-                                     F.lit(f" days, fewer than {thr}"))))
+        checks.append(Check("LowStaple", f"`FCSStap` < {num(thr)}",
+                            concat(text("Staples eaten on "), num_text("`FCSStap`"), text(f" days, fewer than {thr}"))))
     low, high = t["low_fcs_threshold"], t["high_fcs_threshold"]
-    checks.append(Check("Low", col("FCS") < F.lit(float(low)),
-                        F.concat(F.lit("FCS "), R.num_text(col("FCS")), F.lit(f" is below {low}"))))
-    checks.append(Check("High", col("FCS") > F.lit(float(high)),
-                        F.concat(F.lit("FCS "), R.num_text(col("FCS")), F.lit(f" is above {high}"))))
-    return ModulePlan("FCS", derived, ("FCS", "FCG"), m, mm, e, em, checks)
+    checks.append(Check("Low", f"`FCS` < {num(low)}", concat(text("FCS "), num_text("`FCS`"), text(f" is below {low}"))))
+    checks.append(Check("High", f"`FCS` > {num(high)}", concat(text("FCS "), num_text("`FCS`"), text(f" is above {high}"))))
+    return ModulePlan("FCS", derived, *gen, checks)
 
 
 # -- HDDS -----------------------------------------------------------------------
 
 def hdds(avail: set[str], p: P.Profile) -> ModulePlan:
-    t = p.thresholds["HDDS"]
+    low = p.thresholds["HDDS"]["low_hdds_threshold"]
     scored = _present(P.HDDS_SCORED, avail)
-    m, mm, e, em = _generic("HDDS", P.HDDS_SPECS, avail)
+    gen = _generic("HDDS", P.HDDS_SPECS, avail)
     if not scored:
-        return ModulePlan("HDDS", {}, (), m, mm, e, em, [])
-    low = t["low_hdds_threshold"]
+        return ModulePlan("HDDS", {}, *gen, [])
     checks = [
-        Check("Low", col("HDDS") < F.lit(float(low)),
-              F.concat(F.lit("Dietary diversity "), R.num_text(col("HDDS")), F.lit(f" is below {low}"))),
-        Check("AllGroups", col("HDDS") == F.lit(float(len(scored))),
-              F.lit(f"Every one of the {len(scored)} food groups reported as eaten")),
+        Check("Low", f"`HDDS` < {num(low)}",
+              concat(text("Dietary diversity "), num_text("`HDDS`"), text(f" is below {low}"))),
+        Check("AllGroups", f"`HDDS` = {num(len(scored))}",
+              text(f"Every one of the {len(scored)} food groups reported as eaten")),
     ]
-    return ModulePlan("HDDS", {"HDDS": R.sum_nulls_as_zero(scored)}, ("HDDS",), m, mm, e, em, checks)
+    return ModulePlan("HDDS", {"HDDS": R.sum_nulls_as_zero(scored)}, *gen, checks)
 
 
 # -- rCSI -----------------------------------------------------------------------
@@ -181,82 +163,80 @@ def hdds(avail: set[str], p: P.Profile) -> ModulePlan:
 def rcsi(avail: set[str], p: P.Profile) -> ModulePlan:
     t = p.thresholds["rCSI"]
     strategies = _present(P.RCSI_STRATEGIES, avail)
-    m, mm, e, em = _generic("rCSI", P.RCSI_SPECS, avail)
+    gen = _generic("rCSI", P.RCSI_SPECS, avail)
     if not strategies:
-        return ModulePlan("rCSI", {}, (), m, mm, e, em, [])
+        return ModulePlan("rCSI", {}, *gen, [])
     derived = {"rCSI": R.weighted_sum({s: P.RCSI_WEIGHTS[s] for s in strategies})}
     checks: list[Check] = []
     if t["flag_identical"] and len(strategies) > 1:
         checks.append(Check("Identical", _identical(strategies),
-                            F.lit(f"All {len(strategies)} coping answers are the same non-zero value")))
+                            text(f"All {len(strategies)} coping answers are the same non-zero value")))
     if "FCG" in avail:
         if t["zero_rcsi_with_poor_fcg"]:
-            checks.append(Check("ZeroWithPoorFCG", (col("FCG") == "Poor") & (col("rCSI") == 0),
-                                F.lit("No coping reported although food consumption is Poor")))
+            checks.append(Check("ZeroWithPoorFCG", "`FCG` = 'Poor' AND `rCSI` = 0",
+                                text("No coping reported although food consumption is Poor")))
         high = t["high_rcsi_with_acceptable_fcg"]
-        checks.append(Check("HighWithAcceptFCG", (col("FCG") == "Acceptable") & (col("rCSI") > F.lit(float(high))),
-                            F.concat(F.lit("rCSI "), R.num_text(col("rCSI")),
-                                     F.lit(f" above {high} although food consumption is Acceptable"))))
+        checks.append(Check("HighWithAcceptFCG", f"`FCG` = 'Acceptable' AND `rCSI` > {num(high)}",
+                            concat(text("rCSI "), num_text("`rCSI`"),
+                                   text(f" above {high} although food consumption is Acceptable"))))
     if "rCSIMealAdult" in avail and "Sum_Children" in avail:
-        checks.append(Check("AdultMealNoChildren", (col("rCSIMealAdult") > 0) & (col("Sum_Children") == 0),
-                            F.lit("Adults ate less so children could eat, but the roster has no children")))
-    return ModulePlan("rCSI", derived, ("rCSI",), m, mm, e, em, checks)
+        checks.append(Check("AdultMealNoChildren", "`rCSIMealAdult` > 0 AND `Sum_Children` = 0",
+                            text("Adults ate less so children could eat, but the roster has no children")))
+    return ModulePlan("rCSI", derived, *gen, checks)
 
 
 # -- Housing --------------------------------------------------------------------
 
 def housing(avail: set[str], p: P.Profile) -> ModulePlan:
-    m, mm, e, em = _generic("Housing", P.HOUSING_SPECS, avail)
     checks: list[Check] = []
     if "HHStatus" in avail and "HHTenureType" in avail:
         checks.append(Check(
-            "DisplacedOwner",
-            R.is_in(col("HHStatus"), P.HOUSING_DISPLACED) & (col("HHTenureType") == P.HOUSING_OWNER),
-            F.concat(F.lit("Displaced household (status "), R.num_text(col("HHStatus")),
-                     F.lit(") reports owning its dwelling")),
+            "DisplacedOwner", f"{R.is_in('`HHStatus`', P.HOUSING_DISPLACED)} AND `HHTenureType` = {num(P.HOUSING_OWNER)}",
+            concat(text("Displaced household (status "), num_text("`HHStatus`"), text(") reports owning its dwelling")),
         ))
-    return ModulePlan("Housing", {}, (), m, mm, e, em, checks)
+    return ModulePlan("Housing", {}, *_generic("Housing", P.HOUSING_SPECS, avail), checks)
 
 
 # -- LCS ------------------------------------------------------------------------
 
-def highest_tier(avail) -> Column:
+def _used(names) -> str:
+    return R.any_of([R.is_in(q(n), P.LCS_USED) for n in names])
+
+
+def highest_tier_sql(avail) -> str:
     """Emergency > Crisis > Stress > No coping, by codes 20/30."""
-    def used(names):
-        return R.any_of([R.is_in(col(n), P.LCS_USED) for n in _present(names, avail)])
-    return (F.when(used(P.LCS_EMERGENCY), F.lit("Emergency"))
-            .when(used(P.LCS_CRISIS), F.lit("Crisis"))
-            .when(used(P.LCS_STRESS), F.lit("Stress"))
-            .otherwise(F.lit("No coping")))
+    return (f"CASE WHEN {_used(_present(P.LCS_EMERGENCY, avail))} THEN 'Emergency' "
+            f"WHEN {_used(_present(P.LCS_CRISIS, avail))} THEN 'Crisis' "
+            f"WHEN {_used(_present(P.LCS_STRESS, avail))} THEN 'Stress' ELSE 'No coping' END")
+
+
+def highest_tier(avail) -> Column:
+    return F.expr(highest_tier_sql(avail))
 
 
 def lcs(avail: set[str], p: P.Profile) -> ModulePlan:
     stress, crisis, emerg = (_present(x, avail) for x in (P.LCS_STRESS, P.LCS_CRISIS, P.LCS_EMERGENCY))
     child = _present(P.LCS_CHILD, avail)
     all_lcs = stress + crisis + emerg
-    m, mm, e, em = _generic("LCS", P.LCS_SPECS, avail)
-    checks: list[Check] = []
+    gen = _generic("LCS", P.LCS_SPECS, avail)
     if not all_lcs:
-        return ModulePlan("LCS", {}, (), m, mm, e, em, checks)
-
-    def used(names):
-        return R.any_of([R.is_in(col(n), P.LCS_USED) for n in names])
-
-    na_count = sum((col(n) == P.LCS_NA).cast("int") for n in all_lcs)
+        return ModulePlan("LCS", {}, *gen, [])
+    na = num(P.LCS_NA)
+    na_count = "(" + " + ".join(f"CAST({q(n)} = {na} AS INT)" for n in all_lcs) + ")"
+    checks: list[Check] = []
     if child and "Sum_Children" in avail:
-        checks.append(Check("ChildStratNoChildren", (col("Sum_Children") == 0) & used(child),
-                            F.lit("A child-related coping strategy was used, but the roster has no children")))
+        checks.append(Check("ChildStratNoChildren", f"`Sum_Children` = 0 AND {_used(child)}",
+                            text("A child-related coping strategy was used, but the roster has no children")))
     if "FCG" in avail:
-        checks.append(Check("AllNA_PoorFood", R.all_of([col(n) == P.LCS_NA for n in all_lcs]) & (col("FCG") == "Poor"),
-                            F.lit("Every coping strategy marked not applicable although food consumption is Poor")))
+        checks.append(Check("AllNA_PoorFood", f"{R.all_of([f'{q(n)} = {na}' for n in all_lcs])} AND `FCG` = 'Poor'",
+                            text("Every coping strategy marked not applicable although food consumption is Poor")))
     if stress and crisis and emerg:
-        checks.append(Check("NonSequential", used(emerg) & ~(used(stress) | used(crisis)),
-                            F.lit("Emergency strategy used without any stress or crisis strategy")))
+        checks.append(Check("NonSequential", f"{_used(emerg)} AND NOT ({_used(stress)} OR {_used(crisis)})",
+                            text("Emergency strategy used without any stress or crisis strategy")))
     many = p.thresholds["LCS"]["many_na_count"]
-    checks.append(Check("ManyNA", na_count >= many,
-                        F.concat(F.coalesce(na_count, F.lit(0)).cast("string"),
-                                 F.lit(" strategies marked not applicable"))))
-    return ModulePlan("LCS", {}, (), m, mm, e, em, checks)
+    checks.append(Check("ManyNA", f"{na_count} >= {many}",
+                        concat(f"CAST(coalesce({na_count}, 0) AS STRING)", text(" strategies marked not applicable"))))
+    return ModulePlan("LCS", {}, *gen, checks)
 
 
 # -- Expenditure (three modules) ------------------------------------------------
@@ -265,78 +245,70 @@ def expenditure(module: str):
     def build(avail: set[str], p: P.Profile) -> ModulePlan:
         t = p.thresholds[module]
         cols = _present(P.EXP_COLUMNS[module], avail)
-        missing = R.missing_all(cols)
-        mm = F.lit(f"Every {module} amount is missing")
+        missing, mm = R.missing_all(cols), text(f"Every {module} amount is missing")
         if not cols:
-            return ModulePlan(module, {}, (), missing, mm, F.lit(0), F.lit(""), [])
-        miss_flag = col(f"Flag_{module}_Missing")
-        erroneous = R.erroneous_when_answered(miss_flag, R.any_of([col(c) < 0 for c in cols]))
-        em = F.concat(F.lit("Negative amounts: "), R.name_list([(c, col(c) < 0) for c in cols]))
+            return ModulePlan(module, {}, missing, mm, "0", "''", [])
+        erroneous = R.erroneous_when_answered(q(f"Flag_{module}_Missing"), R.any_of([f"{q(c)} < 0" for c in cols]))
+        em = concat(text("Negative amounts: "), R.name_list([(c, f"{q(c)} < 0") for c in cols]))
         checks: list[Check] = []
         if t["flag_zero_total_food"]:
-            checks.append(Check("ZeroTotal", R.all_of([F.coalesce(col(c), F.lit(0.0)) == 0 for c in cols]),
-                                F.lit(f"Every {module} amount is zero or blank")))
+            checks.append(Check("ZeroTotal", R.all_of([f"coalesce({q(c)}, 0.0D) = 0" for c in cols]),
+                                text(f"Every {module} amount is zero or blank")))
         lo = t["min_item_price"]
         if lo > 0:
-            small = [(c, (col(c) > 0) & (col(c) < F.lit(float(lo)))) for c in cols]
-            detail = F.concat_ws(R.SEP_ITEMS, *[
-                F.when(R.safe(cond), F.concat(F.lit(f"{c}="), F.format_number(col(c), 2))) for c, cond in small
-            ])
-            checks.append(Check(
-                "BelowMinPrice", R.any_of([cond for _, cond in small]),
-                F.concat(F.lit(f"Amounts above 0 but below {_fmt(lo)}: "), detail),
-            ))
+            small = [(c, f"({q(c)} > 0 AND {q(c)} < {num(lo)})") for c in cols]
+            detail = "concat_ws(', ', " + ", ".join(
+                f"CASE WHEN {R.safe(cond)} THEN concat({text(c + '=')}, format_number({q(c)}, 2)) END"
+                for c, cond in small) + ")"
+            checks.append(Check("BelowMinPrice", R.any_of([cond for _, cond in small]),
+                                concat(text(f"Amounts above 0 but below {_fmt(lo)}: "), detail)))
         hi = t["max_single_item"]
-        checks.append(Check("ExtremeItem", R.any_of([col(c) > F.lit(float(hi)) for c in cols]),
-                            F.concat(F.lit(f"Amounts above {_fmt(hi)}: "),
-                                     R.name_list([(c, col(c) > F.lit(float(hi))) for c in cols]))))
-        return ModulePlan(module, {}, (), missing, mm, erroneous, em, checks)
+        big = [(c, f"{q(c)} > {num(hi)}") for c in cols]
+        checks.append(Check("ExtremeItem", R.any_of([cond for _, cond in big]),
+                            concat(text(f"Amounts above {_fmt(hi)}: "), R.name_list(big))))
+        return ModulePlan(module, {}, missing, mm, erroneous, em, checks)
     return build
 
 
 # -- Timing ---------------------------------------------------------------------
 
-def duration_minutes(start: Column, end: Column) -> Column:
+def duration_minutes(start: str, end: str) -> str:
     """(end - start) in minutes, microsecond exact, for NTZ or LTZ input."""
-    return (F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / F.lit(60_000_000.0)
+    return f"((unix_micros(CAST({end} AS TIMESTAMP)) - unix_micros(CAST({start} AS TIMESTAMP))) / 60000000.0D)"
 
 
-def local_start_hour(start: Column, offset: float) -> Column:
+def local_start_hour(start: str, offset: float) -> str:
     """UTC hour (truncated) plus offset, modulo 24 with a positive result."""
-    return F.pmod(F.hour(start).cast("double") + F.lit(float(offset)), F.lit(24.0))
+    return f"pmod(CAST(hour({start}) AS DOUBLE) + {num(offset)}, 24.0D)"
 
 
 def timing(avail: set[str], p: P.Profile) -> ModulePlan:
     t = p.thresholds["Timing"]
     required = [s.name for s in P.TIMING_SPECS if s.required and s.name in avail]
-    missing = R.missing_any(required)
-    mm = R.missing_text(required)
-    miss_flag = col("Flag_Timing_Missing")
+    missing, mm = R.missing_any(required), R.missing_text(required)
+    miss = q("Flag_Timing_Missing")
     if not ("start" in avail and "end" in avail):
-        return ModulePlan("Timing", {}, (), missing, mm, F.when(miss_flag == 0, F.lit(0)), F.lit(""), [])
-    erroneous = R.erroneous_when_answered(miss_flag, col("end") < col("start"))
-    em = F.lit("Interview ends before it starts")
-    dur, hour = col("Timing_Duration_Min"), col("Timing_StartHour")
-    derived = {
-        "Timing_Duration_Min": duration_minutes(col("start"), col("end")),
-        "Timing_StartHour": local_start_hour(col("start"), t["utc_offset_hours"]),
-    }
+        return ModulePlan("Timing", {}, missing, mm, f"CASE WHEN {miss} = 0 THEN 0 END", "''", [])
+    erroneous = R.erroneous_when_answered(miss, "`end` < `start`")
+    em = text("Interview ends before it starts")
+    dur, hour = "`Timing_Duration_Min`", "`Timing_StartHour`"
+    derived = {"Timing_Duration_Min": duration_minutes("`start`", "`end`"),
+               "Timing_StartHour": local_start_hour("`start`", t["utc_offset_hours"])}
     inv, short, long_ = t["invalid_duration_min"], t["short_duration_min"], t["long_duration_min"]
     early, late = t["abnormal_early_morning_end"], t["abnormal_evening_start"]
-    good = (miss_flag == 0) & (col("Flag_Timing_Erroneous") == 0)
+    good = f"{miss} = 0 AND `Flag_Timing_Erroneous` = 0"
     checks = [
-        Check("InvalidDuration", dur <= F.lit(float(inv)),
-              F.concat(F.lit("Duration "), F.format_number(dur, 1), F.lit(f" min is not above {inv}"))),
+        Check("InvalidDuration", f"{dur} <= {num(inv)}",
+              concat(text("Duration "), f"format_number({dur}, 1)", text(f" min is not above {inv}"))),
         Check("ShortDuration", None,
-              F.concat(F.lit("Short interview: "), F.format_number(dur, 1), F.lit(f" min, under {short}")),
-              flag=F.when(good & R.safe(dur > F.lit(float(inv))), R.safe(dur < F.lit(float(short))).cast("int"))),
-        Check("LongDuration", dur > F.lit(float(long_)),
-              F.concat(F.lit("Long interview: "), F.format_number(dur, 1), F.lit(f" min, over {long_}"))),
-        Check("AbnormalHour", (hour < F.lit(float(early))) | (hour >= F.lit(float(late))),
-              F.concat(F.lit("Started at local hour "), R.num_text(hour),
-                       F.lit(f", outside {early}:00-{late}:00"))),
+              concat(text("Short interview: "), f"format_number({dur}, 1)", text(f" min, under {short}")),
+              flag=f"CASE WHEN {good} AND {R.safe(f'{dur} > {num(inv)}')} THEN CAST({R.safe(f'{dur} < {num(short)}')} AS INT) END"),
+        Check("LongDuration", f"{dur} > {num(long_)}",
+              concat(text("Long interview: "), f"format_number({dur}, 1)", text(f" min, over {long_}"))),
+        Check("AbnormalHour", f"({hour} < {num(early)} OR {hour} >= {num(late)})",
+              concat(text("Started at local hour "), num_text(hour), text(f", outside {early}:00-{late}:00"))),
     ]
-    return ModulePlan("Timing", derived, ("Timing_Duration_Min", "Timing_StartHour"), missing, mm, erroneous, em, checks)
+    return ModulePlan("Timing", derived, missing, mm, erroneous, em, checks)
 
 
 MODULES = {

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from .. import profile as P
 from ..functions.context import Context
-from ..functions.rules import col
+from ..functions import columns as R
+from ..functions.columns import col
 from ..plans.engine import any_flag, module_view, modules_in
 from . import monitor as M
 
@@ -153,20 +154,18 @@ def catalogue(spark: SparkSession) -> DataFrame:
 
 def issue_ranking(flagged: DataFrame, n: int = 20) -> DataFrame:
     """Checks that fired with their severity: critical first, then by count; top ``n``."""
-    counts = M.check_counts(flagged).where(F.col("n_flagged") > 0)
-    n_rows = flagged.agg(F.count(F.lit(1)).alias("n_rows"))
+    counts = M.check_counts(flagged, with_total=True).where(F.col("n_flagged") > 0)
     cat = catalogue(flagged.sparkSession)
     # The catalogue has a fixed, small row count: broadcasting it is bounded.
     joined = counts.join(F.broadcast(cat), ["module", "check"], "left")
-    sev = F.coalesce(F.col("severity"), F.lit("info"))
     ranked = joined.select(
-        "module", "check", "n_flagged", "check_pos", sev.alias("severity"),
+        "module", "check", "n_flagged", "check_pos", F.coalesce(F.col("severity"), F.lit("info")).alias("severity"),
         F.coalesce(F.col("severity_rank"), F.lit(SEVERITY_RANK["info"])).alias("severity_rank"),
         F.coalesce(F.col("action"), F.lit(DEFAULT_GUIDANCE)).alias("action"),
+        (F.col("n_flagged") / F.col("n_rows") * 100.0).alias("pct"),
     )
-    total = n_rows.select(F.col("n_rows")).scalar()
     order = Window.orderBy("severity_rank", F.desc("n_flagged"), "check_pos")  # <= #checks rows
-    out = ranked.withColumn("pct", F.col("n_flagged") / total * 100.0).withColumn("rank", F.row_number().over(order))
+    out = ranked.withColumn("rank", F.row_number().over(order))
     return out.where(F.col("rank") <= n)
 
 
@@ -217,23 +216,42 @@ def _rows(df: DataFrame, order: int, level: str, rule: str, entity: Column, valu
                      entity.cast("string").alias("entity"), value.cast("double").alias("value"))
 
 
+def _id_level(flagged: DataFrame, ctx: Context) -> DataFrame:
+    """One pass over the rows, one partial-aggregated shuffle by id: rows, duplicated ids,
+    distinct flagged ids and straight-line rows in a single one-row table."""
+    idc = col(ctx.hhid)
+    groups = M.fcs_groups_in(flagged)
+    sl = F.count_if(R.safe(M.straight_line(groups))) if groups else F.lit(0).cast("bigint")
+    ids = flagged.groupBy(idc.alias("_id")).agg(F.count(F.lit(1)).alias("_n"), F.max(any_flag(flagged)).alias("_f"),
+                                               sl.alias("_s"))
+    return ids.agg(
+        F.sum("_n").alias("n"),
+        F.count_if(F.col("_id").isNotNull() & (F.col("_n") > 1)).alias("dup_ids"),
+        F.count_if(F.col("_id").isNotNull() & (F.col("_f") == 1)).alias("flagged_ids"),
+        F.sum("_s").alias("straight"),
+    )
+
+
 def priority_alerts(flagged: DataFrame, dash: Context, report: Context, limit: int = 12) -> DataFrame:
     """T4: duplicate ids, overall rate > 20, enumerator / area rate > 30, straight-lining; first 12.
 
     Every input is an aggregate (one row, or one row per enumerator / area).
     """
-    dups = M.duplicate_ids(flagged, dash).agg(F.count(F.lit(1)).alias("v"))
-    ids = M.flagged_ids(flagged, report).select(F.bround("overall_rate_pct", 1).alias("v"))
+    # Duplicates use the dashboard id, the overall rate the report id (the same column here).
+    one = _id_level(flagged, report)
+    if dash.hhid != report.hhid:
+        raise ValueError("priority_alerts expects one id column for duplicates and flag rate")
+    rate = F.bround(F.col("flagged_ids") / F.col("n") * 100.0, 1)
+    scalars = one.select(F.col("dup_ids").cast("double").alias("d"), rate.alias("r"), F.col("straight").cast("double").alias("s"))
     enu = M.flag_rate_by_enumerator(flagged, report).select("enumerator", F.bround("rate_pct", 1).alias("v"))
     area = M.flag_rate_by_area(flagged, report).select("area", F.bround("rate_pct", 1).alias("v"))
-    sl = flagged.agg(F.count_if(M.straight_line(M.fcs_groups_in(flagged))).alias("v"))
     none = F.lit(None).cast("string")
     parts = [
-        _rows(dups.where("v > 0"), 0, "critical", "duplicate_ids", none, F.col("v"), F.lit(0.0)),
-        _rows(ids.where("v > 20"), 1, "critical", "overall_flag_rate", none, F.col("v"), F.lit(0.0)),
+        _rows(scalars.where("d > 0"), 0, "critical", "duplicate_ids", none, F.col("d"), F.lit(0.0)),
+        _rows(scalars.where("r > 20"), 1, "critical", "overall_flag_rate", none, F.col("r"), F.lit(0.0)),
         _rows(enu.where("v > 30"), 2, "warning", "enumerator_flag_rate", F.col("enumerator"), F.col("v"), -F.col("v")),
         _rows(area.where("v > 30"), 3, "warning", "area_flag_rate", F.col("area"), F.col("v"), -F.col("v")),
-        _rows(sl.where("v > 0"), 4, "warning", "straight_lining", none, F.col("v"), F.lit(0.0)),
+        _rows(scalars.where("s > 0"), 4, "warning", "straight_lining", none, F.col("s"), F.lit(0.0)),
     ]
     alerts = reduce(DataFrame.unionByName, parts)
     w = Window.orderBy("_o", "_s", "entity")  # at most #enumerators + #areas + 3 rows
@@ -244,45 +262,49 @@ def recommendations(flagged: DataFrame, ctx: Context) -> DataFrame:
     """T5: which follow-up rules fire, with their figure and the entities named.
 
     Output (position, code, value, entities); the reader supplies the wording.
+    Scalar inputs come from one aggregate pass; group rates from two grouped ones.
     """
-    n = flagged.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
-    rate = M.flagged_ids(flagged, ctx).select(F.bround("overall_rate_pct", 1).alias("v"))
+    checks = {"short": ("Timing", "ShortDuration"), "many_na": ("LCS", "ManyNA"), "mismatch": ("Demo", "SumMismatch"),
+              "zero_poor": ("rCSI", "ZeroWithPoorFCG"), "identical": ("FCS", "Identical")}
+    counts = [F.count_if(col(f"Flag_{m}_{c}") == 1).alias(k) if f"Flag_{m}_{c}" in flagged.columns
+              else F.lit(0).cast("bigint").alias(k) for k, (m, c) in checks.items()]
+    one = flagged.agg(F.count(F.lit(1)).alias("n"), F.count_if(col("FCG") == "Poor").alias("poor"),
+                      F.count_distinct(F.when(any_flag(flagged) == 1, col(ctx.hhid))).alias("ids"), *counts)
+    rate = F.bround(F.col("ids") / F.col("n") * 100.0, 1)
+    poor = F.bround(F.col("poor") / F.col("n") * 100.0, 1)
+    none = F.lit(None).cast("string")
+    scalar_rules = [
+        (0, "overall_rate_above_20", rate, rate > 20),
+        (1, "overall_rate_above_10", rate, (rate > 10) & (rate <= 20)),
+        (4, "poor_fcg_above_30", poor, poor > 30),
+        (5, "short_interviews", F.col("short"), F.col("short") > 0),
+        (6, "many_lcs_not_applicable", F.col("many_na"), F.col("many_na") > 0),
+        (7, "roster_mismatch", F.col("mismatch"), F.col("mismatch") > 0),
+        (8, "no_coping_with_poor_fcg", F.col("zero_poor"), F.col("zero_poor") > 0),
+        (9, "identical_fcs", F.col("identical"), F.col("identical") > 0),
+    ]
+    arr = F.array(*[F.struct(F.lit(o).alias("position"), F.lit(c).alias("code"), v.cast("double").alias("value"),
+                             none.alias("entities"), cond.alias("fires")) for o, c, v, cond in scalar_rules])
+    scalars = one.select(F.explode(arr).alias("r")).select("r.*").where("fires").drop("fires")
+
     enu = M.flag_rate_by_enumerator(flagged, ctx).select(F.col("enumerator").alias("name"), F.col("rate_pct").alias("r"))
     area = M.flag_rate_by_area(flagged, ctx).select(F.col("area").alias("name"), F.col("rate_pct").alias("r"))
-    checks = M.check_counts(flagged)
-    poor = flagged.agg(F.count_if(col("FCG") == "Poor").alias("c")).select(F.bround(F.col("c") / n * 100.0, 1).alias("v"))
-
-    def named(groups: DataFrame, cond: str, k: int) -> DataFrame:
-        # groups: one row per enumerator/area; ordered by rate desc, name
-        sel = groups.where(F.expr(cond))
-        w = Window.orderBy(F.desc("r"), "name")
-        top = sel.withColumn("_p", F.row_number().over(w))
-        return top.agg(F.count(F.lit(1)).cast("double").alias("v"),
+
+    def named(groups: DataFrame, cond: str, k: int, position: int, code: str) -> DataFrame:
+        # groups: one row per enumerator/area; the first k names by rate desc, name
+        top = groups.where(F.expr(cond)).withColumn("_p", F.row_number().over(Window.orderBy(F.desc("r"), "name")))
+        return top.agg(F.count(F.lit(1)).cast("double").alias("value"),
                        F.concat_ws(", ", F.transform(
                            F.array_sort(F.collect_list(F.when(F.col("_p") <= k, F.struct("_p", "name")))),
-                           lambda s: s["name"])).alias("e"))
-
-    def check(module: str, name: str) -> DataFrame:
-        return checks.where((F.col("module") == module) & (F.col("check") == name)).select(
-            F.col("n_flagged").cast("double").alias("v"), F.lit(None).cast("string").alias("e"))
-
-    none = F.lit(None).cast("string")
-    parts = [
-        (0, "overall_rate_above_20", rate.where("v > 20").select("v", none.alias("e"))),
-        (1, "overall_rate_above_10", rate.where("v > 10 AND v <= 20").select("v", none.alias("e"))),
-        (2, "enumerators_above_30", named(enu, "bround(r, 1) > 30", 4).where("v > 0")),
-        (3, "enumerators_15_to_30", named(enu, "bround(r, 1) > 15 AND bround(r, 1) <= 30", 3).where("v > 0")),
-        (4, "poor_fcg_above_30", poor.where("v > 30").select("v", none.alias("e"))),
-        (5, "short_interviews", check("Timing", "ShortDuration").where("v > 0")),
-        (6, "many_lcs_not_applicable", check("LCS", "ManyNA").where("v > 0")),
-        (7, "roster_mismatch", check("Demo", "SumMismatch").where("v > 0")),
-        (8, "no_coping_with_poor_fcg", check("rCSI", "ZeroWithPoorFCG").where("v > 0")),
-        (9, "identical_fcs", check("FCS", "Identical").where("v > 0")),
-        (10, "areas_above_30", named(area, "bround(r, 1) > 30", 3).where("v > 0")),
-    ]
-    fired = reduce(DataFrame.unionByName, [df.select(F.lit(o).alias("position"), F.lit(c).alias("code"),
-                                                     F.col("v").cast("double").alias("value"), F.col("e").alias("entities"))
-                                           for o, c, df in parts])
+                           lambda x: x["name"])).alias("entities")) \
+            .where("value > 0").select(F.lit(position).alias("position"), F.lit(code).alias("code"), "value", "entities")
+
+    fired = reduce(DataFrame.unionByName, [
+        scalars,
+        named(enu, "bround(r, 1) > 30", 4, 2, "enumerators_above_30"),
+        named(enu, "bround(r, 1) > 15 AND bround(r, 1) <= 30", 3, 3, "enumerators_15_to_30"),
+        named(area, "bround(r, 1) > 30", 3, 10, "areas_above_30"),
+    ])
     fallback = fired.agg(F.count(F.lit(1)).alias("k")).where("k = 0").select(
         F.lit(11).alias("position"), F.lit("quality_acceptable").alias("code"),
         F.lit(None).cast("double").alias("value"), F.lit(None).cast("string").alias("entities"))

@@ -25,9 +25,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import profile as P
-from ..functions import rules as R
+from ..functions import columns as R
 from ..functions.context import Context
-from ..functions.rules import col
+from ..functions.columns import col
 from ..plans.engine import any_flag, module_flag_columns, modules_in
 from .checks import highest_tier
 
@@ -114,16 +114,20 @@ def module_summary(flagged: DataFrame) -> DataFrame:
                        rate.alias("flag_rate_pct"), rate_band_workbook(rate).alias("rate_band"))
 
 
-def check_counts(flagged: DataFrame) -> DataFrame:
-    """G1 long form: rows with each check flag = 1, for every check column."""
+def check_counts(flagged: DataFrame, with_total: bool = False) -> DataFrame:
+    """G1 long form: rows with each check flag = 1, for every check column (one pass).
+
+    ``with_total`` adds the row count (``n_rows``) from the same pass.
+    """
     names = [(m, c) for m in modules_in(flagged) for c in module_flag_columns(flagged, m)]
-    one = flagged.agg(*[_cnt(col(c) == 1).alias(c) for _, c in names])
+    one = flagged.agg(F.count(F.lit(1)).alias("n_rows"), *[_cnt(col(c) == 1).alias(c) for _, c in names])
     pos = {c: i for i, (_, c) in enumerate(names)}
-    long = one.unpivot([], [c for _, c in names], "flag", "n_flagged")
+    long = one.unpivot(["n_rows"], [c for _, c in names], "flag", "n_flagged")
     parts = F.split(F.col("flag"), "_", 3)
     order = F.create_map(*[x for c, i in pos.items() for x in (F.lit(c), F.lit(i))])
-    return long.select(parts[1].alias("module"), F.regexp_extract("flag", r"^Flag_[^_]+_(.*)$", 1).alias("check"),
-                       F.col("n_flagged"), order[F.col("flag")].alias("check_pos"))
+    out = long.select(parts[1].alias("module"), F.regexp_extract("flag", r"^Flag_[^_]+_(.*)$", 1).alias("check"),
+                      F.col("n_flagged"), order[F.col("flag")].alias("check_pos"), "n_rows")
+    return out if with_total else out.drop("n_rows")
 
 
 def top_checks(flagged: DataFrame) -> DataFrame:

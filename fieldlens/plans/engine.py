@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import profile as P
+from ..functions import columns as C
 from ..functions import rules as R
-from ..functions.rules import col
+from ..functions.columns import col
 from ..operators.checks import MODULES, ModulePlan
 from ..sources.survey import coerce_types
 
@@ -57,32 +58,33 @@ def run_checks(survey: DataFrame, profile: P.Profile | None = None, only=None, s
         df = df.withColumnsRenamed({n: f"{n}_input" for n in clashes})
         plans = plan_modules(df.columns, profile)
 
-    derived: dict[str, Column] = {}
+    def stage(frame: DataFrame, exprs: dict[str, str]) -> DataFrame:
+        # one F.expr per output column: a single JVM call each
+        return frame.withColumns({k: F.expr(v) for k, v in exprs.items()}) if exprs else frame
+
+    derived: dict[str, str] = {}
     for p in plans:
         derived.update(p.derived)
-    if derived:
-        df = df.withColumns(derived)
-    df = df.withColumns({p.missing_col: p.missing for p in plans})
-    df = df.withColumns({p.erroneous_col: p.erroneous for p in plans})
+    df = stage(df, derived)
+    df = stage(df, {p.missing_col: p.missing for p in plans})
+    df = stage(df, {p.erroneous_col: p.erroneous for p in plans})
 
-    checks: dict[str, Column] = {}
+    checks: dict[str, str] = {}
     for p in plans:
-        m, e = col(p.missing_col), col(p.erroneous_col)
+        m, e = R.q(p.missing_col), R.q(p.erroneous_col)
         for c in p.checks:
             checks[p.flag(c.name)] = c.flag if c.flag is not None else R.gate(c.cond, m, e)
-    if checks:
-        df = df.withColumns(checks)
+    df = stage(df, checks)
 
-    final: dict[str, Column] = {}
+    final: dict[str, str] = {}
     for p in plans:
-        flags = [col(f) for f in p.flag_columns]
-        final[p.flag("Overall")] = R.rollup(flags)
-        parts = [(col(p.missing_col), p.missing_msg), (col(p.erroneous_col), p.erroneous_msg)]
+        final[p.flag("Overall")] = R.rollup([R.q(f) for f in p.flag_columns])
+        parts = [(R.q(p.missing_col), p.missing_msg), (R.q(p.erroneous_col), p.erroneous_msg)]
         for c in p.checks:
-            parts.append((col(p.flag(c.name)), c.message))
-            parts += [(col(p.flag(c.name)), d) for d in c.details]
+            parts.append((R.q(p.flag(c.name)), c.message))
+            parts += [(R.q(p.flag(c.name)), d) for d in c.details]
         final[p.flag("Narrative")] = R.narrative(parts)
-    return df.withColumns(final)
+    return stage(df, final)
 
 
 def module_flag_columns(flagged: DataFrame, module: str) -> list[str]:
@@ -115,4 +117,4 @@ def module_view(flagged: DataFrame, module: str, profile: P.Profile | None = Non
 
 def any_flag(flagged: DataFrame) -> Column:
     """1 if any module raised a flag on the row."""
-    return R.rollup([col(f"Flag_{m}_Overall") for m in modules_in(flagged)])
+    return C.rollup([col(f"Flag_{m}_Overall") for m in modules_in(flagged)])

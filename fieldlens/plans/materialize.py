@@ -85,7 +85,14 @@ def materialize(spark: SparkSession, build: Callable[[], DataFrame], name: str,
     """
     base = checkpoint_dir(spark).rstrip("/")
     path = f"{base}/fieldlens/{name}"
+    key = (id(spark), path)
+    if key in _READ and _exists(spark, f"{path}/_SUCCESS"):
+        return _READ[key]
     if not _exists(spark, f"{path}/_SUCCESS"):
         with session_conf(spark, conf):
             build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    _READ[key] = spark.read.parquet(path)  # file listing and footer schema read once per session
+    return _READ[key]
+
+
+_READ: dict[tuple[int, str], DataFrame] = {}

@@ -43,7 +43,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         spark.sparkContext.setCheckpointDir(configured)
         return configured
-    local = tempfile.mkdtemp(prefix="fieldlens-ckpt-")
+    local = tempfile.mkdtemp(prefix="fieldlens-ckpt-")  # tests / local runs only
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)
     return local

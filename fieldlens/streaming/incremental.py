@@ -9,6 +9,8 @@ checkpoint folder under ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -42,7 +44,9 @@ def flag_files(spark: SparkSession, source: str, schema: StructType, sink: str,
         else:
             out.write.mode("append").parquet(sink)
 
-    writer = (flagged.writeStream.foreachBatch(write)
-              .option("checkpointLocation", f"{checkpoint_dir(spark).rstrip('/')}/fieldlens-stream/{name}"))
+    # One checkpoint per (name, source, sink): a restart resumes exactly this stream.
+    tag = hashlib.sha1(f"{source}|{sink}".encode()).hexdigest()[:10]
+    location = f"{checkpoint_dir(spark).rstrip('/')}/fieldlens-stream/{name}-{tag}"
+    writer = flagged.writeStream.foreachBatch(write).option("checkpointLocation", location)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.start()
