@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import uuid
 from contextlib import contextmanager
 from pathlib import Path
 from typing import Callable, Mapping
@@ -45,10 +46,13 @@ def input_fingerprint(paths: list[str]) -> str:
     return h.hexdigest()[:12]
 
 
+def _fs(spark: SparkSession, path: str):
+    hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hpath.getFileSystem(spark._jsc.hadoopConfiguration()), hpath
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs, hpath = _fs(spark, path)
     return fs.exists(hpath)
 
 
@@ -76,21 +80,31 @@ def session_conf(spark: SparkSession, conf: Mapping[str, str]):
 
 
 def materialize(spark: SparkSession, build: Callable[[], DataFrame], name: str,
-                conf: Mapping[str, str] = RULE_JOB_CONF) -> DataFrame:
+                conf: Mapping[str, str] = RULE_JOB_CONF, rebuild: bool = False) -> DataFrame:
     """Write ``build()`` as Parquet under the checkpoint folder once; return a scan of it.
 
-    ``build`` is only called when the table is not there yet.  The write is
+    ``build`` is only called when the table is not there yet (or ``rebuild``).  The write is
     idempotent: a retry after a lost executor or a driver restart finds the
     ``_SUCCESS`` marker and reads the finished table.
     """
     base = checkpoint_dir(spark).rstrip("/")
     path = f"{base}/fieldlens/{name}"
     key = (id(spark), path)
-    if key in _READ and _exists(spark, f"{path}/_SUCCESS"):
+    done = f"{path}/_SUCCESS"
+    if key in _READ and not rebuild and _exists(spark, done):
         return _READ[key]
-    if not _exists(spark, f"{path}/_SUCCESS"):
+    if rebuild or not _exists(spark, done):
+        # Write beside the target, then move it into place: a reader never sees a
+        # half-written table, and concurrent builders of the same key do not clash.
+        tmp = f"{path}.tmp-{uuid.uuid4().hex}"
         with session_conf(spark, conf):
-            build().write.mode("overwrite").parquet(path)
+            build().write.mode("overwrite").parquet(tmp)
+        fs, target = _fs(spark, path)
+        _, htmp = _fs(spark, tmp)
+        if fs.exists(target) and (rebuild or not _exists(spark, done)):
+            fs.delete(target, True)  # replaced on request, or left incomplete by a crash
+        if fs.exists(target) or not fs.rename(htmp, target):
+            fs.delete(htmp, True)  # another builder finished first: keep its table
     _READ[key] = spark.read.parquet(path)  # file listing and footer schema read once per session
     return _READ[key]
 

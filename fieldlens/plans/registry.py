@@ -40,11 +40,11 @@ def survey(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survey_from_events(balanced(spark, spark.read.parquet(events_path(sf_dir))))
 
 
-def flagged(spark: SparkSession, sf_dir: str, prof: P.Profile | None = None) -> DataFrame:
+def flagged(spark: SparkSession, sf_dir: str, prof: P.Profile | None = None, rebuild: bool = False) -> DataFrame:
     """The flagged survey of ``sf_dir``, computed once and read back as Parquet."""
     prof = prof or P.fixture()
     key = f"flagged-{prof.name}-{input_fingerprint([events_path(sf_dir)])}-{code_version()}"
-    return materialize(spark, lambda: run_checks(survey(spark, sf_dir), prof), key)
+    return materialize(spark, lambda: run_checks(survey(spark, sf_dir), prof), key, rebuild=rebuild)
 
 
 def _dash(df: DataFrame):

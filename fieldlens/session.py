@@ -37,16 +37,20 @@ def configure(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts: the cluster's ``spark.checkpoint.dir``.
 
-    Only when the session names none (local tests) a scratch folder is made.
+    ``spark.checkpoint.dir`` is a static setting, read from the session.  Only
+    when it is unset (local tests) a scratch folder is registered through
+    ``setCheckpointDir`` and reused for the rest of the session.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
-        spark.sparkContext.setCheckpointDir(configured)
         return configured
+    sc = spark.sparkContext
+    existing = sc._jsc.sc().getCheckpointDir()
+    if existing.isDefined():
+        return existing.get()
     local = tempfile.mkdtemp(prefix="fieldlens-ckpt-")  # tests / local runs only
-    spark.conf.set("spark.checkpoint.dir", local)
-    spark.sparkContext.setCheckpointDir(local)
-    return local
+    sc.setCheckpointDir(local)
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "fieldlens") -> SparkSession:

@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -14,8 +13,8 @@ TESTDATA = "/root/testdata"
 @pytest.fixture(scope="session")
 def spark():
     s = local_session("*", shuffle_partitions=8, app="fieldlens-tests")
-    if not s.conf.get("spark.checkpoint.dir", None):
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="fieldlens-test-ckpt-"))
+    # spark.checkpoint.dir comes from the session (spark-defaults); when it is
+    # unset, fieldlens.session.checkpoint_dir registers a scratch folder itself.
     yield s
     s.stop()
 
