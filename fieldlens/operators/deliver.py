@@ -309,3 +309,42 @@ def recommendations(flagged: DataFrame, ctx: Context) -> DataFrame:
         F.lit(11).alias("position"), F.lit("quality_acceptable").alias("code"),
         F.lit(None).cast("double").alias("value"), F.lit(None).cast("string").alias("entities"))
     return fired.unionByName(fallback)
+
+
+# -- W3 / G21 / B11 / W6 / A6: presentation helpers and the deliverables sink --------
+
+def top_enumerators(flagged: DataFrame, ctx: Context, n: int = 20) -> DataFrame:
+    """The n enumerators with the highest flag rate (ties by name) — a top-n report."""
+    return M.flag_rate_by_enumerator(flagged, ctx).orderBy(F.desc("rate_pct"), "enumerator").limit(n)
+
+
+def submission_pivot(flagged: DataFrame, ctx: Context) -> DataFrame:
+    """G21 wide form: one row per enumerator, one column per day (days listed from the data)."""
+    long = M.submission_matrix(flagged, ctx)
+    return long.groupBy("enumerator").pivot("date").agg(F.first("n")).na.fill(0)
+
+
+def present(df: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """B11 + W6: display form — flag columns as whole numbers, other doubles to 1 decimal
+    (half-even), optionally the first ``max_rows`` rows.  For screens only; tables and
+    files keep full precision."""
+    cols = []
+    for f in df.schema.fields:
+        c = col(f.name)
+        if f.name.startswith("Flag_") and f.dataType.typeName() in ("double", "float", "integer"):
+            c = F.bround(c, 0).cast("int")
+        elif f.dataType.typeName() in ("double", "float"):
+            c = F.bround(c, 1)
+        cols.append(c.alias(f.name))
+    out = df.select(*cols)
+    return out.limit(max_rows) if max_rows else out
+
+
+def write_deliverables(flagged: DataFrame, ctx: Context, path: str, profile: P.Profile | None = None) -> None:
+    """Summary, check counts, master sheet (+ long narratives) and per-module error logs."""
+    root = path.rstrip("/")
+    M.module_summary(flagged).write.mode("overwrite").parquet(f"{root}/summary")
+    M.check_counts(flagged).write.mode("overwrite").parquet(f"{root}/check_counts")
+    master_sheet(flagged, ctx).write.mode("overwrite").parquet(f"{root}/master_sheet")
+    master_narratives(flagged, ctx).write.mode("overwrite").partitionBy("module").parquet(f"{root}/master_narratives")
+    write_error_logs(flagged, f"{root}/error_logs", profile)

@@ -295,6 +295,7 @@ def _queries() -> dict[str, str]:
         "FROM flagged) t")
     q["flag_rate_by_enumerator"] = _flag_rate_by("EnuName", "enumerator")
     q["flag_rate_by_area"] = _flag_rate_by("ADMIN1Name", "area")
+    q["top_enumerators"] = _flag_rate_by("EnuName", "enumerator") + " ORDER BY rate_pct DESC, enumerator LIMIT 20"
     q["survey_header"] = _with("""SELECT n, CAST(CAST(lo AS DATE) AS VARCHAR) AS date_min, CAST(CAST(hi AS DATE) AS VARCHAR) AS date_max,
   CAST(coalesce(floor((epoch(hi) - epoch(lo)) / 86400) + 1, 0) AS BIGINT) AS days_active,
   n_enumerators, n_areas, CAST(n AS DOUBLE) / CAST(greatest(n_enumerators, 1) AS DOUBLE) AS surveys_per_enumerator

@@ -149,6 +149,7 @@ QUERIES.update({
     "master_sheet": _with_flagged(lambda f: D.master_sheet(f, _report(f))),
     "master_narratives": _with_flagged(lambda f: D.master_narratives(f, _report(f))),
     "enumerator_feedback": _with_flagged(lambda f: D.enumerator_feedback(f, _dash(f))),
+    "top_enumerators": _with_flagged(lambda f: D.top_enumerators(f, _report(f))),
     "issue_ranking": _with_flagged(D.issue_ranking),
     "priority_alerts": _with_flagged(lambda f: D.priority_alerts(f, _dash(f), _report(f))),
     "recommendations": _with_flagged(lambda f: D.recommendations(f, _report(f))),

@@ -139,3 +139,15 @@ def test_profile_layers():
     with pytest.raises(KeyError):
         P.batch().select(only=["Nope"])
     assert P.batch().select(skip=["LCS"]).enabled == tuple(m for m in P.MODULE_ORDER if m != "LCS")
+
+
+def test_present_and_pivot(spark):
+    from fieldlens.operators import deliver as D
+    df = spark.createDataFrame([(0.25, 1.0, 12.345)], "a double, Flag_X double, b double")
+    r = D.present(df).first()
+    assert r.a == 0.2 and r.Flag_X == 1 and r.b == 12.3
+    m = spark.createDataFrame([("E1", "2024-01-01"), ("E1", "2024-01-02"), ("E2", "2024-01-02")],
+                              "EnuName string, today string").withColumn("today", F.to_date("today"))
+    ctx = resolve_context(m.columns, "dashboard")
+    wide = {r.enumerator: (r["2024-01-01"], r["2024-01-02"]) for r in D.submission_pivot(m, ctx).collect()}
+    assert wide == {"E1": (1, 1), "E2": (0, 1)}
