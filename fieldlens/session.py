@@ -23,11 +23,25 @@ ENGINE_DEFAULTS: dict[str, str] = {
 }
 
 
+# Broadcast policy: never broadcast on a planner *estimate* (an aggregate by id
+# can be estimated small and be huge); AQE broadcasts a join side only after
+# measuring its real shuffle output, and keeps the shuffle join otherwise.
+# Applied when the session still has Spark's built-in 10 MB static threshold.
+BROADCAST_POLICY = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
+}
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply ENGINE_DEFAULTS where the session has no value of its own."""
     for key, value in ENGINE_DEFAULTS.items():
         if spark.conf.get(key, None) in (None, ""):
             spark.conf.set(key, value)
+    if spark.conf.get("spark.sql.autoBroadcastJoinThreshold") in ("10485760b", "10485760", "10MB") and \
+            spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None) in (None, ""):
+        for key, value in BROADCAST_POLICY.items():
+            spark.conf.set(key, value)
     # Session time zone must be UTC for the timestamp rules.
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
@@ -63,7 +77,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.driver.memory", os.environ.get("FIELDLENS_DRIVER_MEMORY", "16g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
-    for key, value in ENGINE_DEFAULTS.items():
+    for key, value in {**ENGINE_DEFAULTS, **BROADCAST_POLICY}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
