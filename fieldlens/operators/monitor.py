@@ -30,6 +30,7 @@ from ..functions.context import Context
 from ..functions.columns import col
 from ..plans.engine import any_flag, module_flag_columns, modules_in
 from .checks import highest_tier
+from .quantiles import exact_quantiles
 
 
 def _cnt(cond: Column) -> Column:
@@ -262,10 +263,11 @@ def score_means(flagged: DataFrame) -> DataFrame:
 
 
 def duration_stats(flagged: DataFrame) -> DataFrame:
-    """Mean and median interview minutes."""
+    """Mean and median interview minutes (median by distributed exact selection)."""
     d = col("Timing_Duration_Min")
-    return flagged.agg(F.avg(d).alias("mean_minutes"), F.median(d).alias("median_minutes"),
-                       F.count(d).alias("n_timed"))
+    med = exact_quantiles(flagged, None, "Timing_Duration_Min", [0.5], ["median"]).select("median").scalar()
+    return flagged.agg(F.avg(d).alias("mean_minutes"), F.count(d).alias("n_timed")).select(
+        "mean_minutes", med.alias("median_minutes"), "n_timed")
 
 
 # -- G14 - G21: enumerator behaviour -------------------------------------------
@@ -460,15 +462,14 @@ def lcs_na_rate(flagged: DataFrame, ctx: Context) -> DataFrame:
 
 
 def five_number(flagged: DataFrame, group: str, value: str) -> DataFrame:
-    """Min, quartiles (linear interpolation), max and Tukey fences per group."""
-    v = col(value)
-    q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = (flagged.where(col(group).isNotNull() & v.isNotNull()).groupBy(col(group).alias("group"))
-           .agg(F.count(F.lit(1)).alias("n"), F.min(v).alias("min"), q.alias("_q"), F.max(v).alias("max")))
-    iqr = F.col("_q")[2] - F.col("_q")[0]
-    return out.select("group", "n", "min", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
-                      F.col("_q")[2].alias("q3"), "max", (F.col("_q")[0] - 1.5 * iqr).alias("lower_fence"),
-                      (F.col("_q")[2] + 1.5 * iqr).alias("upper_fence"))
+    """Min, quartiles (linear interpolation), max and Tukey fences per group.
+
+    All five come from one distributed exact selection (min = rank 0, max = rank n-1).
+    """
+    q = exact_quantiles(flagged, group, value, [0.0, 0.25, 0.5, 0.75, 1.0], ["min", "q1", "median", "q3", "max"])
+    iqr = F.col("q3") - F.col("q1")
+    return q.select(F.col(group).alias("group"), "n", "min", "q1", "median", "q3", "max",
+                    (F.col("q1") - 1.5 * iqr).alias("lower_fence"), (F.col("q3") + 1.5 * iqr).alias("upper_fence"))
 
 
 def box_outliers(flagged: DataFrame, group: str, value: str, id_col: str) -> DataFrame:
@@ -569,7 +570,7 @@ def expenditure_extremes(flagged: DataFrame, k: int = 5) -> DataFrame:
         .where(F.col("pos") <= k).withColumn("kind", F.lit("smallest"))
     high = long.withColumn("pos", F.row_number().over(Window.partitionBy("item").orderBy(F.desc("value")))) \
         .where(F.col("pos") <= k).withColumn("kind", F.lit("largest"))
-    med = long.groupBy("item").agg(F.median("value").alias("value")).select(
+    med = exact_quantiles(long, "item", "value", [0.5], ["value"]).select(
         "item", "value", F.lit(1).alias("pos"), F.lit("median").alias("kind"))
     return low.unionByName(high).unionByName(med).select("item", "kind", F.col("pos").cast("int").alias("pos"), "value")
 

@@ -51,3 +51,19 @@ def test_narrative_text(spark):
     assert row.startswith("Short interview: ") and "min, under 10" in row
     parts = reduce(lambda a, b: a | b, [F.col("Flag_Demo_Narrative").contains("Missing answers: HHSize")])
     assert f.where(parts & (F.col("Flag_Demo_Missing") == 0)).count() == 0
+
+
+def test_exact_quantiles_with_a_hot_group(spark):
+    """A group holding a third of all rows; same numbers as percentile, without one big group map."""
+    from fieldlens.operators.quantiles import exact_quantiles
+    f = R.flagged(spark, sf_dir("0.01"))
+    skew = f.withColumn("grp", F.when(F.col("row_seq") % 3 == 0, F.lit("HOT")).otherwise(F.col("ADMIN1Name")))
+    probs = [0.0, 0.1, 0.5, 0.9, 1.0]
+    for value in ("Timing_Duration_Min", "HHExpFCer_Purch_MN_7D"):
+        got = {r.grp: (r.n, [r[f"p{i}"] for i in range(len(probs))])
+               for r in exact_quantiles(skew, "grp", value, probs, [f"p{i}" for i in range(len(probs))], 16).collect()}
+        ref = skew.where(F.col(value).isNotNull()).groupBy("grp").agg(
+            F.count(F.lit(1)).alias("n"), F.percentile(value, F.array(*[F.lit(p) for p in probs])).alias("p")).collect()
+        assert {r.grp: (r.n, list(r.p)) for r in ref} == got, value
+    whole = exact_quantiles(f, None, "Timing_Duration_Min", [0.5], ["m"]).first().m
+    assert whole == f.agg(F.median("Timing_Duration_Min")).first()[0]
