@@ -47,6 +47,13 @@ def flagged(spark: SparkSession, sf_dir: str, prof: P.Profile | None = None, reb
     return materialize(spark, lambda: run_checks(survey(spark, sf_dir), prof), key, rebuild=rebuild)
 
 
+def flagged_from(spark: SparkSession, survey_df: DataFrame, name: str, prof: P.Profile | None = None) -> DataFrame:
+    """Flag any survey DataFrame once (materialized under ``name`` + code version)."""
+    prof = prof or P.fixture()
+    return materialize(spark, lambda: run_checks(balanced(spark, survey_df), prof), f"{name}-{prof.name}-{code_version()}",
+                       rebuild=True)
+
+
 def _dash(df: DataFrame):
     return resolve_context(df.columns, "dashboard")
 
