@@ -13,7 +13,7 @@ DataFrame.  Conventions that keep these plans safe at scale:
 * one-row thresholds reach the rows as scalar subqueries, never as joins.
 
 Percentages are published unrounded (display rounding is a presentation
-concern, see ``present``).
+concern, see ``deliver.present``).
 """
 
 from __future__ import annotations
