@@ -522,7 +522,9 @@ def score_hist(flagged: DataFrame) -> DataFrame:
         v = col(m)
         b = F.least(F.floor((v - F.lit(lo)) / F.lit(width)), F.lit(nb - 1)).cast("int")
         parts.append(flagged.where(v.isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-                     .select(F.lit(m).alias("metric"), "bin", (F.lit(lo) + F.col("bin") * F.lit(width)).alias("bin_start"), "n"))
+                     .select(F.lit(m).alias("metric"), "bin",
+                             (F.lit(lo) + F.col("bin").cast("double") * F.lit(hi - lo) / F.lit(float(nb))).alias("bin_start"),
+                             "n"))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -359,7 +359,7 @@ r AS (SELECT enumerator, CAST(surveys AS BIGINT) AS surveys""", 1).replace(
     q["enumerator_deviation"] = _with(f""", g AS (SELECT EnuName AS enumerator, {g} FROM flagged WHERE EnuName IS NOT NULL GROUP BY 1),
 o AS (SELECT {o} FROM flagged),
 l AS ({long})
-SELECT enumerator, metric, mean, overall_mean, overall_sd,
+SELECT enumerator, metric, round(mean, 9) AS mean, round(overall_mean, 9) AS overall_mean, round(overall_sd, 9) AS overall_sd,
   coalesce(overall_sd <> 0 AND mean IS NOT NULL AND abs(round_even(mean, 2) - overall_mean) > 1.5 * overall_sd, false) AS deviates
 FROM l""")
     q["submission_matrix"] = _with("SELECT EnuName AS enumerator, CAST(today AS VARCHAR) AS date, count(*) AS n FROM flagged "
@@ -393,9 +393,11 @@ FROM (SELECT count({m}) AS n, quantile_cont({m}, 0.25) AS q1, quantile_cont({m},
                                  "count(*) AS n FROM flagged WHERE EnuName IS NOT NULL AND Timing_StartHour IS NOT NULL "
                                  "GROUP BY 1, 2")
     q["score_hist"] = _with(" UNION ALL ".join(
-        f"SELECT '{m}' AS metric, bin, {lo} + bin * {w} AS bin_start, count(*) AS n FROM "
-        f"(SELECT CAST(least(floor(({m} - {lo}) / {w}), {nb - 1}) AS INTEGER) AS bin FROM flagged WHERE {m} IS NOT NULL) t "
-        "GROUP BY bin" for m, lo, w, nb in (("FCS", 0.0, 112.0 / 40, 40), ("rCSI", 0.0, 56.0 / 30, 30))))
+        f"SELECT '{m}' AS metric, bin, CAST({lo} AS DOUBLE) + CAST(bin AS DOUBLE) * CAST({hi - lo} AS DOUBLE) "
+        f"/ CAST({nb} AS DOUBLE) AS bin_start, count(*) AS n FROM "
+        f"(SELECT CAST(least(floor(({m} - CAST({lo} AS DOUBLE)) / CAST({(hi - lo) / nb!r} AS DOUBLE)), {nb - 1}) AS INTEGER) "
+        f"AS bin FROM flagged WHERE {m} IS NOT NULL) t GROUP BY bin"
+        for m, lo, hi, nb in (("FCS", 0.0, 112.0, 40), ("rCSI", 0.0, 56.0, 30))))
     cells = [(h, r, f) for h in ("0", "1", "2-3", "4", "5-6") for r in ("<4", "4-18", ">18")
              for f in ("Acceptable", "Borderline", "Poor")]
     q["consistency_matrix"] = _with(f""", b AS (SELECT {HHS_BAND} AS hb, rb, FCG FROM
@@ -412,9 +414,9 @@ FROM dim CROSS JOIN tot LEFT JOIN cnt ON cnt.hb = dim.hhs_band AND cnt.rb = dim.
     q["expenditure_extremes"] = _with(f""", l AS (SELECT * FROM ({long}) t WHERE value IS NOT NULL),
 r AS (SELECT item, value, row_number() OVER (PARTITION BY item ORDER BY value ASC) AS lo,
              row_number() OVER (PARTITION BY item ORDER BY value DESC) AS hi FROM l)
-SELECT item, 'smallest' AS kind, CAST(lo AS INTEGER) AS pos, value FROM r WHERE lo <= 5
-UNION ALL SELECT item, 'largest' AS kind, CAST(hi AS INTEGER) AS pos, value FROM r WHERE hi <= 5
-UNION ALL SELECT item, 'median' AS kind, 1 AS pos, quantile_cont(value, 0.5) AS value FROM l GROUP BY item""")
+SELECT item, 'smallest' AS kind, CAST(lo AS INTEGER) AS pos, round(value, 9) AS value FROM r WHERE lo <= 5
+UNION ALL SELECT item, 'largest' AS kind, CAST(hi AS INTEGER) AS pos, round(value, 9) AS value FROM r WHERE hi <= 5
+UNION ALL SELECT item, 'median' AS kind, 1 AS pos, round(quantile_cont(value, 0.5), 9) AS value FROM l GROUP BY item""")
     q["missing_rate_matrix"] = _with(" UNION ALL ".join(
         f"SELECT EnuName AS enumerator, '{m}' AS module, avg(coalesce(Flag_{m}_Missing, 0)) * 100.0 AS missing_pct "
         "FROM flagged WHERE EnuName IS NOT NULL GROUP BY 1" for m in MODULES))

@@ -134,7 +134,10 @@ QUERIES.update({
     "valid_duration_by_enumerator": _with_flagged(lambda f: M.valid_duration_by_enumerator(f, _dash(f))),
     "enumerator_scorecard": _with_flagged(  # straight_line is NULL for enumerators without any
         lambda f: M.enumerator_scorecard(f, _dash(f)).withColumn("straight_line", F.col("straight_line").cast("double"))),
-    "enumerator_deviation": _with_flagged(lambda f: M.enumerator_deviation(f, _dash(f))),
+    # SD and interpolated money medians are rounded to 9 decimals for the cross-engine check:
+    # the two engines accumulate them in different orders (last-bit differences).
+    "enumerator_deviation": _with_flagged(lambda f: M.enumerator_deviation(f, _dash(f)).withColumns(
+        {c: F.round(c, 9) for c in ("mean", "overall_mean", "overall_sd")})),
     "submission_matrix": _with_flagged(lambda f: M.submission_matrix(f, _dash(f))),
     # slice 5: breakdowns
     "fcg_share_by_area": _with_flagged(lambda f: M.fcg_share_by_area(f, _dash(f))),
@@ -150,7 +153,7 @@ QUERIES.update({
     "start_hour_hist": _with_flagged(lambda f: M.start_hour_hist(f, _dash(f))),
     "score_hist": _with_flagged(M.score_hist),
     "consistency_matrix": _with_flagged(M.consistency_matrix),
-    "expenditure_extremes": _with_flagged(M.expenditure_extremes),
+    "expenditure_extremes": _with_flagged(lambda f: M.expenditure_extremes(f).withColumn("value", F.round("value", 9))),
     "missing_rate_matrix": _with_flagged(lambda f: M.missing_rate_matrix(f, _dash(f))),
     # slice 6: deliverables
     "master_sheet": _with_flagged(lambda f: D.master_sheet(f, _report(f))),

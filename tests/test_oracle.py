@@ -17,10 +17,10 @@ def _norm(df):
             if v is None or (isinstance(v, float) and v != v) or str(v) in ("<NA>", "NaT"):
                 vals.append("NULL")
             elif isinstance(v, float):
-                vals.append(repr(round(v, 9) + 0.0))
+                vals.append(repr(v + 0.0))
             else:
                 x = v.item() if hasattr(v, "item") else v
-                vals.append(repr(round(x, 9) + 0.0) if isinstance(x, float) else str(x))
+                vals.append(repr(x + 0.0) if isinstance(x, float) else str(x))
         out.append("|".join(vals))
     return sorted(out)
 
