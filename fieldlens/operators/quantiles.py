@@ -14,6 +14,11 @@ distributed steps:
    offset within its group;
 5. keep only the distinct values whose rank interval holds a target rank and
    interpolate linearly, exactly as ``percentile`` does.
+
+Before that, one cheap pass measures the widest group (``approx_count_distinct``,
+an HLL sketch per group).  When no group has more than ``max_group_values``
+distinct values, Spark's exact ``percentile`` is used: its per-group map is then
+bounded by that check.  Beyond it, the distributed selection above runs.
 """
 
 from __future__ import annotations
@@ -27,13 +32,29 @@ from ..functions.columns import col
 from ..session import checkpoint_dir
 
 
+# Distinct values one task may hold in a ``percentile`` map (~50 bytes each).
+MAX_GROUP_VALUES = 1_000_000
+
+
 def exact_quantiles(df: DataFrame, group: str | None, value: str, probs: Sequence[float],
-                    names: Sequence[str] | None = None, partitions: int | None = None) -> DataFrame:
+                    names: Sequence[str] | None = None, partitions: int | None = None,
+                    max_group_values: int = MAX_GROUP_VALUES) -> DataFrame:
     """One row per group: ``group``, ``n`` and one column per probability (linear interpolation)."""
     spark = df.sparkSession
     names = list(names or [f"q{i}" for i in range(len(probs))])
     g = col(group) if group else F.lit(0)
     base = df.where(g.isNotNull() & col(value).isNotNull()).select(g.alias("_g"), col(value).cast("double").alias("_v"))
+    widest = base.groupBy("_g").agg(F.approx_count_distinct("_v", 0.05).alias("_d")).agg(F.max("_d")).first()[0] or 0
+    if widest * 1.1 <= max_group_values:  # 1.1: margin for the sketch's error
+        q = F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs]))
+        res = base.groupBy("_g").agg(F.count(F.lit(1)).alias("n"), q.alias("_q"))
+        out = res.select(F.col("_g").alias(group or "_all"), "n", *[F.col("_q")[i].alias(nm) for i, nm in enumerate(names)])
+        return out.drop("_all") if group is None else out
+    return _distributed(spark, base, group, probs, names, partitions)
+
+
+def _distributed(spark, base: DataFrame, group: str | None, probs: Sequence[float], names: list[str],
+                 partitions: int | None) -> DataFrame:
     counts = base.groupBy("_g", "_v").agg(F.count(F.lit(1)).alias("_c"))
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = counts.repartitionByRange(parts, "_g", "_v").withColumn("_pid", F.spark_partition_id())
