@@ -121,13 +121,11 @@ def check_counts(flagged: DataFrame, with_total: bool = False) -> DataFrame:
     ``with_total`` adds the row count (``n_rows``) from the same pass.
     """
     names = [(m, c) for m in modules_in(flagged) for c in module_flag_columns(flagged, m)]
-    one = flagged.agg(F.count(F.lit(1)).alias("n_rows"), *[_cnt(col(c) == 1).alias(c) for _, c in names])
-    pos = {c: i for i, (_, c) in enumerate(names)}
-    long = one.unpivot(["n_rows"], [c for _, c in names], "flag", "n_flagged")
-    parts = F.split(F.col("flag"), "_", 3)
-    order = F.create_map(*[x for c, i in pos.items() for x in (F.lit(c), F.lit(i))])
-    out = long.select(parts[1].alias("module"), F.regexp_extract("flag", r"^Flag_[^_]+_(.*)$", 1).alias("check"),
-                      F.col("n_flagged"), order[F.col("flag")].alias("check_pos"), "n_rows")
+    one = flagged.agg(F.count(F.lit(1)).alias("n_rows"), *[_cnt(col(c) == 1).alias(f"c{i}") for i, (_, c) in enumerate(names)])
+    prefix = [f"Flag_{m}_" for m, _ in names]
+    stack = ", ".join(f"'{m}', '{c[len(p):]}', {i}, c{i}" for i, ((m, c), p) in enumerate(zip(names, prefix)))
+    out = one.selectExpr("n_rows", f"stack({len(names)}, {stack}) AS (module, check, check_pos, n_flagged)")
+    out = out.select("module", "check", "n_flagged", "check_pos", "n_rows")
     return out if with_total else out.drop("n_rows")
 
 
