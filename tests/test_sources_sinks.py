@@ -52,3 +52,15 @@ def test_sinks(spark):
     fb = spark.read.parquet(f"{root}/feedback/rows")
     assert fb.count() == f.where(F.col("EnuName").isNotNull()).where(
         " OR ".join(f"Flag_{m}_Overall = 1" for m in P.MODULE_ORDER)).count()
+
+
+def test_command_line(spark, capsys):
+    from fieldlens.__main__ import main
+    s = R.survey(spark, sf_dir("0.001"))
+    root = tempfile.mkdtemp(prefix="fieldlens-cli-")
+    s.write.parquet(f"{root}/in")
+    assert main(["--input", f"{root}/in", "--output", f"{root}/out", "--format", "parquet", "--skip", "LCS"]) == 0
+    printed = capsys.readouterr().out
+    assert "FCS" in printed and "LCS" not in printed
+    assert spark.read.parquet(f"{root}/out/summary").count() == 9
+    assert spark.read.parquet(f"{root}/out/error_logs/module=Timing").count() > 0
