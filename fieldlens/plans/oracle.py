@@ -366,6 +366,9 @@ FROM l""")
                                    "WHERE EnuName IS NOT NULL AND today IS NOT NULL GROUP BY 1, 2")
     q["fcg_share_by_area"] = _share("ADMIN2Name", "FCG", ["Poor", "Borderline", "Acceptable"])
     q["rcsi_share_by_enumerator"] = _share("EnuName", SEVERITY_D8, ["Low", "Medium", "High"])
+    q["fcg_share_top_areas"] = _share("ADMIN2Name", "FCG", ["Poor", "Borderline", "Acceptable"]) + (
+        ' WHERE "group" IN (SELECT ADMIN2Name FROM flagged WHERE ADMIN2Name IS NOT NULL GROUP BY 1 '
+        "ORDER BY count(*) DESC, ADMIN2Name LIMIT 3)")
     q["hdds_mean_by_area"] = _with('SELECT ADMIN2Name AS "group", avg(HDDS) AS mean, count(*) AS n FROM flagged '
                                    "WHERE ADMIN2Name IS NOT NULL AND HDDS IS NOT NULL GROUP BY 1")
     q["score_trend"] = _with("SELECT CAST(today AS VARCHAR) AS date, avg(FCS) AS mean_fcs, avg(rCSI) AS mean_rcsi, avg(HDDS) AS mean_hdds "

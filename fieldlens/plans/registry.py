@@ -142,6 +142,7 @@ QUERIES.update({
     # slice 5: breakdowns
     "fcg_share_by_area": _with_flagged(lambda f: M.fcg_share_by_area(f, _dash(f))),
     "rcsi_share_by_enumerator": _with_flagged(lambda f: M.rcsi_share_by_enumerator(f, _dash(f))),
+    "fcg_share_top_areas": _with_flagged(lambda f: M.fcg_share_by_area(f, _dash(f), top_n=3)),
     "hdds_mean_by_area": _with_flagged(lambda f: M.mean_by(f, _dash(f).area, "HDDS")),
     "score_trend": _with_flagged(lambda f: M.score_trend(f, _dash(f))),
     "lcs_response_dist": _with_flagged(M.lcs_response_dist),
