@@ -60,27 +60,44 @@ def master_narratives(flagged: DataFrame, ctx: Context) -> DataFrame:
     return long.where(F.col("overall") == 1).select("id", "module", "module_pos", "row_seq", "text")
 
 
-def master_sheet(flagged: DataFrame, ctx: Context) -> DataFrame:
+# Ids with at most this many rows get the id-wide joined narrative (a bounded list);
+# above it the row keeps its own text and ``master_narratives`` holds the rest, exactly.
+MASTER_ID_ROWS = 100
+
+
+def master_sheet(flagged: DataFrame, ctx: Context, max_rows_per_id: int = MASTER_ID_ROWS) -> DataFrame:
     """H3: one row per input row whose id is flagged in any module.
 
     ``<module>_Flag`` / ``<module>_Issues`` come from the last row (highest
     ``row_seq``) with that id: ``max_by`` is a mergeable aggregate, so partial
-    aggregation keeps a hot id to one row per task.  ``Flag_All_Narrative`` is
-    the row's own joined narrative; for repeated ids the full per-id text is in
-    ``master_narratives`` (see README, deviations).
+    aggregation keeps a hot id to one row per task.  ``Flag_All_Narrative`` joins
+    every flagged module narrative of the id ("[module] text", module order, then
+    row order) for ids with at most ``max_rows_per_id`` rows — the list collected
+    per id is bounded by that check; a larger (hot) id keeps the row's own text
+    (``narrative_scope = 'row'``) and its full text is in ``master_narratives``.
     """
     idc = ctx.hhid
     mods = modules_in(flagged)
     last = flagged.where(col(idc).isNotNull()).groupBy(col(idc).alias("_id")).agg(
-        F.max(any_flag(flagged)).alias("_idf"),
+        F.count(F.lit(1)).alias("_k"), F.max(any_flag(flagged)).alias("_idf"),
         *[F.max_by(F.struct(col(f"Flag_{m}_Overall").alias("f"), col(f"Flag_{m}_Narrative").alias("t")),
                    col("row_seq")).alias(f"_l{i}") for i, m in enumerate(mods)])
     per_id = last.where(F.col("_idf") == 1).select(
-        "_id", *[x for i, m in enumerate(mods)
-                 for x in (F.col(f"_l{i}.f").alias(f"{m}_Flag"), F.col(f"_l{i}.t").alias(f"{m}_Issues"))])
+        "_id", "_k", *[x for i, m in enumerate(mods)
+                       for x in (F.col(f"_l{i}.f").alias(f"{m}_Flag"), F.col(f"_l{i}.t").alias(f"{m}_Issues"))])
+    small = per_id.where(F.col("_k") <= max_rows_per_id).select(F.col("_id").alias("id"))
+    parts = master_narratives(flagged, ctx).join(small, "id", "left_semi")
+    item = F.struct("module_pos", "row_seq", F.concat(F.lit("["), F.col("module"), F.lit("] "), F.col("text")).alias("s"))
+    texts = parts.groupBy(F.col("id").alias("_id")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["s"]), " || ").alias("_all"))
+    per_id = per_id.join(texts, "_id", "left")
     base = [c for c in MASTER_BASE if c in flagged.columns]
-    rows = flagged.select(*[col(c) for c in base], "row_seq", _row_narrative(flagged).alias("Flag_All_Narrative"))
-    return rows.join(per_id, col(idc) == F.col("_id"), "inner").drop("_id")
+    rows = flagged.select(*[col(c) for c in base], "row_seq", _row_narrative(flagged).alias("_row_text"))
+    out = rows.join(per_id, col(idc) == F.col("_id"), "inner")
+    scope = F.when(F.col("_all").isNotNull(), F.lit("id")).otherwise(F.lit("row"))
+    return out.select(*[col(c) for c in base], "row_seq",
+                      F.coalesce(F.col("_all"), F.col("_row_text")).alias("Flag_All_Narrative"), scope.alias("narrative_scope"),
+                      *[c for m in mods for c in (f"{m}_Flag", f"{m}_Issues")])
 
 
 # -- A7 / G33: enumerator feedback ---------------------------------------------------

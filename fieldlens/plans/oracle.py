@@ -592,12 +592,19 @@ def _deliverables() -> dict[str, str]:
     row_narr = "concat_ws(' || ', " + ", ".join(
         f"CASE WHEN Flag_{m}_Overall = 1 THEN '[{m}] ' || Flag_{m}_Narrative END" for m in MODULES) + ")"
     per_module = ", ".join(f"lr.Flag_{m}_Overall AS {m}_Flag, lr.Flag_{m}_Narrative AS {m}_Issues" for m in MODULES)
+    long = " UNION ALL ".join(
+        f"SELECT _uuid AS id, {i} AS module_pos, row_seq, '[{m}] ' || Flag_{m}_Narrative AS s "
+        f"FROM fn WHERE _uuid IS NOT NULL AND Flag_{m}_Overall = 1" for i, m in enumerate(MODULES))
     q["master_sheet"] = _with(f""", ids AS (
-  SELECT _uuid, max(row_seq) AS last_seq, max({_any_flag()}) AS idf FROM fn WHERE _uuid IS NOT NULL GROUP BY 1),
-lr AS (SELECT fn.* FROM fn JOIN ids ON fn._uuid = ids._uuid AND fn.row_seq = ids.last_seq WHERE ids.idf = 1)
+  SELECT _uuid, max(row_seq) AS last_seq, max({_any_flag()}) AS idf, count(*) AS k FROM fn WHERE _uuid IS NOT NULL GROUP BY 1),
+lr AS (SELECT fn.* FROM fn JOIN ids ON fn._uuid = ids._uuid AND fn.row_seq = ids.last_seq WHERE ids.idf = 1),
+parts AS ({long}),
+txt AS (SELECT id, string_agg(s, ' || ' ORDER BY module_pos, row_seq) AS all_text FROM parts
+        WHERE id IN (SELECT _uuid FROM ids WHERE idf = 1 AND k <= 100) GROUP BY id)
 SELECT f._uuid, f.EnuName, f.EnuSupervisorName, f.ADMIN1Name, f.ADMIN2Name, CAST(f.today AS VARCHAR) AS today,
-  f.row_seq, {row_narr.replace('Flag_', 'f.Flag_')} AS Flag_All_Narrative, {per_module}
-FROM fn f JOIN lr ON f._uuid = lr._uuid""", cte)
+  f.row_seq, coalesce(txt.all_text, {row_narr.replace('Flag_', 'f.Flag_')}) AS Flag_All_Narrative,
+  CASE WHEN txt.all_text IS NOT NULL THEN 'id' ELSE 'row' END AS narrative_scope, {per_module}
+FROM fn f JOIN lr ON f._uuid = lr._uuid LEFT JOIN txt ON txt.id = f._uuid""", cte)
     q["master_narratives"] = _with(" UNION ALL ".join(
         f"SELECT _uuid AS id, '{m}' AS module, CAST({i} AS INTEGER) AS module_pos, row_seq, Flag_{m}_Narrative AS text "
         f"FROM fn WHERE _uuid IS NOT NULL AND Flag_{m}_Overall = 1" for i, m in enumerate(MODULES)), cte)

@@ -53,3 +53,6 @@ def test_hot_id_rates_and_master(spark, con, hot):
     last = ms.select(*[f"{m}_Issues" for m in O.MODULES]).distinct().collect()
     assert len(last) == 1  # every row of the hot id carries the same last-row texts
     assert list(last[0]) == list(exp_ms[[f"{m}_Issues" for m in O.MODULES]].drop_duplicates().iloc[0])
+    # the hot id is past the per-id bound: each row keeps its own text, nothing is collected per id
+    assert [r[0] for r in ms.select("narrative_scope").distinct().collect()] == ["row"]
+    assert sorted(r.Flag_All_Narrative for r in ms.collect()) == sorted(exp_ms["Flag_All_Narrative"])
