@@ -9,7 +9,10 @@ import sys
 
 sys.path.insert(0, __file__.rsplit("/tools/", 1)[0])
 
-from fieldlens.plans.registry import QUERIES  # noqa: E402
+from fieldlens import profile as P  # noqa: E402
+from fieldlens.plans.engine import run_checks  # noqa: E402
+from fieldlens.plans.materialize import RULE_JOB_CONF, session_conf  # noqa: E402
+from fieldlens.plans.registry import QUERIES, survey  # noqa: E402
 from fieldlens.session import local_session  # noqa: E402
 
 sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
@@ -29,6 +32,15 @@ for name, fn in QUERIES.items():
     pushed = re.findall(r"PushedFilters: \[([^\]]*)\]", plan)
     pushed = "; ".join(sorted({p for p in pushed if p}))[:80] or "-"
     lines.append(f"| {name} | {shuffles} | {bcast} | {stages} | {width} | {pushed} |")
+# The rule job itself: the one full-data pass (written once as the flagged table).
+with session_conf(spark, RULE_JOB_CONF):
+    rule = run_checks(survey(spark, sf_dir), P.fixture())._jdf.queryExecution().executedPlan().toString()
+projects = rule.count("Project [")
+shuffles = len(re.findall(r"Exchange (hashpartitioning|SinglePartition|rangepartitioning|RoundRobin)", rule))
+lines.append("")
+lines.append(f"Rule job (`run_checks`, written as the flagged table): {projects} projections, {shuffles} shuffle(s) "
+             f"(the round-robin spread of a one-row-group test input; none on a multi-file input), no aggregation, "
+             f"no join; Python evaluation nodes: {rule.count('BatchEvalPython') + rule.count('ArrowEvalPython')}.")
 text = "\n".join(lines)
 if out_path:
     open(out_path, "w").write(text + "\n")
