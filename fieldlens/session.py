@@ -62,6 +62,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     existing = sc._jsc.sc().getCheckpointDir()
     if existing.isDefined():
         return existing.get()
+    if not sc.master.startswith("local"):
+        # A machine-local folder is invisible to other executors and lost with them.
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/S3/...) for cluster runs")
     local = tempfile.mkdtemp(prefix="fieldlens-ckpt-")  # tests / local runs only
     sc.setCheckpointDir(local)
     return sc._jsc.sc().getCheckpointDir().get()
