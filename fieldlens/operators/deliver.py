@@ -116,8 +116,9 @@ def write_enumerator_feedback(flagged: DataFrame, ctx: Context, path: str) -> No
     root = path.rstrip("/")
     enumerator_feedback(flagged, ctx).write.mode("overwrite").parquet(f"{root}/summary")
     rows = flagged.where(col(ctx.enu).isNotNull() & (any_flag(flagged) == 1))
-    # Cluster by enumerator before writing so each enumerator folder gets few files.
-    rows.repartition(col(ctx.enu)).write.mode("overwrite").partitionBy(ctx.enu).parquet(f"{root}/rows")
+    # Cluster by enumerator so each enumerator folder gets few files; REBALANCE lets
+    # AQE split a hot enumerator's partition over several tasks instead of one.
+    rows.hint("rebalance", ctx.enu).write.mode("overwrite").partitionBy(ctx.enu).parquet(f"{root}/rows")
 
 
 # -- H6 / W4: issue catalogue and ranking -------------------------------------------

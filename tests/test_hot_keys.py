@@ -56,3 +56,29 @@ def test_hot_id_rates_and_master(spark, con, hot):
     # the hot id is past the per-id bound: each row keeps its own text, nothing is collected per id
     assert [r[0] for r in ms.select("narrative_scope").distinct().collect()] == ["row"]
     assert sorted(r.Flag_All_Narrative for r in ms.collect()) == sorted(exp_ms["Flag_All_Narrative"])
+
+
+HOT_ENU = "CASE WHEN event_id % 3 = 0 THEN 'ENU_HOT' ELSE concat('ENU_', CAST(user_id % 12 AS VARCHAR(4))) END"
+
+
+def test_hot_enumerator_feedback_sink_keeps_all_rows(spark, tmp_path):
+    """One enumerator with a third of the rows: every flagged row is written, and
+    the hot enumerator's folder is written by several tasks, not one."""
+    events = spark.read.parquet(FX.events_path(sf_dir(SF)))
+    keyed = events.selectExpr("*", f"{FX.PLANT_KEY} AS k")
+    cols = [(n, HOT_ENU if n == "EnuName" else e) for n, e in FX.SURVEY_COLUMNS]
+    f = R.flagged_from(spark, keyed.selectExpr(*[f"{e} AS `{n}`" for n, e in cols]), "hot-enumerator")
+    rep = resolve_context(f.columns, "report")
+    expected = f.where(F.col("EnuName").isNotNull() & (M.any_flag(f) == 1)).count()
+    hot_expected = f.where((F.col("EnuName") == "ENU_HOT") & (M.any_flag(f) == 1)).count()
+    old = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        D.write_enumerator_feedback(f, rep, str(tmp_path / "fb"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
+    rows = spark.read.parquet(str(tmp_path / "fb" / "rows"))
+    assert rows.count() == expected
+    assert rows.where(F.col("EnuName") == "ENU_HOT").count() == hot_expected > 0
+    files = [p for p in (tmp_path / "fb" / "rows" / "EnuName=ENU_HOT").iterdir() if p.suffix == ".parquet"]
+    assert len(files) > 1
