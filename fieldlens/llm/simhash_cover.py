@@ -218,29 +218,59 @@ def _compare_job(bits: int):
     return run
 
 
+def _classes(marked: DataFrame, bits: int) -> DataFrame:
+    """(fp, root) of every distinct fingerprint of ``marked``."""
+    if not 0 <= bits <= MAX_BITS:
+        raise ValueError("the anchors cover distances of 0 to 2 bits")
+    spark = marked.sparkSession
+    distinct = C.cut(spark, marked.select("fp").distinct(), "op5-distinct")
+    dealt = distinct.mapInArrow(_anchor_job, "anchor long, fp long").repartition("anchor").sortWithinPartitions("anchor")
+    roots = components(spark, dealt.mapInArrow(_compare_job(bits), "u long, v long"), "op5-edges")
+    return C.cut(spark, distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+                 .select("fp", F.coalesce("root", "fp").alias("root")), "op5-classes")
+
+
 def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, bits: int = MAX_BITS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every row of ``docs``.
 
     ``bits`` is at most 2, the distance for which the anchors are complete."""
-    if not 0 <= bits <= MAX_BITS:
-        raise ValueError("the anchors cover distances of 0 to 2 bits")
     spark = docs.sparkSession
     C.small_batches(spark)
     marked = C.cut(spark, C.texts(docs).mapInArrow(_fingerprint_job(width), "doc_id long, fp long"), "op5-fp")
-    distinct = C.cut(spark, marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "op5-distinct")
-    dealt = distinct.select("fp").mapInArrow(_anchor_job, "anchor long, fp long") \
-        .repartition("anchor").sortWithinPartitions("anchor")
-    roots = components(spark, dealt.mapInArrow(_compare_job(bits), "u long, v long"), "op5-edges")
-    # Classes by fingerprint, then the least id of all rows of the class.
-    classed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left") \
-        .select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    classed = C.cut(spark, classed, "op5-classes")
-    ids = classed.groupBy("root").agg(F.min("least").alias("component_id"))
+    classed = _classes(marked, bits)
+    # The least id of a class by its fingerprints' least ids; both sides of the last join are
+    # plain scans, so a fingerprint with very many copies can be split.
+    least = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    ids = classed.join(least, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = C.cut(spark, classed.join(ids, "root").select("fp", "component_id"), "op5-ids")
     return marked.join(by_fp, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def representatives(docs: DataFrame, width: int = SHINGLE_WORDS, bits: int = MAX_BITS) -> DataFrame:
+    """One row of ``docs``, all columns, of each class: the one of least id (null ids last,
+    then by the hash of the text); of equal rows one stays."""
+    spark = docs.sparkSession
+    C.small_batches(spark)
+    key, text = F.coalesce(F.col("doc_id").cast("long"), F.lit(2 ** 63 - 1)), F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    keyed = docs.select(key.alias("doc_id"), "text", text.alias("text_key"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            prints = np.array([fingerprint(t or "", width) for t in C.columns(b, "text")[0]], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(prints)], ["doc_id", "text_key", "fp"])
+
+    marked = C.cut(spark, keyed.mapInArrow(run, "doc_id long, text_key long, fp long"), "op5-fp")
+    classed = _classes(marked, bits)
+    first = marked.groupBy("fp").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
+    chosen = classed.join(first, "fp").groupBy("root").agg(F.min("first").alias("first"))
+    a, b = (next(n for n in (c + "_" * k for k in range(99)) if n.lower() not in map(str.lower, docs.columns)) for c in ("id", "key"))
+    chosen = C.cut(spark, chosen.select(F.col("first.doc_id").alias("_id"), F.col("first.text_key").alias("_key")), "op5-first")
+    # Texts are dealt once, by the key that also removes equal rows.
+    return docs.withColumns({a: key, b: text}).join(chosen, [a, b], "left_semi").dropDuplicates([a, b]) \
+       .select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op5_simhash_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of every document: 3-word shingles, 2 bits."""
     return near_duplicates(C.table(spark, sf_dir, "documents"))
