@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+from .containment import OP6_SQL, op6_containment
+from .edit_counts import op4_edit_counts
+from .pii_bootstrap import op2_pii_bootstrap
+from .revisit import OP10_SQL, op10_revisit
+from .secrets import op1_zstd_secrets
+from .sentence_pieces import op9_sentence_pieces
 from .simhash_cover import op5_simhash_cover
 from .token_store import op7_token_store
+from .toxicity import op3_weak_toxicity
+from .voronoi_knn import OP8_SQL, op8_voronoi_knn
 
-QUERIES = {f.__name__: f for f in (op5_simhash_cover, op7_token_store)}
+QUERIES = {f.__name__: f for f in (
+    op1_zstd_secrets, op2_pii_bootstrap, op3_weak_toxicity, op4_edit_counts, op5_simhash_cover,
+    op6_containment, op7_token_store, op8_voronoi_knn, op9_sentence_pieces, op10_revisit)}
 
 #: Operators without an entry here are tested against brute force in tests/llm.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op6_containment": OP6_SQL, "op8_voronoi_knn": OP8_SQL, "op10_revisit": OP10_SQL}
