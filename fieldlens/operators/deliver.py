@@ -8,6 +8,7 @@ their slice.
 from __future__ import annotations
 
 from functools import reduce
+from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from ..functions.columns import col
 from ..plans.engine import any_flag, module_view, modules_in
 from . import monitor as M
 
+# Context columns of the master sheet.
 MASTER_BASE = ("_uuid", "EnuName", "EnuSupervisorName", "ADMIN1Name", "ADMIN2Name", "today")
 
 
@@ -60,44 +62,28 @@ def master_narratives(flagged: DataFrame, ctx: Context) -> DataFrame:
     return long.where(F.col("overall") == 1).select("id", "module", "module_pos", "row_seq", "text")
 
 
-# Ids with at most this many rows get the id-wide joined narrative (a bounded list);
-# above it the row keeps its own text and ``master_narratives`` holds the rest, exactly.
-MASTER_ID_ROWS = 100
-
-
-def master_sheet(flagged: DataFrame, ctx: Context, max_rows_per_id: int = MASTER_ID_ROWS) -> DataFrame:
+def master_sheet(flagged: DataFrame, ctx: Context) -> DataFrame:
     """H3: one row per input row whose id is flagged in any module.
 
-    ``<module>_Flag`` / ``<module>_Issues`` come from the last row (highest
-    ``row_seq``) with that id: ``max_by`` is a mergeable aggregate, so partial
-    aggregation keeps a hot id to one row per task.  ``Flag_All_Narrative`` joins
-    every flagged module narrative of the id ("[module] text", module order, then
-    row order) for ids with at most ``max_rows_per_id`` rows — the list collected
-    per id is bounded by that check; a larger (hot) id keeps the row's own text
-    (``narrative_scope = 'row'``) and its full text is in ``master_narratives``.
+    ``<module>_Flag`` / ``<module>_Issues`` come from the last row (highest ``row_seq``)
+    with that id.  ``Flag_All_Narrative`` is the row's own text; the complete text of an id
+    is the rows of ``master_narratives`` (repeating it on each of an id's k rows would
+    write k x k texts).
+
+    Ids are aggregated to two numbers, and only the last row of a flagged id carries texts.
+    Both joins have plain exchanges on both sides, so a hot id can be split by AQE.
     """
     idc = ctx.hhid
     mods = modules_in(flagged)
-    last = flagged.where(col(idc).isNotNull()).groupBy(col(idc).alias("_id")).agg(
-        F.count(F.lit(1)).alias("_k"), F.max(any_flag(flagged)).alias("_idf"),
-        *[F.max_by(F.struct(col(f"Flag_{m}_Overall").alias("f"), col(f"Flag_{m}_Narrative").alias("t")),
-                   col("row_seq")).alias(f"_l{i}") for i, m in enumerate(mods)])
-    per_id = last.where(F.col("_idf") == 1).select(
-        "_id", "_k", *[x for i, m in enumerate(mods)
-                       for x in (F.col(f"_l{i}.f").alias(f"{m}_Flag"), F.col(f"_l{i}.t").alias(f"{m}_Issues"))])
-    small = per_id.where(F.col("_k") <= max_rows_per_id).select(F.col("_id").alias("id"))
-    parts = master_narratives(flagged, ctx).join(small, "id", "left_semi")
-    item = F.struct("module_pos", "row_seq", F.concat(F.lit("["), F.col("module"), F.lit("] "), F.col("text")).alias("s"))
-    texts = parts.groupBy(F.col("id").alias("_id")).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["s"]), " || ").alias("_all"))
-    per_id = per_id.join(texts, "_id", "left")
+    ids = flagged.where(col(idc).isNotNull()).groupBy(col(idc).alias("_id")).agg(
+        F.max("row_seq").alias("_last"), F.max(any_flag(flagged)).alias("_idf")).where(F.col("_idf") == 1)
+    issues = [x for m in mods for x in (col(f"Flag_{m}_Overall").alias(f"{m}_Flag"), col(f"Flag_{m}_Narrative").alias(f"{m}_Issues"))]
+    last = flagged.select(col(idc).alias("_of"), F.col("row_seq").alias("_at"), *issues) \
+        .join(ids, (F.col("_of") == F.col("_id")) & (F.col("_at") == F.col("_last"))).drop("_of", "_at", "_last", "_idf")
     base = [c for c in MASTER_BASE if c in flagged.columns]
-    rows = flagged.select(*[col(c) for c in base], "row_seq", _row_narrative(flagged).alias("_row_text"))
-    out = rows.join(per_id, col(idc) == F.col("_id"), "inner")
-    scope = F.when(F.col("_all").isNotNull(), F.lit("id")).otherwise(F.lit("row"))
-    return out.select(*[col(c) for c in base], "row_seq",
-                      F.coalesce(F.col("_all"), F.col("_row_text")).alias("Flag_All_Narrative"), scope.alias("narrative_scope"),
-                      *[c for m in mods for c in (f"{m}_Flag", f"{m}_Issues")])
+    rows = flagged.select(*dict.fromkeys([*base, idc, "row_seq"]), _row_narrative(flagged).alias("Flag_All_Narrative"))
+    return rows.join(last, col(idc) == F.col("_id"), "inner").select(
+        *[col(c) for c in base], "row_seq", "Flag_All_Narrative", *[c for m in mods for c in (f"{m}_Flag", f"{m}_Issues")])
 
 
 # -- A7 / G33: enumerator feedback ---------------------------------------------------
@@ -150,28 +136,51 @@ SEVERITY = {
     ("HDDS", "Low"): "warn",
     ("HDDS", "Missing"): "warn",
 }
+# Order of the severities.
 SEVERITY_RANK = {"critical": 0, "warn": 1, "info": 2}
 
-# Our own short guidance per check family (used for every module).
-GUIDANCE = {
-    "Missing": "Ask the enumerator to complete the blank answers or document them as missing.",
-    "Erroneous": "Correct the out-of-range answer with the enumerator, or blank it.",
-    "Identical": "Likely anchoring: spot-check the household and review with the enumerator.",
-    "ShortDuration": "Re-interview a sample of these households independently.",
-    "ZeroWithPoorFCG": "Review the food consumption and coping sections together.",
-    "AllNA_PoorFood": "Escalate for re-interview; the two modules contradict each other.",
+# Our own words for every check: what it means and what to do about it.
+CHECK_TEXTS = {
+    "Missing": ("Answers the module needs are blank.", "Have the enumerator fill the blanks in, or record why they stay blank."),
+    "Erroneous": ("An answer lies outside its codes or range.", "Correct the answer at its source, or blank it."),
+    "HighHHSize": ("The household is unusually large.", "Confirm that one household was interviewed, not several."),
+    "SumMismatch": ("The roster does not add up to the stated size.", "Count the members again with the respondent."),
+    "NoAdults": ("The roster has no adult.", "Ask who heads the household and complete the roster."),
+    "PLWExceeds": ("More pregnant or nursing women than women of that age.", "Compare the count with the roster's ages."),
+    "Identical": ("All answers of the block are the same number.", "Watch an interview: the block may be filled in without asking."),
+    "LowStaple": ("Hardly any staple food in the week.", "Ask again what the household ate as its main food."),
+    "Low": ("The score is implausibly low.", "Check a few of these households by phone or visit."),
+    "High": ("The score is implausibly high.", "Check whether days were counted per food or per meal."),
+    "AllGroups": ("Every food group was eaten.", "Ask for the dishes of the day and compare."),
+    "ZeroWithPoorFCG": ("Poor diet without any coping.", "Go through both sections together with the enumerator."),
+    "HighWithAcceptFCG": ("Heavy coping with an acceptable diet.", "Ask which of the two sections the respondent misunderstood."),
+    "AdultMealNoChildren": ("Adults ate less for children that are not there.", "Check the roster for missing children."),
+    "DisplacedOwner": ("A displaced household owns its dwelling.", "Confirm the status and whose dwelling it is."),
+    "ChildStratNoChildren": ("A strategy about children without children.", "Check the roster for missing children."),
+    "AllNA_PoorFood": ("Nothing applies although the diet is poor.", "Interview the household again with another enumerator."),
+    "NonSequential": ("Emergency measures without milder ones before.", "Ask what the household had tried earlier."),
+    "ManyNA": ("Many strategies are said not to apply.", "Explain again when an answer may be not applicable."),
+    "ZeroTotal": ("No expenditure at all in the block.", "Ask for the last purchase and gifts received."),
+    "BelowMinPrice": ("An amount below any real price.", "Check the currency and the unit of the amount."),
+    "ExtremeItem": ("One amount is far beyond the usual.", "Check for an extra zero or a total put into one item."),
+    "InvalidDuration": ("The interview took no time.", "Check the clock of the device."),
+    "ShortDuration": ("The interview was too short to be complete.", "Repeat some of these interviews independently."),
+    "LongDuration": ("The interview took unusually long.", "Ask whether the form was left open or interrupted."),
+    "AbnormalHour": ("The interview began outside working hours.", "Check the clock and where the interview took place."),
 }
-DEFAULT_GUIDANCE = "Review the flagged records with the enumerator."
+OTHER_CHECK = ("A check of this survey's own.", "Look at the flagged rows with the enumerator.")
 
 
 def catalogue(spark: SparkSession) -> DataFrame:
-    """H6: (module, check) -> severity, rank, guidance.  Fixed size (one row per listed check)."""
-    rows = [(m, c, s, SEVERITY_RANK[s], GUIDANCE.get(c, DEFAULT_GUIDANCE)) for (m, c), s in SEVERITY.items()]
-    return spark.createDataFrame(rows, "module string, check string, severity string, severity_rank int, action string")
+    """H6: (module, check) -> severity, rank, description, action.  Fixed size: the known checks."""
+    known = list(SEVERITY) + [(m, c) for m in P.MODULE_ORDER for c in CHECK_TEXTS if (m, c) not in SEVERITY]
+    rows = [(m, c, SEVERITY.get((m, c), "info"), SEVERITY_RANK[SEVERITY.get((m, c), "info")], *CHECK_TEXTS.get(c, OTHER_CHECK)) for m, c in known]
+    return spark.createDataFrame(rows, "module string, check string, severity string, severity_rank int, description string, action string")
 
 
-def issue_ranking(flagged: DataFrame, n: int = 20) -> DataFrame:
-    """Checks that fired with their severity: critical first, then by count; top ``n``."""
+def issue_ranking(flagged: DataFrame) -> DataFrame:
+    """Every check that fired with its catalogue entry: critical first, then by count.
+    A screen shows the first 20 (``present(max_rows=20)``)."""
     counts = M.check_counts(flagged, with_total=True).where(F.col("n_flagged") > 0)
     cat = catalogue(flagged.sparkSession)
     # The catalogue has a fixed, small row count: broadcasting it is bounded.
@@ -179,12 +188,12 @@ def issue_ranking(flagged: DataFrame, n: int = 20) -> DataFrame:
     ranked = joined.select(
         "module", "check", "n_flagged", "check_pos", F.coalesce(F.col("severity"), F.lit("info")).alias("severity"),
         F.coalesce(F.col("severity_rank"), F.lit(SEVERITY_RANK["info"])).alias("severity_rank"),
-        F.coalesce(F.col("action"), F.lit(DEFAULT_GUIDANCE)).alias("action"),
+        F.coalesce(F.col("description"), F.lit(OTHER_CHECK[0])).alias("description"),
+        F.coalesce(F.col("action"), F.lit(OTHER_CHECK[1])).alias("action"),
         (F.col("n_flagged") / F.col("n_rows") * 100.0).alias("pct"),
     )
     order = Window.orderBy("severity_rank", F.desc("n_flagged"), "check_pos")  # <= #checks rows
-    out = ranked.withColumn("rank", F.row_number().over(order))
-    return out.where(F.col("rank") <= n)
+    return ranked.withColumn("rank", F.row_number().over(order)).orderBy("rank")
 
 
 # -- T1 - T3: progress against the sample target ------------------------------------
@@ -194,22 +203,23 @@ def progress(flagged: DataFrame, ctx: Context, target: int) -> DataFrame:
     h = M.survey_header(flagged, ctx)
     n, days = F.col("n").cast("double"), F.col("days_active")
     remaining = F.greatest(F.lit(target) - F.col("n"), F.lit(0))
-    avg = F.when(days > 0, n / days)
-    finish = F.when((avg > 0) & (remaining > 0), F.ceil(remaining / avg))
-    frac = F.least(n / F.lit(float(target)), F.lit(1.0))
+    avg = F.try_divide(n, F.when(days > 0, days.cast("double")))
+    finish = F.when((avg > 0) & (remaining > 0), F.ceil(F.try_divide(remaining.cast("double"), avg)))
+    done = F.try_divide(n, F.lit(float(target)))  # NULL without a target: nothing remains, complete
+    frac = F.least(F.coalesce(done, F.lit(1.0)), F.lit(1.0))
     band = F.when(frac >= 0.9, F.lit("green")).when(frac >= 0.5, F.lit("amber")).otherwise(F.lit("red"))
-    return h.select("n", F.lit(target).alias("target"), (n / F.lit(float(target)) * 100.0).alias("pct_done"),
+    return h.select("n", F.lit(target).alias("target"), (done * 100.0).alias("pct_done"),
                     remaining.cast("bigint").alias("remaining"), "days_active", avg.alias("avg_per_day"),
                     finish.cast("bigint").alias("days_to_finish"), (remaining == 0).alias("complete"), band.alias("band"))
 
 
 def _completion(counts: DataFrame, key: str, target: int) -> DataFrame:
-    """Per-group target = round-half-even(target / #groups); status on the 1-decimal %."""
-    k = F.count(F.lit(1)).over(Window.partitionBy())  # over the aggregated groups only
-    each = F.bround(F.lit(float(target)) / k, 0)
-    out = counts.withColumn("target", each.cast("bigint"))
-    pct = F.col("completed") / F.col("target") * 100.0
-    shown = F.bround(pct, 1)
+    """Per-group target = round-half-even(target / #groups); status on the 1-decimal %.
+    A target that rounds to 0 has no percentage (NULL) and nothing remaining."""
+    k = counts.agg(F.count(F.lit(1)).alias("k")).scalar()
+    out = counts.withColumn("target", F.bround(F.try_divide(F.lit(float(target)), k.cast("double")), 0).cast("bigint"))
+    pct = F.try_divide(F.col("completed").cast("double"), F.col("target").cast("double")) * 100.0
+    shown = F.coalesce(F.bround(pct, 1), F.lit(100.0))
     status = F.when(shown >= 80, F.lit("On track")).when(shown >= 50, F.lit("Behind")).otherwise(F.lit("Critical"))
     return out.select(key, "completed", "target", pct.alias("pct_done"),
                       F.greatest(F.col("target") - F.col("completed"), F.lit(0)).alias("remaining"), status.alias("status"))
@@ -229,117 +239,105 @@ def area_completion(flagged: DataFrame, ctx: Context, target: int) -> DataFrame:
 
 # -- T4 / T5: alerts and recommendations ---------------------------------------------
 
-def _rows(df: DataFrame, order: int, level: str, rule: str, entity: Column, value: Column, sub: Column) -> DataFrame:
-    return df.select(F.lit(order).alias("_o"), sub.alias("_s"), F.lit(level).alias("level"), F.lit(rule).alias("rule"),
-                     entity.cast("string").alias("entity"), value.cast("double").alias("value"))
-
-
-def _id_level(flagged: DataFrame, ctx: Context) -> DataFrame:
-    """One pass over the rows, one partial-aggregated shuffle by id: rows, duplicated ids,
-    distinct flagged ids and straight-line rows in a single one-row table."""
-    idc = col(ctx.hhid)
-    groups = M.fcs_groups_in(flagged)
-    sl = F.count_if(R.safe(M.straight_line(groups))) if groups else F.lit(0).cast("bigint")
-    ids = flagged.groupBy(idc.alias("_id")).agg(F.count(F.lit(1)).alias("_n"), F.max(any_flag(flagged)).alias("_f"),
-                                               sl.alias("_s"))
-    return ids.agg(
-        F.sum("_n").alias("n"),
-        F.count_if(F.col("_id").isNotNull() & (F.col("_n") > 1)).alias("dup_ids"),
-        F.count_if(F.col("_id").isNotNull() & (F.col("_f") == 1)).alias("flagged_ids"),
-        F.sum("_s").alias("straight"),
-    )
-
-
-def priority_alerts(flagged: DataFrame, dash: Context, report: Context, limit: int = 12) -> DataFrame:
-    """T4: duplicate ids, overall rate > 20, enumerator / area rate > 30, straight-lining; first 12.
-
-    Every input is an aggregate (one row, or one row per enumerator / area).
-    """
-    # Duplicates use the dashboard id, the overall rate the report id (the same column here).
-    one = _id_level(flagged, report)
-    if dash.hhid != report.hhid:
-        raise ValueError("priority_alerts expects one id column for duplicates and flag rate")
-    rate = F.bround(F.col("flagged_ids") / F.col("n") * 100.0, 1)
-    scalars = one.select(F.col("dup_ids").cast("double").alias("d"), rate.alias("r"), F.col("straight").cast("double").alias("s"))
-    enu = M.flag_rate_by_enumerator(flagged, report).select("enumerator", F.bround("rate_pct", 1).alias("v"))
-    area = M.flag_rate_by_area(flagged, report).select("area", F.bround("rate_pct", 1).alias("v"))
-    none = F.lit(None).cast("string")
-    parts = [
-        _rows(scalars.where("d > 0"), 0, "critical", "duplicate_ids", none, F.col("d"), F.lit(0.0)),
-        _rows(scalars.where("r > 20"), 1, "critical", "overall_flag_rate", none, F.col("r"), F.lit(0.0)),
-        _rows(enu.where("v > 30"), 2, "warning", "enumerator_flag_rate", F.col("enumerator"), F.col("v"), -F.col("v")),
-        _rows(area.where("v > 30"), 3, "warning", "area_flag_rate", F.col("area"), F.col("v"), -F.col("v")),
-        _rows(scalars.where("s > 0"), 4, "warning", "straight_lining", none, F.col("s"), F.lit(0.0)),
-    ]
-    alerts = reduce(DataFrame.unionByName, parts)
-    w = Window.orderBy("_o", "_s", "entity")  # at most #enumerators + #areas + 3 rows
-    return alerts.withColumn("position", F.row_number().over(w)).where(F.col("position") <= limit).drop("_o", "_s")
+# The checks whose counts the recommendations name.
+RULE_CHECKS = {"short": ("Timing", "ShortDuration"), "many_na": ("LCS", "ManyNA"), "mismatch": ("Demo", "SumMismatch"),
+               "zero_poor": ("rCSI", "ZeroWithPoorFCG"), "identical": ("FCS", "Identical")}
+
+
+def quality_groups(flagged: DataFrame, ctx: Context) -> DataFrame:
+    """The figures behind alerts and recommendations, from one pass over the rows.
+
+    kind ('all', 'enumerator', 'area'), name, n, ids (distinct flagged ids), rate (1 decimal),
+    and for 'all' duplicated ids, straight-line rows and check counts.  Rows are first
+    aggregated by (id, enumerator, area); a hot id then has as many rows as pairs."""
+    idc, groups = col(ctx.hhid), M.fcs_groups_in(flagged)
+    part = lambda c: (col(c) if c else F.lit(None)).cast("string")
+    sums = {"s": F.count_if(R.safe(M.straight_line(groups))) if groups else F.lit(0).cast("bigint"),
+            "poor": F.count_if(col("FCG") == "Poor") if "FCG" in flagged.columns else F.lit(0).cast("bigint")}
+    for k, (m, c) in RULE_CHECKS.items():
+        sums[k] = F.count_if(col(f"Flag_{m}_{c}") == 1) if f"Flag_{m}_{c}" in flagged.columns else F.lit(0).cast("bigint")
+    pairs = flagged.groupBy(idc.alias("id"), part(ctx.enu).alias("e"), part(ctx.area).alias("a")).agg(
+        F.count(F.lit(1)).alias("n"), F.max(any_flag(flagged)).alias("f"), *[v.alias(k) for k, v in sums.items()])
+    by_id, flag = Window.partitionBy("id"), (F.max("f").over(Window.partitionBy("id")) == 1) & F.col("id").isNotNull()
+    once = lambda *keys: (F.row_number().over(Window.partitionBy("id", *keys).orderBy("e", "a")) == 1) & flag
+    seen = pairs.withColumns({"in_e": once("e"), "in_a": once("a"), "in_all": once(),
+                              "dup": (F.row_number().over(by_id.orderBy("e", "a")) == 1)
+                              & (F.sum("n").over(by_id) > 1) & F.col("id").isNotNull()})
+    cells = F.array(F.struct(F.lit("all").alias("kind"), F.lit(None).cast("string").alias("name"), F.col("in_all").alias("first")),
+                    F.struct(F.lit("enumerator").alias("kind"), F.col("e").alias("name"), F.col("in_e").alias("first")),
+                    F.struct(F.lit("area").alias("kind"), F.col("a").alias("name"), F.col("in_a").alias("first")))
+    long = seen.select("n", "dup", *sums, F.explode(cells).alias("g")).where("g.kind = 'all' OR g.name IS NOT NULL")
+    out = long.groupBy("g.kind", "g.name").agg(F.sum("n").alias("n"), F.count_if("g.first").alias("ids"), F.count_if("dup").alias("dup"),
+                                               *[F.sum(k).alias(k) for k in sums])
+    pct = lambda c: F.bround(F.try_divide(F.col(c).cast("double"), F.col("n").cast("double")) * 100.0, 1)
+    return out.withColumns({"rate": pct("ids"), "poor_pct": pct("poor")})
+
+
+def _fired(rows: DataFrame, rules: Sequence[tuple]) -> DataFrame:
+    """(position, level, code, entity, value) of the rules (position, level, code, kind, value, condition) that hold."""
+    cells = F.array(*[F.struct(F.lit(p).alias("position"), F.lit(level).cast("string").alias("level"), F.lit(code).alias("code"),
+                               F.col("name").alias("entity"), value.cast("double").alias("value"),
+                               R.safe((F.col("kind") == kind) & cond).alias("fires")) for p, level, code, kind, value, cond in rules])
+    return rows.select(F.explode(F.filter(cells, lambda c: c["fires"])).alias("r")).select("r.position", "r.level", "r.code", "r.entity", "r.value")
+
+
+def priority_alerts(flagged: DataFrame, dash: Context, report: Context) -> DataFrame:
+    """T4: duplicate ids, overall rate > 20, enumerator / area rate > 30, straight-lining.
+
+    Every alert, in that order and by rate within a rule; a screen shows the first 12
+    (``present(max_rows=12)``).  Duplicates are those of the dashboard's id column, rates
+    those of the report's."""
+    rows = quality_groups(flagged, report)
+    if dash.hhid and dash.hhid != report.hhid:
+        dups = M.duplicate_ids(flagged, dash).agg(F.count(F.lit(1)).alias("n")).scalar()
+        rows = rows.withColumn("dup", F.when(F.col("kind") == "all", dups))
+    rate = F.col("rate")
+    return _fired(rows, [
+        (0, "critical", "duplicate_ids", "all", F.col("dup"), F.col("dup") > 0),
+        (1, "critical", "overall_flag_rate", "all", rate, rate > 20),
+        (2, "warning", "enumerator_flag_rate", "enumerator", rate, rate > 30),
+        (3, "warning", "area_flag_rate", "area", rate, rate > 30),
+        (4, "warning", "straight_lining", "all", F.col("s"), F.col("s") > 0),
+    ]).withColumnRenamed("code", "rule").orderBy("position", F.desc("value"), "entity")
 
 
 def recommendations(flagged: DataFrame, ctx: Context) -> DataFrame:
-    """T5: which follow-up rules fire, with their figure and the entities named.
-
-    Output (position, code, value, entities); the reader supplies the wording.
-    Scalar inputs come from one aggregate pass; group rates from two grouped ones.
-    """
-    checks = {"short": ("Timing", "ShortDuration"), "many_na": ("LCS", "ManyNA"), "mismatch": ("Demo", "SumMismatch"),
-              "zero_poor": ("rCSI", "ZeroWithPoorFCG"), "identical": ("FCS", "Identical")}
-    counts = [F.count_if(col(f"Flag_{m}_{c}") == 1).alias(k) if f"Flag_{m}_{c}" in flagged.columns
-              else F.lit(0).cast("bigint").alias(k) for k, (m, c) in checks.items()]
-    one = flagged.agg(F.count(F.lit(1)).alias("n"), F.count_if(col("FCG") == "Poor").alias("poor"),
-                      F.count_distinct(F.when(any_flag(flagged) == 1, col(ctx.hhid))).alias("ids"), *counts)
-    rate = F.bround(F.col("ids") / F.col("n") * 100.0, 1)
-    poor = F.bround(F.col("poor") / F.col("n") * 100.0, 1)
-    none = F.lit(None).cast("string")
-    scalar_rules = [
-        (0, "overall_rate_above_20", rate, rate > 20),
-        (1, "overall_rate_above_10", rate, (rate > 10) & (rate <= 20)),
-        (4, "poor_fcg_above_30", poor, poor > 30),
-        (5, "short_interviews", F.col("short"), F.col("short") > 0),
-        (6, "many_lcs_not_applicable", F.col("many_na"), F.col("many_na") > 0),
-        (7, "roster_mismatch", F.col("mismatch"), F.col("mismatch") > 0),
-        (8, "no_coping_with_poor_fcg", F.col("zero_poor"), F.col("zero_poor") > 0),
-        (9, "identical_fcs", F.col("identical"), F.col("identical") > 0),
-    ]
-    arr = F.array(*[F.struct(F.lit(o).alias("position"), F.lit(c).alias("code"), v.cast("double").alias("value"),
-                             none.alias("entities"), cond.alias("fires")) for o, c, v, cond in scalar_rules])
-    scalars = one.select(F.explode(arr).alias("r")).select("r.*").where("fires").drop("fires")
-
-    enu = M.flag_rate_by_enumerator(flagged, ctx).select(F.col("enumerator").alias("name"), F.col("rate_pct").alias("r"))
-    area = M.flag_rate_by_area(flagged, ctx).select(F.col("area").alias("name"), F.col("rate_pct").alias("r"))
-
-    def named(groups: DataFrame, cond: str, k: int, position: int, code: str) -> DataFrame:
-        # groups: one row per enumerator/area; the first k names by rate desc, name
-        top = groups.where(F.expr(cond)).withColumn("_p", F.row_number().over(Window.orderBy(F.desc("r"), "name")))
-        return top.agg(F.count(F.lit(1)).cast("double").alias("value"),
-                       F.concat_ws(", ", F.transform(
-                           F.array_sort(F.collect_list(F.when(F.col("_p") <= k, F.struct("_p", "name")))),
-                           lambda x: x["name"])).alias("entities")) \
-            .where("value > 0").select(F.lit(position).alias("position"), F.lit(code).alias("code"), "value", "entities")
-
-    fired = reduce(DataFrame.unionByName, [
-        scalars,
-        named(enu, "bround(r, 1) > 30", 4, 2, "enumerators_above_30"),
-        named(enu, "bround(r, 1) > 15 AND bround(r, 1) <= 30", 3, 3, "enumerators_15_to_30"),
-        named(area, "bround(r, 1) > 30", 3, 10, "areas_above_30"),
-    ])
+    """T5: which follow-up rules fire: (position, code, value, entity).
+
+    A rule about enumerators or areas gives a row for each of them with its rate, highest
+    first (a screen names the first few).  The reader supplies the wording."""
+    rows, rate = quality_groups(flagged, ctx), F.col("rate")
+    count = lambda k: (F.col(k), F.col(k) > 0)
+    fired = _fired(rows, [
+        (0, None, "overall_rate_above_20", "all", rate, rate > 20),
+        (1, None, "overall_rate_above_10", "all", rate, (rate > 10) & (rate <= 20)),
+        (2, None, "enumerators_above_30", "enumerator", rate, rate > 30),
+        (3, None, "enumerators_15_to_30", "enumerator", rate, (rate > 15) & (rate <= 30)),
+        (4, None, "poor_fcg_above_30", "all", F.col("poor_pct"), F.col("poor_pct") > 30),
+        (5, None, "short_interviews", "all", *count("short")),
+        (6, None, "many_lcs_not_applicable", "all", *count("many_na")),
+        (7, None, "roster_mismatch", "all", *count("mismatch")),
+        (8, None, "no_coping_with_poor_fcg", "all", *count("zero_poor")),
+        (9, None, "identical_fcs", "all", *count("identical")),
+        (10, None, "areas_above_30", "area", rate, rate > 30),
+    ]).drop("level")
     fallback = fired.agg(F.count(F.lit(1)).alias("k")).where("k = 0").select(
         F.lit(11).alias("position"), F.lit("quality_acceptable").alias("code"),
-        F.lit(None).cast("double").alias("value"), F.lit(None).cast("string").alias("entities"))
-    return fired.unionByName(fallback)
+        F.lit(None).cast("string").alias("entity"), F.lit(None).cast("double").alias("value"))
+    return fired.unionByName(fallback).orderBy("position", F.desc("value"), "entity")
 
 
 # -- W3 / G21 / B11 / W6 / A6: presentation helpers and the deliverables sink --------
 
 def top_enumerators(flagged: DataFrame, ctx: Context, n: int = 20) -> DataFrame:
     """The n enumerators with the highest flag rate (ties by name) — a top-n report."""
-    return M.flag_rate_by_enumerator(flagged, ctx).orderBy(F.desc("rate_pct"), "enumerator").limit(n)
+    return M.flag_rate_by_enumerator(flagged, ctx).orderBy(F.desc(F.bround("rate_pct", 1)), "enumerator").limit(n)
 
 
-def submission_pivot(flagged: DataFrame, ctx: Context) -> DataFrame:
-    """G21 wide form: one row per enumerator, one column per day (days listed from the data)."""
+def submission_pivot(flagged: DataFrame, ctx: Context, days: Sequence) -> DataFrame:
+    """G21 wide form: one row per enumerator, one column for each of the given days."""
     long = M.submission_matrix(flagged, ctx)
-    return long.groupBy("enumerator").pivot("date").agg(F.first("n")).na.fill(0)
+    return long.groupBy("enumerator").pivot("date", list(days)).agg(F.first("n")).na.fill(0)
 
 
 def present(df: DataFrame, max_rows: int | None = None) -> DataFrame:

@@ -161,7 +161,9 @@ def flag_rate_by(flagged: DataFrame, ctx: Context, key: str, out_name: str) -> D
         F.count_if((F.col("_idf") == 1) & F.col("_id").isNotNull()).alias("flagged"),
     )
     rate = _pct(F.col("flagged"), F.col("surveys"))
-    share = _pct(F.col("surveys"), F.sum("surveys").over(Window.partitionBy()))  # T7, on the aggregate
+    # The total is one number, read as a scalar subquery.
+    total = flagged.where(col(g).isNotNull()).agg(F.count(F.lit(1)).alias("n")).scalar()
+    share = _pct(F.col("surveys"), total)
     return (out.withColumn("rate_pct", rate).withColumn("rate_band", rate_band_report(rate))
             .withColumn("survey_share_pct", share))
 
@@ -176,13 +178,20 @@ def flag_rate_by_area(flagged: DataFrame, ctx: Context) -> DataFrame:
 
 # -- G6 / G7 / W1 / W2: header and timeline ------------------------------------
 
-def _day(c: str) -> Column:
-    return F.to_date(col(c))
+def _moment(flagged: DataFrame, c: str) -> Column:
+    """A date column as a timestamp; text that is no date becomes NULL."""
+    if flagged.schema[c].dataType.typeName() == "string":
+        return F.try_to_timestamp(col(c))
+    return col(c).cast("timestamp")
+
+
+def _day(flagged: DataFrame, c: str) -> Column:
+    return F.to_date(_moment(flagged, c))
 
 
 def survey_header(flagged: DataFrame, ctx: Context) -> DataFrame:
     """G6 + T8: n, date range, days active, distinct enumerators and areas."""
-    d = F.to_timestamp(_day(_need(ctx.date, "date")))
+    d = _moment(flagged, _need(ctx.date, "date"))
     one = flagged.agg(
         F.count(F.lit(1)).alias("n"),
         F.min(d).alias("_lo"), F.max(d).alias("_hi"),
@@ -201,12 +210,12 @@ def survey_header(flagged: DataFrame, ctx: Context) -> DataFrame:
 
 def daily_counts(flagged: DataFrame, ctx: Context, target: int = 0) -> DataFrame:
     """G7 + W1 + W2: submissions per day, running total and the expected pace line."""
-    day = _day(_need(ctx.date, "date"))
+    day = _day(flagged, _need(ctx.date, "date"))
     days = flagged.where(day.isNotNull()).groupBy(day.alias("date")).agg(F.count(F.lit(1)).alias("n"))
     w = Window.orderBy("date")  # on <= #days rows, after aggregation
     out = days.withColumn("cumulative", F.sum("n").over(w))
     if target > 0:
-        n_days = F.count(F.lit(1)).over(Window.partitionBy())
+        n_days = F.count(F.lit(1)).over(Window.partitionBy())  # days
         out = out.withColumn("expected", F.lit(float(target)) / n_days * F.row_number().over(w))
     return out
 
@@ -283,18 +292,22 @@ def duplicate_ids(flagged: DataFrame, ctx: Context) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n_rows")).where(F.col("n_rows") > 1))
 
 
+# Columns shown beside a duplicated id.
 DUPLICATE_DETAIL = ("HHSize", "HHStatus", "FCS", "FCG", "rCSI", "Timing_Duration_Min")
 
 
 def duplicate_rows(flagged: DataFrame, ctx: Context) -> DataFrame:
     """Every row of a duplicated id, side by side, ordered by id."""
     idc = _need(ctx.hhid, "id")
-    dups = duplicate_ids(flagged, ctx).select(F.col("id").alias("_dup"))
+    dups = duplicate_ids(flagged, ctx).select(F.col("id").alias("_dup"), F.xxhash64("id").alias("_hash"))
     keep = list(dict.fromkeys([c for c in [idc, ctx.enu, ctx.area, ctx.date] if c]
                               + [c for c in DUPLICATE_DETAIL if c in flagged.columns] + ["row_seq"]))
     rows = flagged.select(*[col(c) for c in keep])
-    # Semi join: a hot id keeps its rows on the big side; AQE splits skewed partitions.
-    return rows.join(dups, col(idc) == F.col("_dup"), "left_semi").orderBy(col(idc), "row_seq")
+    # AQE only splits a hot id where both inputs are plain exchanges.  The counts lie on an
+    # aggregate by id, which would be joined as it stands; the second key asks for an
+    # exchange of its own above it (a few bytes an id).
+    return rows.join(dups, (col(idc) == F.col("_dup")) & (F.xxhash64(col(idc)) == F.col("_hash")), "left_semi") \
+        .orderBy(col(idc), "row_seq")
 
 
 def straight_lining(flagged: DataFrame, ctx: Context) -> DataFrame:
@@ -305,6 +318,18 @@ def straight_lining(flagged: DataFrame, ctx: Context) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("straight_line")))
 
 
+def behaviour_totals(flagged: DataFrame) -> DataFrame:
+    """G16 + G30: straight-line rows of the whole survey (rows without an enumerator
+    included) and the share of illogical rows among those with both bands."""
+    groups = fcs_groups_in(flagged)
+    hb = hhs_band(hhs_score([c for c in P.HHS_COLUMNS if c in flagged.columns]))
+    rb = consistency_rcsi_band(col("rCSI"))
+    odd = hb.isin("2-3", "4", "5-6") & (rb == "<4") & col("FCG").isin("Acceptable", "Borderline")
+    one = flagged.agg((_cnt(straight_line(groups)) if groups else F.lit(0).cast("bigint")).alias("straight_line"),
+                      _cnt(hb.isNotNull() & rb.isNotNull()).alias("total"), _cnt(odd).alias("illogical"))
+    return one.withColumn("illogical_pct", _pct(F.col("illogical"), F.col("total")))
+
+
 KEY_MISSING_COLUMNS = ("FCSStap", "rCSILessQlty", "HHSize")
 
 
@@ -353,31 +378,22 @@ def enumerator_scorecard(flagged: DataFrame, ctx: Context) -> DataFrame:
     return rates.join(extra, "enumerator", "left").orderBy(F.desc("rate_pct"), "enumerator")
 
 
+# The scores compared between enumerators.
 DEVIATION_METRICS = {"FCS": "FCS", "rCSI": "rCSI", "HDDS": "HDDS", "HHSize": "HHSize", "Duration": "Timing_Duration_Min"}
 
 
 def enumerator_deviation(flagged: DataFrame, ctx: Context) -> DataFrame:
     """Enumerator means vs the overall mean; deviates if |mean-overall| > 1.5 SD.
 
-    One pass: ``rollup(enumerator)`` yields the per-enumerator rows and the
-    grand-total row together; the total is attached with a window over the
-    aggregated table (#enumerators + 2 rows).
+    The overall means and deviations are one row, read as a scalar subquery.
     """
     enu = _need(ctx.enu, "enumerator")
     metrics = {k: v for k, v in DEVIATION_METRICS.items() if v in flagged.columns}
-    aggs = []
-    for k, v in metrics.items():
-        aggs += [F.avg(col(v)).alias(f"m_{k}"), F.stddev_samp(col(v)).alias(f"s_{k}")]
-    g = (flagged.withColumnRenamed(enu, "enumerator").rollup("enumerator")
-         .agg(F.grouping("enumerator").alias("_total"), *aggs))
-    everything = Window.partitionBy()
-    cols = [F.col("enumerator"), F.col("_total")]
-    for k in metrics:
-        cols.append(F.col(f"m_{k}"))
-        cols.append(F.max(F.when(F.col("_total") == 1, F.col(f"m_{k}"))).over(everything).alias(f"o_{k}"))
-        cols.append(F.max(F.when(F.col("_total") == 1, F.col(f"s_{k}"))).over(everything).alias(f"d_{k}"))
-    wide = g.select(*cols).where((F.col("_total") == 0) & F.col("enumerator").isNotNull())
-    stack = ", ".join(f"'{k}', m_{k}, o_{k}, d_{k}" for k in metrics)
+    whole = flagged.agg(F.struct(*[x for k, v in metrics.items() for x in (
+        F.avg(col(v)).alias(f"o_{k}"), F.stddev_samp(col(v)).alias(f"d_{k}"))]).alias("w")).scalar()
+    wide = (flagged.where(col(enu).isNotNull()).groupBy(col(enu).alias("enumerator"))
+            .agg(*[F.avg(col(v)).alias(f"m_{k}") for k, v in metrics.items()]).withColumn("w", whole))
+    stack = ", ".join(f"'{k}', m_{k}, w.o_{k}, w.d_{k}" for k in metrics)
     long = wide.selectExpr("enumerator", f"stack({len(metrics)}, {stack}) AS (metric, mean, overall_mean, overall_sd)")
     shown = F.bround(F.col("mean"), 2)  # compared as displayed (2 decimals)
     dev = (F.col("overall_sd") != 0) & F.col("mean").isNotNull() & \
@@ -387,7 +403,7 @@ def enumerator_deviation(flagged: DataFrame, ctx: Context) -> DataFrame:
 
 def submission_matrix(flagged: DataFrame, ctx: Context) -> DataFrame:
     """Enumerator x day submission counts (long form; pivot on request)."""
-    enu, day = col(_need(ctx.enu, "enumerator")), _day(_need(ctx.date, "date"))
+    enu, day = col(_need(ctx.enu, "enumerator")), _day(flagged, _need(ctx.date, "date"))
     return (flagged.where(enu.isNotNull() & day.isNotNull()).groupBy(enu.alias("enumerator"), day.alias("date"))
             .agg(F.count(F.lit(1)).alias("n")))
 
@@ -418,6 +434,14 @@ def rcsi_share_by_enumerator(flagged: DataFrame, ctx: Context, top_n: int | None
                           ["Low", "Medium", "High"], top_n)
 
 
+def fcg_share_by_enumerator(flagged: DataFrame, ctx: Context, top_n: int | None = None) -> DataFrame:
+    return category_share(flagged, _need(ctx.enu, "enumerator"), col("FCG"), ["Poor", "Borderline", "Acceptable"], top_n)
+
+
+def rcsi_share_by_area(flagged: DataFrame, ctx: Context, top_n: int | None = None) -> DataFrame:
+    return category_share(flagged, _need(ctx.area, "area"), rcsi_severity(col("rCSI")), ["Low", "Medium", "High"], top_n)
+
+
 def mean_by(flagged: DataFrame, key: str, score: str) -> DataFrame:
     """Mean score per group, ascending (rows with NULL group or score dropped)."""
     return (flagged.where(col(key).isNotNull() & col(score).isNotNull()).groupBy(col(key).alias("group"))
@@ -426,7 +450,7 @@ def mean_by(flagged: DataFrame, key: str, score: str) -> DataFrame:
 
 def score_trend(flagged: DataFrame, ctx: Context) -> DataFrame:
     """Daily mean FCS, rCSI and HDDS."""
-    day = _day(_need(ctx.date, "date"))
+    day = _day(flagged, _need(ctx.date, "date"))
     return (flagged.where(day.isNotNull()).groupBy(day.alias("date"))
             .agg(F.avg(col("FCS")).alias("mean_fcs"), F.avg(col("rCSI")).alias("mean_rcsi"),
                  F.avg(col("HDDS")).alias("mean_hdds")))
@@ -472,25 +496,31 @@ def five_number(flagged: DataFrame, group: str, value: str) -> DataFrame:
 
 def box_outliers(flagged: DataFrame, group: str, value: str, id_col: str) -> DataFrame:
     """G27 outlier rows: values outside their group's fences (join on #groups rows)."""
-    fences = five_number(flagged, group, value).select("group", "lower_fence", "upper_fence")
+    fences = five_number(flagged, group, value).select("group", F.xxhash64("group").alias("_hash"), "lower_fence", "upper_fence")
     v = col(value)
     rows = flagged.where(col(group).isNotNull() & v.isNotNull()).select(
         col(id_col).alias("id"), col("row_seq"), col(group).alias("group"), v.alias("value"))
-    # ``fences`` has one row per group; AQE broadcasts it when its measured size is small.
-    joined = rows.join(fences, "group")
+    # One row a group: AQE broadcasts it when its measured size is small.  Otherwise the second
+    # key gives the fences an exchange of their own, so that a hot group can be split.
+    joined = rows.withColumn("_hash", F.xxhash64("group")).join(fences, ["group", "_hash"])
     return joined.where((F.col("value") < F.col("lower_fence")) | (F.col("value") > F.col("upper_fence"))) \
         .select("id", "row_seq", "group", "value")
 
 
+def score_box_group(ctx: Context) -> str:
+    """Score boxes go by area, or by enumerator where the survey has no area."""
+    return _need(ctx.area or ctx.enu, "area or enumerator")
+
+
 def tukey_outliers(flagged: DataFrame, metrics: Sequence[str] = ("FCS", "rCSI")) -> DataFrame:
     """Whole-table Tukey outlier counts (needs >= 4 values); fences via scalar subqueries."""
     parts = []
     for m in metrics:
         v = col(m)
-        q = flagged.agg(F.percentile(v, F.array(F.lit(0.25), F.lit(0.75))).alias("q"),
-                        F.count(v).alias("n")).select(F.struct("q", "n").alias("s"))
-        s = q.scalar()
-        q1, q3, n = s.getField("q")[0], s.getField("q")[1], s.getField("n")
+        fences = exact_quantiles(flagged, None, m, [0.25, 0.75], ["q1", "q3"])
+        one = fences.agg(F.struct(F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.max("q1").alias("q1"), F.max("q3").alias("q3")).alias("s"))
+        s = one.scalar()
+        n, q1, q3 = s.getField("n"), s.getField("q1"), s.getField("q3")
         lo, hi = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
         out = flagged.agg(F.count_if(v.isNotNull() & ((v < lo) | (v > hi))).alias("_o")).select(
             F.lit(m).alias("metric"), n.alias("n"), q1.alias("q1"), q3.alias("q3"), lo.alias("lower_fence"),
@@ -508,17 +538,20 @@ def start_hour_hist(flagged: DataFrame, ctx: Context) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n")))
 
 
-# Fixed histogram domains: FCS is 0..112, rCSI 0..56.
+# Least score, span and number of bins that give the width of a bin.
 SCORE_BINS = {"FCS": (0.0, 112.0, 40), "rCSI": (0.0, 56.0, 30)}
 
 
 def score_hist(flagged: DataFrame) -> DataFrame:
-    """Fixed-width histograms of FCS (40 bins) and rCSI (30 bins); no global min/max pass."""
+    """Fixed-width histograms of FCS (40 bins of 0 to 112) and rCSI (30 bins of 0 to 56).
+
+    Erroneous answers are scored too: scores beyond the span get the bins that follow (or
+    come before) at the same width, none is moved into another bin."""
     parts = []
     for m, (lo, hi, nb) in SCORE_BINS.items():
         width = (hi - lo) / nb
         v = col(m)
-        b = F.least(F.floor((v - F.lit(lo)) / F.lit(width)), F.lit(nb - 1)).cast("int")
+        b = F.floor((v - F.lit(lo)) / F.lit(width)).cast("bigint")
         parts.append(flagged.where(v.isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
                      .select(F.lit(m).alias("metric"), "bin",
                              (F.lit(lo) + F.col("bin").cast("double") * F.lit(hi - lo) / F.lit(float(nb))).alias("bin_start"),
@@ -539,11 +572,13 @@ def consistency_matrix(flagged: DataFrame) -> DataFrame:
     """
     hb = hhs_band(hhs_score([c for c in P.HHS_COLUMNS if c in flagged.columns]))
     rb = consistency_rcsi_band(col("rCSI"))
+    # Few groups leave each task; the fixed 45 cells are filled from one row of counts.
+    bands = flagged.select(hb.alias("h"), rb.alias("r"), col("FCG").alias("f")).where("h IS NOT NULL AND r IS NOT NULL")
+    counts = bands.groupBy("h", "r", "f").agg(F.count(F.lit(1)).alias("n"))
+    one = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.map_from_entries(F.collect_list(F.when(  # 60 groups at most
+        F.col("f").isNotNull(), F.struct(F.concat_ws("|", "h", "r", "f"), "n")))).alias("by"))
     cells = [(h, r, f) for h in HHS_BANDS for r in RCSI_MATRIX_BANDS for f in FCG_LABELS]
-    one = flagged.agg(
-        F.count_if(hb.isNotNull() & rb.isNotNull()).alias("total"),
-        *[_cnt((hb == h) & (rb == r) & (col("FCG") == f)).alias(f"c{i}") for i, (h, r, f) in enumerate(cells)])
-    stack = ", ".join(f"'{h}', '{r}', '{f}', c{i}" for i, (h, r, f) in enumerate(cells))
+    stack = ", ".join(f"'{h}', '{r}', '{f}', coalesce(by['{h}|{r}|{f}'], 0L)" for h, r, f in cells)
     long = one.selectExpr("total", f"stack({len(cells)}, {stack}) AS (hhs_band, rcsi_band, fcg, n)")
     illogical = F.col("hhs_band").isin("2-3", "4", "5-6") & F.col("fcg").isin("Acceptable", "Borderline") & \
         (F.col("rcsi_band") == "<4")
@@ -551,10 +586,9 @@ def consistency_matrix(flagged: DataFrame) -> DataFrame:
                        illogical.alias("illogical"))
 
 
-def expenditure_items(flagged: DataFrame, limit: int = 8) -> list[str]:
-    """Food expenditure columns in table order (first ``limit``)."""
-    cols = [c for c in flagged.columns if c.startswith("HHExpF") and c.endswith(("_7D", "_1M", "_6M"))]
-    return cols[:limit]
+def expenditure_items(flagged: DataFrame) -> list[str]:
+    """Food expenditure columns of the survey, in declared order."""
+    return [c for c in P.EXP_COLUMNS["HHExpF"] if c in flagged.columns]
 
 
 def expenditure_extremes(flagged: DataFrame, k: int = 5) -> DataFrame:

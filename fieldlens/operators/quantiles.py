@@ -1,97 +1,79 @@
-"""Exact quantiles without collecting a group into one task.
+"""Exact quantiles without collecting a group into one task.
 
-``percentile`` / ``median`` keep every distinct value of a group in one map
-that is merged in a single task; for money amounts or timestamps the distinct
-values grow with the data.  Here the order statistics are found with
-distributed steps:
+``percentile`` / ``median`` keep every distinct value of a group in one map that is
+merged in a single task; for money amounts or timestamps the distinct values grow with
+the data.  Here one lazy plan narrows the value range down to the wanted ranks:
 
 1. count each distinct ``(group, value)`` (partial aggregation absorbs repeats);
-2. range-partition those counts by ``(group, value)`` — a hot group is spread
-   over many partitions — and take running counts inside each partition;
-3. cut the lineage (reliable ``checkpoint`` in the shared checkpoint folder) so
-   partition ids stay fixed for the next steps;
-4. per ``(partition, group)`` totals (a small table) give each partition's rank
-   offset within its group;
-5. keep only the distinct values whose rank interval holds a target rank and
-   interpolate linearly, exactly as ``percentile`` does.
-
-Before that, one cheap pass measures the widest group (``approx_count_distinct``,
-an HLL sketch per group).  When no group has more than ``max_group_values``
-distinct values, Spark's exact ``percentile`` is used: its per-group map is then
-bounded by that check.  Beyond it, the distributed selection above runs.
+2. cut the group's range, from its exact least to its largest value, into ``CELLS`` equal
+   cells and count the values of each cell; running sums over the cells of a group, at most
+   ``CELLS`` rows, tell the cells that hold a wanted rank;
+3. cut each of those cells again in the same way (``LEVELS`` times in all);
+4. only the distinct values of the last cells are ordered, and the two values around each
+   rank are interpolated linearly, exactly as ``percentile`` does.
+
+Cells depend on exact minima and maxima alone, so every evaluation of the plan, also after
+a lost executor, cuts them alike.  No job runs while the plan is built and nothing has to
+be stored in between.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import col
-from ..session import checkpoint_dir
+
+CELLS = 4096
+LEVELS = 2
 
 
-# Distinct values one task may hold in a ``percentile`` map (~50 bytes each).
-MAX_GROUP_VALUES = 1_000_000
+def _wanted(probs: Sequence[float], first: Column, after: Column) -> Column:
+    """Whether a rank that some probability needs lies in [first, after)."""
+    hits = []
+    for p in probs:
+        pos = (F.col("_n") - 1) * F.lit(float(p))
+        hits += [(first <= r) & (r < after) for r in (F.floor(pos), F.ceil(pos))]
+    return reduce(lambda a, b: a | b, hits)
 
 
 def exact_quantiles(df: DataFrame, group: str | None, value: str, probs: Sequence[float],
-                    names: Sequence[str] | None = None, partitions: int | None = None,
-                    max_group_values: int = MAX_GROUP_VALUES) -> DataFrame:
+                    names: Sequence[str] | None = None, cells: int = CELLS, levels: int = LEVELS) -> DataFrame:
     """One row per group: ``group``, ``n`` and one column per probability (linear interpolation)."""
-    spark = df.sparkSession
     names = list(names or [f"q{i}" for i in range(len(probs))])
     g = col(group) if group else F.lit(0)
     base = df.where(g.isNotNull() & col(value).isNotNull()).select(g.alias("_g"), col(value).cast("double").alias("_v"))
-    widest = base.groupBy("_g").agg(F.approx_count_distinct("_v", 0.05).alias("_d")).agg(F.max("_d")).first()[0] or 0
-    if widest * 1.1 <= max_group_values:  # 1.1: margin for the sketch's error
-        q = F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs]))
-        res = base.groupBy("_g").agg(F.count(F.lit(1)).alias("n"), q.alias("_q"))
-        out = res.select(F.col("_g").alias(group or "_all"), "n", *[F.col("_q")[i].alias(nm) for i, nm in enumerate(names)])
-        return out.drop("_all") if group is None else out
-    return _distributed(spark, base, group, probs, names, partitions)
-
-
-def _distributed(spark, base: DataFrame, group: str | None, probs: Sequence[float], names: list[str],
-                 partitions: int | None) -> DataFrame:
     counts = base.groupBy("_g", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = counts.repartitionByRange(parts, "_g", "_v").withColumn("_pid", F.spark_partition_id())
-    running = Window.partitionBy("_pid", "_g").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    local = ranged.withColumn("_lc", F.sum("_c").over(running))
-    checkpoint_dir(spark)
-    local = local.checkpoint(eager=True)  # partition ids are fixed from here on
-
-    totals = local.groupBy("_pid", "_g").agg(F.sum("_c").alias("_t"))
-    before = Window.partitionBy("_g").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (totals.withColumn("_off", F.coalesce(F.sum("_t").over(before), F.lit(0)))   # <= #partitions rows per group
-               .withColumn("_n", F.sum("_t").over(Window.partitionBy("_g"))).drop("_t"))
-    ranks = local.join(offsets, ["_pid", "_g"])  # offsets: one row per (partition, group)
-    ranks = ranks.withColumn("_hi", F.col("_off") + F.col("_lc")).withColumn("_lo", F.col("_hi") - F.col("_c"))
-
-    hits, aggs = [], []
+    # One cell a group: its range, the rank of its first value, the size of the group.
+    known = counts.groupBy("_g").agg(F.sum("_c").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")) \
+        .withColumns({"_cell": F.lit(0).cast("bigint"), "_off": F.lit(0).cast("bigint")})
+    rows = counts.withColumn("_cell", F.lit(0).cast("bigint"))
+    for _ in range(levels):
+        part = F.try_divide(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_lo"))  # NULL: one value, or an infinite range
+        sub = F.least(F.floor(F.when(F.isnan(part), 0.0).otherwise(F.coalesce(part, F.lit(0.0))) * cells), F.lit(cells - 1))
+        rows = rows.join(known, ["_g", "_cell"]).select(
+            "_g", "_v", "_c", "_n", "_off", F.col("_cell").alias("_up"), (F.col("_cell") * cells + sub).cast("bigint").alias("_cell"))
+        sums = rows.groupBy("_g", "_n", "_off", "_up", "_cell").agg(
+            F.sum("_c").alias("_k"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        ahead = Window.partitionBy("_g", "_up").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)  # <= cells rows
+        first = F.col("_off") + F.coalesce(F.sum("_k").over(ahead), F.lit(0))
+        known = sums.withColumn("_first", first).where(_wanted(probs, F.col("_first"), F.col("_first") + F.col("_k"))) \
+            .select("_g", "_cell", "_n", "_lo", "_hi", F.col("_first").alias("_off"))
+        rows = rows.select("_g", "_v", "_c", "_cell")
+    running = Window.partitionBy("_g", "_cell").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranks = rows.join(known, ["_g", "_cell"]).withColumn("_end", F.col("_off") + F.sum("_c").over(running)) \
+        .withColumn("_start", F.col("_end") - F.col("_c"))
+    aggs, out = [], [F.col("_g").alias(group or "_all"), "n"]
     for i, p in enumerate(probs):
         pos = (F.col("_n") - 1) * F.lit(float(p))
-        for k, r in (("a", F.floor(pos)), ("b", F.ceil(pos))):
-            hit = (F.col("_lo") <= r) & (r < F.col("_hi"))
-            hits.append(hit)
-            aggs.append(F.max(F.when(hit, F.col("_v"))).alias(f"_{k}{i}"))
-    picked = ranks.where(_any(hits))
-    res = picked.groupBy("_g").agg(F.max("_n").alias("n"), *aggs)
-    out = [F.col("_g").alias(group or "_all"), "n"]
-    for i, p in enumerate(probs):
+        aggs += [F.max(F.when((F.col("_start") <= r) & (r < F.col("_end")), F.col("_v"))).alias(f"_{k}{i}")
+                 for k, r in (("a", F.floor(pos)), ("b", F.ceil(pos)))]
         pos = (F.col("n") - 1) * F.lit(float(p))
-        lo, hi = F.floor(pos), F.ceil(pos)
-        a, b = F.col(f"_a{i}"), F.col(f"_b{i}")
+        lo, hi, a, b = F.floor(pos), F.ceil(pos), F.col(f"_a{i}"), F.col(f"_b{i}")
         # same arithmetic as Spark's percentile: (hi - pos) * a + (pos - lo) * b
         out.append(F.when(lo == hi, a).otherwise((hi - pos) * a + (pos - lo) * b).alias(names[i]))
-    result = res.select(*out)
+    result = ranks.groupBy("_g").agg(F.max("_n").alias("n"), *aggs).select(*out)
     return result.drop("_all") if group is None else result
-
-
-def _any(conds):
-    acc = conds[0]
-    for c in conds[1:]:
-        acc = acc | c
-    return acc

@@ -22,6 +22,10 @@ from ..operators.checks import MODULES, ModulePlan
 from ..sources.survey import coerce_types
 
 
+#: 1 if any module that ran raised a flag on the row.
+ANY_FLAG = "Flag_Any_Overall"
+
+
 def plan_modules(columns: list[str], profile: P.Profile) -> list[ModulePlan]:
     """Build the enabled modules in dependency order from column names only."""
     avail = set(columns)
@@ -39,7 +43,7 @@ def _produced_names(plans: list[ModulePlan]) -> list[str]:
     names = []
     for p in plans:
         names += list(p.derived) + p.flag_columns + [p.flag("Overall"), p.flag("Narrative")]
-    return names
+    return names + [ANY_FLAG]
 
 
 def run_checks(survey: DataFrame, profile: P.Profile | None = None, only=None, skip=(), coerce: bool = True) -> DataFrame:
@@ -84,7 +88,10 @@ def run_checks(survey: DataFrame, profile: P.Profile | None = None, only=None, s
             parts.append((R.q(p.flag(c.name)), c.message))
             parts += [(R.q(p.flag(c.name)), d) for d in c.details]
         final[p.flag("Narrative")] = R.narrative(parts)
-    return stage(df, final)
+    # Stored once, so that readers of the flagged table can push the filter to Parquet.
+    overall = [f"coalesce({R.q(p.flag('Overall'))}, 0)" for p in plans]
+    df = stage(df, final)
+    return stage(df, {ANY_FLAG: f"CAST(greatest({', '.join(overall + ['0', '0'][:max(0, 2 - len(overall))])}) AS INT)"})
 
 
 def module_flag_columns(flagged: DataFrame, module: str) -> list[str]:
@@ -117,4 +124,6 @@ def module_view(flagged: DataFrame, module: str, profile: P.Profile | None = Non
 
 def any_flag(flagged: DataFrame) -> Column:
     """1 if any module raised a flag on the row."""
+    if ANY_FLAG in flagged.columns:
+        return col(ANY_FLAG)
     return C.rollup([col(f"Flag_{m}_Overall") for m in modules_in(flagged)])

@@ -226,7 +226,7 @@ idf AS (SELECT _id, max(_f) AS _idf FROM pairs GROUP BY 1),
 agg AS (
   SELECT p._g AS {out}, sum(p._n) AS surveys,
          count(*) FILTER (WHERE i._idf = 1 AND p._id IS NOT NULL) AS flagged
-  FROM pairs p JOIN idf i ON p._id = i._id WHERE p._g IS NOT NULL GROUP BY 1)
+  FROM pairs p JOIN idf i ON p._id IS NOT DISTINCT FROM i._id WHERE p._g IS NOT NULL GROUP BY 1)
 SELECT {out}, CAST(surveys AS BIGINT) AS surveys, flagged, {_pct('flagged', 'surveys')} AS rate_pct,
   {_rate_band_report(_pct('flagged', 'surveys'))} AS rate_band,
   {_pct('surveys', 'sum(surveys) OVER ()')} AS survey_share_pct
@@ -295,7 +295,7 @@ def _queries() -> dict[str, str]:
         "FROM flagged) t")
     q["flag_rate_by_enumerator"] = _flag_rate_by("EnuName", "enumerator")
     q["flag_rate_by_area"] = _flag_rate_by("ADMIN1Name", "area")
-    q["top_enumerators"] = _flag_rate_by("EnuName", "enumerator") + " ORDER BY rate_pct DESC, enumerator LIMIT 20"
+    q["top_enumerators"] = _flag_rate_by("EnuName", "enumerator") + " ORDER BY round_even(rate_pct, 1) DESC, enumerator LIMIT 20"
     q["survey_header"] = _with("""SELECT n, CAST(CAST(lo AS DATE) AS VARCHAR) AS date_min, CAST(CAST(hi AS DATE) AS VARCHAR) AS date_max,
   CAST(coalesce(floor((epoch(hi) - epoch(lo)) / 86400) + 1, 0) AS BIGINT) AS days_active,
   n_enumerators, n_areas, CAST(n AS DOUBLE) / CAST(greatest(n_enumerators, 1) AS DOUBLE) AS surveys_per_enumerator
@@ -369,6 +369,13 @@ FROM l""")
     q["fcg_share_top_areas"] = _share("ADMIN2Name", "FCG", ["Poor", "Borderline", "Acceptable"]) + (
         ' WHERE "group" IN (SELECT ADMIN2Name FROM flagged WHERE ADMIN2Name IS NOT NULL GROUP BY 1 '
         "ORDER BY count(*) DESC, ADMIN2Name LIMIT 3)")
+    q["fcg_share_by_enumerator"] = _share("EnuName", "FCG", ["Poor", "Borderline", "Acceptable"])
+    q["rcsi_share_by_area"] = _share("ADMIN2Name", SEVERITY_D8, ["Low", "Medium", "High"])
+    q["behaviour_totals"] = _with(f""", b AS (SELECT {HHS_BAND} AS hb, rb, FCG, sl FROM
+  (SELECT coalesce(HHSBedHung, 0) + coalesce(HHSNoFood, 0) + coalesce(HHSNotEat, 0) AS h, {RCSI_MX} AS rb, FCG, {STRAIGHT} AS sl FROM flagged) x),
+t AS (SELECT count(*) FILTER (WHERE sl) AS straight_line, count(*) FILTER (WHERE hb IS NOT NULL AND rb IS NOT NULL) AS total,
+  count(*) FILTER (WHERE hb IN ('2-3', '4', '5-6') AND rb = '<4' AND FCG IN ('Acceptable', 'Borderline')) AS illogical FROM b)
+SELECT *, {_pct('illogical', 'total')} AS illogical_pct FROM t""")
     q["hdds_mean_by_area"] = _with('SELECT ADMIN2Name AS "group", avg(HDDS) AS mean, count(*) AS n FROM flagged '
                                    "WHERE ADMIN2Name IS NOT NULL AND HDDS IS NOT NULL GROUP BY 1")
     q["score_trend"] = _with("SELECT CAST(today AS VARCHAR) AS date, avg(FCS) AS mean_fcs, avg(rCSI) AS mean_rcsi, avg(HDDS) AS mean_hdds "
@@ -383,10 +390,13 @@ FROM l""")
         "FROM flagged WHERE EnuName IS NOT NULL GROUP BY 1" for c in LCS))
     q["five_number_by_group"] = _with(_five("EnuName", "Timing_Duration_Min"))
     q["fcs_box_by_area"] = _with(_five("ADMIN2Name", "FCS"))
-    q["box_outliers"] = _with(f""", f5 AS ({_five("EnuName", "Timing_Duration_Min")})
-SELECT _uuid AS id, row_seq, EnuName AS "group", Timing_Duration_Min AS value
-FROM flagged JOIN f5 ON flagged.EnuName = f5."group"
-WHERE Timing_Duration_Min IS NOT NULL AND (Timing_Duration_Min < lower_fence OR Timing_Duration_Min > upper_fence)""")
+    q["rcsi_box_by_area"] = _with(_five("ADMIN2Name", "rCSI"))
+    for name, group, value in (("box_outliers", "EnuName", "Timing_Duration_Min"), ("fcs_outliers_by_area", "ADMIN2Name", "FCS"),
+                               ("rcsi_outliers_by_area", "ADMIN2Name", "rCSI")):
+        q[name] = _with(f""", f5 AS ({_five(group, value)})
+SELECT _uuid AS id, row_seq, {group} AS "group", {value} AS value
+FROM flagged JOIN f5 ON flagged.{group} = f5."group"
+WHERE {value} IS NOT NULL AND ({value} < lower_fence OR {value} > upper_fence)""")
     q["tukey_outliers"] = _with(" UNION ALL ".join(f"""SELECT '{m}' AS metric, n, q1, q3, q1 - 1.5 * (q3 - q1) AS lower_fence,
   q3 + 1.5 * (q3 - q1) AS upper_fence,
   CAST(CASE WHEN n >= 4 THEN (SELECT count(*) FROM flagged WHERE {m} < q1 - 1.5 * (q3 - q1) OR {m} > q3 + 1.5 * (q3 - q1)) ELSE 0 END AS BIGINT) AS n_outliers
@@ -398,7 +408,7 @@ FROM (SELECT count({m}) AS n, quantile_cont({m}, 0.25) AS q1, quantile_cont({m},
     q["score_hist"] = _with(" UNION ALL ".join(
         f"SELECT '{m}' AS metric, bin, CAST({lo} AS DOUBLE) + CAST(bin AS DOUBLE) * CAST({hi - lo} AS DOUBLE) "
         f"/ CAST({nb} AS DOUBLE) AS bin_start, count(*) AS n FROM "
-        f"(SELECT CAST(least(floor(({m} - CAST({lo} AS DOUBLE)) / CAST({(hi - lo) / nb!r} AS DOUBLE)), {nb - 1}) AS INTEGER) "
+        f"(SELECT CAST(floor(({m} - CAST({lo} AS DOUBLE)) / CAST({(hi - lo) / nb!r} AS DOUBLE)) AS BIGINT) "
         f"AS bin FROM flagged WHERE {m} IS NOT NULL) t GROUP BY bin"
         for m, lo, hi, nb in (("FCS", 0.0, 112.0, 40), ("rCSI", 0.0, 56.0, 30))))
     cells = [(h, r, f) for h in ("0", "1", "2-3", "4", "5-6") for r in ("<4", "4-18", ">18")
@@ -579,7 +589,7 @@ CONTEXT = ["_uuid", "EnuName", "EnuSupervisorName", "ADMIN1Name", "ADMIN2Name"]
 
 
 def _deliverables() -> dict[str, str]:
-    from ..operators.deliver import DEFAULT_GUIDANCE, GUIDANCE, SEVERITY, SEVERITY_RANK
+    from ..operators.deliver import CHECK_TEXTS  # wording only; severities are restated below
 
     q: dict[str, str] = {}
     narr = ",\n  ".join(f"{_narrative(m)} AS Flag_{m}_Narrative" for m in MODULES)
@@ -592,60 +602,54 @@ def _deliverables() -> dict[str, str]:
     row_narr = "concat_ws(' || ', " + ", ".join(
         f"CASE WHEN Flag_{m}_Overall = 1 THEN '[{m}] ' || Flag_{m}_Narrative END" for m in MODULES) + ")"
     per_module = ", ".join(f"lr.Flag_{m}_Overall AS {m}_Flag, lr.Flag_{m}_Narrative AS {m}_Issues" for m in MODULES)
-    long = " UNION ALL ".join(
-        f"SELECT _uuid AS id, {i} AS module_pos, row_seq, '[{m}] ' || Flag_{m}_Narrative AS s "
-        f"FROM fn WHERE _uuid IS NOT NULL AND Flag_{m}_Overall = 1" for i, m in enumerate(MODULES))
     q["master_sheet"] = _with(f""", ids AS (
-  SELECT _uuid, max(row_seq) AS last_seq, max({_any_flag()}) AS idf, count(*) AS k FROM fn WHERE _uuid IS NOT NULL GROUP BY 1),
-lr AS (SELECT fn.* FROM fn JOIN ids ON fn._uuid = ids._uuid AND fn.row_seq = ids.last_seq WHERE ids.idf = 1),
-parts AS ({long}),
-txt AS (SELECT id, string_agg(s, ' || ' ORDER BY module_pos, row_seq) AS all_text FROM parts
-        WHERE id IN (SELECT _uuid FROM ids WHERE idf = 1 AND k <= 100) GROUP BY id)
+  SELECT _uuid, max(row_seq) AS last_seq, max({_any_flag()}) AS idf FROM fn WHERE _uuid IS NOT NULL GROUP BY 1),
+lr AS (SELECT fn.* FROM fn JOIN ids ON fn._uuid = ids._uuid AND fn.row_seq = ids.last_seq WHERE ids.idf = 1)
 SELECT f._uuid, f.EnuName, f.EnuSupervisorName, f.ADMIN1Name, f.ADMIN2Name, CAST(f.today AS VARCHAR) AS today,
-  f.row_seq, coalesce(txt.all_text, {row_narr.replace('Flag_', 'f.Flag_')}) AS Flag_All_Narrative,
-  CASE WHEN txt.all_text IS NOT NULL THEN 'id' ELSE 'row' END AS narrative_scope, {per_module}
-FROM fn f JOIN lr ON f._uuid = lr._uuid LEFT JOIN txt ON txt.id = f._uuid""", cte)
+  f.row_seq, {row_narr.replace('Flag_', 'f.Flag_')} AS Flag_All_Narrative, {per_module}
+FROM fn f JOIN lr ON f._uuid = lr._uuid""", cte)
     q["master_narratives"] = _with(" UNION ALL ".join(
         f"SELECT _uuid AS id, '{m}' AS module, CAST({i} AS INTEGER) AS module_pos, row_seq, Flag_{m}_Narrative AS text "
         f"FROM fn WHERE _uuid IS NOT NULL AND Flag_{m}_Overall = 1" for i, m in enumerate(MODULES)), cte)
 
-    cat = ", ".join(f"('{m}', '{c}', '{s}', {SEVERITY_RANK[s]}, '{GUIDANCE.get(c, DEFAULT_GUIDANCE)}')"
-                    for (m, c), s in SEVERITY.items())
+    critical = ("Timing.ShortDuration", "FCS.Identical", "rCSI.ZeroWithPoorFCG", "rCSI.Identical", "LCS.AllNA_PoorFood")
+    warn = ("Timing.LongDuration", "Timing.AbnormalHour", "FCS.Low", "FCS.LowStaple", "FCS.Missing", "rCSI.AdultMealNoChildren", "rCSI.Missing",
+            "LCS.ManyNA", "LCS.NonSequential", "LCS.ChildStratNoChildren", "LCS.Missing", "Demo.SumMismatch", "Demo.Missing",
+            "Housing.DisplacedOwner", "Housing.Missing", "HHExpF.ExtremeItem", "HHExpF.Missing", "HDDS.Low", "HDDS.Missing")
+    texts = ", ".join("('{}', '{}', '{}')".format(c, *(t.replace("'", "''") for t in pair)) for c, pair in CHECK_TEXTS.items())
+    key = """cc.module || '.' || cc."check\""""
     q["issue_ranking"] = _with(f""", cc AS ({_check_counts_body()}),
-cat AS (SELECT * FROM (VALUES {cat}) v(module, "check", severity, severity_rank, action)),
-j AS (SELECT cc.module, cc."check", cc.n_flagged, cc.check_pos, coalesce(cat.severity, 'info') AS severity,
-        CAST(coalesce(cat.severity_rank, 2) AS INTEGER) AS severity_rank,
-        coalesce(cat.action, '{DEFAULT_GUIDANCE}') AS action
-      FROM cc LEFT JOIN cat ON cc.module = cat.module AND cc."check" = cat."check" WHERE cc.n_flagged > 0),
-r AS (SELECT *, CAST(n_flagged AS DOUBLE) / (SELECT count(*) FROM flagged) * 100.0 AS pct,
-        CAST(row_number() OVER (ORDER BY severity_rank, n_flagged DESC, check_pos) AS INTEGER) AS rank FROM j)
-SELECT * FROM r WHERE rank <= 20""")
+txt AS (SELECT * FROM (VALUES {texts}) v("check", description, action)),
+j AS (SELECT cc.module, cc."check", cc.n_flagged, cc.check_pos,
+        CASE WHEN {key} IN {critical} THEN 'critical' WHEN {key} IN {warn} THEN 'warn' ELSE 'info' END AS severity,
+        txt.description, txt.action
+      FROM cc LEFT JOIN txt ON cc."check" = txt."check" WHERE cc.n_flagged > 0),
+k AS (SELECT *, CAST(CASE severity WHEN 'critical' THEN 0 WHEN 'warn' THEN 1 ELSE 2 END AS INTEGER) AS severity_rank FROM j)
+SELECT *, CAST(n_flagged AS DOUBLE) / (SELECT count(*) FROM flagged) * 100.0 AS pct,
+  CAST(row_number() OVER (ORDER BY severity_rank, n_flagged DESC, check_pos) AS INTEGER) AS rank FROM k""")
 
     def rates(key: str) -> str:
         return f"""(SELECT p._g AS name, {_pct("count(*) FILTER (WHERE i._idf = 1 AND p._id IS NOT NULL)", "sum(p._n)")} AS r
   FROM (SELECT _uuid AS _id, {key} AS _g, count(*) AS _n, max({_any_flag()}) AS _f FROM flagged GROUP BY 1, 2) p
-  JOIN (SELECT _uuid AS _id, max({_any_flag()}) AS _idf FROM flagged GROUP BY 1) i ON p._id = i._id
+  JOIN (SELECT _uuid AS _id, max({_any_flag()}) AS _idf FROM flagged GROUP BY 1) i ON p._id IS NOT DISTINCT FROM i._id
   WHERE p._g IS NOT NULL GROUP BY 1)"""
 
     overall = (f"(SELECT round_even({_pct(f'count(DISTINCT CASE WHEN {_any_flag()} = 1 THEN _uuid END)', 'count(*)')}, 1) "
                "AS v FROM flagged)")
     q["priority_alerts"] = _with(f""", a AS (
-  SELECT 0 AS _o, 0.0 AS _s, 'critical' AS level, 'duplicate_ids' AS rule, CAST(NULL AS VARCHAR) AS entity, CAST(v AS DOUBLE) AS value
+  SELECT 0 AS position, 'critical' AS level, 'duplicate_ids' AS rule, CAST(NULL AS VARCHAR) AS entity, CAST(v AS DOUBLE) AS value
     FROM (SELECT count(*) AS v FROM (SELECT _uuid FROM flagged WHERE _uuid IS NOT NULL GROUP BY 1 HAVING count(*) > 1) d) t WHERE v > 0
-  UNION ALL SELECT 1, 0.0, 'critical', 'overall_flag_rate', NULL, v FROM {overall} t WHERE v > 20
-  UNION ALL SELECT 2, -round_even(r, 1), 'warning', 'enumerator_flag_rate', name, round_even(r, 1) FROM {rates('EnuName')} t
+  UNION ALL SELECT 1, 'critical', 'overall_flag_rate', NULL, v FROM {overall} t WHERE v > 20
+  UNION ALL SELECT 2, 'warning', 'enumerator_flag_rate', name, round_even(r, 1) FROM {rates('EnuName')} t
     WHERE round_even(r, 1) > 30
-  UNION ALL SELECT 3, -round_even(r, 1), 'warning', 'area_flag_rate', name, round_even(r, 1) FROM {rates('ADMIN1Name')} t
+  UNION ALL SELECT 3, 'warning', 'area_flag_rate', name, round_even(r, 1) FROM {rates('ADMIN1Name')} t
     WHERE round_even(r, 1) > 30
-  UNION ALL SELECT 4, 0.0, 'warning', 'straight_lining', NULL, CAST(v AS DOUBLE)
-    FROM (SELECT count(*) FILTER (WHERE {STRAIGHT}) AS v FROM flagged) t WHERE v > 0),
-p AS (SELECT level, rule, entity, value, CAST(row_number() OVER (ORDER BY _o, _s, entity NULLS FIRST) AS INTEGER) AS position FROM a)
-SELECT * FROM p WHERE position <= 12""")
+  UNION ALL SELECT 4, 'warning', 'straight_lining', NULL, CAST(v AS DOUBLE)
+    FROM (SELECT count(*) FILTER (WHERE {STRAIGHT}) AS v FROM flagged) t WHERE v > 0)
+SELECT CAST(position AS INTEGER) AS position, level, rule, entity, value FROM a""")
 
-    def named(src: str, cond: str, k: int) -> str:
-        return f"""(SELECT CAST(count(*) AS DOUBLE) AS v,
-    string_agg(CASE WHEN rn <= {k} THEN name END, ', ' ORDER BY rn) AS e
-  FROM (SELECT name, r, row_number() OVER (ORDER BY r DESC, name) AS rn FROM {src} s WHERE {cond}) t)"""
+    def named(src: str, cond: str) -> str:
+        return f"(SELECT round_even(r, 1) AS v, name AS e FROM {src} s WHERE {cond})"
 
     def chk(m: str, c: str) -> str:
         return f"(SELECT CAST(count(*) FILTER (WHERE Flag_{m}_{c} = 1) AS DOUBLE) AS v, CAST(NULL AS VARCHAR) AS e FROM flagged)"
@@ -654,17 +658,17 @@ SELECT * FROM p WHERE position <= 12""")
     rules = [
         (0, "overall_rate_above_20", f"(SELECT v, CAST(NULL AS VARCHAR) AS e FROM {overall} t WHERE v > 20)"),
         (1, "overall_rate_above_10", f"(SELECT v, CAST(NULL AS VARCHAR) AS e FROM {overall} t WHERE v > 10 AND v <= 20)"),
-        (2, "enumerators_above_30", named(rates("EnuName"), "round_even(r, 1) > 30", 4)),
-        (3, "enumerators_15_to_30", named(rates("EnuName"), "round_even(r, 1) > 15 AND round_even(r, 1) <= 30", 3)),
+        (2, "enumerators_above_30", named(rates("EnuName"), "round_even(r, 1) > 30")),
+        (3, "enumerators_15_to_30", named(rates("EnuName"), "round_even(r, 1) > 15 AND round_even(r, 1) <= 30")),
         (4, "poor_fcg_above_30", f"(SELECT v, CAST(NULL AS VARCHAR) AS e FROM {poor} t WHERE v > 30)"),
         (5, "short_interviews", chk("Timing", "ShortDuration")),
         (6, "many_lcs_not_applicable", chk("LCS", "ManyNA")),
         (7, "roster_mismatch", chk("Demo", "SumMismatch")),
         (8, "no_coping_with_poor_fcg", chk("rCSI", "ZeroWithPoorFCG")),
         (9, "identical_fcs", chk("FCS", "Identical")),
-        (10, "areas_above_30", named(rates("ADMIN1Name"), "round_even(r, 1) > 30", 3)),
+        (10, "areas_above_30", named(rates("ADMIN1Name"), "round_even(r, 1) > 30")),
     ]
-    fired = " UNION ALL ".join(f"SELECT {o} AS position, '{c}' AS code, CAST(v AS DOUBLE) AS value, e AS entities "
+    fired = " UNION ALL ".join(f"SELECT {o} AS position, '{c}' AS code, CAST(v AS DOUBLE) AS value, e AS entity "
                                f"FROM {src} x WHERE v > 0" for o, c, src in rules)
     q["recommendations"] = _with(f""", fired AS ({fired})
 SELECT * FROM fired

@@ -143,6 +143,9 @@ QUERIES.update({
     "fcg_share_by_area": _with_flagged(lambda f: M.fcg_share_by_area(f, _dash(f))),
     "rcsi_share_by_enumerator": _with_flagged(lambda f: M.rcsi_share_by_enumerator(f, _dash(f))),
     "fcg_share_top_areas": _with_flagged(lambda f: M.fcg_share_by_area(f, _dash(f), top_n=3)),
+    "fcg_share_by_enumerator": _with_flagged(lambda f: M.fcg_share_by_enumerator(f, _dash(f))),
+    "rcsi_share_by_area": _with_flagged(lambda f: M.rcsi_share_by_area(f, _dash(f))),
+    "behaviour_totals": _with_flagged(M.behaviour_totals),
     "hdds_mean_by_area": _with_flagged(lambda f: M.mean_by(f, _dash(f).area, "HDDS")),
     "score_trend": _with_flagged(lambda f: M.score_trend(f, _dash(f))),
     "lcs_response_dist": _with_flagged(M.lcs_response_dist),
@@ -150,6 +153,9 @@ QUERIES.update({
     "five_number_by_group": _with_flagged(lambda f: M.five_number(f, _dash(f).enu, "Timing_Duration_Min")),
     "fcs_box_by_area": _with_flagged(lambda f: M.five_number(f, _dash(f).area, "FCS")),
     "box_outliers": _with_flagged(lambda f: M.box_outliers(f, _dash(f).enu, "Timing_Duration_Min", _dash(f).hhid)),
+    "rcsi_box_by_area": _with_flagged(lambda f: M.five_number(f, M.score_box_group(_dash(f)), "rCSI")),
+    "fcs_outliers_by_area": _with_flagged(lambda f: M.box_outliers(f, M.score_box_group(_dash(f)), "FCS", _dash(f).hhid)),
+    "rcsi_outliers_by_area": _with_flagged(lambda f: M.box_outliers(f, M.score_box_group(_dash(f)), "rCSI", _dash(f).hhid)),
     "tukey_outliers": _with_flagged(M.tukey_outliers),
     "start_hour_hist": _with_flagged(lambda f: M.start_hour_hist(f, _dash(f))),
     "score_hist": _with_flagged(M.score_hist),

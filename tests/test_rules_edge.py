@@ -149,5 +149,5 @@ def test_present_and_pivot(spark):
     m = spark.createDataFrame([("E1", "2024-01-01"), ("E1", "2024-01-02"), ("E2", "2024-01-02")],
                               "EnuName string, today string").withColumn("today", F.to_date("today"))
     ctx = resolve_context(m.columns, "dashboard")
-    wide = {r.enumerator: (r["2024-01-01"], r["2024-01-02"]) for r in D.submission_pivot(m, ctx).collect()}
+    wide = {r.enumerator: (r["2024-01-01"], r["2024-01-02"]) for r in D.submission_pivot(m, ctx, ["2024-01-01", "2024-01-02"]).collect()}
     assert wide == {"E1": (1, 1), "E2": (0, 1)}
