@@ -85,10 +85,10 @@ class PieceMemo:
             return self.known
         for k in list(got)[:max(0, room)]:
             self.known[k] = got[k]
-        return _Either(got, self.known)
+        return Either(got, self.known)
 
 
-class _Either(dict):
+class Either(dict):
     """The batch's own encodings, then the kept ones (without copying the kept ones)."""
 
     def __init__(self, own: dict, kept: dict):

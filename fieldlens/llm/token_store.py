@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 END_ID = 1
-#: Pieces kept per Python worker (about 150 MB).
-MEMO_PIECES = 500_000
+#: Pieces kept per Python worker (about 200 MB).
+MEMO_PIECES = 1_000_000
 #: Ids in a block, a little more at most than the last document adds.
 BLOCK_IDS = 1 << 16
 #: Blanks at which a text may be cut into pieces: no pre-token of a white-space
@@ -41,6 +41,9 @@ BLANKS = re.compile(r"[ \n\t\r]+")
 #: Characters that ``str.split`` takes for white space and the tokenizer doesn't.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 
+#: Letters that stay letters when normalised, then punctuation: a pre-token each.
+PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?&%$#*|-]+)?")
+
 _MEMOS: dict = {}
 
 
@@ -54,27 +57,62 @@ def _memo(tokenizer_path: str) -> C.PieceMemo:
         mark = next(iter(specials), None)  # an added token never joins its neighbours
         mark_id = specials.get(mark)
 
-        def encode(pieces: list[str]) -> list[bytes]:
+        words_end = _word_ends(tok)
+
+        def marked(pieces: list[str]) -> list[bytes]:
             """Pieces of one call are joined by a special token and split at its id."""
             out: list = [None] * len(pieces)
-            alone = [i for i, p in enumerate(pieces) if mark is None or mark in p]
             rest = [i for i, p in enumerate(pieces) if mark is not None and mark not in p]
             for k in range(0, len(rest), 2000):
                 part = rest[k:k + 2000]
                 ids = np.asarray(tok.encode(mark.join([pieces[i] for i in part]), add_special_tokens=False).ids, dtype="<u4")
                 for i, got in zip(part, np.split(ids, np.flatnonzero(ids == mark_id))):
-                    out[i] = got
-            for i, got in enumerate(out):
-                if got is not None:
                     out[i] = (got[1:] if len(got) and got[0] == mark_id else got).tobytes()
-            for i in alone:
-                out[i] = np.asarray(tok.encode(pieces[i], add_special_tokens=False).ids, dtype="<u4").tobytes()
+            return [np.asarray(tok.encode(p, add_special_tokens=False).ids, dtype="<u4").tobytes() if o is None else o
+                    for p, o in zip(pieces, out)]
+
+        def plain(words: list[str]) -> list[bytes]:
+            """Words that are one pre-token each: joined by blanks and split behind the ids
+            that end a word."""
+            out: list = []
+            for k in range(0, len(words), 200):
+                ids = np.asarray(tok.encode(" ".join(words[k:k + 200]), add_special_tokens=False).ids, dtype="<u4")
+                at = np.flatnonzero(words_end[ids]) + 1
+                if len(at) != len(words[k:k + 200]):  # not one pre-token each after all
+                    out += marked(words[k:k + 200])
+                    continue
+                raw, at = ids.tobytes(), (4 * at).tolist()
+                out += [raw[x:y] for x, y in zip([0] + at[:-1], at)]
             return out
 
+        def encode(pieces: list[str]) -> list[bytes]:
+            found = [PLAIN.fullmatch(p) if words_end is not None else None for p in pieces]
+            memo = _MEMOS[tokenizer_path].known
+            new = list({x for m in found if m for x in m.groups() if x and x not in memo})
+            own = dict(zip(new, plain(new)))
+            odd = [p for p, m in zip(pieces, found) if not m]
+            own.update(zip(odd, marked(odd)))
+            for w in new[:max(0, MEMO_PIECES - len(memo))]:  # words come again with other punctuation
+                memo[w] = own[w]
+            part = C.Either(own, memo)
+            return [b"".join([part[x] for x in m.groups() if x]) if m else own[p] for p, m in zip(pieces, found)]
+
         _MEMOS[tokenizer_path] = C.PieceMemo(encode, MEMO_PIECES)
     return _MEMOS[tokenizer_path]
 
 
+def _word_ends(tok) -> np.ndarray | None:
+    """Which ids end a pre-token, if the vocabulary marks that."""
+    import json
+
+    suffix = json.loads(tok.to_str())["model"].get("end_of_word_suffix")
+    if not suffix:
+        return None
+    ends = np.zeros(max(tok.get_vocab().values()) + 1, dtype=bool)
+    ends[[i for t, i in tok.get_vocab().items() if t.endswith(suffix)]] = True
+    return ends
+
+
 def encode_texts(found: list[str], tokenizer_path: str) -> Iterator[np.ndarray]:
     """Ids of each text, end id included; equal to encoding the whole text at once."""
     memo = _memo(tokenizer_path)
