@@ -58,14 +58,20 @@ def _present(names, avail) -> list[str]:
     return [n for n in names if n in avail]
 
 
-def _generic(name, specs, avail) -> tuple[str, str, str, str]:
+def _generic(name, specs, avail, p: P.Profile) -> tuple[str, str, str, str]:
     """C1 + C3 over the declared specs that are present."""
-    specs = [s for s in specs if s.name in avail]
+    specs = [s for s in p.specs(tuple(specs)) if s.name in avail]
     required = [s.name for s in specs if s.required]
     erroneous = R.erroneous_when_answered(q(f"Flag_{name}_Missing"), R.any_of([R.out_of_spec(s) for s in specs]))
     return R.missing_any(required), R.missing_text(required), erroneous, R.erroneous_text(specs)
 
 
+def _scored(declared, weights) -> tuple[P.ColumnSpec, ...]:
+    """Specs of the scored columns; a column the standard doesn't declare counts days of a week."""
+    known = {s.name: s for s in declared}
+    return tuple(known.get(c, P.ColumnSpec(c, "num", 0, 7)) for c in weights)
+
+
 def _fmt(v: float) -> str:
     return f"{v:,}" if float(v) != int(v) else f"{int(v):,}"
 
@@ -102,7 +108,7 @@ def demo(avail: set[str], p: P.Profile) -> ModulePlan:
             concat(text("Pregnant/lactating count "), num_text("`HHPregLactNb`"),
                    text(" exceeds females aged 12-59 ("), num_text("`Sum_F1259`"), text(")")),
         ))
-    return ModulePlan("Demo", derived, *_generic("Demo", P.DEMO_SPECS, avail), checks)
+    return ModulePlan("Demo", derived, *_generic("Demo", P.DEMO_SPECS, avail, p), checks)
 
 
 # -- FCS ------------------------------------------------------------------------
@@ -121,11 +127,11 @@ def _identical(names: list[str]) -> str:
 
 def fcs(avail: set[str], p: P.Profile) -> ModulePlan:
     t = p.thresholds["FCS"]
-    groups = _present(P.FCS_GROUPS, avail)
-    gen = _generic("FCS", P.FCS_SPECS, avail)
+    groups = _present(p.fcs_weights, avail)
+    gen = _generic("FCS", _scored(P.FCS_SPECS, p.fcs_weights), avail, p)
     if not groups:  # no answers at all: no score and no specific check
         return ModulePlan("FCS", {}, *gen, [])
-    derived = {"FCS": R.weighted_sum({g: P.FCS_WEIGHTS[g] for g in groups}),
+    derived = {"FCS": R.weighted_sum({g: p.fcs_weights[g] for g in groups}),
                "FCG": fcg_band("`FCS`", t["fcg_poor_threshold"], t["fcg_borderline_threshold"])}
     checks: list[Check] = []
     if len(groups) > 1:
@@ -146,7 +152,7 @@ def fcs(avail: set[str], p: P.Profile) -> ModulePlan:
 def hdds(avail: set[str], p: P.Profile) -> ModulePlan:
     low = p.thresholds["HDDS"]["low_hdds_threshold"]
     scored = _present(P.HDDS_SCORED, avail)
-    gen = _generic("HDDS", P.HDDS_SPECS, avail)
+    gen = _generic("HDDS", P.HDDS_SPECS, avail, p)
     if not scored:
         return ModulePlan("HDDS", {}, *gen, [])
     checks = [
@@ -162,11 +168,11 @@ def hdds(avail: set[str], p: P.Profile) -> ModulePlan:
 
 def rcsi(avail: set[str], p: P.Profile) -> ModulePlan:
     t = p.thresholds["rCSI"]
-    strategies = _present(P.RCSI_STRATEGIES, avail)
-    gen = _generic("rCSI", P.RCSI_SPECS, avail)
+    strategies = _present(p.rcsi_weights, avail)
+    gen = _generic("rCSI", _scored(P.RCSI_SPECS, p.rcsi_weights), avail, p)
     if not strategies:
         return ModulePlan("rCSI", {}, *gen, [])
-    derived = {"rCSI": R.weighted_sum({s: P.RCSI_WEIGHTS[s] for s in strategies})}
+    derived = {"rCSI": R.weighted_sum({s: p.rcsi_weights[s] for s in strategies})}
     checks: list[Check] = []
     if t["flag_identical"] and len(strategies) > 1:
         checks.append(Check("Identical", _identical(strategies),
@@ -194,7 +200,7 @@ def housing(avail: set[str], p: P.Profile) -> ModulePlan:
             "DisplacedOwner", f"{R.is_in('`HHStatus`', P.HOUSING_DISPLACED)} AND `HHTenureType` = {num(P.HOUSING_OWNER)}",
             concat(text("Displaced household (status "), num_text("`HHStatus`"), text(") reports owning its dwelling")),
         ))
-    return ModulePlan("Housing", {}, *_generic("Housing", P.HOUSING_SPECS, avail), checks)
+    return ModulePlan("Housing", {}, *_generic("Housing", P.HOUSING_SPECS, avail, p), checks)
 
 
 # -- LCS ------------------------------------------------------------------------
@@ -215,10 +221,10 @@ def highest_tier(avail) -> Column:
 
 
 def lcs(avail: set[str], p: P.Profile) -> ModulePlan:
-    stress, crisis, emerg = (_present(x, avail) for x in (P.LCS_STRESS, P.LCS_CRISIS, P.LCS_EMERGENCY))
-    child = _present(P.LCS_CHILD, avail)
+    stress, crisis, emerg = (_present(p.lcs_tiers[x], avail) for x in ("stress", "crisis", "emergency"))
+    child = _present(p.lcs_child, avail)
     all_lcs = stress + crisis + emerg
-    gen = _generic("LCS", P.LCS_SPECS, avail)
+    gen = _generic("LCS", tuple(P.ColumnSpec(c, "num", choices=P.LCS_CODES) for c in all_lcs), avail, p)
     if not all_lcs:
         return ModulePlan("LCS", {}, *gen, [])
     na = num(P.LCS_NA)
@@ -229,7 +235,7 @@ def lcs(avail: set[str], p: P.Profile) -> ModulePlan:
                             text("A child-related coping strategy was used, but the roster has no children")))
     if "FCG" in avail:
         checks.append(Check("AllNA_PoorFood", f"{R.all_of([f'{q(n)} = {na}' for n in all_lcs])} AND `FCG` = 'Poor'",
-                            text("Every coping strategy marked not applicable although food consumption is Poor")))
+                            text("No strategy is said to apply although food consumption is Poor")))
     if stress and crisis and emerg:
         checks.append(Check("NonSequential", f"{_used(emerg)} AND NOT ({_used(stress)} OR {_used(crisis)})",
                             text("Emergency strategy used without any stress or crisis strategy")))
@@ -244,7 +250,7 @@ def lcs(avail: set[str], p: P.Profile) -> ModulePlan:
 def expenditure(module: str):
     def build(avail: set[str], p: P.Profile) -> ModulePlan:
         t = p.thresholds[module]
-        cols = _present(P.EXP_COLUMNS[module], avail)
+        cols = _present(p.expenses[module], avail)
         missing, mm = R.missing_all(cols), text(f"Every {module} amount is missing")
         if not cols:
             return ModulePlan(module, {}, missing, mm, "0", "''", [])

@@ -82,6 +82,8 @@ def hdds_band(c: Column) -> Column:
 def straight_line(columns: Sequence[str]) -> Column:
     """At least two answers and all answers equal (zeros included)."""
     cols = [col(c) for c in columns]
+    if len(cols) < 2:
+        return F.lit(False)
     answered = reduce(lambda a, b: a + b, [c.isNotNull().cast("int") for c in cols])
     return (answered >= 2) & (F.greatest(*cols) == F.least(*cols))
 

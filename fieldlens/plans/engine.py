@@ -30,10 +30,10 @@ def plan_modules(columns: list[str], profile: P.Profile) -> list[ModulePlan]:
     """Build the enabled modules in dependency order from column names only."""
     avail = set(columns)
     plans = []
-    for name in P.MODULE_ORDER:
+    for name in profile.order:
         if name not in profile.enabled:
             continue
-        plan = MODULES[name](avail, profile)
+        plan = (profile.own_modules.get(name) or MODULES[name])(avail, profile)
         plans.append(plan)
         avail |= set(plan.derived)
     return plans
@@ -102,8 +102,9 @@ def module_flag_columns(flagged: DataFrame, module: str) -> list[str]:
 
 
 def modules_in(flagged: DataFrame) -> list[str]:
-    """Modules that ran, in run order (their Overall column exists)."""
-    return [m for m in P.MODULE_ORDER if f"Flag_{m}_Overall" in flagged.columns]
+    """Modules that ran, in run order (their Overall column exists); own modules last."""
+    ran = [c[5:-8] for c in flagged.columns if c.startswith("Flag_") and c.endswith("_Overall") and c != ANY_FLAG]
+    return [m for m in P.MODULE_ORDER if m in ran] + [m for m in ran if m not in P.MODULE_ORDER]
 
 
 # Derived columns each module shows in its own view.

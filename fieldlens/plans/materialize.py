@@ -13,7 +13,6 @@ machine-local folder is made only when the session names none (tests).
 from __future__ import annotations
 
 import hashlib
-import os
 import uuid
 from contextlib import contextmanager
 from pathlib import Path
@@ -24,25 +23,18 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import checkpoint_dir
 
 _PKG_ROOT = Path(__file__).resolve().parents[1]
+#: Packages whose sources have no part in a flagged table.
+_APART = ("llm",)
 
 
 def code_version() -> str:
     """Hash of the package sources, so a table built by older rules is never reused."""
     h = hashlib.sha1()
     for path in sorted(_PKG_ROOT.rglob("*.py")):
-        h.update(path.relative_to(_PKG_ROOT).as_posix().encode())
-        h.update(path.read_bytes())
-    return h.hexdigest()[:12]
-
-
-def input_fingerprint(paths: list[str]) -> str:
-    """Path, size and modification time of local inputs (remote paths: path only)."""
-    h = hashlib.sha1()
-    for p in paths:
-        h.update(p.encode())
-        if os.path.exists(p):
-            st = os.stat(p)
-            h.update(f"{st.st_size}:{st.st_mtime_ns}".encode())
+        name = path.relative_to(_PKG_ROOT)
+        if name.parts[0] not in _APART:
+            h.update(name.as_posix().encode())
+            h.update(path.read_bytes())
     return h.hexdigest()[:12]
 
 
@@ -51,6 +43,19 @@ def _fs(spark: SparkSession, path: str):
     return hpath.getFileSystem(spark._jsc.hadoopConfiguration()), hpath
 
 
+def input_fingerprint(spark: SparkSession, paths: list[str]) -> str:
+    """Path, length and modification time of every input file, listed by the store itself
+    (local, HDFS, object store), so a changed input never finds an older table."""
+    found = []
+    for p in paths:
+        fs, hpath = _fs(spark, p)
+        files = fs.listFiles(hpath, True)
+        while files.hasNext():
+            f = files.next()
+            found.append(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}")
+    return hashlib.sha1("\n".join(sorted(found)).encode()).hexdigest()[:12]
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     fs, hpath = _fs(spark, path)
     return fs.exists(hpath)
@@ -79,34 +84,63 @@ def session_conf(spark: SparkSession, conf: Mapping[str, str]):
                 spark.conf.set(k, v)
 
 
+def _pointed(spark: SparkSession, path: str) -> str | None:
+    """Version that the pointer file of a table names."""
+    fs, pointer = _fs(spark, f"{path}/CURRENT")
+    if not fs.exists(pointer):
+        return None
+    stream = fs.open(pointer)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").strip()
+    finally:
+        stream.close()
+
+
+def _point(spark: SparkSession, path: str, version: str) -> None:
+    """Publish a version: one small file is replaced, no data is moved."""
+    fs, pointer = _fs(spark, f"{path}/CURRENT")
+    stream = fs.create(pointer, True)
+    try:
+        stream.write(bytearray(version.encode()))
+    finally:
+        stream.close()
+
+
+def drop_versions(spark: SparkSession, name: str, keep_current: bool = True) -> list[str]:
+    """Delete the versions of a table that its pointer doesn't name (readers of them must be done)."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/fieldlens/{name}"
+    current = _pointed(spark, path) if keep_current else None
+    fs, hpath = _fs(spark, path)
+    gone = []
+    for f in (fs.listStatus(hpath) if fs.exists(hpath) else []):
+        version = f.getPath().getName()
+        if version.startswith("v-") and version != current:
+            fs.delete(f.getPath(), True)
+            gone.append(version)
+    return gone
+
+
 def materialize(spark: SparkSession, build: Callable[[], DataFrame], name: str,
                 conf: Mapping[str, str] = RULE_JOB_CONF, rebuild: bool = False) -> DataFrame:
     """Write ``build()`` as Parquet under the checkpoint folder once; return a scan of it.
 
-    ``build`` is only called when the table is not there yet (or ``rebuild``).  The write is
-    idempotent: a retry after a lost executor or a driver restart finds the
-    ``_SUCCESS`` marker and reads the finished table.
+    ``build`` is only called when the table has no finished version (or ``rebuild``), and the
+    write is a job of its own.  A version is written to a folder of its own and then named in
+    a small pointer file: readers of the version before keep their files, a write that
+    failed is never read, and of two builders the later one is pointed at.  ``drop_versions``
+    clears what is left behind.
     """
-    base = checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/fieldlens/{name}"
-    key = (id(spark), path)
-    done = f"{path}/_SUCCESS"
-    if key in _READ and not rebuild and _exists(spark, done):
-        return _READ[key]
-    if rebuild or not _exists(spark, done):
-        # Write beside the target, then move it into place: a reader never sees a
-        # half-written table, and concurrent builders of the same key do not clash.
-        tmp = f"{path}.tmp-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/fieldlens/{name}"
+    version = None if rebuild else _pointed(spark, path)
+    if version is None or not _exists(spark, f"{path}/{version}/_SUCCESS"):
+        version = f"v-{uuid.uuid4().hex}"
         with session_conf(spark, conf):
-            build().write.mode("overwrite").parquet(tmp)
-        fs, target = _fs(spark, path)
-        _, htmp = _fs(spark, tmp)
-        if fs.exists(target) and (rebuild or not _exists(spark, done)):
-            fs.delete(target, True)  # replaced on request, or left incomplete by a crash
-        if fs.exists(target) or not fs.rename(htmp, target):
-            fs.delete(htmp, True)  # another builder finished first: keep its table
-    _READ[key] = spark.read.parquet(path)  # file listing and footer schema read once per session
+            build().write.parquet(f"{path}/{version}")
+        _point(spark, path, version)
+    key = (spark.sparkContext.applicationId, f"{path}/{version}")
+    if key not in _READ:
+        _READ[key] = spark.read.parquet(f"{path}/{version}")  # file listing and footer schema read once per application
     return _READ[key]
 
 
-_READ: dict[tuple[int, str], DataFrame] = {}
+_READ: dict[tuple[str, str], DataFrame] = {}

@@ -84,12 +84,12 @@ def _used(cols) -> str:
     return _or([f"{_q(c)} IN (20, 30)" for c in cols])
 
 
-def _flagged_cte(fcs_high: int = 112, staple: int = 1, short: int = 10) -> str:
+def _flagged_cte(fcs_high: int = 112, staple: int = 1, short: int = 10, weights=FCS_W, poor: int = 21, borderline: int = 35) -> str:
     derived = ",\n    ".join([
         f"{_sum0(DEMO_M)} AS Sum_M", f"{_sum0(DEMO_F)} AS Sum_F", f"{_sum0(DEMO_M + DEMO_F)} AS Sum_All",
         f"{_sum0(DEMO_ADULT)} AS Sum_Adults", f"{_sum0(DEMO_CHILD)} AS Sum_Children",
         f"{_sum0(['HHSize1217F', 'HHSize1859F'])} AS Sum_F1259",
-        "(" + " + ".join(f"{_q(c)} * {w}" for c, w in FCS_W) + ") AS FCS",
+        "(" + " + ".join(f"{_q(c)} * {w}" for c, w in weights) + ") AS FCS",
         "(" + " + ".join(f"{_q(c)} * {w}" for c, w in RCSI_W) + ") AS rCSI",
         f"CAST({_sum0(HDDS)} AS DOUBLE) AS HDDS",
         '(epoch_us("end") - epoch_us("start")) / 60000000.0 AS Timing_Duration_Min',
@@ -166,8 +166,8 @@ def _flagged_cte(fcs_high: int = 112, staple: int = 1, short: int = 10) -> str:
     return (
         f"s AS ({survey_sql()}),\n"
         f"d AS (SELECT *,\n    {derived}\n  FROM s),\n"
-        "d2 AS (SELECT *, CASE WHEN FCS < 21 THEN 'Poor' WHEN FCS < 35 THEN 'Borderline' "
-        "WHEN FCS >= 35 THEN 'Acceptable' END AS FCG FROM d),\n"
+        f"d2 AS (SELECT *, CASE WHEN FCS < {poor} THEN 'Poor' WHEN FCS < {borderline} THEN 'Borderline' "
+        f"WHEN FCS >= {borderline} THEN 'Acceptable' END AS FCG FROM d),\n"
         f"m AS (SELECT *,\n    {missing}\n  FROM d2),\n"
         f"e AS (SELECT *,\n    {erroneous}\n  FROM m),\n"
         f"c AS (SELECT *,\n    {', '.join(check_sql)}\n  FROM e),\n"
@@ -279,6 +279,10 @@ def _queries() -> dict[str, str]:
     q["fcs_flags_dashboard"] = _with(
         "SELECT _uuid, row_seq, FCS, FCG, " + ", ".join(f"CAST(Flag_FCS_{c} AS DOUBLE) AS Flag_FCS_{c}" for c in
         ["Missing", "Erroneous", "Identical", "LowStaple", "Low", "High", "Overall"]) + " FROM flagged", dash)
+    own = _flagged_cte(weights=[(c, {"FCSSugar": 0.25, "FCSPr": 3.5}.get(c, w)) for c, w in FCS_W], poor=28, borderline=42)
+    q["fcs_own_weights"] = _with(
+        "SELECT _uuid, row_seq, FCS, FCG, " + ", ".join(f"CAST(Flag_{f} AS DOUBLE) AS Flag_{f}" for f in
+        ["FCS_Low", "FCS_High", "FCS_Overall", "rCSI_ZeroWithPoorFCG", "rCSI_HighWithAcceptFCG"]) + " FROM flagged", own)
     q["check_counts"] = _with(_check_counts_body())
     q["fcs_summary"] = _with(f"SELECT * FROM ({_check_counts_body()}) t WHERE module = 'FCS'")
     q["top_checks"] = _with(f"SELECT * FROM ({_check_counts_body()}) t WHERE n_flagged > 0")
@@ -551,7 +555,7 @@ def _narratives() -> dict[str, list[tuple[str, str]]]:
             ("Missing", _missing_text(LCS)),
             ("Erroneous", _range_text([(c, _choice(c, [10, 20, 30, 9999])) for c in LCS])),
             ("ChildStratNoChildren", "'A child-related coping strategy was used, but the roster has no children'"),
-            ("AllNA_PoorFood", "'Every coping strategy marked not applicable although food consumption is Poor'"),
+            ("AllNA_PoorFood", "'No strategy is said to apply although food consumption is Poor'"),
             ("NonSequential", "'Emergency strategy used without any stress or crisis strategy'"),
             ("ManyNA", "CAST(coalesce(" + " + ".join(f"CASE WHEN {_q(c)} = 9999 THEN 1 ELSE 0 END" for c in LCS)
              + ", 0) AS VARCHAR) || ' strategies marked not applicable'"),

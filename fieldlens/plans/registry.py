@@ -26,31 +26,23 @@ from .materialize import code_version, input_fingerprint, materialize
 SAMPLE_TARGET = 12_000
 
 
-def balanced(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Spread a scan with fewer partitions than task slots (e.g. one row group)
-    over the slots; a scan that is already wide enough is left alone."""
-    slots = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < slots:
-        return df.repartition(slots)
-    return df
-
-
 def survey(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Balance the narrow ``events`` scan, before the survey columns are derived.
-    return survey_from_events(balanced(spark, spark.read.parquet(events_path(sf_dir))))
+    return survey_from_events(spark.read.parquet(events_path(sf_dir)))
 
 
 def flagged(spark: SparkSession, sf_dir: str, prof: P.Profile | None = None, rebuild: bool = False) -> DataFrame:
-    """The flagged survey of ``sf_dir``, computed once and read back as Parquet."""
+    """The flagged survey of ``sf_dir``: written once by a job of its own, then a lazy scan.
+
+    The key holds the input's files, the rules' sources and every value of the profile."""
     prof = prof or P.fixture()
-    key = f"flagged-{prof.name}-{input_fingerprint([events_path(sf_dir)])}-{code_version()}"
+    key = f"flagged-{prof.name}-{prof.fingerprint()}-{input_fingerprint(spark, [events_path(sf_dir)])}-{code_version()}"
     return materialize(spark, lambda: run_checks(survey(spark, sf_dir), prof), key, rebuild=rebuild)
 
 
 def flagged_from(spark: SparkSession, survey_df: DataFrame, name: str, prof: P.Profile | None = None) -> DataFrame:
     """Flag any survey DataFrame once (materialized under ``name`` + code version)."""
     prof = prof or P.fixture()
-    return materialize(spark, lambda: run_checks(balanced(spark, survey_df), prof), f"{name}-{prof.name}-{code_version()}",
+    return materialize(spark, lambda: run_checks(survey_df, prof), f"{name}-{prof.name}-{prof.fingerprint()}-{code_version()}",
                        rebuild=True)
 
 
@@ -99,6 +91,16 @@ def _fcs_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "Flag_FCS_LowStaple", "Flag_FCS_Low", "Flag_FCS_High", "Flag_FCS_Overall"))
 
 
+def _fcs_own_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FCS and rCSI under a country profile: two weights changed, the higher cut-offs 28 and 42."""
+    prof = P.fixture().with_settings({
+        "fcs_weights": {**P.FCS_WEIGHTS, "FCSSugar": 0.25, "FCSPr": 3.5},
+        "thresholds": {"FCS": {"fcg_poor_threshold": 28, "fcg_borderline_threshold": 42}}}, name="own-weights")
+    f = run_checks(survey(spark, sf_dir), prof, only=["FCS", "rCSI"])
+    return portable(f.select("_uuid", "row_seq", "FCS", "FCG", "Flag_FCS_Low", "Flag_FCS_High", "Flag_FCS_Overall",
+                             "Flag_rCSI_ZeroWithPoorFCG", "Flag_rCSI_HighWithAcceptFCG"))
+
+
 def _error_log(module: str) -> Callable[[DataFrame], DataFrame]:
     return lambda f: D.error_log(f, module, P.fixture())
 
@@ -108,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 for _m in P.MODULE_ORDER:
     QUERIES[f"{_m.lower()}_flags"] = _with_flagged(_module_flags(_m))
 QUERIES["fcs_flags_dashboard"] = _fcs_dashboard
+QUERIES["fcs_own_weights"] = _fcs_own_weights
 QUERIES.update({
     # slice 1 / 3: summaries
     "fcs_summary": _with_flagged(lambda f: M.check_counts(f).where(F.col("module") == "FCS")),

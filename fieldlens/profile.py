@@ -7,9 +7,11 @@ layering follows standard < preset < override (B10).
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import hashlib
+import json
+from dataclasses import dataclass, field, replace
 from types import MappingProxyType
-from typing import Any, Mapping
+from typing import Any, Callable, Mapping
 
 
 @dataclass(frozen=True)
@@ -118,7 +120,7 @@ HHS_COLUMNS = ("HHSBedHung", "HHSNoFood", "HHSNotEat")
 
 MODULE_ORDER = ("Demo", "FCS", "HDDS", "rCSI", "Housing", "LCS", "HHExpF", "HHExpNF1M", "HHExpNF6M", "Timing")
 
-# Configurable thresholds: the batch defaults.
+# Names and batch defaults of the configurable thresholds.
 BATCH_THRESHOLDS: dict[str, dict[str, Any]] = {
     "Demo": {"high_hhsize_threshold": 30, "hhsize_sum_tolerance": 1},
     "FCS": {
@@ -138,7 +140,7 @@ BATCH_THRESHOLDS: dict[str, dict[str, Any]] = {
     },
 }
 
-# Dashboard preset: the interactive defaults differ on three thresholds.
+# The dashboard preset differs on three thresholds.
 DASHBOARD_OVERRIDES: dict[str, dict[str, Any]] = {
     "FCS": {"high_fcs_threshold": 100, "low_staple_threshold": 2},
     "Timing": {"short_duration_min": 20},
@@ -149,17 +151,48 @@ def _freeze(d: Mapping[str, Mapping[str, Any]]):
     return MappingProxyType({k: MappingProxyType(dict(v)) for k, v in d.items()})
 
 
+def _frozen(values: Mapping[str, Any]) -> Mapping[str, Any]:
+    return field(default_factory=lambda: MappingProxyType(dict(values)))
+
+
 @dataclass(frozen=True)
 class Profile:
-    """Thresholds per module plus the module selection."""
+    """Everything a country can set: thresholds, module choice, weights, columns, codes and
+    ranges, and modules of its own.  Layers go on top of each other: standard values,
+    preset, file, single settings."""
 
     thresholds: Mapping[str, Mapping[str, Any]] = field(default_factory=lambda: _freeze(BATCH_THRESHOLDS))
     enabled: tuple[str, ...] = MODULE_ORDER
     name: str = "batch"
+    fcs_weights: Mapping[str, float] = _frozen(FCS_WEIGHTS)
+    rcsi_weights: Mapping[str, float] = _frozen(RCSI_WEIGHTS)
+    expenses: Mapping[str, tuple[str, ...]] = _frozen(EXP_COLUMNS)
+    lcs_tiers: Mapping[str, tuple[str, ...]] = _frozen({"stress": LCS_STRESS, "crisis": LCS_CRISIS, "emergency": LCS_EMERGENCY})
+    lcs_child: tuple[str, ...] = LCS_CHILD
+    #: column -> (least, largest) valid answer, instead of the declared range.
+    ranges: Mapping[str, tuple[float | None, float | None]] = _frozen({})
+    #: own modules: name -> builder(available columns, profile) -> ModulePlan.
+    own_modules: Mapping[str, Callable] = _frozen({})
 
     def t(self, module: str, key: str) -> Any:
         return self.thresholds[module][key]
 
+    @property
+    def order(self) -> tuple[str, ...]:
+        """Run order: the standard modules, then the own ones as they were added."""
+        return MODULE_ORDER + tuple(self.own_modules)
+
+    def specs(self, module_specs: tuple[ColumnSpec, ...]) -> tuple[ColumnSpec, ...]:
+        """Column specs with this profile's ranges."""
+        return tuple(replace(s, min=self.ranges[s.name][0], max=self.ranges[s.name][1]) if s.name in self.ranges else s
+                     for s in module_specs)
+
+    def fingerprint(self) -> str:
+        """Hash of every value, so tables of different profiles never share a name."""
+        plain = {k: (sorted((n, f"{f.__module__}.{f.__qualname__}") for n, f in v.items()) if k == "own_modules" else _plain(v))
+                 for k, v in vars(self).items()}
+        return hashlib.sha1(json.dumps(plain, sort_keys=True, default=str).encode()).hexdigest()[:12]
+
     def with_overrides(self, overrides: Mapping[str, Mapping[str, Any]], name: str | None = None) -> "Profile":
         """Layer ``{module: {key: value}}`` on top; unknown keys are rejected."""
         merged = {m: dict(v) for m, v in self.thresholds.items()}
@@ -170,15 +203,59 @@ class Profile:
                 if key not in merged[module]:
                     raise KeyError(f"unknown threshold {module}.{key}")
                 merged[module][key] = value
-        return Profile(_freeze(merged), self.enabled, name or self.name)
+        return replace(self, thresholds=_freeze(merged), name=name or self.name)
+
+    def with_settings(self, settings: Mapping[str, Any], name: str | None = None) -> "Profile":
+        """Layer a settings mapping (as read from a JSON file) on top.
+
+        Keys: thresholds, fcs_weights, rcsi_weights, expenses ({module: [columns]}), lcs_tiers,
+        lcs_child, ranges ({column: [least, largest]}), enabled.  Weights, tiers and expenses
+        replace the standard ones of the same name; unknown keys are rejected."""
+        known = {"thresholds", "fcs_weights", "rcsi_weights", "expenses", "lcs_tiers", "lcs_child", "ranges", "enabled"}
+        if unknown := set(settings) - known:
+            raise KeyError(f"unknown settings {sorted(unknown)}; known: {sorted(known)}")
+        out = self.with_overrides(settings.get("thresholds", {}), name)
+        new: dict[str, Any] = {}
+        for key in ("fcs_weights", "rcsi_weights"):
+            if key in settings:
+                new[key] = MappingProxyType({c: float(w) for c, w in settings[key].items()})
+        for key in ("expenses", "lcs_tiers"):
+            if key in settings:
+                if wrong := set(settings[key]) - set(getattr(out, key)):
+                    raise KeyError(f"unknown {key} {sorted(wrong)}; known: {sorted(getattr(out, key))}")
+                new[key] = MappingProxyType({**getattr(out, key), **{k: tuple(v) for k, v in settings[key].items()}})
+        if "lcs_child" in settings:
+            new["lcs_child"] = tuple(settings["lcs_child"])
+        if "ranges" in settings:
+            new["ranges"] = MappingProxyType({**out.ranges, **{c: (r[0], r[1]) for c, r in settings["ranges"].items()}})
+        out = replace(out, **new)
+        return out.select(only=settings["enabled"]) if "enabled" in settings else out
+
+    def with_module(self, name: str, builder: Callable) -> "Profile":
+        """Add an own module, run after the standard ones."""
+        if name in self.order or name == "Any":
+            raise KeyError(f"module {name!r} exists")
+        return replace(self, own_modules=MappingProxyType({**self.own_modules, name: builder}), enabled=self.enabled + (name,))
 
     def select(self, only=None, skip=()) -> "Profile":
         """Module choice (B9): keep the fixed order, apply only/skip."""
-        unknown = [m for m in list(only or []) + list(skip) if m not in MODULE_ORDER]
+        unknown = [m for m in list(only or []) + list(skip) if m not in self.order]
         if unknown:
-            raise KeyError(f"unknown module(s) {unknown}; known: {list(MODULE_ORDER)}")
-        keep = tuple(m for m in self.enabled if (not only or m in only) and m not in skip)
-        return Profile(self.thresholds, keep, self.name)
+            raise KeyError(f"unknown module(s) {unknown}; known: {list(self.order)}")
+        return replace(self, enabled=tuple(m for m in self.enabled if (not only or m in only) and m not in skip))
+
+
+def _plain(value: Any) -> Any:
+    return {k: _plain(v) for k, v in value.items()} if isinstance(value, Mapping) else value
+
+
+def parse_setting(text: str) -> dict[str, dict[str, Any]]:
+    """``Module.key=value`` as an override; the value is JSON (number, true, false)."""
+    path, found, value = text.partition("=")
+    module, dot, key = path.strip().partition(".")
+    if not (found and dot and module and key):
+        raise ValueError(f"expected Module.key=value, got {text!r}")
+    return {module: {key: json.loads(value)}}
 
 
 def batch() -> Profile:

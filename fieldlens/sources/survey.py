@@ -7,7 +7,9 @@ Nothing here runs a job except ``shape``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from typing import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,13 +22,14 @@ SUPPORTED_FORMATS = ("csv", "parquet", "orc", "json")
 NUMERIC_TEXT = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$|^[+-]?(inf|infinity)$"
 
 
-def declared_specs() -> dict[str, P.ColumnSpec]:
-    """Every column the modules know, by name, with its declared kind."""
+def declared_specs(profile: P.Profile | None = None) -> dict[str, P.ColumnSpec]:
+    """Every column the modules know, by name, with its declared kind; a profile adds its own."""
     specs: dict[str, P.ColumnSpec] = {}
     for group in (P.DEMO_SPECS, P.FCS_SPECS, P.RCSI_SPECS, P.HDDS_SPECS, P.HOUSING_SPECS, P.LCS_SPECS, P.TIMING_SPECS):
         for s in group:
             specs.setdefault(s.name, s)
-    for cols in P.EXP_COLUMNS.values():
+    own = profile or P.batch()
+    for cols in (*P.EXP_COLUMNS.values(), *own.expenses.values(), own.fcs_weights, own.rcsi_weights, *own.lcs_tiers.values()):
         for c in cols:
             specs.setdefault(c, P.ColumnSpec(c, "num", required=False))
     for c in P.HHS_COLUMNS:
@@ -45,25 +48,34 @@ def _to_double(c: Column, dtype: T.DataType) -> Column:
     return F.when(~F.isnan(parsed), parsed)  # NaN -> NULL; NULL stays NULL
 
 
-def _to_timestamp(c: Column, dtype: T.DataType) -> Column:
+def _moment(c: Column, formats: Sequence[str]) -> Column:
+    """Text as a timestamp: ISO first, then the given patterns in order; anything else is NULL."""
+    text = F.trim(c.cast("string"))
+    return F.coalesce(F.try_to_timestamp(text), *[F.try_to_timestamp(text, F.lit(f)) for f in formats])
+
+
+def _to_timestamp(c: Column, dtype: T.DataType, formats: Sequence[str]) -> Column:
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
         return c
     if isinstance(dtype, T.DateType):
         return c.cast("timestamp")
-    return F.try_to_timestamp(c.cast("string"))
+    return _moment(c, formats)
 
 
-def _to_date(c: Column, dtype: T.DataType) -> Column:
+def _to_date(c: Column, dtype: T.DataType, formats: Sequence[str]) -> Column:
     if isinstance(dtype, T.DateType):
         return c
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
         return F.to_date(c)
-    return F.to_date(F.try_to_timestamp(c.cast("string")))
+    return F.to_date(_moment(c, formats))
+
 
+def coerce_types(df: DataFrame, specs: dict[str, P.ColumnSpec] | None = None, date_formats: Sequence[str] = (),
+                 profile: P.Profile | None = None) -> DataFrame:
+    """Cast each declared column that exists to its kind; bad values -> NULL.
 
-def coerce_types(df: DataFrame, specs: dict[str, P.ColumnSpec] | None = None) -> DataFrame:
-    """Cast each declared column that exists to its kind; bad values -> NULL."""
-    specs = specs or declared_specs()
+    ``date_formats``: patterns of text dates (such as ``dd/MM/yyyy HH:mm``), tried after ISO."""
+    specs = specs or declared_specs(profile)
     fields = {f.name: f.dataType for f in df.schema.fields}
     out: dict[str, Column] = {}
     for name, spec in specs.items():
@@ -76,15 +88,16 @@ def coerce_types(df: DataFrame, specs: dict[str, P.ColumnSpec] | None = None) ->
             else:
                 out[name] = _to_double(c, dtype)
         elif spec.kind == "datetime":
-            out[name] = _to_timestamp(c, dtype)
+            out[name] = _to_timestamp(c, dtype, date_formats)
         elif spec.kind == "date":
-            out[name] = _to_date(c, dtype)
+            out[name] = _to_date(c, dtype, date_formats)
         elif spec.kind == "str":
             out[name] = c.cast("string")
     return df.withColumns(out) if out else df
 
 
-def load_survey(spark: SparkSession, path: str, fmt: str = "parquet", options: dict | None = None) -> DataFrame:
+def load_survey(spark: SparkSession, path: str, fmt: str = "parquet", options: dict | None = None,
+                date_formats: Sequence[str] = (), profile: P.Profile | None = None) -> DataFrame:
     """A1/A2: read a survey file set; CSV columns arrive as text (no inference)."""
     fmt = fmt.lower()
     if fmt not in SUPPORTED_FORMATS:
@@ -94,20 +107,35 @@ def load_survey(spark: SparkSession, path: str, fmt: str = "parquet", options: d
         reader = reader.option("header", True).option("inferSchema", False)
     for key, value in (options or {}).items():
         reader = reader.option(key, value)
-    return coerce_types(reader.load(path))
+    return coerce_types(reader.load(path), date_formats=date_formats, profile=profile)
 
 
 def with_row_seq(df: DataFrame, key: str | None = None) -> DataFrame:
     """Stable row order for 'first' / 'last' rules.
 
-    Prefer a natural unique key.  Otherwise the id is assigned once here and the
-    caller must write the result out (it is not stable across re-computation).
+    Prefer a natural unique key.  Otherwise rows are numbered by file path, block offset
+    within the file and position within the block, whatever tasks read them.
     """
     if "row_seq" in df.columns:
         return df
     if key is not None:
         return df.withColumn("row_seq", F.col(f"`{key}`"))
-    return df.withColumn("row_seq", F.monotonically_increasing_id())
+    if not df.inputFiles():  # not read from files: the order of the partitions
+        return df.withColumn("row_seq", F.monotonically_increasing_id())
+    # Inside a scan task rows come in file order; the id within the task keeps that order.
+    spot = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    return _numbered(df, spot)
+
+
+def _numbered(df: DataFrame, spot: Column) -> DataFrame:
+    """row_seq from (file, block, position): blocks get their place by one small aggregate."""
+    placed = df.withColumn("_spot", spot)
+    first = placed.groupBy(F.col("_spot.file_path").alias("_f"), F.col("_spot.file_block_start").alias("_b")).agg(
+        F.count(F.lit(1)).alias("_k"), F.min("_spot.col3").alias("_m"))
+    before = Window.orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)  # one row a block
+    starts = first.select("_f", "_b", "_m", F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_s"))
+    return placed.join(starts, (F.col("_spot.file_path") == F.col("_f")) & (F.col("_spot.file_block_start") == F.col("_b"))) \
+        .withColumn("row_seq", F.col("_s") + F.col("_spot.col3") - F.col("_m")).drop("_spot", "_f", "_b", "_m", "_s")
 
 
 def shape(df: DataFrame) -> DataFrame:
