@@ -2,8 +2,8 @@
 
 ``run_checks`` is a stateless projection, so it applies to a streaming
 DataFrame as is.  New submissions land as files; ``flag_files`` picks them up
-incrementally and appends their flagged rows to a Parquet table partitioned by
-interview day.  Progress and exactly-once bookkeeping live in the query's
+incrementally and adds their flagged rows to a Parquet table partitioned by
+micro-batch and interview day.  Progress and exactly-once bookkeeping live in the query's
 checkpoint folder under ``spark.checkpoint.dir``.
 """
 
@@ -12,7 +12,6 @@ from __future__ import annotations
 import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
@@ -26,23 +25,30 @@ def flag_stream(stream: DataFrame, prof: P.Profile | None = None) -> DataFrame:
     return run_checks(stream, prof or P.batch())
 
 
+def write_batch(batch: DataFrame, batch_id: int, sink: str, date_col: str = "today") -> None:
+    """One micro-batch into a folder of its own, ``_batch=<id>``, partitioned by day.
+
+    ``foreachBatch`` delivers a batch again when the query failed between the write and the
+    commit.  The folder is overwritten then, so the sink holds every row once."""
+    writer = batch.write.mode("overwrite")
+    if date_col in batch.columns:
+        writer = writer.partitionBy(date_col)
+    writer.parquet(f"{sink.rstrip('/')}/_batch={batch_id}")
+
+
 def flag_files(spark: SparkSession, source: str, schema: StructType, sink: str, name: str,
                prof: P.Profile | None = None, fmt: str = "parquet", date_col: str = "today",
                available_now: bool = True) -> StreamingQuery:
     """Read new survey files from ``source`` and append their flagged rows to ``sink``.
 
-    Each micro-batch is written by ``foreachBatch`` as one Parquet append, partitioned by day;
-    a restarted query resumes from its checkpoint and does not write a batch twice.
+    Each micro-batch is written by ``write_batch``; a restarted query resumes from its
+    checkpoint, and a batch that is delivered again replaces what it wrote before.
     """
     stream = spark.readStream.format(fmt).schema(schema).load(source)
     flagged = flag_stream(stream, prof)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        out = batch.withColumn("_batch", F.lit(batch_id))
-        if date_col in batch.columns:
-            out.write.mode("append").partitionBy(date_col).parquet(sink)
-        else:
-            out.write.mode("append").parquet(sink)
+        write_batch(batch, batch_id, sink, date_col)
 
     # One checkpoint per (name, source, sink): a restart resumes exactly this stream.
     tag = hashlib.sha1(f"{source}|{sink}".encode()).hexdigest()[:10]

@@ -21,3 +21,12 @@ def test_stream_equals_batch(spark):
     assert out.count() == 1000
     assert out.select(cols).exceptAll(batch.select(cols)).count() == 0
     assert out.agg(F.countDistinct("today")).first()[0] == 30
+
+
+def test_a_batch_delivered_twice_is_stored_once(spark, tmp_path):
+    from fieldlens.streaming.incremental import write_batch
+
+    sink = str(tmp_path / "sink")
+    for batch_id, rows in ((0, [(1, "a"), (2, "b")]), (1, [(3, "a")]), (1, [(3, "a")]), (0, [(1, "a"), (2, "b")])):
+        write_batch(spark.createDataFrame(rows, "id int, today string"), batch_id, sink)
+    assert sorted(r.id for r in spark.read.parquet(sink).collect()) == [1, 2, 3]
