@@ -67,7 +67,7 @@ class PieceModel:
         if rules.precompiled_charsmap:
             steps.append(normalizers.Precompiled(rules.precompiled_charsmap))
         if rules.remove_extra_whitespaces:
-            steps += [normalizers.Replace(_library_regex(" {2,}"), " "), normalizers.Strip()]
+            steps += [normalizers.Replace(_library_regex(" {2,}"), " "), normalizers.Replace(_library_regex(r"\A | \z"), "")]
         self.before = normalizers.Sequence(steps) if steps else None
         self.prefix = rules.add_dummy_prefix
         self.trims = rules.remove_extra_whitespaces
@@ -77,7 +77,7 @@ class PieceModel:
         self.bytes = [self._bytes(p) for p in proto.pieces]
         # A cut may stand before a marker unless a piece has one after another character,
         # and beside a line end unless a longer piece holds one (byte fallback joins nothing).
-        self.cuts = not any(MARK in p.lstrip(MARK) for p in self.pieces)
+        self.cuts = MARK in ids and not any(MARK in p.lstrip(MARK) for p in self.pieces)
         self.line_cuts = self.cuts and self.byte_fallback and not any("\n" in p for p in self.pieces)
         self.memo = C.PieceMemo(self._encode, MEMO_PARTS)
 
@@ -96,14 +96,12 @@ class PieceModel:
         return [(a, b) for *_, a, b in sorted(found)]
 
     def normal(self, text: str) -> str:
-        """Normalised text with markers, as the model sees it."""
-        t = self.before.normalize_str(text) if self.before and text else text
-        if not t:
-            return ""
-        return (MARK if self.prefix else "") + t.replace(" ", MARK)
+        """Normalised text; the model sees it with markers."""
+        return self.before.normalize_str(text) if self.before and text else text
 
     def parts(self, normal: str) -> list[str]:
         """Parts that no piece reaches across; together the whole text."""
+        normal = (MARK if self.prefix else "") + normal.replace(" ", MARK) if normal else ""
         if not normal or not self.cuts:
             return [normal] if normal else []
         pattern = _LINE_PARTS if self.line_cuts else _PARTS
@@ -117,15 +115,15 @@ class PieceModel:
 
     def _by_reference(self, parts: list[str]) -> list[list[int]]:
         """Ids by the sentencepiece library.  It adds a marker of its own in front, so a part
-        that starts with one is given without it, another part behind a line end."""
+        that starts with one is given without it, any other (or only blanks) behind a line end."""
         spaced = [p.replace(MARK, " ") for p in parts]
         if not self.prefix or self.trims or not self.line_cuts:
             # The library can't be shown a part as it stands: the whole text is compared instead.
             return [e.ids for e in self.tokenizer.encode_batch(parts, add_special_tokens=False)]
         lead = len(self.reference.encode("\n"))
-        asked = [p[1:] if p.startswith(" ") else "\n" + p for p in spaced]
-        ids = self.reference.encode(asked, num_threads=1)
-        return [i if p.startswith(" ") else i[lead:] for p, i in zip(spaced, ids)]
+        bare = [p.startswith(" ") and p.strip(" ") != "" for p in spaced]
+        ids = self.reference.encode([p[1:] if b else "\n" + p for p, b in zip(spaced, bare)], num_threads=1)
+        return [i if b else i[lead:] for i, b in zip(ids, bare)]
 
     def encode(self, texts: list[str]) -> Iterator[tuple[str, np.ndarray, bool]]:
         """(normalised text, ids, parity) of each text."""
@@ -177,9 +175,7 @@ def _encode_job(path: str, with_ids: bool):
             for part in C.chunks_of(rows, lambda r: len(r[1]), 2_000_000):
                 out = []
                 for (doc_id, _), (normal, ids, same) in zip(part, model.encode([t for _, t in part])):
-                    back = normal.replace(MARK, " ")
-                    back = back[1:] if model.prefix and back else back
-                    out.append((doc_id, len(ids), zlib.crc32(ids.tobytes()), model.decode(ids) == back, same, ids))
+                    out.append((doc_id, len(ids), zlib.crc32(ids.tobytes()), model.decode(ids) == normal, same, ids))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.int64()),
                      pa.array([r[3] for r in out], pa.bool_()), pa.array([r[4] for r in out], pa.bool_())]
