@@ -41,7 +41,7 @@ LEAST_SUPPORT = 4
 BEGINNINGS = (3, 4, 5, 6)
 ROUNDS = 8
 #: Share of the given labels that is taken to be right.
-LABEL_ACCURACY = 0.97
+LABEL_ACCURACY = 0.999
 MEMO_WORDS = 500_000
 
 WORD = re.compile(r"\w+")
@@ -139,34 +139,38 @@ def choose_voters(rows: list[list[int]], y: np.ndarray, n_features: int, most: i
 
 
 class LabelModel:
-    """Two-class model of voters that fire or not, with discounts for dependence."""
+    """Two-class model of voters that fire or not, with their correlations within a class.
+
+    A voter that fires counts 1 / (1 + its correlations with the others that fire), so one
+    voter alone counts in full and several that always fire together count once.  Silence
+    is discounted by the correlations with all others."""
 
     def __init__(self, prior: float, fires: np.ndarray):
         self.prior, self.fires = prior, fires  # fires[j, y] = P(voter j fires | y)
-        self.share = np.ones(len(fires))  # 1 / (1 + correlations with other voters)
+        self.rho = np.zeros((len(fires), len(fires)))
 
     def log_odds(self, votes: np.ndarray) -> np.ndarray:
         a = np.clip(self.fires, 1e-6, 1 - 1e-6)
         on, off = np.log(a[:, 1] / a[:, 0]), np.log((1 - a[:, 1]) / (1 - a[:, 0]))
         p = min(max(self.prior, 1e-6), 1 - 1e-6)
-        return np.log(p / (1 - p)) + (votes * (on * self.share) + (1 - votes) * (off * self.share)).sum(axis=1)
+        said = votes * on / (1 + votes @ self.rho)
+        return np.log(p / (1 - p)) + said.sum(axis=1) + (1 - votes) @ (off / (1 + self.rho.sum(axis=1)))
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.log_odds(votes), -30, 30)))
 
     def update(self, mass: np.ndarray, first: np.ndarray, second: np.ndarray) -> None:
-        """From expected sums over all documents: class masses, firings, joint firings."""
-        self.prior = float(mass[1] / max(1e-9, mass.sum()))
+        """From expected sums over all documents: class masses, firings, joint firings.
+        The class balance stays that of the labels."""
         self.fires = (first + [0.01, 0.5]) / (mass + [1.0, 1.0])
-        strength = np.zeros(len(self.fires))
+        self.rho = np.zeros_like(self.rho)
         for y in (0, 1):
             a = self.fires[:, y]
             cov = second[:, :, y] / max(1.0, mass[y]) - np.outer(a, a)
             sd = np.sqrt(np.maximum(1e-9, a * (1 - a)))
-            rho = np.clip(cov / np.outer(sd, sd), 0, 1)
-            np.fill_diagonal(rho, 0)
-            strength = np.maximum(strength, rho.sum(axis=1) * (a > 1e-4))
-        self.share = 1 / (1 + strength)
+            known = first[:, y] >= 5  # a correlation needs some firings
+            self.rho = np.maximum(self.rho, np.clip(cov / np.outer(sd, sd), 0, 1) * np.outer(known, known))
+        np.fill_diagonal(self.rho, 0)
 
 
 def _sums_job(model: LabelModel, voters: int):
@@ -204,7 +208,7 @@ def fit_label_model(found: DataFrame, chosen: list[int], start: LabelModel, roun
     return model
 
 
-def fit_linear(rows: list[list[int]], target: np.ndarray, weight: np.ndarray, n_features: int, steps: int = 400, penalty: float = 2e-5) -> np.ndarray:
+def fit_linear(rows: list[list[int]], target: np.ndarray, weight: np.ndarray, n_features: int, steps: int = 2000, penalty: float = 3e-4) -> np.ndarray:
     """Logistic regression (bias last) on soft labels by accelerated gradient steps."""
     r = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
     c = np.array([f for x in rows for f in x], dtype=np.int64)
@@ -266,7 +270,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Classifier, DataFrame | N
     model = fit_label_model(found, chosen, LabelModel(of[1] / (of[0] + of[1]), fires))
     # The given label is one more voter, of fixed accuracy.
     sure = np.log(LABEL_ACCURACY / (1 - LABEL_ACCURACY))
-    odds = model.log_odds(votes) + np.where(y == 1, 2 * sure, -2 * sure)
+    odds = model.log_odds(votes) + np.where(y == 1, sure, -sure)
     target = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
     weight = np.where(y == 1, of[1] / max(1, (y == 1).sum()), of[0] / max(1, (y == 0).sum()))
     return Classifier(names, fit_linear(rows, target, weight, len(names))), found

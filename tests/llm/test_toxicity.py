@@ -78,7 +78,7 @@ def test_label_model_discounts_copies_of_a_voter():
         mass = np.array([(1 - p).sum(), p.sum()])
         first = np.stack([votes.T @ (1 - p), votes.T @ p], axis=1)
         model.update(mass, first, np.stack([votes.T @ (votes * w[:, None]) for w in (1 - p, p)], axis=2))
-    assert model.share[0] < 0.5 < model.share[1] and abs(model.prior - 0.2) < 0.06
+    assert model.rho[0, 3] > 0.9 > 0.3 > model.rho[0, 1]
     assert ((model.posterior(votes) > 0.5) == y).mean() > 0.9
 
 
