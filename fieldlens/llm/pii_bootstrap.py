@@ -41,7 +41,7 @@ IP_VALID = r"^(?:0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.|$)){4}$"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Strings with a digit or an at sign.
-INSTANCE = r"(?<![A-Za-z0-9@._+-])[A-Za-z._+-]*+[0-9@][A-Za-z0-9@._+/-]*+"
+INSTANCE = r"(?<![A-Za-z0-9@._+-])[A-Za-z._+-]*+[0-9@](?:[A-Za-z0-9@._+/-]*[A-Za-z0-9])?+"
 #: Characters of the text beside an instance in which its neighbour words are sought.
 NEAR = 64
 
@@ -121,15 +121,26 @@ def base_spans(text: Column) -> Column:
 def extracted(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, base, instances of every row: the one pass over the texts."""
     t = C.texts(docs)
-    t = t.select("doc_id", F.xxhash64("text").alias("text_key"), base_spans(F.col("text")).alias("base"),
+    t = t.select("doc_id", "text", F.xxhash64("text").alias("text_key"), base_spans(F.col("text")).alias("base"),
                  places(F.col("text"), INSTANCE, "[0-9@]").alias("places"))
     word = lambda c, p: F.lower(F.regexp_extract(c, p, 1))
     # An instance is known where a base span starts with it; inside one it is left out.
     here = lambda p: F.filter("base", lambda b: (b["start"] < p["end"]) & (p["start"] < b["end"]))
-    made = F.transform("places", lambda p: _let(here(p), lambda b: F.struct(
-        p["start"], p["end"].alias("end"), p["text"].alias("instance"), word(p["before"], r"(\S+)\s*$").alias("left"),
-        word(p["after"], r"^\s*(\S+)").alias("right"), F.when(F.size(b) > 0, F.element_at(b, 1)["kind"]).alias("kind"),
-        ((F.size(b) == 0) | F.exists(b, lambda x: x["start"] == p["start"])).alias("whole"))))
+    text = F.col("text")
+
+    def one(p: Column, b: Column) -> Column:
+        """The instance at a place; ``b``: base spans there.  One of several strings ("+1 555
+        0100") is taken, with what stands behind it, from the text."""
+        first = F.get(b, F.lit(0))
+        longer = first["end"] > p["end"]
+        whole = F.substring(text, (first["start"] + 1).cast("int"), (first["end"] - first["start"]).cast("int"))
+        after = F.when(longer, F.substring(text, (first["end"] + 1).cast("int"), F.lit(NEAR))).otherwise(p["after"])
+        return F.struct(p["start"], p["end"].alias("end"), F.when(longer, whole).otherwise(p["text"]).alias("instance"),
+                        word(p["before"], r"(\S+)\s*$").alias("left"), word(after, r"^\s*(\S+)").alias("right"),
+                        first["kind"].alias("kind"),
+                        ((F.size(b) == 0) | F.exists(b, lambda x: x["start"] == p["start"])).alias("whole"))
+
+    made = F.transform("places", lambda p: _let(here(p), lambda b: one(p, b)))
     return t.select("doc_id", "text_key", "base", F.filter(made, lambda p: p["whole"]).alias("instances"))
 
 

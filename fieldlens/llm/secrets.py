@@ -54,9 +54,20 @@ MEASURED = 4096
 
 def identifier_dictionary(docs: DataFrame, size: int = DICTIONARY_BYTES) -> bytes:
     """Identifiers of 4 to 40 characters in at least two places, the most useful last."""
+    spark, most = docs.sparkSession, size // 5
     words = C.texts(docs).select(F.explode(F.split("text", "[^A-Za-z0-9_]+")).alias("w")).where("length(w) BETWEEN 4 AND 40")
     counts = words.groupBy("w").agg(F.count("*").alias("n")).where("n > 1")
-    best = counts.orderBy(F.desc(F.col("n") * F.length("w")), "w").limit(size // 5).collect()
+    counts = C.cut(spark, counts.withColumn("saves", F.col("n") * F.length("w")), "op1-words")
+    # Levels of what a word saves, about a thousand; the words above the level at which enough
+    # are found go to the driver, not the best of every partition.
+    levels = {r.level: r.k for r in counts.groupBy(F.floor(16 * F.log2("saves")).alias("level")).agg(F.count("*").alias("k")).collect()}
+    least, found = 0, 0
+    for level in sorted(levels, reverse=True):
+        least, found = level, found + levels[level]
+        if found >= most:
+            break
+    best = counts.where(F.floor(16 * F.log2("saves")) >= least).orderBy(F.desc("saves"), "w").limit(most).collect()
+    C.drop(spark, counts)
     out, total = [], 0
     for r in best:
         total += len(r.w) + 1

@@ -27,7 +27,7 @@ def tables(spark):
         rows.append((i, " ".join(words), "en" if toxic else "de", 1, f"w{i % 3}"))
         if i % 2 == 0 or i % 5 == 0:
             labels.append((i, 1, int(toxic)))
-    rows += [(900, None, "en", 1, None), (901, "", "en", 1, None), (902, "vexoidish words", "en", 1, None), (902, "vexoidish words", "en", 1, None),
+    rows += [(900, None, "en", 1, None), (901, "", "en", 1, None), (902, "vexoidish grubbly snarfish words", "en", 1, None), (902, "vexoidish grubbly snarfish words", "en", 1, None),
              (903, "calm5x " * 50_000, None, None, None), (None, "grubbly snarfish grubbly", None, None, None)]
     return (spark.createDataFrame(rows, "doc_id long, text string, lang string, score long, features string"),
             spark.createDataFrame(labels + [(5, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int"))
