@@ -42,8 +42,9 @@ def configure(spark: SparkSession) -> SparkSession:
             spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None) in (None, ""):
         for key, value in BROADCAST_POLICY.items():
             spark.conf.set(key, value)
-    # Session time zone must be UTC for the timestamp rules.
-    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+    # The timestamp rules (D6, D7) read hours in the session's zone: UTC, unless the
+    # application was started with a zone of its own (then hours are that zone's).
+    if not spark.sparkContext.getConf().contains("spark.sql.session.timeZone"):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
 
