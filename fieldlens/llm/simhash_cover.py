@@ -265,7 +265,7 @@ def representatives(docs: DataFrame, width: int = SHINGLE_WORDS, bits: int = MAX
     first = marked.groupBy("fp").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
     chosen = classed.join(first, "fp").groupBy("root").agg(F.min("first").alias("first"))
     a, b = (next(n for n in (c + "_" * k for k in range(99)) if n.lower() not in map(str.lower, docs.columns)) for c in ("id", "key"))
-    chosen = C.cut(spark, chosen.select(F.col("first.doc_id").alias("_id"), F.col("first.text_key").alias("_key")), "op5-first")
+    chosen = C.cut(spark, chosen.select(F.col("first.doc_id").alias(a), F.col("first.text_key").alias(b)), "op5-first")
     # Texts are dealt once, by the key that also removes equal rows.
     return docs.withColumns({a: key, b: text}).join(chosen, [a, b], "left_semi").dropDuplicates([a, b]) \
        .select(*[F.col(f"`{c}`") for c in docs.columns])
