@@ -38,6 +38,8 @@ SAMPLE = {1: 4000, 0: 8000}
 FEATURES = 2048
 VOTERS = 56
 LEAST_SUPPORT = 4
+#: Least log lift times the root of the support: smaller ones are chance in small samples.
+LEAST_LIFT = 3.0
 BEGINNINGS = (3, 4, 5, 6)
 ROUNDS = 8
 #: Share of the given labels that is taken to be right.
@@ -251,7 +253,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Classifier, DataFrame | N
     size = {r.y: r["count"] for r in sample.groupBy("y").count().collect()}
     s0, s1 = size.get(0, 0), size.get(1, 0)
     lift = F.log((F.col("n1") + 0.5) / F.lit(s1 + 1.0)) - F.log((F.col("n0") + 0.5) / F.lit(s0 + 1.0))
-    best = mined.where(F.col("n1") >= LEAST_SUPPORT).withColumn("z", lift * F.sqrt("n1")).where("z > 1") \
+    best = mined.where(F.col("n1") >= LEAST_SUPPORT).withColumn("z", lift * F.sqrt("n1")).where(F.col("z") > LEAST_LIFT) \
         .orderBy(F.desc("z"), "f").limit(FEATURES - len(PATTERNS)).collect()
     names = [r.f for r in best] + sorted(PATTERNS)
     shared = spark.sparkContext.broadcast(names)
