@@ -39,7 +39,7 @@ FEATURES = 2048
 VOTERS = 56
 LEAST_SUPPORT = 4
 #: Least log lift times the root of the support: smaller ones are chance in small samples.
-LEAST_LIFT = 3.0
+LEAST_LIFT = 2.0
 BEGINNINGS = (3, 4, 5, 6)
 ROUNDS = 8
 #: Share of the given labels that is taken to be right.
