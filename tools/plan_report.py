@@ -38,8 +38,8 @@ with session_conf(spark, RULE_JOB_CONF):
 projects = rule.count("Project [")
 shuffles = len(re.findall(r"Exchange (hashpartitioning|SinglePartition|rangepartitioning|RoundRobin)", rule))
 lines.append("")
-lines.append(f"Rule job (`run_checks`, written as the flagged table): {projects} projections, {shuffles} shuffle(s) "
-             f"(the round-robin spread of a one-row-group test input; none on a multi-file input), no aggregation, "
+lines.append(f"Rule job (`run_checks`, written as the flagged table): {projects} projections, {shuffles} shuffle(s), "
+             f"no aggregation, "
              f"no join; Python evaluation nodes: {rule.count('BatchEvalPython') + rule.count('ArrowEvalPython')}.")
 text = "\n".join(lines)
 if out_path:
