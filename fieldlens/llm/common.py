@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
 
-#: Rows in one Arrow batch sent to a Python worker: bounds the worker's memory
-#: at some thousand texts, whatever the size of a partition.
-BATCH_ROWS = "2000"
+#: Rows and bytes in one Arrow batch sent to a Python worker: they bound the worker's
+#: memory, whatever the size of a partition or of its texts.
+BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,9 +32,11 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches of this session (kept if the session set fewer rows)."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > int(BATCH_ROWS):
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    """Bound the Arrow batches of this session (a lower bound of the session's own is kept)."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{key}"
+        if not 0 < int(spark.conf.get(name).rstrip("b")) <= most:
+            spark.conf.set(name, str(most))
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
