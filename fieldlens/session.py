@@ -33,8 +33,19 @@ BROADCAST_POLICY = {
 }
 
 
+def _reach_package(spark: SparkSession) -> None:
+    """Let the Python workers of a local master import this package wherever the driver was
+    started; on a cluster the package is installed or shipped (``--py-files``)."""
+    if spark.sparkContext.master.startswith("local"):
+        home, env = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), spark.sparkContext.environment
+        paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+        if home not in paths:
+            env["PYTHONPATH"] = os.pathsep.join([*paths, home])
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply ENGINE_DEFAULTS where the session has no value of its own."""
+    _reach_package(spark)
     for key, value in ENGINE_DEFAULTS.items():
         if spark.conf.get(key, None) in (None, ""):
             spark.conf.set(key, value)
