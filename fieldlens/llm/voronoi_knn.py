@@ -74,9 +74,9 @@ def _query_cells(pivots: np.ndarray):
 
 
 def _nearest_members(pivots: np.ndarray, keep: int):
-    """Of each cell, the ``keep`` members of this partition nearest to the pivot, and its size."""
+    """Of each cell, the ``keep`` members of this partition nearest to the pivot."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best, size = {}, {}
+        best: dict[int, dict] = {}
         for b in batches:
             if not b.num_rows:
                 continue
@@ -84,14 +84,13 @@ def _nearest_members(pivots: np.ndarray, keep: int):
             ids = b.column(0).to_numpy()
             for j in np.unique(cell).tolist():
                 at = np.flatnonzero(cell == j)
-                size[j] = size.get(j, 0) + len(at)
                 pairs = best.get(j, {})
                 for i in at[np.argsort(dist[at], kind="stable")].tolist():
                     if len(pairs) >= keep and dist[i] > max(pairs.values()):
                         break
                     pairs[ids[i]] = max(pairs.get(ids[i], 0.0), dist[i])  # of an id's rows the farthest: still a lower bound
                 best[j] = dict(sorted(pairs.items(), key=lambda p: p[1])[:keep])
-        rows = [(j, i, d, size[j]) for j, pairs in best.items() for i, d in pairs.items()]
+        rows = [(j, i, d) for j, pairs in best.items() for i, d in pairs.items()]
         yield pa.RecordBatch.from_pydict({"cell": pa.array([r[0] for r in rows], pa.int32()), "vec_id": pa.array([r[1] for r in rows], pa.int64()),
                                           "dist": pa.array([r[2] for r in rows], pa.float64())})
     return run
