@@ -465,6 +465,18 @@ FROM t""")
     q["survey_preview"] = (f"WITH s AS ({survey_sql()}) SELECT _uuid, row_seq, EnuName, CAST(today AS VARCHAR) AS today, FCSStap FROM s "
                            "ORDER BY row_seq LIMIT 5")
     q.update(_deliverables())
+    # The same figures as files read back, as text coerced back, as displayed.
+    q["written_master_sheet"] = q["master_sheet"]
+    q["written_error_logs"] = _with(" UNION ALL ".join(
+        f"SELECT '{m}' AS module, count(*) AS n FROM flagged WHERE Flag_{m}_Overall = 1" for m in MODULES))
+    q["written_feedback_rows"] = _with(f"SELECT EnuName AS enumerator, count(*) AS n FROM flagged WHERE EnuName IS NOT NULL "
+                                       f"AND {_any_flag()} = 1 GROUP BY 1")
+    q["enumerators_displayed"] = (f"SELECT enumerator, surveys, round_even(rate_pct, 1) AS rate_pct, round_even(survey_share_pct, 1) AS survey_share_pct "
+                                  f"FROM ({q['flag_rate_by_enumerator']}) r")
+    q["checks_from_text"] = _with("SELECT _uuid, row_seq, CAST(today AS VARCHAR) AS today, HHSize, FCS, Timing_Duration_Min, " + ", ".join(
+        f"CAST(Flag_{m}_Overall AS DOUBLE) AS Flag_{m}_Overall" for m in ("Demo", "FCS", "Timing")) + " FROM flagged")
+    q["clashing_input"] = _with("SELECT row_seq, FCS, row_seq * 2.0 AS FCS_input, CAST(Flag_FCS_Overall AS DOUBLE) AS Flag_FCS_Overall, "
+                                "CAST(Flag_HDDS_Overall AS DOUBLE) AS Flag_HDDS_Overall, 'FCS,HDDS' AS modules FROM flagged")
     return q
 
 

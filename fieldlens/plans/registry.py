@@ -7,6 +7,8 @@ read the whole ``events`` table, derive the survey from it, run the checks
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +20,8 @@ from ..functions.context import resolve_context
 from ..operators import deliver as D
 from ..operators import monitor as M
 from ..sources.fixture import events_path, survey_from_events
-from ..sources.survey import preview, shape
+from ..session import checkpoint_dir
+from ..sources.survey import coerce_types, preview, shape
 from .engine import module_view, run_checks
 from .materialize import code_version, input_fingerprint, materialize
 
@@ -101,6 +104,47 @@ def _fcs_own_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
                              "Flag_rCSI_ZeroWithPoorFCG", "Flag_rCSI_HighWithAcceptFCG"))
 
 
+def _checks_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The survey written out as text (days before months), coerced back and checked."""
+    typed = survey(spark, sf_dir)
+    show = {T.TimestampType: "dd/MM/yyyy HH:mm:ss.SSSSSS", T.TimestampNTZType: "dd/MM/yyyy HH:mm:ss.SSSSSS", T.DateType: "dd/MM/yyyy"}
+    text = typed.select(*[F.date_format(f"`{f.name}`", show[type(f.dataType)]).alias(f.name) if type(f.dataType) in show
+                          else F.col(f"`{f.name}`").cast("string").alias(f.name) for f in typed.schema.fields])
+    f = run_checks(coerce_types(text, date_formats=list(dict.fromkeys(show.values()))), P.fixture(), only=["Demo", "FCS", "Timing"])
+    return portable(f.select(F.col("_uuid").cast("long").alias("_uuid"), F.col("row_seq").cast("long").alias("row_seq"), "today", "HHSize", "FCS",
+                             "Timing_Duration_Min", "Flag_Demo_Overall", "Flag_FCS_Overall", "Flag_Timing_Overall"))
+
+
+def _clashing_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B8 + B9: an input column named like a score is kept aside; only two modules run."""
+    f = run_checks(survey(spark, sf_dir).withColumn("FCS", F.col("row_seq") * 2.0), P.fixture(), only=["FCS", "HDDS"])
+    ran = F.lit(",".join(m for m in P.MODULE_ORDER if f"Flag_{m}_Overall" in f.columns))
+    return portable(f.select("row_seq", "FCS", "FCS_input", "Flag_FCS_Overall", "Flag_HDDS_Overall", ran.alias("modules")))
+
+
+def _written(fn: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """A sink writes into a new folder of the shared checkpoint folder; its files are read back."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return portable(fn(spark, flagged(spark, sf_dir), f"{checkpoint_dir(spark).rstrip('/')}/fieldlens-written/{uuid.uuid4().hex}"))
+    return run
+
+
+def _written_master(spark: SparkSession, f: DataFrame, path: str) -> DataFrame:
+    D.write_deliverables(f, _report(f), path, P.fixture())
+    return spark.read.parquet(f"{path}/master_sheet")
+
+
+def _written_logs(spark: SparkSession, f: DataFrame, path: str) -> DataFrame:
+    D.write_error_logs(f, path, P.fixture())
+    counts = [spark.read.parquet(f"{path}/module={m}").agg(F.count(F.lit(1)).alias("n")).select(F.lit(m).alias("module"), "n") for m in P.MODULE_ORDER]
+    return reduce(DataFrame.unionByName, counts)
+
+
+def _written_feedback(spark: SparkSession, f: DataFrame, path: str) -> DataFrame:
+    D.write_enumerator_feedback(f, _report(f), path)
+    return spark.read.parquet(f"{path}/rows").groupBy(F.col("EnuName").alias("enumerator")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def _error_log(module: str) -> Callable[[DataFrame], DataFrame]:
     return lambda f: D.error_log(f, module, P.fixture())
 
@@ -176,7 +220,15 @@ QUERIES.update({
     "progress": _with_flagged(lambda f: D.progress(f, _report(f), SAMPLE_TARGET)),
     "enumerator_completion": _with_flagged(lambda f: D.enumerator_completion(f, _dash(f), SAMPLE_TARGET)),
     "area_completion": _with_flagged(lambda f: D.area_completion(f, _dash(f), SAMPLE_TARGET)),
+    # sinks read back, display form
+    "written_master_sheet": _written(_written_master),
+    "written_error_logs": _written(_written_logs),
+    "written_feedback_rows": _written(_written_feedback),
+    "enumerators_displayed": _with_flagged(lambda f: D.present(M.flag_rate_by_enumerator(f, _report(f)).select(
+        "enumerator", "surveys", "rate_pct", "survey_share_pct"))),
     # sources
+    "checks_from_text": _checks_from_text,
+    "clashing_input": _clashing_input,
     "survey_shape": lambda spark, sf: shape(survey(spark, sf)),
     "survey_preview": lambda spark, sf: portable(
         preview(survey(spark, sf).select("_uuid", "row_seq", "EnuName", "today", "FCSStap"))),
