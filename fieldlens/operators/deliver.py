@@ -7,7 +7,6 @@ their slice.
 
 from __future__ import annotations
 
-from functools import reduce
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
