@@ -69,14 +69,21 @@ class PieceMemo:
 
     ``encode`` turns a list of new pieces into their encodings.  At most ``limit``
     entries are kept: once full, further new pieces are encoded for their batch
-    only, so memory is bounded and no piece is ever skipped.
+    only, so memory is bounded and no piece is ever skipped.  A Python worker serves one
+    operator after the other: the memo in use clears the one used before it.
     """
 
+    _used: "PieceMemo | None" = None
+
     def __init__(self, encode: Callable[[list[str]], Iterable], limit: int):
         self.encode, self.limit, self.known = encode, limit, {}
 
     def lookup(self, pieces: Iterable[str]) -> dict:
         """A mapping that holds every one of ``pieces``."""
+        if PieceMemo._used is not self:
+            if PieceMemo._used is not None:
+                PieceMemo._used.known.clear()
+            PieceMemo._used = self
         new = [p for p in pieces if p not in self.known]
         if not new:
             return self.known
