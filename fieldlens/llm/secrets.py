@@ -43,7 +43,10 @@ SENSITIVE = re.compile(
     r"(?:secret|passw|passphrase|pwd|credential|private|auth|bearer|token|api|access|signature|signing|session|cookie|encryption|license|key)", re.I | re.A)
 CONTEXT = 48
 #: Strings with a digit (words of prose have none), each looked at once from its start.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=~-])[A-Za-z+/_.=~-]*+[0-9][A-Za-z0-9+/_.=~-]*+")
+#: An assignment sign ends one; signs that nothing follows are padding.
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.~-])[A-Za-z+/_.~-]*+[0-9][A-Za-z0-9+/_.~-]*+(?:=++(?![A-Za-z0-9+/_.~-]))?+")
+#: What stands before an assignment sign and is a name: it has a sensitive word itself.
+ASSIGNED = re.compile(r"=++[A-Za-z0-9+/_.~-]")
 LEAST_NOVEL = 16
 #: Least compressed bytes per byte: random hexadecimal text needs about 0.5, base64 0.75.
 NOVELTY = 0.45
@@ -107,11 +110,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def novel_spans(text: str, base: list[tuple[int, int, int]], meter: NoveltyMeter, least: float = NOVELTY) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of incompressible strings in a sensitive context."""
+    """(start, kind, end) of incompressible strings in a sensitive context (the name they are assigned to included)."""
     out = []
     for m in CANDIDATE.finditer(text):
         s, e = m.span()
         if e - s >= LEAST_NOVEL and SENSITIVE.search(text, max(0, s - CONTEXT), s) and not any(a < e and s < b for a, _, b in base) \
+                and not (ASSIGNED.match(text, e) and SENSITIVE.search(text, s, e)) \
                 and meter.novelty(text[max(0, s - 4 * CONTEXT):s], text[s:e]) >= least:
             out.append((s, 3, e))
     return out

@@ -48,6 +48,19 @@ def test_only_incompressible_strings_in_context_are_novel():
     assert found["the private key is internationalisation4everyone internationalisation4everyone"] == []
 
 
+@pytest.mark.parametrize("text, value", [
+    ("export AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI/K7MDENG/bPxRfiCYzQ8nT4vLw2", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzQ8nT4vLw2"),
+    (f"set private_key={KEY}", KEY), (f"db_pwd={KEY}==", KEY + "=="), (f"x=1 auth={KEY}=tail", KEY), (f"license_key=={KEY};", KEY)])
+def test_unspaced_assignments(text, value):
+    found = S.find_spans(text, S.NoveltyMeter(DICTIONARY.encode()))[1]
+    assert [(k, text[s:e]) for s, k, e in found] == [(3, value)]
+
+
+def test_assigned_names_are_no_findings():
+    text = f"AWS_ACCESS_KEY_ID2=x\nAWS_SECRET_ACCESS_KEY2={KEY}"
+    assert [text[s:e] for s, _, e in S.find_spans(text, S.NoveltyMeter(b""))[1]] == [KEY]
+
+
 def test_scan_and_redact(spark):
     rows = [(i, t, "x", len(t or ""), None) for i, t in enumerate(TEXTS)] + [(3, TEXTS[3], "y", 1, None), (None, TEXTS[3], None, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, spans string, n_chars long, kind string")
