@@ -9,7 +9,9 @@ cost next to nothing, while random keys cost most of their length.
 
 The dictionary holds the identifiers of the whole corpus that save the most bytes
 (occurrences times length), counted over all documents by a partial aggregate; only the
-dictionary, of bounded size, reaches the driver and the workers.
+dictionary, of bounded size, reaches the driver and the workers.  Strings long enough to be
+candidates, and their parts, are not counted, so no number of copies makes a secret cheap.
+For the same reason a finding is one at all its candidate places in a document.
 
 Defined cases: a null text is empty and has no findings; a novel span never overlaps a
 base span; repeated rows give repeated rows; an empty table has an empty dictionary and
@@ -50,15 +52,19 @@ ASSIGNED = re.compile(r"=++[A-Za-z0-9+/_.~-]")
 LEAST_NOVEL = 16
 #: Least compressed bytes per byte: random hexadecimal text needs about 0.5, base64 0.75.
 NOVELTY = 0.45
+#: Strings that the dictionary leaves out: as long as a candidate, with or without a digit.
+LONG = r"(?<![A-Za-z0-9+/_.~-])[A-Za-z0-9+/_.~-]{%d,}+" % LEAST_NOVEL
 DICTIONARY_BYTES = 64 * 1024
 #: A candidate is measured by its first bytes and by its last ones if it is longer.
 MEASURED = 4096
 
 
 def identifier_dictionary(docs: DataFrame, size: int = DICTIONARY_BYTES) -> bytes:
-    """Identifiers of 4 to 40 characters in at least two places, the most useful last."""
+    """Identifiers of 4 characters or more in at least two places, the most useful last;
+    none of a string that is long enough to be a candidate."""
     spark, most = docs.sparkSession, size // 5
-    words = C.texts(docs).select(F.explode(F.split("text", "[^A-Za-z0-9_]+")).alias("w")).where("length(w) BETWEEN 4 AND 40")
+    short = F.regexp_replace("text", LONG, " ")
+    words = C.texts(docs).select(F.explode(F.split(short, "[^A-Za-z0-9_]+")).alias("w")).where("length(w) >= 4")
     counts = words.groupBy("w").agg(F.count("*").alias("n")).where("n > 1")
     counts = C.cut(spark, counts.withColumn("saves", F.col("n") * F.length("w")), "op1-words")
     # Levels of what a word saves, about a thousand; the words above the level at which enough
@@ -111,13 +117,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def novel_spans(text: str, base: list[tuple[int, int, int]], meter: NoveltyMeter, least: float = NOVELTY) -> list[tuple[int, int, int]]:
     """(start, kind, end) of incompressible strings in a sensitive context (the name they are assigned to included)."""
-    out = []
+    out, known = [], set()
     for m in CANDIDATE.finditer(text):
         s, e = m.span()
         if e - s >= LEAST_NOVEL and SENSITIVE.search(text, max(0, s - CONTEXT), s) and not any(a < e and s < b for a, _, b in base) \
                 and not (ASSIGNED.match(text, e) and SENSITIVE.search(text, s, e)) \
-                and meter.novelty(text[max(0, s - 4 * CONTEXT):s], text[s:e]) >= least:
+                and (text[s:e] in known or meter.novelty(text[max(0, s - 4 * CONTEXT):s], text[s:e]) >= least):
             out.append((s, 3, e))
+            known.add(text[s:e])
     return out
 
 

@@ -86,6 +86,17 @@ def test_dictionary_and_empty_table(spark):
     assert S.scan(docs.limit(0)).count() == 0 and S.redact(docs.limit(0)).count() == 0
 
 
+def test_copied_secrets_stay_novel(spark):
+    parts = "wJalrXUtnFEMI/K7MDENGq/bPxRfiCYzQ8n+T4vLw2"  # each part is an identifier
+    texts = [f"the private key is {KEY} here", f"auth: {parts} then", f"auth: {KEY}\nauth: {KEY}\n"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    docs = docs.crossJoin(spark.range(1000).withColumnRenamed("id", "copy"))
+    words = S.identifier_dictionary(docs).split()
+    assert b"private" in words and not any(w.decode() in KEY + parts for w in words)
+    got = {r.doc_id: [texts[r.doc_id][p.start:p.end] for p in r.spans] for r in S.scan(docs).distinct().collect()}
+    assert got == {0: [KEY], 1: [parts], 2: [KEY, KEY]}
+
+
 def test_query_digest(spark):
     from conftest import sf_dir
 
