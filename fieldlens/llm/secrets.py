@@ -44,19 +44,18 @@ LONG_HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 SENSITIVE = re.compile(
     r"(?:secret|passw|passphrase|pwd|credential|private|auth|bearer|token|api|access|signature|signing|session|cookie|encryption|license|key)", re.I | re.A)
 CONTEXT = 48
-#: Strings with a digit (words of prose have none), each looked at once from its start.
-#: An assignment sign ends one; signs that nothing follows are padding.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.~-])[A-Za-z+/_.~-]*+[0-9][A-Za-z0-9+/_.~-]*+(?:=++(?![A-Za-z0-9+/_.~-]))?+")
-#: What stands before an assignment sign and is a name: it has a sensitive word itself.
-ASSIGNED = re.compile(r"=++[A-Za-z0-9+/_.~-]")
 LEAST_NOVEL = 16
+#: Strings of the least length, each looked at once from its start.  An assignment sign
+#: ends one; signs that nothing follows are padding.
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.~-])(?:[A-Za-z0-9+/_.~-]{%d,}+(?:=++(?![A-Za-z0-9+/_.~-]))?+|[A-Za-z0-9+/_.~-]++=++(?![A-Za-z0-9+/_.~-]))" % LEAST_NOVEL)
+#: What stands before an assignment sign and is a name: it has a sensitive word itself or no digit.
+ASSIGNED = re.compile(r"=++[A-Za-z0-9+/_.~-]")
+NAME = re.compile(r"[^0-9]*+$")
 #: Least compressed bytes per byte: random hexadecimal text needs about 0.5, base64 0.75.
 NOVELTY = 0.45
-#: Strings that the dictionary leaves out: as long as a candidate, with or without a digit.
+#: Strings that the dictionary leaves out: as long as a candidate.
 LONG = r"(?<![A-Za-z0-9+/_.~-])[A-Za-z0-9+/_.~-]{%d,}+" % LEAST_NOVEL
 DICTIONARY_BYTES = 64 * 1024
-#: A candidate is measured by its first bytes and by its last ones if it is longer.
-MEASURED = 4096
 
 
 def identifier_dictionary(docs: DataFrame, size: int = DICTIONARY_BYTES) -> bytes:
@@ -98,12 +97,10 @@ class NoveltyMeter:
 
     def marginal(self, before: str, found: str) -> int:
         head, tail = before.encode("utf-8", "replace"), found.encode("utf-8", "replace")
-        if len(tail) > 2 * MEASURED:
-            tail = tail[:MEASURED] + tail[-MEASURED:]
         return len(self.press.compress(head + tail)) - len(self.press.compress(head))
 
     def novelty(self, before: str, found: str) -> float:
-        return self.marginal(before, found) / max(1, min(2 * MEASURED, len(found.encode("utf-8", "replace"))))
+        return self.marginal(before, found) / max(1, len(found.encode("utf-8", "replace")))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -121,7 +118,7 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], meter: NoveltyMeter
     for m in CANDIDATE.finditer(text):
         s, e = m.span()
         if e - s >= LEAST_NOVEL and SENSITIVE.search(text, max(0, s - CONTEXT), s) and not any(a < e and s < b for a, _, b in base) \
-                and not (ASSIGNED.match(text, e) and SENSITIVE.search(text, s, e)) \
+                and not (ASSIGNED.match(text, e) and (SENSITIVE.search(text, s, e) or NAME.match(text[s:e]))) \
                 and (text[s:e] in known or meter.novelty(text[max(0, s - 4 * CONTEXT):s], text[s:e]) >= least):
             out.append((s, 3, e))
             known.add(text[s:e])

@@ -86,6 +86,19 @@ def test_dictionary_and_empty_table(spark):
     assert S.scan(docs.limit(0)).count() == 0 and S.redact(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("text, value", [
+    ("auth: QwErTyUiOpLkJhGfDsAzXcVb", "QwErTyUiOpLkJhGfDsAzXcVb"), ("app key: xqzjwkvbpfmtrhgd", "xqzjwkvbpfmtrhgd"),
+    ("export DB_AUTHORIZATION_HEADER=QwErTyUiOpLkJhGfDsAzXcVb", "QwErTyUiOpLkJhGfDsAzXcVb")])
+def test_secrets_without_a_digit(text, value):
+    assert [(k, text[s:e]) for s, k, e in S.find_spans(text, S.NoveltyMeter(DICTIONARY.encode()))[1]] == [(3, value)]
+
+
+def test_long_candidates_are_measured_whole():
+    middle = "".join(random.Random(7).choices("ABCDEFGHIJKLMNOPQRSTUVWXYZghijklmnopqrstuvwxyz0123456789", k=40_000))
+    blob = "A" * 5000 + middle + "A" * 5000
+    assert S.find_spans(f"auth: {blob}", S.NoveltyMeter(b""))[1] == [(6, 3, 6 + len(blob))]
+
+
 def test_copied_secrets_stay_novel(spark):
     parts = "wJalrXUtnFEMI/K7MDENGq/bPxRfiCYzQ8n+T4vLw2"  # each part is an identifier
     texts = [f"the private key is {KEY} here", f"auth: {parts} then", f"auth: {KEY}\nauth: {KEY}\n"]
