@@ -161,9 +161,9 @@ def learn(spark: SparkSession, seen: DataFrame, docs: DataFrame, rounds: int = R
     """(instance, left, right, kind) of the edges that the rounds accept."""
     edges = seen.select(F.explode("instances").alias("i")).groupBy("i.instance", "i.left", "i.right", "i.kind").agg(F.count("*").alias("n"))
     edges = C.cut(spark, edges, "op2-edges")
-    # Word counts only matter for words beside a known instance.
-    beside = _sides(edges.where("kind IS NOT NULL")).groupBy("pattern").agg(F.count_distinct("instance").alias("known")) \
-        .where(F.col("known") >= support)
+    # Word counts only matter for words beside as many instances, known or not, as support takes:
+    # any of these may be accepted in a round and support the next one's patterns.
+    beside = _sides(edges).groupBy("pattern").agg(F.count_distinct("instance").alias("known")).where(F.col("known") >= support)
     totals = C.cut(spark, beside.select("pattern", F.expr("substring(pattern, 3)").alias("word")).join(word_counts(docs), "word")
                    .select("pattern", "total"), "op2-words")
     unknown = edges.where("kind IS NULL").select("instance", "left", "right").where(

@@ -62,6 +62,16 @@ def test_contexts_discover_unseen_forms(spark):
     assert found[16] == [] and found[17] == [] and found[18] == [("5550001", "phone")]
 
 
+def test_patterns_of_accepted_instances(spark):
+    texts = [f"member phone: +1 555 000 {1000 + i} ok" for i in range(24)]
+    texts += [f"member phone: 555000{i} ok" for i in range(4)]  # accepted in the first round
+    texts += [f"please call 555000{i}" for i in range(4) for _ in range(3)]  # no seed stands behind "call"
+    texts += ["please call 7770001", "order 7770002 came"]  # only learnt from the accepted ones
+    got = {r.doc_id: [(texts[r.doc_id][s.start:s.end], B.KINDS[s.kind]) for s in r.context] for r in B.find(frame(spark, texts)).collect()}
+    assert got[24] == [("5550000", "phone")] and got[28] == [("5550000", "phone")]
+    assert got[40] == [("7770001", "phone")] and got[41] == []
+
+
 def test_nulls_repeats_and_empty_tables(spark):
     rows = [(1, "ip 10.0.0.1", "x"), (1, "ip 10.0.0.1", "x"), (None, "ip 10.0.0.1", None), (None, None, None), (2, "", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, kind string")
