@@ -5,9 +5,9 @@ and serve as seeds.  Every string with a digit or an at sign is an instance, the
 beside it are its lexical patterns ("left: phone:", "right: extension").  Instances and
 patterns form a graph, which is pre-aggregated to its distinct edges and scored in rounds:
 
-* a pattern's confidence in a kind is the share of all its occurrences in the corpus (as a
-  word, whatever follows) that lead to a known instance of the kind; it also needs a least
-  number of different known instances;
+* a pattern's confidence in a kind is the share of all its occurrences in the corpus (free or
+  attached to a string, whatever that is) that lead to a known instance of the kind; it also
+  needs a least number of different known instances;
 * an instance that is not known is accepted where the patterns around it make its kind
   likely enough (noisy or), and then is known wherever it occurs, which supports further
   patterns in the next round.
@@ -44,6 +44,12 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 INSTANCE = r"(?<![A-Za-z0-9@._+-])[A-Za-z._+-]*+[0-9@](?:[A-Za-z0-9@._+/-]*[A-Za-z0-9])?+"
 #: Characters of the text beside an instance in which its neighbour words are sought.
 NEAR = 64
+#: Characters of a neighbour word that count, those next to the instance.
+WORD = 48
+#: Places inside a word where a string begins and ends, and the words beside these places.
+BEGINS = r"(?s)(?<![A-Za-z0-9@._+-])(?=[A-Za-z0-9@._+(-])"
+ENDS = r"(?s)(?<=[A-Za-z0-9])(?![@._+/-]*+[A-Za-z0-9])"
+LEFT_LONG, LEFT_SHORT, RIGHT = BEGINS + f"(?<=(.{{{WORD}}}))", BEGINS + f"(?<=^(.{{1,{WORD - 1}}}))", ENDS + f"(?=(.{{1,{WORD}}}))"
 
 ROUNDS = 3
 CONFIDENCE = 0.8
@@ -136,7 +142,7 @@ def extracted(docs: DataFrame) -> DataFrame:
         whole = F.substring(text, (first["start"] + 1).cast("int"), (first["end"] - first["start"]).cast("int"))
         after = F.when(longer, F.substring(text, (first["end"] + 1).cast("int"), F.lit(NEAR))).otherwise(p["after"])
         return F.struct(p["start"], p["end"].alias("end"), F.when(longer, whole).otherwise(p["text"]).alias("instance"),
-                        word(p["before"], r"(\S+)\s*$").alias("left"), word(after, r"^\s*(\S+)").alias("right"),
+                        word(p["before"], rf"(\S{{1,{WORD}}})\s*$").alias("left"), word(after, rf"^\s*(\S{{1,{WORD}}})").alias("right"),
                         first["kind"].alias("kind"),
                         ((F.size(b) == 0) | F.exists(b, lambda x: x["start"] == p["start"])).alias("whole"))
 
@@ -150,10 +156,21 @@ def _sides(edges: DataFrame) -> DataFrame:
         F.concat(F.lit("l:"), "left"), F.concat(F.lit("r:"), "right"))).alias("pattern")).where("length(pattern) > 2")
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """Occurrences of every lower-cased word, over all documents."""
-    words = C.texts(docs).select(F.explode(F.split(F.lower("text"), r"\s+")).alias("word")).where("word <> ''")
-    return words.groupBy("word").agg(F.count("*").alias("total"))
+def pattern_counts(docs: DataFrame) -> DataFrame:
+    """pattern, total: occurrences of every pattern, over all documents.
+
+    Texts are cut at instances and blanks, as the words beside an instance are.  Such a word
+    stands to the left and to the right of something; where other strings are in it ("tel:none"),
+    what is before one stands to its left and what is behind it to its right, too.
+    """
+    words = C.texts(docs).select(F.explode(F.split(F.regexp_replace("text", INSTANCE, " "), r"\s+")).alias("word")).where("word <> ''")
+    words = words.groupBy("word").agg(F.count("*").alias("n"))
+    beside = lambda pattern: F.filter(F.regexp_extract_all("word", F.lit(pattern), F.lit(1)), lambda x: x != "")
+    named = lambda side, found: F.transform(found, lambda x: F.concat(F.lit(side), F.lower(x)))
+    left = F.concat(F.array(F.substring("word", -WORD, WORD)), beside(LEFT_LONG), beside(LEFT_SHORT))
+    right = F.concat(F.array(F.substring("word", 1, WORD)), beside(RIGHT))
+    return words.select("n", F.explode(F.concat(named("l:", left), named("r:", right))).alias("pattern")) \
+        .groupBy("pattern").agg(F.sum("n").alias("total"))
 
 
 def learn(spark: SparkSession, seen: DataFrame, docs: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE,
@@ -164,8 +181,7 @@ def learn(spark: SparkSession, seen: DataFrame, docs: DataFrame, rounds: int = R
     # Word counts only matter for words beside as many instances, known or not, as support takes:
     # any of these may be accepted in a round and support the next one's patterns.
     beside = _sides(edges).groupBy("pattern").agg(F.count_distinct("instance").alias("known")).where(F.col("known") >= support)
-    totals = C.cut(spark, beside.select("pattern", F.expr("substring(pattern, 3)").alias("word")).join(word_counts(docs), "word")
-                   .select("pattern", "total"), "op2-words")
+    totals = C.cut(spark, beside.select("pattern").join(pattern_counts(docs), "pattern"), "op2-words")
     unknown = edges.where("kind IS NULL").select("instance", "left", "right").where(
         F.col("instance").contains("@") | (F.length(F.regexp_replace("instance", "[^0-9]", "")) >= LEAST_DIGITS))
     known = edges.where("kind IS NOT NULL").groupBy("instance").agg(F.min("kind").alias("kind"))

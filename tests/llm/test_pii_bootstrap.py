@@ -72,6 +72,21 @@ def test_patterns_of_accepted_instances(spark):
     assert got[40] == [("7770001", "phone")] and got[41] == []
 
 
+def test_attached_contexts(spark):
+    texts = [f"member tel:+15550001{100 + i} and" for i in range(12)]
+    texts += ["home tel:5550001", 'the "number":"7770001" field', "see 8880001, then"]
+    texts += [f"one, two, three {i}" for i in range(12)] + [f"from a{i}@b{i}.cc, to" for i in range(4)] + ["a free , sign"]
+    got = {r.doc_id: [(texts[r.doc_id][s.start:s.end], B.KINDS[s.kind]) for s in r.context] for r in B.find(frame(spark, texts)).collect()}
+    assert got[12] == [("5550001", "phone")]
+    assert got[13] == [] and got[14] == []  # most commas stand behind other strings
+
+
+def test_pattern_counts(spark):
+    texts = ["tel:none tel:5550001 tel: x", "none, 5550001, done. (5)", "Tel:none"]
+    got = {r.pattern: r.total for r in B.pattern_counts(frame(spark, texts)).collect()}
+    assert (got["l:tel:"], got["r:,"], got["l:("], got["r:."], got["l:tel:none"]) == (4, 2, 1, 1, 2)
+
+
 def test_nulls_repeats_and_empty_tables(spark):
     rows = [(1, "ip 10.0.0.1", "x"), (1, "ip 10.0.0.1", "x"), (None, "ip 10.0.0.1", None), (None, None, None), (2, "", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, kind string")
