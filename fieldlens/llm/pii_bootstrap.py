@@ -1,8 +1,10 @@
 """Operator 2: personal data by bootstrapped contextual extraction, in DataFrame functions only.
 
 Base findings (e-mail, IP address, card and phone numbers) are fixed patterns with checks
-and serve as seeds.  Every string with a digit or an at sign is an instance, the words
-beside it are its lexical patterns ("left: phone:", "right: extension").  Instances and
+and serve as seeds.  Every string with a digit or an at sign and every run of digit groups
+("(555) 123-4567") is an instance, the words beside it are its lexical patterns ("left:
+phone:", "right: extension").  A string inside such a run has no patterns of its own; it is
+reported where it is known from elsewhere and the run is not accepted.  Instances and
 patterns form a graph, which is pre-aggregated to its distinct edges and scored in rounds:
 
 * a pattern's confidence in a kind is the share of all its occurrences in the corpus (free or
@@ -42,6 +44,10 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Strings with a digit or an at sign.
 INSTANCE = r"(?<![A-Za-z0-9@._+-])[A-Za-z._+-]*+[0-9@](?:[A-Za-z0-9@._+/-]*[A-Za-z0-9])?+"
+#: Digit groups joined by single blanks, dots, hyphens, slashes or parentheses, over whole strings.
+_GROUP = r"(?:\([0-9]++\)(?=[\x20./-]?[0-9])|[0-9]++)"
+_STRING = _GROUP + r"(?:[./-]?" + _GROUP + r")*+(?![./()-]*+[A-Za-z0-9@_+])"
+RUN = r"(?<![A-Za-z0-9@._+-])\+?" + _STRING + r"(?:\x20" + _STRING + r")*+"
 #: Characters of the text beside an instance in which its neighbour words are sought.
 NEAR = 64
 #: Characters of a neighbour word that count, those next to the instance.
@@ -128,13 +134,21 @@ def extracted(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, base, instances of every row: the one pass over the texts."""
     t = C.texts(docs)
     t = t.select("doc_id", "text", F.xxhash64("text").alias("text_key"), base_spans(F.col("text")).alias("base"),
-                 places(F.col("text"), INSTANCE, "[0-9@]").alias("places"))
+                 places(F.col("text"), f"{RUN}|{INSTANCE}", "[0-9@]").alias("places"))
     word = lambda c, p: F.lower(F.regexp_extract(c, p, 1))
     # An instance is known where a base span starts with it; inside one it is left out.
     here = lambda p: F.filter("base", lambda b: (b["start"] < p["end"]) & (p["start"] < b["end"]))
     text = F.col("text")
 
-    def one(p: Column, b: Column) -> Column:
+    def strings(p: Column) -> Column:
+        """The strings of a run, as places of the text."""
+        inner = places(p["text"], INSTANCE, "[0-9]")
+        return _let(inner, lambda q: F.transform(q, lambda x, i: F.struct(
+            (p["start"] + x["start"]).alias("start"), (p["start"] + x["end"]).alias("end"), x["text"].alias("text"),
+            F.when(i == 0, F.substring(F.concat(p["before"], x["before"]), -NEAR, NEAR)).otherwise(x["before"]).alias("before"),
+            F.when(i == F.size(q) - 1, F.substring(F.concat(x["after"], p["after"]), 1, NEAR)).otherwise(x["after"]).alias("after"))))
+
+    def one(p: Column, b: Column, run: Column = F.lit(None).cast("string")) -> Column:
         """The instance at a place; ``b``: base spans there.  One of several strings ("+1 555
         0100") is taken, with what stands behind it, from the text."""
         first = F.get(b, F.lit(0))
@@ -144,9 +158,15 @@ def extracted(docs: DataFrame) -> DataFrame:
         return F.struct(p["start"], p["end"].alias("end"), F.when(longer, whole).otherwise(p["text"]).alias("instance"),
                         word(p["before"], rf"(\S{{1,{WORD}}})\s*$").alias("left"), word(after, rf"^\s*(\S{{1,{WORD}}})").alias("right"),
                         first["kind"].alias("kind"),
-                        ((F.size(b) == 0) | F.exists(b, lambda x: x["start"] == p["start"])).alias("whole"))
+                        ((F.size(b) == 0) | F.exists(b, lambda x: x["start"] == p["start"])).alias("whole"), run.alias("run"))
+
+    def instances(p: Column, b: Column) -> Column:
+        """Those of a place.  A run in which base spans are is only its strings."""
+        return F.when(~p["text"].rlike(r"[\x20(]"), F.array(one(p, b))) \
+            .when(F.size(b) == 0, F.concat(F.array(one(p, b)), F.transform(strings(p), lambda q: one(q, b, p["text"])))) \
+            .otherwise(F.transform(strings(p), lambda q: _let(here(q), lambda c: one(q, c))))
 
-    made = F.transform("places", lambda p: _let(here(p), lambda b: one(p, b)))
+    made = F.flatten(F.transform("places", lambda p: _let(here(p), lambda b: instances(p, b))))
     return t.select("doc_id", "text_key", "base", F.filter(made, lambda p: p["whole"]).alias("instances"))
 
 
@@ -176,7 +196,7 @@ def pattern_counts(docs: DataFrame) -> DataFrame:
 def learn(spark: SparkSession, seen: DataFrame, docs: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE,
           support: int = SUPPORT) -> DataFrame:
     """(instance, left, right, kind) of the edges that the rounds accept."""
-    edges = seen.select(F.explode("instances").alias("i")).groupBy("i.instance", "i.left", "i.right", "i.kind").agg(F.count("*").alias("n"))
+    edges = seen.select(F.explode("instances").alias("i")).where("i.run IS NULL").groupBy("i.instance", "i.left", "i.right", "i.kind").agg(F.count("*").alias("n"))
     edges = C.cut(spark, edges, "op2-edges")
     # Word counts only matter for words beside as many instances, known or not, as support takes:
     # any of these may be accepted in a round and support the next one's patterns.
@@ -210,7 +230,11 @@ def find(docs: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE,
     accepted = learn(spark, seen, docs, rounds, confidence, support)
     # Instances known nowhere by a base pattern but accepted by their contexts.
     at = seen.select("doc_id", "text_key", F.explode("instances").alias("i")).where("i.kind IS NULL") \
-        .select("doc_id", "text_key", "i.start", "i.end", "i.instance")
+        .select("doc_id", "text_key", "i.start", "i.end", "i.instance", "i.run")
+    # A string of a run stands for itself only where the run is not accepted.
+    inside = at.where("run IS NOT NULL").join(accepted, "instance", "left_semi") \
+        .join(accepted.select(F.col("instance").alias("run")), "run", "left_anti")
+    at = at.where("run IS NULL").drop("run").unionByName(inside.drop("run"))
     context = at.join(accepted, "instance").groupBy("doc_id", "text_key").agg(
         F.array_sort(F.collect_set(F.struct("start", "kind", "end"))).cast(SPAN).alias("context"))
     # Rows of one id and text have the same spans; null ids meet by a marker.

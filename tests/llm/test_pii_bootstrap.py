@@ -87,6 +87,16 @@ def test_pattern_counts(spark):
     assert (got["l:tel:"], got["r:,"], got["l:("], got["r:."], got["l:tel:none"]) == (4, 2, 1, 1, 2)
 
 
+def test_unseen_forms_of_several_strings(spark):
+    forms = ["555 123 4567", "0171 234567", "(555) 123-4567", "(030)1234567", "555.123.4567", "4111 1111 1111 1112"]
+    texts = [f"member phone: +1 555 000 {1000 + i} ok" for i in range(40)] + [f"member phone: {f} ok" for f in forms]
+    texts += ["member phone: 5550001 ok", "noted 5550001 2024 elsewhere", "in 12 34 abc", "version 555 123 of 4567x", "see (030)1234567."]
+    got = {r.doc_id: [(texts[r.doc_id][s.start:s.end], B.KINDS[s.kind]) for s in r.context] for r in B.find(frame(spark, texts)).collect()}
+    for i, form in enumerate(forms):
+        assert got[40 + i] == [(form, "phone")]
+    assert [got[i] for i in range(46, 51)] == [[("5550001", "phone")], [("5550001", "phone")], [], [], [("(030)1234567", "phone")]]
+
+
 def test_nulls_repeats_and_empty_tables(spark):
     rows = [(1, "ip 10.0.0.1", "x"), (1, "ip 10.0.0.1", "x"), (None, "ip 10.0.0.1", None), (None, None, None), (2, "", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, kind string")
