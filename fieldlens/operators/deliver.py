@@ -17,6 +17,7 @@ from ..functions.context import Context
 from ..functions import columns as R
 from ..functions.columns import col
 from ..plans.engine import any_flag, module_view, modules_in
+from ..plans.materialize import seen, written
 from . import monitor as M
 
 # Context columns of the master sheet.
@@ -35,7 +36,8 @@ def write_error_logs(flagged: DataFrame, path: str, profile: P.Profile | None =
     """A5/A6 sink: one folder per module (``module=<m>/``); a module with no flag
     writes an empty table with its header, which is the 'no flags' message."""
     for m in modules_in(flagged):
-        error_log(flagged, m, profile).write.mode("overwrite").format(fmt).save(f"{path.rstrip('/')}/module={m}")
+        error_log(flagged, m, profile).write.mode("overwrite").option("maxRecordsPerFile", ROWS_PER_FILE) \
+            .format(fmt).save(f"{path.rstrip('/')}/module={m}")
 
 
 # -- H3: master sheet ---------------------------------------------------------------
@@ -96,14 +98,31 @@ def enumerator_feedback(flagged: DataFrame, ctx: Context) -> DataFrame:
         .orderBy(F.desc("flag_rate_pct"), "enumerator")
 
 
-def write_enumerator_feedback(flagged: DataFrame, ctx: Context, path: str) -> None:
-    """A7 sink: summary table plus flagged rows partitioned by enumerator."""
+#: Rows in a written file, and so in a writer task's part of a key.
+ROWS_PER_FILE = 1_000_000
+
+
+def spread_by_key(rows: DataFrame, key: str, rows_per_file: int = ROWS_PER_FILE) -> DataFrame:
+    """``rows`` clustered for a sink with one folder a key: each key's rows are counted, and a
+    key of k files' worth of rows is dealt to k tasks by a hash of the row.
+
+    So the tasks that write a hot key, and the size of its files, follow from its rows, not
+    from how many files or tasks the input had."""
+    sizes = written(rows.groupBy(col(key).alias("_key")).agg(F.ceil(F.count(F.lit(1)) / rows_per_file).alias("_files")), "sink-keys", keys="count(1)")
+    few = seen(sizes)["keys"] <= M.BROADCAST_GROUPS
+    spot = F.xxhash64("row_seq") if "row_seq" in rows.columns else F.xxhash64(*[col(c) for c in rows.columns])
+    return rows.join(F.broadcast(sizes) if few else sizes, col(key) == F.col("_key")) \
+        .repartition(col(key), F.pmod(spot, F.col("_files"))).drop("_key", "_files")
+
+
+def write_enumerator_feedback(flagged: DataFrame, ctx: Context, path: str, rows_per_file: int = ROWS_PER_FILE) -> None:
+    """A7 sink: summary table plus flagged rows partitioned by enumerator, in files of at most
+    ``rows_per_file`` rows."""
     root = path.rstrip("/")
     enumerator_feedback(flagged, ctx).write.mode("overwrite").parquet(f"{root}/summary")
     rows = flagged.where(col(ctx.enu).isNotNull() & (any_flag(flagged) == 1))
-    # Cluster by enumerator so each enumerator folder gets few files; REBALANCE lets
-    # AQE split a hot enumerator's partition over several tasks instead of one.
-    rows.hint("rebalance", ctx.enu).write.mode("overwrite").partitionBy(ctx.enu).parquet(f"{root}/rows")
+    spread_by_key(rows, ctx.enu, rows_per_file).write.mode("overwrite").option("maxRecordsPerFile", rows_per_file) \
+        .partitionBy(ctx.enu).parquet(f"{root}/rows")
 
 
 # -- H6 / W4: issue catalogue and ranking -------------------------------------------

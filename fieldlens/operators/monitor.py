@@ -30,7 +30,7 @@ from ..functions.context import Context
 from ..functions.columns import col
 from ..plans.engine import any_flag, module_flag_columns, modules_in
 from .checks import highest_tier
-from .quantiles import exact_quantiles
+from .quantiles import BROADCAST_GROUPS, exact_quantiles
 
 
 def _cnt(cond: Column) -> Column:
@@ -498,13 +498,15 @@ def five_number(flagged: DataFrame, group: str, value: str) -> DataFrame:
 
 def box_outliers(flagged: DataFrame, group: str, value: str, id_col: str) -> DataFrame:
     """G27 outlier rows: values outside their group's fences (join on #groups rows)."""
-    fences = five_number(flagged, group, value).select("group", F.xxhash64("group").alias("_hash"), "lower_fence", "upper_fence")
+    fences = five_number(flagged, group, value)
+    few = fences.count() <= BROADCAST_GROUPS  # of a written table with one row a group
+    fences = fences.select("group", F.xxhash64("group").alias("_hash"), "lower_fence", "upper_fence")
     v = col(value)
     rows = flagged.where(col(group).isNotNull() & v.isNotNull()).select(
         col(id_col).alias("id"), col("row_seq"), col(group).alias("group"), v.alias("value"))
-    # One row a group: AQE broadcasts it when its measured size is small.  Otherwise the second
-    # key gives the fences an exchange of their own, so that a hot group can be split.
-    joined = rows.withColumn("_hash", F.xxhash64("group")).join(fences, ["group", "_hash"])
+    # Beyond that many groups both sides are exchanged, so that AQE can split a hot one (the
+    # second key keeps the plan so when the fences come from an aggregate by group).
+    joined = rows.withColumn("_hash", F.xxhash64("group")).join(F.broadcast(fences) if few else fences, ["group", "_hash"])
     return joined.where((F.col("value") < F.col("lower_fence")) | (F.col("value") > F.col("upper_fence"))) \
         .select("id", "row_seq", "group", "value")
 
@@ -515,20 +517,21 @@ def score_box_group(ctx: Context) -> str:
 
 
 def tukey_outliers(flagged: DataFrame, metrics: Sequence[str] = ("FCS", "rCSI")) -> DataFrame:
-    """Whole-table Tukey outlier counts (needs >= 4 values); fences via scalar subqueries."""
-    parts = []
-    for m in metrics:
-        v = col(m)
-        fences = exact_quantiles(flagged, None, m, [0.25, 0.75], ["q1", "q3"])
-        one = fences.agg(F.struct(F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.max("q1").alias("q1"), F.max("q3").alias("q3")).alias("s"))
-        s = one.scalar()
-        n, q1, q3 = s.getField("n"), s.getField("q1"), s.getField("q3")
-        lo, hi = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
-        out = flagged.agg(F.count_if(v.isNotNull() & ((v < lo) | (v > hi))).alias("_o")).select(
-            F.lit(m).alias("metric"), n.alias("n"), q1.alias("q1"), q3.alias("q3"), lo.alias("lower_fence"),
-            hi.alias("upper_fence"), F.when(n >= 4, F.col("_o")).otherwise(F.lit(0)).cast("bigint").alias("n_outliers"))
-        parts.append(out)
-    return reduce(DataFrame.unionByName, parts)
+    """Whole-table Tukey outlier counts (needs >= 4 values).
+
+    All metrics share one long form: one selection of the quartiles, one pass that counts.
+    A metric without values has no fences and no outliers."""
+    stack = ", ".join(f"'{m}', CAST(`{m}` AS DOUBLE)" for m in metrics)
+    long = flagged.selectExpr(f"stack({len(metrics)}, {stack}) AS (metric, value)").where(F.col("value").isNotNull())
+    q = exact_quantiles(long, "metric", "value", [0.25, 0.75], ["q1", "q3"])
+    iqr = F.col("q3") - F.col("q1")
+    fences = q.select("metric", "n", "q1", "q3", (F.col("q1") - 1.5 * iqr).alias("lower_fence"), (F.col("q3") + 1.5 * iqr).alias("upper_fence"))
+    beyond = (F.col("value") < F.col("lower_fence")) | (F.col("value") > F.col("upper_fence"))
+    # One row a metric on the small sides.
+    found = long.join(F.broadcast(fences), "metric").groupBy(*fences.columns).agg(F.count_if(beyond).alias("_o")).select(
+        *fences.columns, F.when(F.col("n") >= 4, F.col("_o")).otherwise(F.lit(0)).cast("bigint").alias("n_outliers"))
+    named = flagged.sparkSession.sql("SELECT * FROM VALUES " + ", ".join(f"('{m}')" for m in metrics) + " AS t(metric)")
+    return named.join(F.broadcast(found), "metric", "left").na.fill(0, ["n", "n_outliers"])
 
 
 def start_hour_hist(flagged: DataFrame, ctx: Context) -> DataFrame:

@@ -18,7 +18,8 @@ from contextlib import contextmanager
 from pathlib import Path
 from typing import Callable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
 
@@ -144,3 +145,29 @@ def materialize(spark: SparkSession, build: Callable[[], DataFrame], name: str,
 
 
 _READ: dict[tuple[str, str], DataFrame] = {}
+
+
+def written(df: DataFrame, label: str, **measures: str) -> DataFrame:
+    """``df`` written once into a new folder of the shared checkpoint folder, and read back: a
+    step of an operator that later steps must all see alike, whatever executor is lost.
+
+    ``measures`` are aggregates (SQL) taken while it is written; ``seen(step)`` returns them."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/fieldlens-steps/{label}-{uuid.uuid4().hex}"
+    watch = Observation() if measures else None
+    (df.observe(watch, *[F.expr(m).alias(k) for k, m in measures.items()]) if watch else df).write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._fieldlens_path, out._fieldlens_seen = path, watch.get if watch else {}
+    return out
+
+
+def seen(step: DataFrame) -> dict:
+    """What was measured while the step was written."""
+    return step._fieldlens_seen
+
+
+def discard(step: DataFrame) -> None:
+    """Delete the folder of a ``written`` step that no plan needs any more."""
+    spark = step.sparkSession
+    fs, hpath = _fs(spark, step._fieldlens_path)
+    fs.delete(hpath, True)

@@ -1,5 +1,6 @@
 """One id holding a third of all rows: id-level operators stay correct (vs DuckDB)."""
 import duckdb
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -23,7 +24,8 @@ def hot(spark):
     keyed = events.selectExpr("*", f"{FX.PLANT_KEY} AS k")
     cols = [(n, HOT if n == "_uuid" else e) for n, e in FX.SURVEY_COLUMNS]
     survey = keyed.selectExpr(*[f"{e} AS `{n}`" for n, e in cols])
-    return R.flagged_from(spark, survey, "hot-id")
+    # Several files: AQE splits a hot partition between the map tasks that wrote it.
+    return R.flagged_from(spark, survey.repartition(8), "hot-id")
 
 
 @pytest.fixture(scope="module")
@@ -70,17 +72,25 @@ def test_hot_enumerator_feedback_sink_keeps_all_rows(spark, tmp_path):
     rep = resolve_context(f.columns, "report")
     expected = f.where(F.col("EnuName").isNotNull() & (M.any_flag(f) == 1)).count()
     hot_expected = f.where((F.col("EnuName") == "ENU_HOT") & (M.any_flag(f) == 1)).count()
-    old = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
-    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
-    try:
-        D.write_enumerator_feedback(f, rep, str(tmp_path / "fb"))
-    finally:
-        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
+    assert len(f.inputFiles()) == 1  # the spread must not come from the input's files
+    D.write_enumerator_feedback(f, rep, str(tmp_path / "fb"), rows_per_file=200)
     rows = spark.read.parquet(str(tmp_path / "fb" / "rows"))
     assert rows.count() == expected
-    assert rows.where(F.col("EnuName") == "ENU_HOT").count() == hot_expected > 0
+    assert rows.where(F.col("EnuName") == "ENU_HOT").count() == hot_expected > 200
     files = [p for p in (tmp_path / "fb" / "rows" / "EnuName=ENU_HOT").iterdir() if p.suffix == ".parquet"]
-    assert len(files) > 1
+    assert len(files) >= -(-hot_expected // 200)
+    assert all(pq.read_metadata(p).num_rows <= 200 for p in files)
+
+
+def test_spread_follows_the_rows_of_a_key(spark):
+    """As many tasks a key as its rows fill files; small keys keep one."""
+    df = spark.range(9000).select(F.when(F.col("id") < 8000, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("k"), F.col("id").alias("row_seq"))
+    from fieldlens.plans.materialize import session_conf
+
+    with session_conf(spark, {"spark.sql.adaptive.coalescePartitions.enabled": "false"}):  # these are a few kilobytes
+        with_task = D.spread_by_key(df.coalesce(1), "k", 1000).withColumn("t", F.spark_partition_id())
+        tasks = {r.k: r.n for r in with_task.groupBy("k").agg(F.countDistinct("t").alias("n")).collect()}
+    assert tasks.pop("hot") > 2 and set(tasks.values()) == {1} and len(tasks) == 50
 
 
 def _final_plan(df) -> str:
@@ -96,13 +106,20 @@ SPLIT = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2k", "s
 
 
 @pytest.mark.parametrize("name", ["duplicate_rows", "master_sheet", "box_outliers"])
-def test_hot_keys_are_split(spark, hot, name):
+def test_hot_keys_are_split(spark, hot, name, monkeypatch):
     """The final plan of the joins by id or group splits the hot key's partition."""
     from fieldlens.plans.materialize import session_conf
 
+    monkeypatch.setattr(M, "BROADCAST_GROUPS", 0)  # as if the groups were too many to send to every task
     dash, rep = resolve_context(hot.columns, "dashboard"), resolve_context(hot.columns, "report")
     skewed = hot.withColumn("EnuName", F.when(F.col("row_seq") % 2 == 0, F.lit("HOT")).otherwise(F.col("row_seq").cast("string")))
     with session_conf(spark, SPLIT):
         df = {"duplicate_rows": lambda: M.duplicate_rows(hot, dash), "master_sheet": lambda: D.master_sheet(hot, rep),
               "box_outliers": lambda: M.box_outliers(skewed, "EnuName", "Timing_Duration_Min", "_uuid")}[name]()
         assert "skew=true" in _final_plan(df)
+
+
+def test_few_groups_move_no_rows(spark, hot):
+    """With few groups the fences go to the rows: no exchange carries a row."""
+    plan = _final_plan(M.box_outliers(hot, "EnuName", "Timing_Duration_Min", "_uuid"))
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan.split("== Final Plan ==")[-1].split("== Initial Plan ==")[0]
