@@ -218,7 +218,11 @@ def issue_ranking(flagged: DataFrame) -> DataFrame:
 
 def progress(flagged: DataFrame, ctx: Context, target: int) -> DataFrame:
     """% done, remaining, average per active day, days to finish, band."""
-    h = M.survey_header(flagged, ctx)
+    return progress_of(M.survey_header(flagged, ctx), target)
+
+
+def progress_of(h: DataFrame, target: int) -> DataFrame:
+    """T1 from a survey header."""
     n, days = F.col("n").cast("double"), F.col("days_active")
     remaining = F.greatest(F.lit(target) - F.col("n"), F.lit(0))
     avg = F.try_divide(n, F.when(days > 0, days.cast("double")))

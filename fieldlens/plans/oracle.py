@@ -355,15 +355,20 @@ r AS (SELECT enumerator, CAST(surveys AS BIGINT) AS surveys""", 1).replace(
         "\nFROM agg", "\nFROM agg)\nSELECT r.enumerator, surveys, flagged, rate_pct, missing_pct, avg_duration_min, "
         "supervisor, CAST(straight_line AS DOUBLE) AS straight_line FROM r LEFT JOIN extra x ON r.enumerator = x.enumerator", 1)
     metrics = [("FCS", "FCS"), ("rCSI", "rCSI"), ("HDDS", "HDDS"), ("HHSize", "HHSize"), ("Duration", "Timing_Duration_Min")]
-    g = ", ".join(f"avg({c}) AS m_{k}" for k, c in metrics)
-    o = ", ".join(f"avg({c}) AS o_{k}, stddev_samp({c}) AS d_{k}" for k, c in metrics)
+    # Sums are taken as decimals, so that no order of addition shows in the last digits.
+    s, n = "CAST(sum(CAST({c} AS DECIMAL(20, 9))) AS DOUBLE)", "CAST(count({c}) AS DOUBLE)"
+    q2 = "CAST(sum(CAST({c} * {c} AS DECIMAL(28, 9))) AS DOUBLE)"
+    mean = f"{s} / nullif({n}, 0)"
+    sd = f"CASE WHEN count({{c}}) > 1 THEN sqrt(greatest(({q2} - {s} * {s} / {n}) / ({n} - 1), 0)) END"
+    g = ", ".join(f"{mean.format(c=c)} AS m_{k}" for k, c in metrics)
+    o = ", ".join(f"{mean.format(c=c)} AS o_{k}, {sd.format(c=c)} AS d_{k}" for k, c in metrics)
     long = " UNION ALL ".join(
         f"SELECT enumerator, '{k}' AS metric, m_{k} AS mean, o_{k} AS overall_mean, d_{k} AS overall_sd FROM g, o"
         for k, _ in metrics)
     q["enumerator_deviation"] = _with(f""", g AS (SELECT EnuName AS enumerator, {g} FROM flagged WHERE EnuName IS NOT NULL GROUP BY 1),
 o AS (SELECT {o} FROM flagged),
 l AS ({long})
-SELECT enumerator, metric, round(mean, 9) AS mean, round(overall_mean, 9) AS overall_mean, round(overall_sd, 9) AS overall_sd,
+SELECT enumerator, metric, mean, overall_mean, overall_sd,
   coalesce(overall_sd <> 0 AND mean IS NOT NULL AND abs(round_even(mean, 2) - overall_mean) > 1.5 * overall_sd, false) AS deviates
 FROM l""")
     q["submission_matrix"] = _with("SELECT EnuName AS enumerator, CAST(today AS VARCHAR) AS date, count(*) AS n FROM flagged "
@@ -431,9 +436,9 @@ FROM dim CROSS JOIN tot LEFT JOIN cnt ON cnt.hb = dim.hhs_band AND cnt.rb = dim.
     q["expenditure_extremes"] = _with(f""", l AS (SELECT * FROM ({long}) t WHERE value IS NOT NULL),
 r AS (SELECT item, value, row_number() OVER (PARTITION BY item ORDER BY value ASC) AS lo,
              row_number() OVER (PARTITION BY item ORDER BY value DESC) AS hi FROM l)
-SELECT item, 'smallest' AS kind, CAST(lo AS INTEGER) AS pos, round(value, 9) AS value FROM r WHERE lo <= 5
-UNION ALL SELECT item, 'largest' AS kind, CAST(hi AS INTEGER) AS pos, round(value, 9) AS value FROM r WHERE hi <= 5
-UNION ALL SELECT item, 'median' AS kind, 1 AS pos, round(quantile_cont(value, 0.5), 9) AS value FROM l GROUP BY item""")
+SELECT item, 'smallest' AS kind, CAST(lo AS INTEGER) AS pos, value FROM r WHERE lo <= 5
+UNION ALL SELECT item, 'largest' AS kind, CAST(hi AS INTEGER) AS pos, value FROM r WHERE hi <= 5
+UNION ALL SELECT item, 'median' AS kind, 1 AS pos, quantile_cont(value, 0.5) AS value FROM l GROUP BY item""")
     q["missing_rate_matrix"] = _with(" UNION ALL ".join(
         f"SELECT EnuName AS enumerator, '{m}' AS module, avg(coalesce(Flag_{m}_Missing, 0)) * 100.0 AS missing_pct "
         "FROM flagged WHERE EnuName IS NOT NULL GROUP BY 1" for m in MODULES))

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from .. import profile as P
 from ..functions.context import resolve_context
 from ..operators import deliver as D
+from ..operators import facts as A
 from ..operators import monitor as M
 from ..sources.fixture import events_path, survey_from_events
 from ..session import checkpoint_dir
@@ -50,11 +51,28 @@ def flagged_from(spark: SparkSession, survey_df: DataFrame, name: str, prof: P.P
 
 
 def _dash(df: DataFrame):
-    return resolve_context(df.columns, "dashboard")
+    return resolve_context(_survey_columns(df), "dashboard")
 
 
 def _report(df: DataFrame):
-    return resolve_context(df.columns, "report")
+    return resolve_context(_survey_columns(df), "report")
+
+
+def _survey_columns(df: DataFrame) -> list[str]:
+    """The columns a context is looked for in; the facts table names a date by its day."""
+    return [c.removeprefix(A.DAY) for c in df.columns]
+
+
+def facts(spark: SparkSession, sf_dir: str, rebuild: bool = False) -> DataFrame:
+    """The partial-aggregate table of the flagged survey, written once from one scan of it."""
+    prof = P.fixture()
+    key = f"facts-{prof.name}-{prof.fingerprint()}-{input_fingerprint(spark, [events_path(sf_dir)])}-{code_version()}"
+
+    def build() -> DataFrame:
+        f = flagged(spark, sf_dir)
+        return A.build(f, _dash(f), _report(f))
+
+    return materialize(spark, build, key, rebuild=rebuild)
 
 
 def portable(df: DataFrame) -> DataFrame:
@@ -76,6 +94,12 @@ def _with_flagged(fn: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSessio
     return run
 
 
+def _with_facts(fn: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return portable(fn(facts(spark, sf_dir)))
+    return run
+
+
 def _module_flags(module: str) -> Callable[[DataFrame], DataFrame]:
     """Slice 1-2: id, row order, derived scores and flags (narrative left to the error log)."""
     def q(f: DataFrame) -> DataFrame:
@@ -157,46 +181,43 @@ QUERIES["fcs_flags_dashboard"] = _fcs_dashboard
 QUERIES["fcs_own_weights"] = _fcs_own_weights
 QUERIES.update({
     # slice 1 / 3: summaries
-    "fcs_summary": _with_flagged(lambda f: M.check_counts(f).where(F.col("module") == "FCS")),
-    "module_summary": _with_flagged(M.module_summary),
-    "check_counts": _with_flagged(M.check_counts),
-    "top_checks": _with_flagged(M.top_checks),
+    "fcs_summary": _with_facts(lambda f: A.check_counts(f).where(F.col("module") == "FCS")),
+    "module_summary": _with_facts(A.module_summary),
+    "check_counts": _with_facts(A.check_counts),
+    "top_checks": _with_facts(A.top_checks),
     "flagged_ids": _with_flagged(lambda f: M.flagged_ids(f, _report(f))),
     "flag_rate_by_enumerator": _with_flagged(lambda f: M.flag_rate_by_enumerator(f, _report(f))),
     "flag_rate_by_area": _with_flagged(lambda f: M.flag_rate_by_area(f, _report(f))),
-    "survey_header": _with_flagged(lambda f: M.survey_header(f, _report(f))),
-    "daily_counts_cumulative": _with_flagged(lambda f: M.daily_counts(f, _report(f), SAMPLE_TARGET)),
-    "fcg_dist": _with_flagged(M.fcg_dist),
-    "rcsi_dist": _with_flagged(M.rcsi_dist),
-    "hdds_dist": _with_flagged(M.hdds_dist),
-    "lcs_tier_dist": _with_flagged(M.lcs_tier_dist),
-    "score_means": _with_flagged(M.score_means),
+    "survey_header": _with_facts(lambda f: A.survey_header(f, _report(f))),
+    "daily_counts_cumulative": _with_facts(lambda f: A.daily_counts(f, _report(f), SAMPLE_TARGET)),
+    "fcg_dist": _with_facts(A.fcg_dist),
+    "rcsi_dist": _with_facts(A.rcsi_dist),
+    "hdds_dist": _with_facts(A.hdds_dist),
+    "lcs_tier_dist": _with_facts(A.lcs_tier_dist),
+    "score_means": _with_facts(A.score_means),
     "duration_stats": _with_flagged(M.duration_stats),
     # slice 4: behaviour
-    "surveys_by_area": _with_flagged(lambda f: M.surveys_per(f, _dash(f).area, "area")),
+    "surveys_by_area": _with_facts(lambda f: A.surveys_per(f, _dash(f).area, "area")),
     "duplicate_ids": _with_flagged(lambda f: M.duplicate_ids(f, _dash(f))),
     "duplicate_rows": _with_flagged(lambda f: M.duplicate_rows(f, _dash(f))),
-    "straight_lining": _with_flagged(lambda f: M.straight_lining(f, _dash(f))),
-    "missing_pct_by_enumerator": _with_flagged(lambda f: M.missing_pct_by_enumerator(f, _dash(f))),
-    "valid_duration_by_enumerator": _with_flagged(lambda f: M.valid_duration_by_enumerator(f, _dash(f))),
+    "straight_lining": _with_facts(lambda f: A.straight_lining(f, _dash(f))),
+    "missing_pct_by_enumerator": _with_facts(lambda f: A.missing_pct_by_enumerator(f, _dash(f))),
+    "valid_duration_by_enumerator": _with_facts(lambda f: A.valid_duration_by_enumerator(f, _dash(f))),
     "enumerator_scorecard": _with_flagged(  # straight_line is NULL for enumerators without any
         lambda f: M.enumerator_scorecard(f, _dash(f)).withColumn("straight_line", F.col("straight_line").cast("double"))),
-    # SD and interpolated money medians are rounded to 9 decimals for the cross-engine check:
-    # the two engines accumulate them in different orders (last-bit differences).
-    "enumerator_deviation": _with_flagged(lambda f: M.enumerator_deviation(f, _dash(f)).withColumns(
-        {c: F.round(c, 9) for c in ("mean", "overall_mean", "overall_sd")})),
-    "submission_matrix": _with_flagged(lambda f: M.submission_matrix(f, _dash(f))),
+    "enumerator_deviation": _with_facts(lambda f: A.enumerator_deviation(f, _dash(f))),
+    "submission_matrix": _with_facts(lambda f: A.submission_matrix(f, _dash(f))),
     # slice 5: breakdowns
-    "fcg_share_by_area": _with_flagged(lambda f: M.fcg_share_by_area(f, _dash(f))),
-    "rcsi_share_by_enumerator": _with_flagged(lambda f: M.rcsi_share_by_enumerator(f, _dash(f))),
-    "fcg_share_top_areas": _with_flagged(lambda f: M.fcg_share_by_area(f, _dash(f), top_n=3)),
-    "fcg_share_by_enumerator": _with_flagged(lambda f: M.fcg_share_by_enumerator(f, _dash(f))),
-    "rcsi_share_by_area": _with_flagged(lambda f: M.rcsi_share_by_area(f, _dash(f))),
-    "behaviour_totals": _with_flagged(M.behaviour_totals),
-    "hdds_mean_by_area": _with_flagged(lambda f: M.mean_by(f, _dash(f).area, "HDDS")),
-    "score_trend": _with_flagged(lambda f: M.score_trend(f, _dash(f))),
-    "lcs_response_dist": _with_flagged(M.lcs_response_dist),
-    "lcs_na_rate": _with_flagged(lambda f: M.lcs_na_rate(f, _dash(f))),
+    "fcg_share_by_area": _with_facts(lambda f: A.fcg_share(f, _dash(f).area)),
+    "rcsi_share_by_enumerator": _with_facts(lambda f: A.rcsi_share(f, _dash(f).enu)),
+    "fcg_share_top_areas": _with_facts(lambda f: A.fcg_share(f, _dash(f).area, top_n=3)),
+    "fcg_share_by_enumerator": _with_facts(lambda f: A.fcg_share(f, _dash(f).enu)),
+    "rcsi_share_by_area": _with_facts(lambda f: A.rcsi_share(f, _dash(f).area)),
+    "behaviour_totals": _with_facts(A.behaviour_totals),
+    "hdds_mean_by_area": _with_facts(lambda f: A.mean_by(f, _dash(f).area, "HDDS")),
+    "score_trend": _with_facts(lambda f: A.score_trend(f, _dash(f))),
+    "lcs_response_dist": _with_facts(A.lcs_response_dist),
+    "lcs_na_rate": _with_facts(lambda f: A.lcs_na_rate(f, _dash(f))),
     "five_number_by_group": _with_flagged(lambda f: M.five_number(f, _dash(f).enu, "Timing_Duration_Min")),
     "fcs_box_by_area": _with_flagged(lambda f: M.five_number(f, _dash(f).area, "FCS")),
     "box_outliers": _with_flagged(lambda f: M.box_outliers(f, _dash(f).enu, "Timing_Duration_Min", _dash(f).hhid)),
@@ -204,22 +225,22 @@ QUERIES.update({
     "fcs_outliers_by_area": _with_flagged(lambda f: M.box_outliers(f, M.score_box_group(_dash(f)), "FCS", _dash(f).hhid)),
     "rcsi_outliers_by_area": _with_flagged(lambda f: M.box_outliers(f, M.score_box_group(_dash(f)), "rCSI", _dash(f).hhid)),
     "tukey_outliers": _with_flagged(M.tukey_outliers),
-    "start_hour_hist": _with_flagged(lambda f: M.start_hour_hist(f, _dash(f))),
+    "start_hour_hist": _with_facts(lambda f: A.start_hour_hist(f, _dash(f))),
     "score_hist": _with_flagged(M.score_hist),
-    "consistency_matrix": _with_flagged(M.consistency_matrix),
-    "expenditure_extremes": _with_flagged(lambda f: M.expenditure_extremes(f).withColumn("value", F.round("value", 9))),
-    "missing_rate_matrix": _with_flagged(lambda f: M.missing_rate_matrix(f, _dash(f))),
+    "consistency_matrix": _with_facts(A.consistency_matrix),
+    "expenditure_extremes": _with_flagged(M.expenditure_extremes),
+    "missing_rate_matrix": _with_facts(lambda f: A.missing_rate_matrix(f, _dash(f))),
     # slice 6: deliverables
     "master_sheet": _with_flagged(lambda f: D.master_sheet(f, _report(f))),
     "master_narratives": _with_flagged(lambda f: D.master_narratives(f, _report(f))),
-    "enumerator_feedback": _with_flagged(lambda f: D.enumerator_feedback(f, _dash(f))),
+    "enumerator_feedback": _with_facts(lambda f: A.enumerator_feedback(f, _dash(f))),
     "top_enumerators": _with_flagged(lambda f: D.top_enumerators(f, _report(f))),
     "issue_ranking": _with_flagged(D.issue_ranking),
     "priority_alerts": _with_flagged(lambda f: D.priority_alerts(f, _dash(f), _report(f))),
     "recommendations": _with_flagged(lambda f: D.recommendations(f, _report(f))),
-    "progress": _with_flagged(lambda f: D.progress(f, _report(f), SAMPLE_TARGET)),
-    "enumerator_completion": _with_flagged(lambda f: D.enumerator_completion(f, _dash(f), SAMPLE_TARGET)),
-    "area_completion": _with_flagged(lambda f: D.area_completion(f, _dash(f), SAMPLE_TARGET)),
+    "progress": _with_facts(lambda f: A.progress(f, _report(f), SAMPLE_TARGET)),
+    "enumerator_completion": _with_facts(lambda f: A.enumerator_completion(f, _dash(f), SAMPLE_TARGET)),
+    "area_completion": _with_facts(lambda f: A.area_completion(f, _dash(f), SAMPLE_TARGET)),
     # sinks read back, display form
     "written_master_sheet": _written(_written_master),
     "written_error_logs": _written(_written_logs),
