@@ -57,7 +57,7 @@ def input_fingerprint(spark: SparkSession, paths: list[str]) -> str:
     return hashlib.sha1("\n".join(sorted(found)).encode()).hexdigest()[:12]
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     fs, hpath = _fs(spark, path)
     return fs.exists(hpath)
 
@@ -133,7 +133,7 @@ def materialize(spark: SparkSession, build: Callable[[], DataFrame], name: str,
     """
     path = f"{checkpoint_dir(spark).rstrip('/')}/fieldlens/{name}"
     version = None if rebuild else _pointed(spark, path)
-    if version is None or not _exists(spark, f"{path}/{version}/_SUCCESS"):
+    if version is None or not exists(spark, f"{path}/{version}/_SUCCESS"):
         version = f"v-{uuid.uuid4().hex}"
         with session_conf(spark, conf):
             build().write.parquet(f"{path}/{version}")

@@ -7,7 +7,8 @@ of the ``fixture`` profile (batch defaults, minimum item price 5).
 
 from __future__ import annotations
 
-from ..sources.fixture import survey_sql
+from ..sources.fixture import SURVEY_COLUMNS, survey_sql
+from ..sources.survey import declared_specs
 
 # Column groups of the derived survey (those present in it).
 DEMO_M = ["HHSize01M", "HHSize24M", "HHSize511M", "HHSize1217M", "HHSize1859M", "HHSize60AboveM"]
@@ -467,6 +468,15 @@ SELECT {out}, completed, target, CAST(completed AS DOUBLE) / target * 100.0 AS p
        WHEN round_even(CAST(completed AS DOUBLE) / target * 100.0, 1) >= 50 THEN 'Behind' ELSE 'Critical' END AS status
 FROM t""")
     q["survey_shape"] = f"WITH s AS ({survey_sql()}) SELECT count(*) AS n_rows, CAST({len(_survey_columns())} AS BIGINT) AS n_columns FROM s"
+    # The ingest of the survey as text, a few answers of five columns made unreadable or blank.
+    hurt = {"HHSize": ("row_seq % 97 = 5", "many"), "FCSStap": ("row_seq % 89 = 3", "5d"), "today": ("row_seq % 83 = 7", "31/31/2024"),
+            "start": ("row_seq % 101 = 9", "soon"), "rCSIBorrow": ("row_seq % 79 = 2", None)}
+    declared = {c: x.kind for c, x in declared_specs().items() if c in dict(SURVEY_COLUMNS)}
+    q["ingest_report"] = f"WITH s AS ({survey_sql()}) " + " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", '{kind}' AS kind, count(*) AS n_rows, count({_q(c)}) FILTER (WHERE NOT ({hurt.get(c, ('false', None))[0]})) AS n_answers,
+  count(*) FILTER (WHERE {hurt[c][0] if c in hurt and hurt[c][1] else 'false'}) AS n_unparsed FROM s""" for c, kind in declared.items())
+    q["unparsed_values"] = f"WITH s AS ({survey_sql()}) " + " UNION ALL ".join(
+        f"""SELECT CAST(row_seq AS BIGINT) AS row_seq, '{c}' AS "column", '{text}' AS text FROM s WHERE {cond}""" for c, (cond, text) in hurt.items() if text)
     q["survey_preview"] = (f"WITH s AS ({survey_sql()}) SELECT _uuid, row_seq, EnuName, CAST(today AS VARCHAR) AS today, FCSStap FROM s "
                            "ORDER BY row_seq LIMIT 5")
     q.update(_deliverables())
