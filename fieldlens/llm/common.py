@@ -73,17 +73,25 @@ class PieceMemo:
     operator after the other: the memo in use clears the one used before it.
     """
 
-    _used: "PieceMemo | None" = None
+    _used = None
 
     def __init__(self, encode: Callable[[list[str]], Iterable], limit: int):
         self.encode, self.limit, self.known = encode, limit, {}
 
+    def clear(self) -> None:
+        self.known.clear()
+
+    @staticmethod
+    def take(memo) -> None:
+        """``memo`` is the one in use now; the one used before it is cleared."""
+        if PieceMemo._used is not memo:
+            if PieceMemo._used is not None:
+                PieceMemo._used.clear()
+            PieceMemo._used = memo
+
     def lookup(self, pieces: Iterable[str]) -> dict:
         """A mapping that holds every one of ``pieces``."""
-        if PieceMemo._used is not self:
-            if PieceMemo._used is not None:
-                PieceMemo._used.known.clear()
-            PieceMemo._used = self
+        PieceMemo.take(self)
         new = [p for p in pieces if p not in self.known]
         if not new:
             return self.known

@@ -18,12 +18,13 @@ an empty table gives an empty store; other columns are ignored.
 from __future__ import annotations
 
 import os
-import re
 import zlib
+from array import array
 from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,24 +32,79 @@ from pyspark.sql import functions as F
 from . import common as C
 
 END_ID = 1
-#: Pieces kept per Python worker (about 200 MB).
-MEMO_PIECES = 1_000_000
+#: Words, and words without their punctuation, kept per Python worker (about 250 MB).
+MEMO_PIECES = 600_000
 #: Ids in a block, a little more at most than the last document adds.
 BLOCK_IDS = 1 << 16
-#: Blanks at which a text may be cut into pieces: no pre-token of a white-space
-#: dropping tokenizer spans them.
-BLANKS = re.compile(r"[ \n\t\r]+")
-#: Characters that ``str.split`` takes for white space and the tokenizer doesn't.
-SEPARATORS = re.compile("[\x1c-\x1f]")
-
-#: Letters that stay letters when normalised, then punctuation: a pre-token each.
-PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?&%$#*|-]+)?")
-
-_MEMOS: dict = {}
-
-
-def _memo(tokenizer_path: str) -> C.PieceMemo:
-    if tokenizer_path not in _MEMOS:
+#: Letters that stay letters when normalised, and punctuation: a run of either is a pre-token.
+LETTERS = "".join(chr(c) for c in (*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)))
+TAIL = ".,;:!?&%$#*|-"
+
+
+class WordIds:
+    """Ids of words, kept for reuse inside one Python worker: a word's number leads to its ids
+    in one array, so the ids of a whole batch are gathered by numpy.
+
+    At most ``limit`` words are kept: a batch that would exceed it starts anew, so memory is
+    bounded by that and by a batch."""
+
+    def __init__(self, encode, limit: int):
+        self.encode, self.limit = encode, limit
+        self.clear()
+
+    def _clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids, self.ends, self.used = np.zeros(1 << 16, dtype="<u4"), np.zeros(1 << 16, dtype=np.int64), 0
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """The number of each of ``words``, which differ from each other."""
+        C.PieceMemo.take(self)
+        got = list(map(self.known.get, words))
+        if None in got:
+            new = [w for w, k in zip(words, got) if k is None]
+            if len(self.known) + len(new) > self.limit and self.known:
+                self._clear()
+                new = words
+            self._add(new)
+            got = list(map(self.known.__getitem__, words))
+        return np.array(got, dtype=np.int64)
+
+    def _add(self, words: list[str]) -> None:
+        coded = self.encode(words, self.parts)
+        if len(self.parts) > self.limit:
+            self.parts = {"": b""}
+        sizes = np.fromiter(map(len, coded), dtype=np.int64, count=len(words)) // 4
+        fresh = np.frombuffer(b"".join(coded), dtype="<u4")
+        first, n = len(self.known), len(words)
+        need = self.used + len(fresh)
+        if need > len(self.ids):
+            self.ids = np.concatenate([self.ids[:self.used], np.zeros(2 * need - self.used, dtype="<u4")])
+        if first + n > len(self.ends):
+            self.ends = np.concatenate([self.ends[:first], np.zeros(first + 2 * n, dtype=np.int64)])
+        self.ids[self.used:need] = fresh
+        self.ends[first:first + n] = self.used + np.cumsum(sizes)
+        self.known.update(zip(words, range(first, first + n)))
+        self.used = need
+
+    def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a sequence of words, and where each word's ids end among them."""
+        start = np.where(numbers > 0, self.ends[numbers - 1], 0)
+        length = self.ends[numbers] - start
+        ends = np.cumsum(length)
+        total = int(ends[-1]) if len(ends) else 0
+        at = np.repeat(start - ends + length, length) + np.arange(total)
+        return self.ids[at], ends
+
+    def clear(self) -> None:
+        self.parts: dict[str, bytes] = {"": b""}  # words without their punctuation
+        self._clear()
+
+
+_WORDS: dict[str, WordIds] = {}
+
+
+def _words(tokenizer_path: str) -> WordIds:
+    if tokenizer_path not in _WORDS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -57,7 +113,7 @@ def _memo(tokenizer_path: str) -> C.PieceMemo:
         mark = next(iter(specials), None)  # an added token never joins its neighbours
         mark_id = specials.get(mark)
 
-        words_end = _word_ends(tok)
+        model = _pretoken_ids(tok)
 
         def marked(pieces: list[str]) -> list[bytes]:
             """Pieces of one call are joined by a special token and split at its id."""
@@ -68,73 +124,93 @@ def _memo(tokenizer_path: str) -> C.PieceMemo:
                 ids = np.asarray(tok.encode(mark.join([pieces[i] for i in part]), add_special_tokens=False).ids, dtype="<u4")
                 for i, got in zip(part, np.split(ids, np.flatnonzero(ids == mark_id))):
                     out[i] = (got[1:] if len(got) and got[0] == mark_id else got).tobytes()
-            return [np.asarray(tok.encode(p, add_special_tokens=False).ids, dtype="<u4").tobytes() if o is None else o
-                    for p, o in zip(pieces, out)]
+            return [array("I", tok.encode(p, add_special_tokens=False).ids).tobytes() if o is None else o for p, o in zip(pieces, out)]
 
-        def plain(words: list[str]) -> list[bytes]:
-            """Words that are one pre-token each: joined by blanks and split behind the ids
-            that end a word."""
+        def encode(pieces: list[str], parts: dict[str, bytes]) -> list[bytes]:
+            """``parts``: words without their punctuation, which come again with another one."""
+            if model is None:
+                return marked(pieces)
             out: list = []
-            for k in range(0, len(words), 200):
-                ids = np.asarray(tok.encode(" ".join(words[k:k + 200]), add_special_tokens=False).ids, dtype="<u4")
-                at = np.flatnonzero(words_end[ids]) + 1
-                if len(at) != len(words[k:k + 200]):  # not one pre-token each after all
-                    out += marked(words[k:k + 200])
+            odd: list[int] = []
+            for i, p in enumerate(pieces):
+                word = p.rstrip(TAIL)
+                if word.strip(LETTERS):  # some character is no plain letter
+                    odd.append(i)
+                    out.append(None)
                     continue
-                raw, at = ids.tobytes(), (4 * at).tolist()
-                out += [raw[x:y] for x, y in zip([0] + at[:-1], at)]
+                tail = p[len(word):]
+                if word not in parts:
+                    parts[word] = model(word)
+                if tail not in parts:
+                    parts[tail] = model(tail)
+                out.append(parts[word] + parts[tail])
+            for i, got in zip(odd, marked([pieces[i] for i in odd])):
+                out[i] = got
             return out
 
-        def encode(pieces: list[str]) -> list[bytes]:
-            found = [PLAIN.fullmatch(p) if words_end is not None else None for p in pieces]
-            memo = _MEMOS[tokenizer_path].known
-            new = list({x for m in found if m for x in m.groups() if x and x not in memo})
-            own = dict(zip(new, plain(new)))
-            odd = [p for p, m in zip(pieces, found) if not m]
-            own.update(zip(odd, marked(odd)))
-            for w in new[:max(0, MEMO_PIECES - len(memo))]:  # words come again with other punctuation
-                memo[w] = own[w]
-            part = C.Either(own, memo)
-            return [b"".join([part[x] for x in m.groups() if x]) if m else own[p] for p, m in zip(pieces, found)]
-
-        _MEMOS[tokenizer_path] = C.PieceMemo(encode, MEMO_PIECES)
-    return _MEMOS[tokenizer_path]
-
-
-def _word_ends(tok) -> np.ndarray | None:
-    """Which ids end a pre-token, if the vocabulary marks that."""
-    import json
-
-    suffix = json.loads(tok.to_str())["model"].get("end_of_word_suffix")
-    if not suffix:
-        return None
-    ends = np.zeros(max(tok.get_vocab().values()) + 1, dtype=bool)
-    ends[[i for t, i in tok.get_vocab().items() if t.endswith(suffix)]] = True
-    return ends
+        _WORDS[tokenizer_path] = WordIds(encode, MEMO_PIECES)
+    return _WORDS[tokenizer_path]
+
+
+def _pretoken_ids(tok):
+    """Ids of a pre-token of LETTERS or of TAIL, straight from the tokenizer's model, or None if
+    its normaliser or pre-tokenizer doesn't treat each of these characters for itself."""
+    table = {}
+    for c in LETTERS + TAIL:
+        if tok.normalizer is None or tok.pre_tokenizer is None:
+            return None
+        found = tok.pre_tokenizer.pre_tokenize_str(tok.normalizer.normalize_str(c))
+        if len(found) != 1:
+            return None
+        table[ord(c)] = found[0][0]
+    tokenize, as_is = tok.model.tokenize, all(table[ord(c)] == c.lower() for c in LETTERS + TAIL if c.isascii())
+    samples = [LETTERS[i:i + 7] for i in range(0, len(LETTERS), 7)] + [TAIL, TAIL[::-1], "word", "WORD", *LETTERS, *TAIL]
+
+    def ids(part: str) -> bytes:
+        return array("I", [t.id for t in tokenize(part.lower() if as_is and part.isascii() else part.translate(table))]).tobytes()
+
+    return ids if all(ids(x) == array("I", tok.encode(x, add_special_tokens=False).ids).tobytes() for x in samples) else None
+
+
+def encode_column(texts: pa.Array, tokenizer_path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts one after the other (end ids included), and where each text's end;
+    equal to encoding each whole text at once.
+
+    The texts are split and their words numbered in Arrow; only words that differ are looked
+    up, only new ones are encoded, and the ids are gathered by numpy."""
+    words = pc.ascii_split_whitespace(texts)
+    coded = words.flatten().dictionary_encode()
+    store = _words(tokenizer_path)
+    numbers = store.numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+    ids, word_ends = store.gather(numbers)
+    behind = words.offsets.to_numpy() - words.offsets[0].as_py()
+    text_ends = np.concatenate([[0], word_ends])[behind[1:]]
+    out = np.full(len(ids) + len(texts), END_ID, dtype="<u4")
+    own = np.ones(len(out), dtype=bool)
+    ends = text_ends + np.arange(1, len(texts) + 1)
+    own[ends - 1] = False
+    out[own] = ids
+    return out, ends
 
 
 def encode_texts(found: list[str], tokenizer_path: str) -> Iterator[np.ndarray]:
-    """Ids of each text, end id included; equal to encoding the whole text at once."""
-    memo = _memo(tokenizer_path)
-    end = np.array([END_ID], dtype="<u4").tobytes()
-    pieces = [BLANKS.split(t) if SEPARATORS.search(t) else t.split() for t in found]
-    known = memo.lookup(set().union(*pieces) if pieces else ())
-    for p in pieces:
-        yield np.frombuffer(b"".join([known[x] for x in p]) + end, dtype="<u4")
+    """Ids of each text, end id included."""
+    ids, ends = encode_column(pa.array(found, pa.string()), tokenizer_path)
+    return iter(np.split(ids, ends[:-1])) if found else iter(())
 
 
 def _ids_job(tokenizer_path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
         for b in batches:
-            ids, found = C.columns(b, "doc_id", "text")
-            for part in C.chunks_of(list(zip(ids, found)), lambda r: len(r[1]), 4_000_000):
-                got = list(encode_texts([t for _, t in part], tokenizer_path))
-                yield pa.RecordBatch.from_pydict({
-                    "doc_id": pa.array([i for i, _ in part], pa.int64()),
-                    "n_tokens": pa.array([len(g) for g in got], pa.int64()),
-                    "ids": pa.array([press.compress(_narrow(g)) for g in got], pa.binary()),
-                })
+            if not b.num_rows:
+                continue
+            ids, ends = encode_column(b.column(b.schema.get_field_index("text")), tokenizer_path)
+            starts = np.concatenate([[0], ends[:-1]])
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": b.column(b.schema.get_field_index("doc_id")), "n_tokens": pa.array(ends - starts, pa.int64()),
+                "ids": pa.array([press.compress(_narrow(ids[x:y])) for x, y in zip(starts.tolist(), ends.tolist())], pa.binary()),
+            })
     return run
 
 

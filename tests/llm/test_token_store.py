@@ -47,6 +47,26 @@ def test_a_full_memo_loses_nothing():
     assert len(memo.known) == 3
 
 
+def test_word_numbers_survive_a_full_memo():
+    """Words that come again after the memo was cleared get the same ids; other alphabets too."""
+    store = T._words(PATH)
+    old, store.limit = store.limit, 40
+    try:
+        for k in range(12):
+            texts = [f"Wort{j} näh{j % 5}, {'x' * j} ÄÖ! don't 12ab" for j in range(k, k + 9)] + ["", " \x0b\x0c lone"]
+            assert [i.tolist() for i in T.encode_texts(texts, PATH)] == [whole(t) for t in texts]
+            assert len(store.known) <= 80
+    finally:
+        store.limit = old
+        store.clear()
+
+
+def test_plain_letters_come_straight_from_the_model():
+    words = ["Straße", "ÀÉÎÕÜ", "naïve", "ÿ", "A", "word", "..,;", "-", "LÉ?!", "abc***"]
+    assert T._pretoken_ids(whole("a") and whole.tok) is not None
+    assert [i.tolist() for i in T.encode_texts(words, PATH)] == [whole(t) for t in words]
+
+
 def test_store_round_trip(spark):
     rows = [(5, "Some words", "x"), (2, None, None), (2, "tie one", None), (2, "tie two, longer", None), (9, "", "y"), (None, "no id", None),
             (7, "long " * 60_000, None), (5, "Some words", "x")] + [(k, f"doc {k} text{k % 7}", None) for k in range(100, 160)]
