@@ -32,18 +32,16 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Labelled rows of each label used for fitting, at most.
+#: Rows of each label, and documents of each likelier class, used for fitting, at most.
 SAMPLE = {1: 4000, 0: 8000}
 #: Features of the classifier, and voters chosen from them.
 FEATURES = 2048
-VOTERS = 56
+VOTERS = 192
 LEAST_SUPPORT = 4
 #: Least log lift times the root of the support: smaller ones are chance in small samples.
 LEAST_LIFT = 2.0
 BEGINNINGS = (3, 4, 5, 6)
 ROUNDS = 8
-#: Share of the given labels that is taken to be right.
-LABEL_ACCURACY = 0.999
 MEMO_WORDS = 500_000
 
 WORD = re.compile(r"\w+")
@@ -175,14 +173,26 @@ class LabelModel:
         np.fill_diagonal(self.rho, 0)
 
 
-def _sums_job(model: LabelModel, voters: int):
+def votes_of(rows: list[list[int]], place: dict[int, int]) -> np.ndarray:
+    """0/1 votes (rows by voters) from lists of features; ``place``: feature -> voter."""
+    votes = np.zeros((len(rows), len(place)))
+    for r, fs in enumerate(rows):
+        for f in fs:
+            if f in place:
+                votes[r, place[f]] = 1
+    return votes
+
+
+def _sums_job(model: LabelModel, place: dict[int, int]):
     """Expected sums of the rows of this partition, as (place, value)."""
+    voters = len(place)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mass, first, second = np.zeros(2), np.zeros((voters, 2)), np.zeros((voters, voters, 2))
         for b in batches:
-            masks, n = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64), b.column(1).to_numpy(zero_copy_only=False).astype(float)
-            for k in range(0, len(masks), 4096):
-                votes = (masks[k:k + 4096, None] >> np.arange(voters) & 1).astype(float)
+            fired, n = b.column(0).to_pylist(), b.column(1).to_numpy(zero_copy_only=False).astype(float)
+            for k in range(0, len(fired), 4096):
+                votes = votes_of(fired[k:k + 4096], place)
                 p = model.posterior(votes)
                 for y, w in ((0, (1 - p) * n[k:k + 4096]), (1, p * n[k:k + 4096])):
                     mass[y] += w.sum()
@@ -197,16 +207,16 @@ def _sums_job(model: LabelModel, voters: int):
 def fit_label_model(found: DataFrame, chosen: list[int], start: LabelModel, rounds: int = ROUNDS) -> LabelModel:
     """Expectation maximisation over all rows of ``found`` (features); each round one sum job."""
     spark, v = found.sparkSession, len(chosen)
-    bit = F.create_map(*[x for i, f in enumerate(chosen) for x in (F.lit(f), F.lit(1 << i).cast("long"))])
-    mask = F.aggregate(F.filter("features", lambda f: F.array_contains(F.array(*[F.lit(c) for c in chosen]), f)),
-                       F.lit(0).cast("long"), lambda a, f: a + bit[f])
-    masks = C.cut(spark, found.select(mask.alias("mask")).groupBy("mask").agg(F.count("*").alias("n")), "op3-votes")
+    place = {f: i for i, f in enumerate(chosen)}
+    fired = F.array_intersect("features", F.array(*[F.lit(c) for c in chosen]))
+    patterns = C.cut(spark, found.select(fired.alias("fired")).groupBy("fired").agg(F.count("*").alias("n")), "op3-votes")
     model = start
     for _ in range(rounds):
         sums = np.zeros(2 + 2 * v + 2 * v * v)
-        for r in masks.mapInArrow(_sums_job(model, v), "place long, value double").groupBy("place").agg(F.sum("value").alias("s")).collect():
+        for r in patterns.mapInArrow(_sums_job(model, place), "place long, value double").groupBy("place").agg(F.sum("value").alias("s")).collect():
             sums[r.place] = r.s
         model.update(sums[:2], sums[2:2 + 2 * v].reshape(v, 2), sums[2 + 2 * v:].reshape(v, v, 2))
+    C.drop(spark, patterns)
     return model
 
 
@@ -262,20 +272,55 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Classifier, DataFrame | N
     chosen = choose_voters(rows, y, len(names))
     chosen += [i for i, n in enumerate(names) if n in PATTERNS and i not in chosen]
     found = C.cut(spark, t.mapInArrow(_features_job(shared, "doc_id"), "doc_id long, features array<int>"), "op3-features")
-    votes = np.zeros((len(rows), len(chosen)))
-    place = {f: i for i, f in enumerate(chosen)}
-    for r, fs in enumerate(rows):
-        for f in fs:
-            if f in place:
-                votes[r, place[f]] = 1
+    votes = votes_of(rows, {f: i for i, f in enumerate(chosen)})
     fires = np.stack([(votes[y == k].sum(axis=0) + p) / ((y == k).sum() + 2 * p) for k, p in ((0, 0.05), (1, 0.5))], axis=1)
     model = fit_label_model(found, chosen, LabelModel(of[1] / (of[0] + of[1]), fires))
-    # The given label is one more voter, of fixed accuracy.
-    sure = np.log(LABEL_ACCURACY / (1 - LABEL_ACCURACY))
-    odds = model.log_odds(votes) + np.where(y == 1, sure, -sure)
-    target = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
     weight = np.where(y == 1, of[1] / max(1, (y == 1).sum()), of[0] / max(1, (y == 0).sum()))
-    return Classifier(names, fit_linear(rows, target, weight, len(names))), found
+    target = with_given_labels(model.log_odds(votes), y, weight)
+    more = posterior_sample(found.join(known.select("doc_id"), "doc_id", "left_anti"), model, chosen)
+    return Classifier(names, fit_linear(rows + more[0], np.append(target, more[1]), np.append(weight, more[2]), len(names))), found
+
+
+def with_given_labels(log_odds: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 50) -> np.ndarray:
+    """Posterior of labelled documents when the given label is a voter beside the others
+    (whose ``log_odds`` are given): expectation maximisation of its two error rates."""
+    right, wrong = 0.9, 0.1  # P(label 1 | toxic), P(label 1 | not)
+    for _ in range(rounds):
+        said = np.where(y == 1, np.log(right / wrong), np.log((1 - right) / (1 - wrong)))
+        p = 1 / (1 + np.exp(-np.clip(log_odds + said, -30, 30)))
+        on, off = p * weight, (1 - p) * weight
+        right, wrong = ((on * y).sum() + 0.9) / (on.sum() + 1), ((off * y).sum() + 0.1) / (off.sum() + 1)
+        right, wrong = min(right, 0.999), max(wrong, 0.001)
+    return p
+
+
+def _posterior_job(model: LabelModel, chosen: list[int]):
+    """Posterior of every document on which some voter fires, from the voters."""
+    place = {f: i for i, f in enumerate(chosen)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            votes = votes_of(C.columns(b, "features")[0], place)
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("doc_id")), b.column(b.schema.get_field_index("features")),
+                                              pa.array(model.posterior(votes))], ["doc_id", "features", "p"]).filter(pa.array(votes.any(axis=1)))
+    return run
+
+
+def posterior_sample(found: DataFrame, model: LabelModel, chosen: list[int]) -> tuple[list[list[int]], np.ndarray, np.ndarray]:
+    """Features, posterior and weight of ``SAMPLE`` documents of each likelier class, none held
+    out or without a vote; a class weighs what all its documents weigh."""
+    judged = C.cut(found.sparkSession, found.where(F.coalesce(~held_out(F.col("doc_id")), F.lit(False))).mapInArrow(
+        _posterior_job(model, chosen), "doc_id long, features array<int>, p double"), "op3-posteriors")
+    likely = (F.col("p") >= 0.5).cast("int")
+    size = {r.y: r["count"] for r in judged.groupBy(likely.alias("y")).count().collect()}
+    rows, target, weight = [], [], []
+    for y in (0, 1):
+        got = judged.where(likely == y).orderBy(F.xxhash64("doc_id"), "doc_id", "features").limit(SAMPLE[y]).collect()  # a bounded sample
+        rows += [r.features for r in got]
+        target += [r.p for r in got]
+        weight += [size[y] / len(got) for _ in got]
+    C.drop(found.sparkSession, judged)
+    return rows, np.array(target), np.array(weight)
 
 
 def _score_job(shared):

@@ -51,6 +51,34 @@ def test_held_out_labels_are_never_learnt_from(spark, tables):
     assert a == b
 
 
+def test_scores_follow_the_voters_not_the_given_labels(spark, tables, monkeypatch):
+    """Other voters, other scores; a document's own wrong label is no training target."""
+    docs, labels = tables
+    full = {r.doc_id: r.score for r in T.score(docs, labels).collect()}
+    real = T.choose_voters
+    monkeypatch.setattr(T, "choose_voters", lambda *a, **k: real(*a, **k)[:1])
+    less = {r.doc_id: r.score for r in T.score(docs, labels).collect()}
+    assert max(abs(full[i] - less[i]) for i in full) > 0.01  # given labels speak here, too
+    monkeypatch.setattr(T, "choose_voters", real)
+    wrong = [i for i in range(0, 900, 4) if i % 40 == 4 and zlib.crc32(str(i).encode()) % 5]
+    turned = labels.withColumn("toxic", F.when(F.col("doc_id").isin(wrong), 0).otherwise(F.col("toxic")))
+    got = {r.doc_id: r.predicted for r in T.score(docs, turned).collect()}
+    assert all(got[i] == 1 for i in wrong)
+
+
+def test_voters_overrule_given_labels():
+    """Documents with loud voters keep their class under a wrong label; silent ones follow it."""
+    r = np.random.default_rng(9)
+    y = (r.random(4000) < 0.2).astype(int)
+    odds = np.where(y == 1, np.where(r.random(4000) < 0.9, 5.0, -2.0), -3.0)  # a tenth of the toxic ones are silent
+    given = np.where(r.random(4000) < 0.03, 1 - y, y)
+    p = T.with_given_labels(odds, given, np.ones(4000))
+    assert (p[(odds > 0) & (given == 0)] > 0.5).all() and ((odds > 0) & (given == 0)).sum() > 5
+    assert ((p > 0.5) == y)[odds < 0].mean() > 0.95
+    other = T.with_given_labels(np.full(4000, -1.5), given, np.ones(4000))
+    assert abs(other - p).max() > 0.5
+
+
 def test_rejected_rows_go(spark, tables):
     docs, labels = tables
     kept = T.without_toxic(docs, labels)
