@@ -7,11 +7,10 @@ of the scores of what they make), and byte fallback.
 
 A text is normalised as a whole and cut where no piece of the vocabulary can reach
 across; the parts are encoded in multithreaded batches, each different part once while
-the worker remembers it.  Parity is verified for every part that is encoded: its ids are
-held against those of the sentencepiece library, which are taken where the two differ
-(two merges of equal score can come in another order), and such texts are counted.
-Decoding joins the pieces' bytes; every document is decoded and held against its
-normalised text.
+the worker remembers it.  The ids are those of the rebuilt model.  Parity is verified for
+every part that is encoded: its ids are held against those of the sentencepiece library
+(two merges of equal score could come in another order), and ``parity`` says whether a
+text's are equal.  Every part is also decoded by the library and held against its text.
 
 Defined cases: a null text is empty and has no ids; a text with characters that the model
 can't give back (the marker itself, unknown characters without byte fallback) has
@@ -34,6 +33,8 @@ from . import common as C
 MARK = "▁"
 #: Parts kept per Python worker.
 MEMO_PARTS = 400_000
+#: Threads of a batch: new parts of one batch are few, so two keep a task's core busy.
+THREADS = 2
 #: Types of pieces in the protobuf.
 UNKNOWN, CONTROL, USER_DEFINED, BYTE = 2, 3, 4, 6
 UNIGRAM, BPE = 1, 2
@@ -78,7 +79,7 @@ class PieceModel:
         # and beside a line end unless a longer piece holds one (byte fallback joins nothing).
         self.cuts = MARK in ids and not any(MARK in p.lstrip(MARK) for p in self.pieces)
         self.line_cuts = self.cuts and self.byte_fallback and not any("\n" in p for p in self.pieces)
-        self.memo = C.PieceMemo(self._encode, MEMO_PARTS)
+        self.memo = C.PieceMemo(self._coded, MEMO_PARTS)
 
     @staticmethod
     def _bytes(p) -> bytes:
@@ -110,7 +111,15 @@ class PieceModel:
         """(ids as bytes, equal to the sentencepiece library's) of each part."""
         got = [e.ids for e in self.tokenizer.encode_batch(parts, add_special_tokens=False)]
         want = self._by_reference(parts)
-        return [(np.asarray(w, dtype="<u4").tobytes(), g == w) for g, w in zip(got, want)]
+        return [(np.asarray(g, dtype="<u4").tobytes(), g == w) for g, w in zip(got, want)]
+
+    def _coded(self, parts: list[str]) -> list[tuple[bytes, bool, bool]]:
+        """As ``_encode``, and whether the library's decoder gives the part back."""
+        coded = self._encode(parts)
+        back = self.tokenizer.decode_batch([np.frombuffer(c[0], dtype="<u4").tolist() for c in coded], skip_special_tokens=False)
+        want = [p.replace(MARK, " ") for p in parts]
+        # The decoder takes one leading blank for the dummy prefix, also before a part.
+        return [(*c, b == (w[1:] if self.prefix and w.startswith(" ") else w)) for c, b, w in zip(coded, back, want)]
 
     def _by_reference(self, parts: list[str]) -> list[list[int]]:
         """Ids by the sentencepiece library.  It adds a marker of its own in front, so a part
@@ -126,6 +135,12 @@ class PieceModel:
 
     def encode(self, texts: list[str]) -> Iterator[tuple[str, np.ndarray, bool]]:
         """(normalised text, ids, parity) of each text."""
+        return (x[:3] for x in self.checked(texts))
+
+    def checked(self, texts: list[str]) -> Iterator[tuple[str, np.ndarray, bool, bool]]:
+        """(normalised text, ids of the rebuilt model, parity, round trip) of each text.
+
+        Parity says whether the sentencepiece library gives the same ids."""
         normal = [self.normal(t) for t in texts]
         cut = [self.parts(n) for n in normal]
         known = self.memo.lookup(set().union(*cut) if cut else ())
@@ -134,9 +149,21 @@ class PieceModel:
             got = [known[p] for p in parts]
             ids, same = np.frombuffer(b"".join([g[0] for g in got]), dtype="<u4"), all([g[1] for g in got])
             if whole:
-                want = np.asarray(self.reference.encode(text), dtype="<u4")
-                same, ids = bool(np.array_equal(ids, want)), want
-            yield n, ids, same
+                same = bool(np.array_equal(ids, np.asarray(self.reference.encode(text), dtype="<u4")))
+            # A marker of the text's own can't be told from a blank.
+            yield n, ids, same, MARK not in n and all([g[2] for g in got])
+
+    def decode_batch(self, found: list[np.ndarray]) -> list[str]:
+        """Texts of many id lists by the library's decoder, in one multithreaded call."""
+        plain = [self._silent(i) for i in found]
+        out = self.tokenizer.decode_batch([[] if p is None else p for p in plain], skip_special_tokens=False)
+        return [self.decode(i) if p is None else t for i, p, t in zip(found, plain, out)]
+
+    def _silent(self, ids: np.ndarray) -> list[int] | None:
+        """Ids without control pieces, which have no text; None if an unknown piece is among
+        them, which the two libraries write differently."""
+        kept = [i for i in np.asarray(ids).tolist() if self.bytes[i]]
+        return None if self.unknown in kept else kept
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of ids: pieces joined, markers as blanks, bytes put together."""
@@ -166,15 +193,15 @@ def piece_model(path: str) -> PieceModel:
 
 def _encode_job(path: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ.setdefault("RAYON_NUM_THREADS", "1")  # one thread a Spark core, unless the cluster says otherwise
+        os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))  # unless the cluster says otherwise
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         model = piece_model(path)
         for b in batches:
             rows = list(zip(*C.columns(b, "doc_id", "text")))
             for part in C.chunks_of(rows, lambda r: len(r[1]), 2_000_000):
                 out = []
-                for (doc_id, _), (normal, ids, same) in zip(part, model.encode([t for _, t in part])):
-                    out.append((doc_id, len(ids), zlib.crc32(ids.tobytes()), model.decode(ids) == normal, same, ids))
+                for (doc_id, _), (_, ids, same, back) in zip(part, model.checked([t for _, t in part])):
+                    out.append((doc_id, len(ids), zlib.crc32(ids.tobytes()), back, same, ids))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.int64()),
                      pa.array([r[3] for r in out], pa.bool_()), pa.array([r[4] for r in out], pa.bool_())]
@@ -197,7 +224,8 @@ def decode(coded: DataFrame, model_path: str) -> DataFrame:
         for b in batches:
             ids, found = C.columns(b, "doc_id", "ids")
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(
-                [None if i is None else model.decode(np.asarray(i, dtype=np.int64)) for i in found], pa.string())], ["doc_id", "text"])
+                [None if i is None else t for i, t in zip(found, model.decode_batch([np.asarray(i or [], dtype=np.int64) for i in found]))],
+                pa.string())], ["doc_id", "text"])
     return coded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
