@@ -22,6 +22,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from itertools import chain
 from typing import Iterator
 
 import numpy as np
@@ -35,6 +36,8 @@ MARK = "▁"
 MEMO_PARTS = 400_000
 #: Threads of a batch: new parts of one batch are few, so two keep a task's core busy.
 THREADS = 2
+#: Parts decoded in one string.
+TOGETHER = 64
 #: Types of pieces in the protobuf.
 UNKNOWN, CONTROL, USER_DEFINED, BYTE = 2, 3, 4, 6
 UNIGRAM, BPE = 1, 2
@@ -109,17 +112,32 @@ class PieceModel:
 
     def _encode(self, parts: list[str]) -> list[tuple[bytes, bool]]:
         """(ids as bytes, equal to the sentencepiece library's) of each part."""
-        got = [e.ids for e in self.tokenizer.encode_batch(parts, add_special_tokens=False)]
-        want = self._by_reference(parts)
-        return [(np.asarray(g, dtype="<u4").tobytes(), g == w) for g, w in zip(got, want)]
+        return [c[:2] for c in self._coded(parts)]
 
     def _coded(self, parts: list[str]) -> list[tuple[bytes, bool, bool]]:
-        """As ``_encode``, and whether the library's decoder gives the part back."""
-        coded = self._encode(parts)
-        back = self.tokenizer.decode_batch([np.frombuffer(c[0], dtype="<u4").tolist() for c in coded], skip_special_tokens=False)
-        want = [p.replace(MARK, " ") for p in parts]
-        # The decoder takes one leading blank for the dummy prefix, also before a part.
-        return [(*c, b == (w[1:] if self.prefix and w.startswith(" ") else w)) for c, b, w in zip(coded, back, want)]
+        """(ids as bytes, equal to the sentencepiece library's, given back by the decoder) of each part."""
+        got = [e.ids for e in self.tokenizer.encode_batch(parts, add_special_tokens=False)]
+        want = self._by_reference(parts)
+        back = self._given_back(parts, got)
+        return [(np.asarray(g, dtype="<u4").tobytes(), g == w, b) for g, w, b in zip(got, want, back)]
+
+    def _given_back(self, parts: list[str], ids: list[list[int]]) -> list[bool]:
+        """Whether the library's decoder gives each part back; parts are decoded together, and
+        one by one only where the text of many is another."""
+        starts = range(0, len(parts), TOGETHER)
+        joined = self.tokenizer.decode_batch([list(chain.from_iterable(ids[k:k + TOGETHER])) for k in starts], skip_special_tokens=False)
+        out: list[bool] = []
+        for k, text in zip(starts, joined):
+            some = range(k, min(k + TOGETHER, len(parts)))
+            fine = text == self._shown("".join(parts[k:k + TOGETHER]))
+            out += [True] * len(some) if fine else [
+                t == self._shown(parts[i]) for i, t in zip(some, self.tokenizer.decode_batch([ids[i] for i in some], skip_special_tokens=False))]
+        return out
+
+    def _shown(self, part: str) -> str:
+        """The text of a part as decoded alone: one leading blank is taken for the dummy prefix."""
+        text = part.replace(MARK, " ")
+        return text[1:] if self.prefix and text.startswith(" ") else text
 
     def _by_reference(self, parts: list[str]) -> list[list[int]]:
         """Ids by the sentencepiece library.  It adds a marker of its own in front, so a part
