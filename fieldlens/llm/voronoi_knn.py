@@ -20,7 +20,8 @@ Where vectors lie in all directions evenly, no pivot bound can exclude any, and
 vector goes to each group: then this is the block-wise join of the query set.
 
 Defined cases: a vector that is null, or holds a null, NaN or infinite component, or has no
-id, takes no part; vectors are compared within their own length; rows with the query's id
+id, takes no part, nor does one with a component that is infinite once scaled; scores are exact
+integers of any size, and one beyond a long counts as its limit; vectors are compared within their own length; rows with the query's id
 are its own and no candidates; equal query rows count once; equal candidate rows are
 candidates each; an empty table gives an empty result; other columns are ignored.
 """
@@ -41,15 +42,18 @@ PIVOTS = 64
 GROUP_QUERIES = 1024
 TASK_ROWS = 16_384
 #: Float sums of bounds are off by far less; a larger bound only replicates more.
-SLACK = 1e-2
+SLACK, RELATIVE = 1e-2, 1e-9
 
 
 def integer_vectors(df: DataFrame, scale: int = 256, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """vec_id and floor(scale * x) of every valid vector, as doubles."""
     v = F.col(f"`{vec_col}`").cast("array<double>")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return df.where(v.isNotNull() & ~bad & F.col(f"`{id_col}`").isNotNull()).select(
-        F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(x * scale).cast("double")).alias("v"))
+    # A double of 2^52 or more is whole; below, its floor fits a long.
+    whole = lambda x: F.when(F.abs(x * scale) < float(1 << 52), F.floor(x * scale).cast("double")).otherwise(x * scale)
+    rows = df.where(v.isNotNull() & ~bad & F.col(f"`{id_col}`").isNotNull()).select(
+        F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.transform(v, whole).alias("v"))
+    return rows.where(~F.exists("v", lambda x: F.abs(x) == float("inf")))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -102,7 +106,9 @@ def _thresholds(pivots: np.ndarray, queries: list, members: list, k: int) -> dic
     for q in queries:
         bounds: dict[int, float] = {}
         for m in members:
-            low = pivots[q.cell] @ pivots[m.cell] - q.rho * norms[m.cell] - q.norm * m.dist
+            across, off = pivots[q.cell] @ pivots[m.cell], q.rho * norms[m.cell] + q.norm * m.dist
+            low = across - off - RELATIVE * (abs(across) + off)
+            low = low if np.isfinite(low) else -np.inf  # beyond doubles nothing is known
             # An id with rows in several cells counts with its weakest bound.
             bounds[m.vec_id] = min(bounds.get(m.vec_id, np.inf), low)
         ranked = sorted(bounds.values(), reverse=True)
@@ -123,7 +129,8 @@ def _replicate(pivots: np.ndarray, cells: list[tuple[int, float, float, list[int
             norm = np.sqrt((x * x).sum(1))
             need: dict[int, np.ndarray] = {}
             for cell, rho, least, groups in cells:
-                wanted = x @ pivots[cell] + rho * norm + SLACK >= least
+                across, off = x @ pivots[cell], rho * norm
+                wanted = ~(across + off + SLACK + RELATIVE * (np.abs(across) + off) < least)  # an unknown bound keeps
                 for g in groups:
                     need[g] = need[g] | wanted if g in need else wanted
             task = (turn + np.arange(len(x))) % tasks
@@ -162,6 +169,8 @@ def _solve(k: int):
                 part = q[at:at + 128]
                 # Beyond 53 bits the sums are taken in Python's own integers.
                 scores = part @ x.T if exact else np.array([[sum(int(a) * int(b) for a, b in zip(r, s)) for s in x] for r in part], dtype=object)
+                if not exact:  # a score beyond a long counts as its limit
+                    scores = np.clip(scores, -(2 ** 63), 2 ** 63 - 1)
                 for i, (qid, row) in enumerate(zip(queries["vec_id"].iloc[at:at + 128], scores)):
                     row = np.where(ids == qid, -np.inf, row)
                     for r in _best(row, ids, k).tolist():

@@ -50,6 +50,23 @@ def test_large_components_are_exact(spark):
     assert [(g.vec_id, g.score) for g in got] == [(1, (2 ** 27 + 1) * (2 ** 26 + 1) + 3), (2, (2 ** 27 + 1) * (2 ** 26 + 1) + 2)]
 
 
+@pytest.mark.parametrize("size", [1e6, 1e9, 1e20])
+def test_components_of_any_size(spark, size):
+    """Exact up to a long, cut to its limits beyond, ties by id; no crash, true floors."""
+    r = np.random.default_rng(6)
+    rows = [(i, (r.normal(size=3) * size).tolist()) for i in range(60)] + [(100, [-0.001, 0.5, 2.0]), (110, [1e308, 0.0, 0.0])]
+    data = V.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert {i: v for i, v in data.collect()}[100] == [-1.0, 128.0, 512.0]
+    x = [(i, [int(c // 1) if abs(c) < 2 ** 52 else int(c) for c in (256 * np.array(v)).tolist()]) for i, v in rows if i != 110]
+    want = []
+    for qi, q in x:
+        if qi % 10 == 0:
+            s = sorted((-min(max(sum(a * b for a, b in zip(q, v)), -2 ** 63), 2 ** 63 - 1), i) for i, v in x if i != qi)
+            want += [(qi, k + 1, i, -n) for k, (n, i) in enumerate(s[:5])]
+    got = V.top_k_join(data, data.where("vec_id % 10 = 0"), 5, pivots=6)
+    assert sorted(map(tuple, got.select("query_id", "rank", "vec_id", "score").collect())) == sorted(want)
+
+
 def test_empty(spark):
     data = V.integer_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>"))
     assert V.top_k_join(data, data).count() == 0
