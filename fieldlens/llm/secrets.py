@@ -13,9 +13,15 @@ dictionary, of bounded size, reaches the driver and the workers.  Strings long e
 candidates, and their parts, are not counted, so no number of copies makes a secret cheap.
 For the same reason a finding is one at all its candidate places in a document.
 
+A sensitive word is a word or a part of a name (``auth`` in authToken and auth_token, not
+in author); it stands before a candidate or, without a line break between, right behind it
+("KEY is the private key").  A candidate on the line after a finding continues it, as the
+lines of a private key do.
+
 Defined cases: a null text is empty and has no findings; a novel span never overlaps a
 base span; repeated rows give repeated rows; an empty table has an empty dictionary and
-result; offsets are code points, ends exclusive; other columns are ignored.
+result; offsets are code points, ends exclusive; other columns are ignored.  A text is gone
+through once, whatever its length and the number of its findings.
 """
 
 from __future__ import annotations
@@ -41,9 +47,16 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 LONG_HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 
 #: Words that make a context sensitive, at most this many characters before a candidate.
+_LONG = "secret|passw(?:or)?d|passphrase|credential|private|bearer|token|signature|signing|session|cookie|encrypt(?:ion|ed)?|license"
+_SHORT = "pwd|auth(?:orization|entication)?|api|access|key"
+#: Short words begin a word or a part of a name; all end one (a plural, an id).
 SENSITIVE = re.compile(
-    r"(?:secret|passw|passphrase|pwd|credential|private|auth|bearer|token|api|access|signature|signing|session|cookie|encryption|license|key)", re.I | re.A)
+    rf"(?:{_LONG}|(?:(?<![a-z])|(?-i:(?<=[a-z])(?=[A-Z])))(?:{_SHORT}))(?:{_LONG}|{_SHORT})*+(?:s|id)?+(?:(?![a-z])|(?-i:(?<=[a-z])(?=[A-Z])))", re.I | re.A)
 CONTEXT = 48
+#: What says behind a candidate what it is.
+BEHIND = re.compile(r"[\"'`]?[\x20,;)]{0,2}(?:is|was|as|for|=|\()\x20(?:(?:the|my|our|your|a|an)\x20)?(?:[A-Za-z]+[\x20_-]){0,2}", re.A)
+#: The break between two lines of one secret.
+NEXT_LINE = re.compile(r"[\x20\t]*(?:\\n|\r?\n)[\x20\t]*")
 LEAST_NOVEL = 16
 #: Strings of the least length, each looked at once from its start.  An assignment sign
 #: ends one; signs that nothing follows are padding.
@@ -112,12 +125,26 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def _sensitive(text: str, s: int, e: int) -> bool:
+    """Whether the context of the string at s to e is sensitive."""
+    if SENSITIVE.search(text, max(0, s - CONTEXT), s):
+        return True
+    m = BEHIND.match(text, e)
+    return bool(m) and any(SENSITIVE.match(text, k) for k in range(m.start() + 1, m.end() + 1) if not text[k - 1].isalpha())
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int]], meter: NoveltyMeter, least: float = NOVELTY) -> list[tuple[int, int, int]]:
     """(start, kind, end) of incompressible strings in a sensitive context (the name they are assigned to included)."""
     out, known = [], set()
+    at, reach = 0, 0  # base spans that begin before the candidate's end, and where they end at last
     for m in CANDIDATE.finditer(text):
         s, e = m.span()
-        if e - s >= LEAST_NOVEL and SENSITIVE.search(text, max(0, s - CONTEXT), s) and not any(a < e and s < b for a, _, b in base) \
+        while at < len(base) and base[at][0] < e:
+            reach = max(reach, base[at][2])
+            at += 1
+        if e - s < LEAST_NOVEL or reach > s:
+            continue
+        if ((out and s - out[-1][2] <= CONTEXT and NEXT_LINE.fullmatch(text, out[-1][2], s)) or _sensitive(text, s, e)) \
                 and not (ASSIGNED.match(text, e) and (SENSITIVE.search(text, s, e) or NAME.match(text[s:e]))) \
                 and (text[s:e] in known or meter.novelty(text[max(0, s - 4 * CONTEXT):s], text[s:e]) >= least):
             out.append((s, 3, e))
@@ -146,7 +173,8 @@ _METERS: dict[bytes, NoveltyMeter] = {}
 
 
 def scan(docs: DataFrame, dictionary: bytes | None = None) -> DataFrame:
-    """doc_id, spans array<struct<kind,start,end,novelty>> of each row, base and novel."""
+    """doc_id, spans array<struct<kind,start,end,novelty>> of each row, base and novel;
+    only novel ones have a novelty."""
     spark = docs.sparkSession
     C.small_batches(spark)
     shared = spark.sparkContext.broadcast(identifier_dictionary(docs) if dictionary is None else dictionary)
@@ -156,7 +184,7 @@ def scan(docs: DataFrame, dictionary: bytes | None = None) -> DataFrame:
         kind = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("novelty", pa.float64())])
         for b in batches:
             ids, found = C.columns(b, "doc_id", "text")
-            rows = [[{"kind": KINDS[k], "start": s, "end": e, "novelty": meter.novelty(t[max(0, s - 4 * CONTEXT):s], t[s:e])}
+            rows = [[{"kind": KINDS[k], "start": s, "end": e, "novelty": meter.novelty(t[max(0, s - 4 * CONTEXT):s], t[s:e]) if k == 3 else None}
                      for s, k, e in find_spans(t, meter)[1]] for t in found]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(rows, pa.list_(kind))], ["doc_id", "spans"])
 
