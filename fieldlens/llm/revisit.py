@@ -6,16 +6,20 @@ the validators must agree (the entity tag where the revisit has one, else the
 modification date), and of the revisit's headers only those that a 304 answer may
 update replace the response's.
 
-The as-of join is a window over the records of a URL, cut into time ranges so that a
-URL with very many captures is worked on by many tasks: inside a range the last
+The as-of join is a window over the capture times of a URL (no headers), cut into ranges
+of (url, time) that Spark's range partitioner makes equal by counts, so a URL with very
+many captures is worked on by many tasks however its times lie: inside a range the last
 response is carried forward; each range's last response, one row, is carried to the
-later ranges and joined to the revisits that found none in their own.
+later ranges and joined to the revisits that found none in their own.  Headers join last,
+by the keys found.
 
 Defined cases: a null URL or time finds nothing (status ``orphan``); of responses at one
-time the one with the largest record id is the latest; a response at the revisit's own
-time is not earlier; a revisit without validators matches nothing it can check
-(``unchecked``); null header maps are empty; a repeated revisit gives a row each time, a
-repeated response counts once.
+time the one with the largest record id is the latest, one without an id is none; a
+response at the revisit's own time is not earlier; a revisit without validators matches
+nothing it can check (``unchecked``); null header maps are empty; a repeated revisit gives
+a row each time, a repeated response counts once; of different responses with one id, time
+and URL the one whose sorted headers have the least hash counts; other columns, whatever
+their names, are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +31,6 @@ from . import common as C
 
 # The header fields a 304 answer updates (RFC 9110, section 15.4.5).
 UPDATED_BY_304 = ["cache-control", "content-location", "date", "etag", "expires", "vary"]
-TIME_RANGES = 64
 
 
 def canonical_url(url: Column) -> Column:
@@ -45,36 +48,42 @@ def _merged(full: Column, update: Column) -> Column:
     return F.map_concat(F.map_filter(full, lambda k, _: ~F.array_contains(F.map_keys(allowed), k)), allowed)
 
 
-def resolve_revisits(records: DataFrame, ranges: int = TIME_RANGES) -> DataFrame:
+def resolve_revisits(records: DataFrame, ranges: int | None = None) -> DataFrame:
     """One row a revisit: record_id, url, target_id, target_ts, status, headers.
 
     ``records``: record_id long, kind ('response' or 'revisit'), url, ts long,
     headers map<string,string> with lower-case names.  ``status`` is resolved, changed
-    (validators disagree), unchecked (no validator) or orphan (no earlier response)."""
+    (validators disagree), unchecked (no validator) or orphan (no earlier response).
+    ``ranges``: their number, the session's shuffle partitions by default."""
     empty = F.create_map().cast("map<string,string>")
     rows = records.select("record_id", "kind", canonical_url(F.col("url")).alias("url"), "ts",
                           F.coalesce("headers", empty).alias("headers"))
-    ends = records.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
-    span = max(1, -(-((ends.b or 0) - (ends.a or 0) + 1) // ranges))
-    rows = rows.withColumn("range", F.expr(f"(ts - {ends.a or 0}) div {span}"))
     known = F.col("url").isNotNull() & F.col("ts").isNotNull()
-    before = Window.partitionBy("url", "range").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
-    newest = F.when(F.col("kind") == "response", F.struct("ts", "record_id"))
-    inside = rows.where(known).withColumn("near", F.max(newest).over(before)).where("kind = 'revisit'")
+    is_response, is_revisit = F.col("kind") == "response", F.col("kind") == "revisit"
+    # One row a URL and time: the latest response of it, and whether a revisit asks for it.
+    times = rows.where(known).groupBy("url", "ts").agg(
+        F.max(F.when(is_response, F.col("record_id"))).alias("response"), F.max(is_revisit).alias("asked"))
+    dealt = times.repartitionByRange("url", "ts") if ranges is None else times.repartitionByRange(ranges, "url", "ts")
+    # Written, so that the number of a row's range is the same for all that read it.
+    times = C.cut(records.sparkSession, dealt.withColumn("range", F.spark_partition_id()), "op10-times")
+    newest = F.when(F.col("response").isNotNull(), F.struct("ts", F.col("response").alias("record_id")))
+    before = Window.partitionBy("url", "range").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
+    inside = times.withColumn("near", F.max(newest).over(before)).where("asked").select("url", "ts", "range", "near")
     # The last response of each range, carried to the later ones.
-    last = rows.where(known & (F.col("kind") == "response")).groupBy("url", "range").agg(F.max(newest).alias("newest"))
+    last = times.where("response IS NOT NULL").groupBy("url", "range").agg(F.max(newest).alias("newest"))
     need = inside.where("near IS NULL").select("url", "range").distinct()
     later = Window.partitionBy("url").orderBy("range").rangeBetween(Window.unboundedPreceding, -1)
     carried = need.withColumn("newest", F.lit(None).cast("struct<ts:bigint,record_id:bigint>")).unionByName(last) \
         .groupBy("url", "range").agg(F.max("newest").alias("newest")) \
         .withColumn("carried", F.max("newest").over(later)).where("carried IS NOT NULL").select("url", "range", "carried")
-    found = inside.join(carried, ["url", "range"], "left") \
-        .select("record_id", "url", "ts", "headers", F.coalesce("near", "carried").alias("at"))
-    found = found.unionByName(rows.where(~known & (F.col("kind") == "revisit")).select(
-        "record_id", "url", "ts", "headers", F.lit(None).cast("struct<ts:bigint,record_id:bigint>").alias("at")))
-    responses = rows.where("kind = 'response'").select(
-        F.col("record_id").alias("target_id"), F.col("ts").alias("target_ts"), F.col("url").alias("target_url"), F.col("headers").alias("full")) \
-        .dropDuplicates(["target_id", "target_ts", "target_url"])  # by the keys of the join: no exchange of its own
+    at = inside.join(carried, ["url", "range"], "left").select("url", "ts", F.coalesce("near", "carried").alias("at"))
+    asked = rows.where(is_revisit).select("record_id", "url", "ts", "headers")
+    found = asked.where(known).join(at, ["url", "ts"], "left").select("record_id", "url", "ts", "headers", "at")
+    found = found.unionByName(asked.where(~known).withColumn("at", F.lit(None).cast("struct<ts:bigint,record_id:bigint>")))
+    # Grouped by the keys of the join: no exchange of its own.
+    responses = rows.where(is_response & known).groupBy(
+        F.col("record_id").alias("target_id"), F.col("ts").alias("target_ts"), F.col("url").alias("target_url")) \
+        .agg(F.min_by("headers", F.xxhash64(F.array_sort(F.map_entries("headers")))).alias("full"))
     both = found.join(responses, (F.col("at.record_id") == F.col("target_id")) & (F.col("at.ts") == F.col("target_ts"))
                       & (F.col("url") == F.col("target_url")), "left")
     tag, since = F.col("headers")["etag"], F.col("headers")["last-modified"]

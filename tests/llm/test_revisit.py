@@ -75,3 +75,20 @@ def test_derived_records(spark):
     records = W.records_of_pages(pages)
     assert records.where(F.col("kind") == "response").count() == 31 and records.where(F.col("kind") == "revisit").count() == 11
     assert {r.status for r in W.resolve_revisits(records).collect()} >= {"changed", "orphan"}
+
+
+def test_a_url_that_holds_most_captures_is_cut_by_counts(spark):
+    """One record at time 0, the others at the end of the time axis: ranges still share the URL."""
+    rows = [(0, "response", "http://hot.example/", 0, {"etag": "0"}, None, None)]
+    rows += [(i, "response" if i % 10 == 0 else "revisit", "http://hot.example/", 10 ** 12 + i, {"etag": str(i // 10)}, None, None) for i in range(1, 3000)]
+    got = {r.record_id: (r.target_id, r.status) for r in W.resolve_revisits(spark.createDataFrame(rows, SCHEMA), 16).collect()}
+    assert got == {i: (i // 10 * 10, "resolved") for i in range(1, 3000) if i % 10}
+    times = spark.createDataFrame(rows, SCHEMA).repartitionByRange(16, "url", "ts").groupBy(F.spark_partition_id()).count().collect()
+    assert len(times) == 16 and max(t["count"] for t in times) < 600
+
+
+def test_different_responses_of_one_id_give_one_result(spark):
+    rows = [(1, "response", "http://a.example/", 1, {"etag": t}, None, None) for t in "tuv"] + [(2, "revisit", "http://a.example/", 5, {"etag": "t"}, None, None)]
+    first = W.resolve_revisits(spark.createDataFrame(rows, SCHEMA)).collect()
+    again = W.resolve_revisits(spark.createDataFrame(rows[::-1], SCHEMA)).collect()
+    assert len(first) == 1 and first == again
