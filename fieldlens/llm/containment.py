@@ -13,7 +13,8 @@ candidate is then verified by its exact shingles.
 
 Documents are never moved: each task slides over whole texts and looks up its hashes in
 the items' sketches.  Items come in blocks of bounded size, one pass over the documents
-each, so what is broadcast has a proven bound and the benchmark may be of any size.
+each; a block's broadcast is given up before the next one is made, so what is held has a
+proven bound however large the benchmark is.
 
 Defined cases: texts are lower-cased, words stand between white space; an item of fewer
 words than a shingle is one shingle of all its words, an item without words (or null) is
@@ -23,7 +24,9 @@ result rows; items of equal text are found each; empty tables give an empty resu
 
 from __future__ import annotations
 
+import hashlib
 import math
+from itertools import chain, islice
 from typing import Iterator
 
 import numpy as np
@@ -159,35 +162,69 @@ def _pairs_job(shared):
     return run
 
 
+def _leaks_job(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = {hashlib.sha256(t.encode()).hexdigest() for t in C.columns(b, "text")[0] if shared.value.found(t)}
+            yield pa.RecordBatch.from_pydict({"text_key": pa.array(sorted(found), pa.string())})
+    return run
+
+
+def _by_block(docs: DataFrame, blocks: Iterator, job, schema: str, width: int, threshold: float) -> DataFrame:
+    """Rows of ``job`` for every block: one pass over the documents each, written before the
+    block's broadcast is given up, so one block is held at a time."""
+    spark, paths = docs.sparkSession, []
+    for block in blocks:
+        shared = spark.sparkContext.broadcast(ItemBlock(block, width, threshold))
+        paths.append(C.shared_path(spark, "op6-block"))
+        C.texts(docs).mapInArrow(job(shared), schema).write.parquet(paths[-1])
+        shared.destroy()
+    return spark.read.schema(schema).parquet(*paths)
+
+
+def _first_blocks(items: DataFrame, block_words: int) -> tuple[list, Iterator]:
+    """The first two blocks (there may be fewer), and the others."""
+    blocks = item_blocks(items, block_words)
+    return list(islice(blocks, 2)), blocks
+
+
 def contained_items(docs: DataFrame, items: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD,
                     block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, item_id, n_found, n_shingles, containment of every item contained in a document."""
     spark = docs.sparkSession
     C.small_batches(spark)
-    schema, out = "doc_id long, item_id long, n_found long, n_shingles long", None
-    for block in item_blocks(items, block_words):
-        shared = spark.sparkContext.broadcast(ItemBlock(block, width, threshold))
-        part = C.texts(docs).mapInArrow(_pairs_job(shared), schema)
-        out = part if out is None else out.union(part)
-    out = out if out is not None else spark.createDataFrame([], schema)
+    schema, (head, more) = "doc_id long, item_id long, n_found long, n_shingles long", _first_blocks(items, block_words)
+    if not head:
+        out = spark.createDataFrame([], schema)
+    elif len(head) == 1:
+        out = C.texts(docs).mapInArrow(_pairs_job(spark.sparkContext.broadcast(ItemBlock(head[0], width, threshold))), schema)
+    else:
+        out = _by_block(docs, chain(head, more), _pairs_job, schema, width, threshold)
     return out.withColumn("containment", F.col("n_found") / F.col("n_shingles"))
 
 
 def without_items(docs: DataFrame, items: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD,
                   block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Rows of ``docs``, all columns, whose ``text`` contains no item.  No join: rows are
-    filtered where they are read, once for each block of items."""
+    """Rows of ``docs``, all columns, whose ``text`` contains no item.  With one block rows
+    are filtered where they are read; with several, the keys of the leaking texts are
+    gathered block by block and their rows leave in one anti-join."""
     spark = docs.sparkSession
     C.small_batches(spark)
-    for block in item_blocks(items, block_words):
-        shared = spark.sparkContext.broadcast(ItemBlock(block, width, threshold))
+    head, more = _first_blocks(items, block_words)
+    if not head:
+        return docs
+    if len(head) == 1:
+        shared = spark.sparkContext.broadcast(ItemBlock(head[0], width, threshold))
 
-        def keep(batches, shared=shared):
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 yield b.filter(pa.array([not shared.value.found(t or "") for t in C.columns(b, "text")[0]], pa.bool_()))
 
-        docs = docs.mapInArrow(keep, docs.schema)
-    return docs
+        return docs.mapInArrow(keep, docs.schema)
+    leaks = _by_block(docs, chain(head, more), _leaks_job, "text_key string", width, threshold).distinct()
+    key = next(n for n in ("text_key" + "_" * k for k in range(99)) if n.lower() not in map(str.lower, docs.columns))
+    return docs.withColumn(key, F.sha2("text", 256)).join(leaks.withColumnRenamed("text_key", key), key, "left_anti") \
+        .select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
