@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from . import common as C
 
@@ -108,13 +109,13 @@ def _mine_job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                           "n1": pa.array([counts[1][n] for n in names], pa.int64())})
 
 
-def _features_job(names, *kept: str):
+def _features_job(names, *kept: str, label: str = "features"):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = extractor(tuple(names.value))
         for b in batches:
-            got = [x.of(t) for t in C.columns(b, "text")[0]]
+            got = [x.of(t or "") for t in C.columns(b, "text")[0]]
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(k)) for k in kept] + [pa.array(got, pa.list_(pa.int32()))],
-                                             [*kept, "features"])
+                                             [*kept, label])
     return run
 
 
@@ -249,8 +250,9 @@ class Classifier:
         return float(1 / (1 + np.exp(-min(max(z, -30.0), 30.0))))
 
 
-def train(docs: DataFrame, labels: DataFrame) -> tuple[Classifier, DataFrame | None]:
-    """The classifier, and the table of all documents' features (doc_id, features)."""
+def train(docs: DataFrame, labels: DataFrame, label: str | None = None) -> tuple[Classifier, DataFrame | None]:
+    """The classifier, and the table of all documents' features (doc_id, features); with a
+    ``label``, all columns of ``docs`` and the features under that name."""
     spark = docs.sparkSession
     C.small_batches(spark)
     known, t = training_labels(labels), C.texts(docs)
@@ -271,14 +273,19 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Classifier, DataFrame | N
     rows, y = [r.features for r in rows_y], np.array([r.y for r in rows_y])
     chosen = choose_voters(rows, y, len(names))
     chosen += [i for i, n in enumerate(names) if n in PATTERNS and i not in chosen]
-    found = C.cut(spark, t.mapInArrow(_features_job(shared, "doc_id"), "doc_id long, features array<int>"), "op3-features")
+    if label is None:
+        table = found = C.cut(spark, t.mapInArrow(_features_job(shared, "doc_id"), "doc_id long, features array<int>"), "op3-features")
+    else:
+        whole = StructType([*docs.schema.fields, StructField(label, ArrayType(IntegerType()))])
+        table = C.cut(spark, docs.mapInArrow(_features_job(shared, *docs.columns, label=label), whole), "op3-featured")
+        found = table.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{label}`").alias("features"))
     votes = votes_of(rows, {f: i for i, f in enumerate(chosen)})
     fires = np.stack([(votes[y == k].sum(axis=0) + p) / ((y == k).sum() + 2 * p) for k, p in ((0, 0.05), (1, 0.5))], axis=1)
     model = fit_label_model(found, chosen, LabelModel(of[1] / (of[0] + of[1]), fires))
     weight = np.where(y == 1, of[1] / max(1, (y == 1).sum()), of[0] / max(1, (y == 0).sum()))
     target = with_given_labels(model.log_odds(votes), y, weight)
     more = posterior_sample(found.join(known.select("doc_id"), "doc_id", "left_anti"), model, chosen)
-    return Classifier(names, fit_linear(rows + more[0], np.append(target, more[1]), np.append(weight, more[2]), len(names))), found
+    return Classifier(names, fit_linear(rows + more[0], np.append(target, more[1]), np.append(weight, more[2]), len(names))), table
 
 
 def with_given_labels(log_odds: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 50) -> np.ndarray:
@@ -344,19 +351,20 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of ``docs``, all columns, that the classifier does not call toxic; no join."""
-    spark = docs.sparkSession
-    model, found = train(docs, labels)
-    if found is not None:
-        C.drop(spark, found)
-    shared = spark.sparkContext.broadcast(model)
+    """Rows of ``docs``, all columns, that the classifier does not call toxic; no join: the
+    features are written beside their rows, so texts are looked at once."""
+    label = next(n for n in ("features" + "_" * k for k in range(99)) if n.lower() not in map(str.lower, docs.columns))
+    model, featured = train(docs, labels, label)
+    if featured is None:  # nothing to learn from: nothing is called toxic
+        return docs
+    shared, own = docs.sparkSession.sparkContext.broadcast(model), docs.columns
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x = extractor(tuple(shared.value.names))
+        model = shared.value
         for b in batches:
-            yield b.filter(pa.array([shared.value.score(x.of(t or "")) < 0.5 for t in C.columns(b, "text")[0]], pa.bool_()))
+            yield b.select(own).filter(pa.array([model.score(f) < 0.5 for f in C.columns(b, label)[0]], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return featured.mapInArrow(keep, docs.schema)
 
 
 def op3_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
