@@ -15,7 +15,13 @@ the exact distance check there drops the rest.
 
 Copies never travel: rows are grouped to distinct fingerprints first.  At an anchor
 the distinct fingerprints are compared in blocks and only a spanning star of each
-local class leaves the task, so neither pairs nor groups grow with their square.
+local class leaves the task.
+
+An anchor with more than ``CROWD`` distinct fingerprints (very many near copies of one
+text) is not compared in one task.  Its fingerprints are dealt again by the midpoints
+themselves, the points within 1 bit of each: two fingerprints share such a point exactly
+if they differ in 2 bits or fewer, and a point has at most 65 of them, so no group there
+can grow.  Every pair of a crowded anchor is found that way, every other pair at its anchor.
 
 Defined cases: null and empty texts have fingerprint 0 and link like any other;
 every input row gives one row, repeated ids included; a null id never is a class id
@@ -43,6 +49,8 @@ SEED = 42
 CHUNK = 1 << 16
 #: Rows of a comparison block.
 COMPARE = 512
+#: Distinct fingerprints of one anchor that are compared in one task; more are dealt by midpoints.
+CROWD = 512
 
 # --- fingerprints --------------------------------------------------------------
 
@@ -218,14 +226,44 @@ def _compare_job(bits: int):
     return run
 
 
+def _midpoint_job(bits: int):
+    """(bit, point, fp): fingerprints share a point exactly if they differ in ``bits`` bits or fewer.
+
+    For 2 bits the points are those within 1 bit (``bit`` is 0); for 1 bit they are the
+    fingerprint without bit i, for each i; for 0 bits there are none to share."""
+    turned = np.uint64(1) << np.arange(64, dtype=np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            prints = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            points = np.column_stack([prints, prints[:, None] ^ turned]) if bits == 2 else prints[:, None] & ~turned
+            if bits == 0:
+                points = points[:, :0]
+            bit = np.zeros(points.shape, np.int32) if bits == 2 else np.broadcast_to(np.arange(points.shape[1], dtype=np.int32), points.shape)
+            yield pa.RecordBatch.from_pydict({"bit": pa.array(bit.ravel()), "point": pa.array(points.ravel().view(np.int64)),
+                                              "fp": pa.array(np.repeat(prints, points.shape[1]).view(np.int64))})
+    return run
+
+
+def _links(spark: SparkSession, distinct: DataFrame, bits: int, crowd: int = CROWD) -> DataFrame:
+    """Edges (u, v) that connect the fingerprints linked at any anchor."""
+    dealt = distinct.mapInArrow(_anchor_job, "anchor long, fp long")
+    crowded = C.cut(spark, dealt.groupBy("anchor").count().where(F.col("count") > crowd).select("anchor"), "op5-crowded")
+    quiet = dealt.join(crowded, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor")
+    points = dealt.join(crowded, "anchor", "left_semi").select("fp").distinct().mapInArrow(_midpoint_job(bits), "bit int, point long, fp long")
+    # All fingerprints of a point are linked to each other: 65 at most, so a set of them is small.
+    stars = points.groupBy("bit", "point").agg(F.min("fp").alias("v"), F.collect_set("fp").alias("near")).where(F.size("near") > 1)
+    return quiet.mapInArrow(_compare_job(bits), "u long, v long") \
+        .unionByName(stars.select(F.explode("near").alias("u"), "v").where("u <> v"))
+
+
 def _classes(marked: DataFrame, bits: int) -> DataFrame:
     """(fp, root) of every distinct fingerprint of ``marked``."""
     if not 0 <= bits <= MAX_BITS:
         raise ValueError("the anchors cover distances of 0 to 2 bits")
     spark = marked.sparkSession
     distinct = C.cut(spark, marked.select("fp").distinct(), "op5-distinct")
-    dealt = distinct.mapInArrow(_anchor_job, "anchor long, fp long").repartition("anchor").sortWithinPartitions("anchor")
-    roots = components(spark, dealt.mapInArrow(_compare_job(bits), "u long, v long"), "op5-edges")
+    roots = components(spark, _links(spark, distinct, bits), "op5-edges")
     return C.cut(spark, distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
                  .select("fp", F.coalesce("root", "fp").alias("root")), "op5-classes")
 

@@ -98,3 +98,28 @@ def test_one_row_of_each_class_stays(spark):
     assert got.columns == ["doc_id", "text", "id", "key"]
     assert sorted((r.doc_id or -1, r.text, r.id) for r in got.collect() if r.text) == [(-1, "only null id here", "p"), (1, "a b c d e", "p"), (2, "other words here now", "p")]
     assert got.where(F.coalesce("text", F.lit("")) == "").select("doc_id").collect()[0][0] == 7
+
+
+def test_crowded_anchors_lose_no_link(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    centre = r.integers(0, 2 ** 64, 4, dtype=np.uint64)
+    prints = set(r.integers(0, 2 ** 64, 200, dtype=np.uint64).tolist())
+    for c in centre.tolist():
+        for _ in range(300):
+            x = c
+            for bit in r.choice(64, r.integers(5), replace=False).tolist():
+                x ^= 1 << bit
+            prints.add(x)
+    prints = np.array(sorted(prints), dtype=np.uint64).view(np.int64).tolist()
+    marked = spark.createDataFrame([(p,) for p in prints], "fp long")
+    for bits, crowd in ((2, 1), (2, 3), (1, 1), (0, 1)):  # almost all anchors are crowded, or some
+        want = plain_components(np.array(prints, dtype=np.int64).view(np.uint64).tolist(), prints, bits)
+        monkeypatch.setattr(S._links, "__defaults__", (crowd,))
+        assert {g.fp: g.root for g in S._classes(marked, bits).collect()} == dict(zip(prints, want)), (bits, crowd)
+
+
+def test_a_point_has_few_fingerprints(spark):
+    x = 0x0123456789ABCDEF
+    near = [x] + [x ^ 1 << i for i in range(63)] + [x ^ 1 << i ^ 1 << j for i in range(40) for j in range(i)]
+    points = spark.createDataFrame([(p,) for p in near], "fp long").mapInArrow(S._midpoint_job(2), "bit int, point long, fp long")
+    assert points.groupBy("point").count().agg(F.max("count")).first()[0] <= 65
