@@ -130,14 +130,36 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*out))
 
 
+def _by_kind(base: Column) -> Column:
+    """The base spans of each kind that has any, and the step widths of a search in them."""
+    spans = F.transform(F.sequence(F.lit(0), F.lit(len(KINDS) - 1)), lambda k: F.filter(base, lambda b: b["kind"] == k))
+    powers = F.array(*[F.lit(1 << i) for i in reversed(range(31))])
+    return F.transform(F.filter(spans, lambda a: F.size(a) > 0),
+                       lambda a: F.struct(a.alias("spans"), F.filter(powers, lambda w: w <= F.size(a)).alias("widths")))
+
+
+def _overlapping(kinds: Column, p: Column) -> Column:
+    """The base spans that share a character with ``p``, by start and kind.
+
+    Spans of one kind don't overlap, so both their starts and their ends ascend: two binary
+    searches give those between, however many spans a text has."""
+    def ahead(k: Column, before) -> Column:
+        """How many spans of a kind, counted from the first, ``before`` holds for."""
+        return F.aggregate(k["widths"], F.lit(0), lambda n, w: F.when(before(F.get(k["spans"], n + w - 1)), n + w).otherwise(n))
+
+    def of_kind(k: Column) -> Column:
+        return _let(ahead(k, lambda b: b["end"] <= p["start"]), lambda low: F.slice(
+            k["spans"], low + 1, ahead(k, lambda b: b["start"] < p["end"]) - low))
+
+    return F.array_sort(F.flatten(F.transform(kinds, of_kind)))
+
+
 def extracted(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, base, instances of every row: the one pass over the texts."""
     t = C.texts(docs)
     t = t.select("doc_id", "text", F.xxhash64("text").alias("text_key"), base_spans(F.col("text")).alias("base"),
                  places(F.col("text"), f"{RUN}|{INSTANCE}", "[0-9@]").alias("places"))
     word = lambda c, p: F.lower(F.regexp_extract(c, p, 1))
-    # An instance is known where a base span starts with it; inside one it is left out.
-    here = lambda p: F.filter("base", lambda b: (b["start"] < p["end"]) & (p["start"] < b["end"]))
     text = F.col("text")
 
     def strings(p: Column) -> Column:
@@ -160,13 +182,18 @@ def extracted(docs: DataFrame) -> DataFrame:
                         first["kind"].alias("kind"),
                         ((F.size(b) == 0) | F.exists(b, lambda x: x["start"] == p["start"])).alias("whole"), run.alias("run"))
 
-    def instances(p: Column, b: Column) -> Column:
+    def instances(p: Column, b: Column, here) -> Column:
         """Those of a place.  A run in which base spans are is only its strings."""
         return F.when(~p["text"].rlike(r"[\x20(]"), F.array(one(p, b))) \
             .when(F.size(b) == 0, F.concat(F.array(one(p, b)), F.transform(strings(p), lambda q: one(q, b, p["text"])))) \
             .otherwise(F.transform(strings(p), lambda q: _let(here(q), lambda c: one(q, c))))
 
-    made = F.flatten(F.transform("places", lambda p: _let(here(p), lambda b: instances(p, b))))
+    # An instance is known where a base span starts with it; inside one it is left out.
+    def made(kinds: Column) -> Column:
+        here = lambda p: _overlapping(kinds, p)
+        return F.flatten(F.transform("places", lambda p: _let(here(p), lambda b: instances(p, b, here))))
+
+    made = _let(_by_kind(F.col("base")), made)
     return t.select("doc_id", "text_key", "base", F.filter(made, lambda p: p["whole"]).alias("instances"))
 
 
@@ -205,7 +232,7 @@ def learn(spark: SparkSession, seen: DataFrame, docs: DataFrame, rounds: int = R
     unknown = edges.where("kind IS NULL").select("instance", "left", "right").where(
         F.col("instance").contains("@") | (F.length(F.regexp_replace("instance", "[^0-9]", "")) >= LEAST_DIGITS))
     known = edges.where("kind IS NOT NULL").groupBy("instance").agg(F.min("kind").alias("kind"))
-    accepted = None
+    accepted, passed = None, [edges, totals]
     for _ in range(rounds):
         sides = _sides(edges.drop("kind").join(known, "instance"))
         scored = sides.groupBy("pattern", "kind").agg(F.sum("n").alias("n"), F.count_distinct("instance").alias("known")) \
@@ -216,10 +243,14 @@ def learn(spark: SparkSession, seen: DataFrame, docs: DataFrame, rounds: int = R
         beliefs = both.join(scored, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.col("c"))))).alias("c"))
         best = beliefs.where(F.col("c") >= confidence).groupBy("instance").agg(F.max(F.struct("c", (-F.col("kind")).alias("k"))).alias("b")) \
             .select("instance", (-F.col("b.k")).alias("kind"))
+        passed.append(scored)
         if accepted is not None:
+            passed.append(accepted)
             best = accepted.unionByName(best).groupBy("instance").agg(F.min("kind").alias("kind"))
         accepted = C.cut(spark, best, "op2-accepted")
         known = edges.where("kind IS NOT NULL").select("instance", "kind").unionByName(accepted).groupBy("instance").agg(F.min("kind").alias("kind"))
+    for table in passed:
+        C.drop(spark, table)
     return accepted
 
 

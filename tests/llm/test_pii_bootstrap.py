@@ -1,6 +1,9 @@
 import hashlib
 import random
 import re
+import time
+
+from pyspark.sql import functions as F
 
 from fieldlens.llm import pii_bootstrap as B
 
@@ -118,3 +121,23 @@ def test_query_digest_and_plan(spark):
         assert g.base_sha256 == hashlib.sha256(line.encode()).hexdigest()
         assert [g.n_email, g.n_ip, g.n_card, g.n_phone] == [sum(k == n for _, k, _ in base) for n in range(4)]
         assert set(line.split(",")) - {""} <= set(g.spans.split(","))
+
+
+def test_spans_at_each_place_equal_a_plain_search(spark):
+    r = random.Random(9)
+    bits = ["a@b.cc", "10.0.0.1", "4111 1111 1111 1111", "+1 (555) 123-4567", "12", "x7", " ", " ", ", ", "+", "555 010", "+44 20 7946 0958.1.1.1"]
+    texts = TEXTS + ["".join(r.choices(bits, k=r.randrange(60))) for _ in range(300)]
+    t = frame(spark, texts).select("doc_id", B.base_spans(F.coalesce("text", F.lit(""))).alias("b"),
+                                   F.expr("transform(sequence(0L, 400L, 7L), s -> struct(s as start, s + s % 31 + 1 as `end`))").alias("places"))
+    got = t.select("b", "places", B._let(B._by_kind(F.col("b")), lambda k: F.transform("places", lambda p: B._overlapping(k, p))).alias("o")).collect()
+    for g in got:
+        for p, o in zip(g.places, g.o):
+            assert [tuple(x) for x in o] == [tuple(x) for x in g.b if x.start < p.end and p.start < x.end]
+
+
+def test_very_many_findings_in_one_text(spark):
+    text = " ".join(f"m{i}@host{i}.example.com" for i in range(60_000))
+    started = time.time()
+    got = B.extracted(frame(spark, [text])).select(F.size("base").alias("n"), F.size("instances").alias("m")).first()
+    assert (got.n, got.m) == (60_000, 60_000)
+    assert time.time() - started < 60  # one pair of searches a place; all pairs would be 3.6 billion
