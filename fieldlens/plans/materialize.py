@@ -141,6 +141,7 @@ def materialize(spark: SparkSession, build: Callable[[], DataFrame], name: str,
     key = (spark.sparkContext.applicationId, f"{path}/{version}")
     if key not in _READ:
         _READ[key] = spark.read.parquet(f"{path}/{version}")  # file listing and footer schema read once per application
+        _READ[key]._fieldlens_path = f"{path}/{version}"
     return _READ[key]
 
 

@@ -492,6 +492,9 @@ FROM t""")
         f"CAST(Flag_{m}_Overall AS DOUBLE) AS Flag_{m}_Overall" for m in ("Demo", "FCS", "Timing")) + " FROM flagged")
     q["clashing_input"] = _with("SELECT row_seq, FCS, row_seq * 2.0 AS FCS_input, CAST(Flag_FCS_Overall AS DOUBLE) AS Flag_FCS_Overall, "
                                 "CAST(Flag_HDDS_Overall AS DOUBLE) AS Flag_HDDS_Overall, 'FCS,HDDS' AS modules FROM flagged")
+    # a stream's tables as of its last batch are those of all rows
+    for streamed, whole in (("stream_daily_counts", "daily_counts_cumulative"), ("stream_score_trend", "score_trend"), ("stream_progress", "progress")):
+        q[streamed] = q[whole]
     return q
 
 

@@ -24,6 +24,8 @@ from ..sources.fixture import events_path, survey_from_events
 from ..session import checkpoint_dir
 from ..sources.ingest import ingest, ingested
 from ..sources.survey import coerce_types, preview
+from ..streaming.incremental import aggregate_files
+from ..streaming.running import RunningFacts
 from .engine import module_view, run_checks
 from .materialize import RULE_JOB_CONF, code_version, exists, input_fingerprint, materialize, session_conf
 
@@ -76,6 +78,22 @@ def facts(spark: SparkSession, sf_dir: str, rebuild: bool = False) -> DataFrame:
     return materialize(spark, build, key, rebuild=rebuild)
 
 
+def streamed_facts(spark: SparkSession, sf_dir: str, files_per_batch: int = 1000) -> DataFrame:
+    """The same table kept by a file stream over the flagged table, batch by batch."""
+    f = flagged(spark, sf_dir)
+    source = f._fieldlens_path
+    state = RunningFacts(f"{checkpoint_dir(spark).rstrip('/')}/fieldlens/running-{source.rsplit('/', 1)[1]}-{files_per_batch}", _dash(f), _report(f))
+    query = aggregate_files(spark, source, f.schema, state, "registry", files_per_batch=files_per_batch)
+    query.awaitTermination()
+    return state.read(spark)
+
+
+def _with_stream(fn: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return portable(fn(streamed_facts(spark, sf_dir)))
+    return run
+
+
 def portable(df: DataFrame) -> DataFrame:
     """Outputs compared across engines: dates as ISO text, nullable flags as DOUBLE."""
     out = []
@@ -272,6 +290,10 @@ QUERIES.update({
     "written_feedback_rows": _written(_written_feedback),
     "enumerators_displayed": _with_flagged(lambda f: D.present(M.flag_rate_by_enumerator(f, _report(f)).select(
         "enumerator", "surveys", "rate_pct", "survey_share_pct"))),
+    # tables of a file stream, as of its last batch
+    "stream_daily_counts": _with_stream(lambda f: A.daily_counts(f, _report(f), SAMPLE_TARGET)),
+    "stream_score_trend": _with_stream(lambda f: A.score_trend(f, _dash(f))),
+    "stream_progress": _with_stream(lambda f: A.progress(f, _report(f), SAMPLE_TARGET)),
     # sources
     "checks_from_text": _checks_from_text,
     "clashing_input": _clashing_input,
