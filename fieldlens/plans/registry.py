@@ -23,7 +23,7 @@ from ..operators import monitor as M
 from ..sources.fixture import events_path, survey_from_events
 from ..session import checkpoint_dir
 from ..sources.ingest import ingest, ingested
-from ..sources.survey import coerce_types, preview
+from ..sources.survey import coerce_types, preview, spread
 from ..streaming.incremental import aggregate_files
 from ..streaming.running import RunningFacts
 from .engine import module_view, run_checks
@@ -37,13 +37,18 @@ def survey(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survey_from_events(spark.read.parquet(events_path(sf_dir)))
 
 
+def spread_survey(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The survey in tasks of a bounded number of rows: the narrow events are dealt, not the wide rows."""
+    return survey_from_events(spread(spark.read.parquet(events_path(sf_dir))))
+
+
 def flagged(spark: SparkSession, sf_dir: str, prof: P.Profile | None = None, rebuild: bool = False) -> DataFrame:
     """The flagged survey of ``sf_dir``: written once by a job of its own, then a lazy scan.
 
     The key holds the input's files, the rules' sources and every value of the profile."""
     prof = prof or P.fixture()
     key = f"flagged-{prof.name}-{prof.fingerprint()}-{input_fingerprint(spark, [events_path(sf_dir)])}-{code_version()}"
-    return materialize(spark, lambda: run_checks(survey(spark, sf_dir), prof), key, rebuild=rebuild)
+    return materialize(spark, lambda: run_checks(spread_survey(spark, sf_dir), prof), key, rebuild=rebuild)
 
 
 def flagged_from(spark: SparkSession, survey_df: DataFrame, name: str, prof: P.Profile | None = None) -> DataFrame:
@@ -132,7 +137,7 @@ def _module_flags(module: str) -> Callable[[DataFrame], DataFrame]:
 
 def _fcs_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FCS module only under the dashboard preset (high > 100, staple < 2); narrow and lazy."""
-    f = run_checks(survey(spark, sf_dir), P.dashboard(), only=["FCS"])
+    f = run_checks(spread_survey(spark, sf_dir), P.dashboard(), only=["FCS"])
     return portable(f.select("_uuid", "row_seq", "FCS", "FCG", "Flag_FCS_Missing", "Flag_FCS_Erroneous", "Flag_FCS_Identical",
                     "Flag_FCS_LowStaple", "Flag_FCS_Low", "Flag_FCS_High", "Flag_FCS_Overall"))
 
@@ -142,7 +147,7 @@ def _fcs_own_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     prof = P.fixture().with_settings({
         "fcs_weights": {**P.FCS_WEIGHTS, "FCSSugar": 0.25, "FCSPr": 3.5},
         "thresholds": {"FCS": {"fcg_poor_threshold": 28, "fcg_borderline_threshold": 42}}}, name="own-weights")
-    f = run_checks(survey(spark, sf_dir), prof, only=["FCS", "rCSI"])
+    f = run_checks(spread_survey(spark, sf_dir), prof, only=["FCS", "rCSI"])
     return portable(f.select("_uuid", "row_seq", "FCS", "FCG", "Flag_FCS_Low", "Flag_FCS_High", "Flag_FCS_Overall",
                              "Flag_rCSI_ZeroWithPoorFCG", "Flag_rCSI_HighWithAcceptFCG"))
 
@@ -158,7 +163,7 @@ SHOWN = {T.TimestampType: "dd/MM/yyyy HH:mm:ss.SSSSSS", T.TimestampNTZType: "dd/
 
 def _checks_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of three modules written out as text, coerced back and checked."""
-    typed = survey(spark, sf_dir)
+    typed = spread_survey(spark, sf_dir)
     used = {*P.CONTEXT_COLUMNS, "_uuid", "row_seq", *[x.name for g in (P.DEMO_SPECS, P.FCS_SPECS, P.TIMING_SPECS) for x in g]}
     text = _as_text(typed.select(*[c for c in typed.columns if c in used]))
     f = run_checks(coerce_types(text, date_formats=list(dict.fromkeys(SHOWN.values()))), P.fixture(), only=["Demo", "FCS", "Timing"])
@@ -175,7 +180,7 @@ def ingested_text(spark: SparkSession, sf_dir: str):
     """The survey as text with unreadable answers, ingested once for all queries that ask about it."""
     path = f"{checkpoint_dir(spark).rstrip('/')}/fieldlens/ingest-{input_fingerprint(spark, [events_path(sf_dir)])}-{code_version()}"
     if not exists(spark, f"{path}/report/_SUCCESS"):
-        text = _as_text(survey(spark, sf_dir)).withColumns({"row_seq": F.col("row_seq").cast("long")})
+        text = _as_text(spread_survey(spark, sf_dir)).withColumns({"row_seq": F.col("row_seq").cast("long")})
         hurt = text.withColumns({c: F.when(F.col("row_seq") % m == r, bad).otherwise(F.col(c)) for c, (m, r, bad) in UNREADABLE.items()})
         with session_conf(spark, RULE_JOB_CONF):
             ingest(spark, hurt, path, date_formats=list(dict.fromkeys(SHOWN.values())))
@@ -184,7 +189,7 @@ def ingested_text(spark: SparkSession, sf_dir: str):
 
 def _clashing_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B8 + B9: an input column named like a score is kept aside; only two modules run."""
-    f = run_checks(survey(spark, sf_dir).withColumn("FCS", F.col("row_seq") * 2.0), P.fixture(), only=["FCS", "HDDS"])
+    f = run_checks(spread_survey(spark, sf_dir).withColumn("FCS", F.col("row_seq") * 2.0), P.fixture(), only=["FCS", "HDDS"])
     ran = F.lit(",".join(m for m in P.MODULE_ORDER if f"Flag_{m}_Overall" in f.columns))
     return portable(f.select("row_seq", "FCS", "FCS_input", "Flag_FCS_Overall", "Flag_HDDS_Overall", ran.alias("modules")))
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import profile as P
-from ..functions.columns import col, safe
+from ..functions.columns import any_of, col, safe
 from .survey import coerce_types, declared_specs
 
 UNPARSED = "_unparsed"
@@ -50,7 +50,8 @@ class Ingested:
 
 def _unread(raw: Column, read: Column) -> Column:
     """Whether a text says something that its column's kind can't hold."""
-    return raw.isNotNull() & raw.rlike(r"\S") & read.isNull()
+    # In this order: the pattern is only tried on texts that were not read.
+    return raw.isNotNull() & read.isNull() & raw.rlike(r"\S")
 
 
 def ingest(spark: SparkSession, raw: DataFrame, path: str, specs: dict[str, P.ColumnSpec] | None = None,
@@ -63,15 +64,14 @@ def ingest(spark: SparkSession, raw: DataFrame, path: str, specs: dict[str, P.Co
     # Raw texts travel beside the typed columns, so that both sides of a reading are at hand.
     kept = raw.withColumns({f"_raw_{i}": col(c) for i, c in enumerate(texts)}) if texts else raw
     typed = coerce_types(kept, specs, date_formats)
-    pairs = [F.when(_unread(F.col(f"_raw_{i}"), col(c)), F.struct(F.lit(c).alias("key"), F.col(f"_raw_{i}").alias("value"))) for i, c in enumerate(texts)]
-    none = F.lit(None).cast("map<string,string>")
-    found = F.array_compact(F.array(*pairs)) if pairs else none
-    out = typed.withColumn(UNPARSED, found if pairs else none)
-    if pairs:
-        out = out.withColumn(UNPARSED, F.when(F.size(UNPARSED) > 0, F.map_from_entries(UNPARSED)))
+    unread = [_unread(F.col(f"_raw_{i}"), col(c)) for i, c in enumerate(texts)]
+    pairs = [F.when(u, F.struct(F.lit(c).alias("key"), F.col(f"_raw_{i}").alias("value"))) for i, (c, u) in enumerate(zip(texts, unread))]
+    # Most rows have no unreadable text: they build no map.
+    found = F.when(any_of(unread), F.map_from_entries(F.array_compact(F.array(*pairs)))) if pairs else F.lit(None).cast("map<string,string>")
+    out = typed.withColumn(UNPARSED, found)
     watch = Observation()
     metrics = [F.count(F.lit(1)).alias("rows")] + [F.count(col(c)).alias(f"a{i}") for i, c in enumerate(specs)] + [
-        F.count_if(safe(_unread(F.col(f"_raw_{i}"), col(c)))).alias(f"u{i}") for i, c in enumerate(texts)]
+        F.count_if(safe(u)).alias(f"u{i}") for i, u in enumerate(unread)]
     out.observe(watch, *metrics).drop(*[f"_raw_{i}" for i in range(len(texts))]).write.mode("overwrite").parquet(f"{path.rstrip('/')}/survey")
     seen = watch.get
     lines = [(c, s.kind, seen["rows"], seen[f"a{i}"], seen[f"u{texts.index(c)}"] if c in texts else 0, None) for i, (c, s) in enumerate(specs.items())]

@@ -2,7 +2,7 @@
 
 CSV is read with every column as text and coerced once by the declared spec;
 Parquet / ORC / JSON keep their types and only get NaN turned into NULL.
-Nothing here runs a job except ``shape``.
+Nothing here runs a job except ``shape`` and ``spread``.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ SUPPORTED_FORMATS = ("csv", "parquet", "orc", "json")
 
 # A decimal number with optional sign and exponent, or an infinity.  Text such
 # as '5d', 'nan', '1,000' or '' is not a number (it becomes NULL).
-NUMERIC_TEXT = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$|^[+-]?(inf|infinity)$"
+NUMERIC_TEXT = r"(?i)^[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?|inf|infinity)$"
 
 
 def declared_specs(profile: P.Profile | None = None) -> dict[str, P.ColumnSpec]:
@@ -39,8 +39,8 @@ def declared_specs(profile: P.Profile | None = None) -> dict[str, P.ColumnSpec]:
 
 def _to_double(c: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, T.StringType):
-        text = F.lower(F.trim(c))
-        parsed = F.when(text.rlike(NUMERIC_TEXT), text.try_cast("double"))
+        text = F.trim(c)
+        return F.when(text.rlike(NUMERIC_TEXT), text.try_cast("double"))  # such a text is no NaN
     elif isinstance(dtype, (T.NumericType, T.BooleanType)):
         parsed = c.cast("double")
     else:
@@ -110,6 +110,26 @@ def load_survey(spark: SparkSession, path: str, fmt: str = "parquet", options: d
     return coerce_types(reader.load(path), date_formats=date_formats, profile=profile)
 
 
+#: Rows that a task of the wide row rules gets.
+TASK_ROWS = 50_000
+
+
+def spread(df: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
+    """``df`` in tasks of about ``task_rows`` rows, if some task has more than twice as many.
+
+    A file of one row group is read by one task, whatever its rows; the rules cost much more a
+    row than its move.  The rows of each task are counted first (that reads file footers only).
+    Rows are dealt by a hash of all of their values, so a task that runs again deals them alike."""
+    sizes = df.select().groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("rows")).first()
+    if (sizes.most or 0) <= 2 * task_rows:
+        return df
+    return df.repartition(-(-sizes.rows // task_rows), *[F.col(f"`{f.name}`") for f in df.schema.fields if not _holds_map(f.dataType)])
+
+
+def _holds_map(t: T.DataType) -> bool:
+    return "map<" in t.simpleString() or "variant" in t.simpleString()
+
+
 def with_row_seq(df: DataFrame, key: str | None = None) -> DataFrame:
     """Stable row order for 'first' / 'last' rules.
 

@@ -56,3 +56,37 @@ def test_one_pass_over_the_input(spark, tmp_path):
     done = I.ingest(spark, raw, str(tmp_path / "in"))
     assert seen.value == len(ROWS)
     assert done.shape().first().n_rows == len(ROWS) and done.warnings().count() > 3 and seen.value == len(ROWS)
+
+
+def test_a_file_of_one_row_group_is_worked_on_by_many_tasks(spark, tmp_path, monkeypatch):
+    """Rows of one task are dealt before the wide rules; small inputs stay where they are."""
+    from conftest import sf_dir
+    from fieldlens.plans import registry as R
+    from fieldlens.sources.survey import spread
+
+    one = spark.range(10_000).selectExpr("id", "id % 7 AS v", "map('a', id) AS m").coalesce(1)
+    dealt = spread(one, 1000)
+    sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 10 and max(sizes) < 2000
+    assert sorted(r.id for r in dealt.collect()) == list(range(10_000))
+    assert spread(one, 5000) is one
+    assert spread(one.limit(0), 1000).count() == 0
+    monkeypatch.setattr(R, "spread", lambda df: spread(df, 1000))
+    monkeypatch.setattr(R, "code_version", lambda: f"spread-test-{tmp_path.name}")
+    assert len(R.ingested_text(spark, sf_dir("0.01")).survey.inputFiles()) == 10
+    assert len(R.flagged(spark, sf_dir("0.01")).inputFiles()) == 10
+
+
+def test_the_blank_pattern_is_tried_on_unread_texts_only(spark):
+    """Of read answers no text is looked at twice."""
+    from fieldlens.functions.columns import col
+
+    shown = str(I._unread(col("raw"), col("read"))._jc.toString()).lower()
+    assert shown.index("isnull") < shown.index("rlike")
+
+
+def test_numbers_as_text(spark):
+    texts = ["1", " 6 ", "-.5", "+2.", "1e3", "1E-2", "inf", "-Infinity", "INF", "5d", "2f", "nan", "NaN", "1,000", "", "0x1p3", "1e", ".", "--1", None]
+    got = coerce_types(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, HHSize string")).orderBy("i").collect()
+    inf = float("inf")
+    assert [r.HHSize for r in got] == [1.0, 6.0, -0.5, 2.0, 1000.0, 0.01, inf, -inf, inf] + [None] * 11
