@@ -59,7 +59,7 @@ def _exact(c: Column, name: str) -> list[Column]:
             F.count_if(safe(F.abs(c) >= 1e9)).alias(f"over_{name}")]
 
 
-def _measures(flagged: DataFrame, supervisor: str | None) -> list[Column]:
+def _measures(flagged: DataFrame) -> list[Column]:
     has, cnt = set(flagged.columns), lambda cond, name: F.count_if(safe(cond)).alias(name)
     out = [F.count(F.lit(1)).alias("n"), cnt(any_flag(flagged) == 1, "n_any")]
     for m in modules_in(flagged):
@@ -94,19 +94,25 @@ def _measures(flagged: DataFrame, supervisor: str | None) -> list[Column]:
     if "Timing_Duration_Min" in has:
         d = col("Timing_Duration_Min")
         out += _exact(F.when((d > 0) & (d < 300), d), "valid")
-    if supervisor:
-        first = F.struct(col("row_seq").alias("row_seq"), col(supervisor).cast("string").alias("name"))
-        out.append(F.min(F.when(col(supervisor).isNotNull(), first)).alias("first_supervisor"))
     return out
 
 
 def build(flagged: DataFrame, *contexts: Context) -> DataFrame:
-    """The table: one row for each enumerator, area and day (of the columns that ``contexts`` name)."""
+    """The table: one row for each enumerator, area and day (of the columns that ``contexts`` name).
+
+    The least (row, supervisor) pair of a group can't be kept in a hash table, and an aggregate
+    that holds one sorts all rows of a task.  So the rows are aggregated by supervisor too, with
+    the least row of each; only these few partial rows are merged with the pair."""
     keys, dates = _keys(flagged, contexts)
     by = [col(k).alias(k) for k in keys] + [M._day(flagged, d).alias(DAY + d) for d in dates]
     span = [f(M._moment(flagged, d)).alias(f"{k}_{d}") for d in dates for k, f in (("least", F.min), ("largest", F.max))]
     sup = next((x.sup for x in contexts if x.sup), None)
-    return flagged.groupBy(*by).agg(*_measures(flagged, sup), *span)
+    if not sup:
+        return flagged.groupBy(*by).agg(*_measures(flagged), *span)
+    least = F.min(col("row_seq")).alias("_at")
+    named = flagged.groupBy(*by, col(sup).cast("string").alias("_sup")).agg(*_measures(flagged), least, *span)
+    first = F.when(col("_sup").isNotNull(), F.struct(col("_at").alias("row_seq"), col("_sup").alias("name"))).alias("first_supervisor")
+    return merge(named.select(*[first if c == "_at" else col(c) for c in named.columns if c != "_sup"]))
 
 
 def merge(*tables: DataFrame) -> DataFrame:

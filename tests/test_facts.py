@@ -108,3 +108,10 @@ def test_registered_tables_scan_no_survey(spark):
             n += 1
     assert n == 6
     assert set(P.MODULE_ORDER) <= {r.module for r in R.QUERIES["module_summary"](spark, sf).collect()}
+
+
+def test_rows_are_aggregated_by_hash(spark, survey, dash):
+    """No aggregate sorts the rows: only the one that merges partial rows may."""
+    plan = A.build(survey, dash)._jdf.queryExecution().executedPlan().toString()
+    kinds = [line.split("Aggregate(")[0].split()[-1].strip("+-: ") for line in plan.splitlines() if "Aggregate(" in line]
+    assert kinds[-2:] == ["Hash", "Hash"], kinds  # nearest to the rows: partial and final
