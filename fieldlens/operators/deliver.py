@@ -98,21 +98,30 @@ def enumerator_feedback(flagged: DataFrame, ctx: Context) -> DataFrame:
         .orderBy(F.desc("flag_rate_pct"), "enumerator")
 
 
-#: Rows in a written file, and so in a writer task's part of a key.
+#: Rows in a written file.
 ROWS_PER_FILE = 1_000_000
+#: Rows of a writer task's part of a key: a sink with a folder a key sorts the wide rows of a task.
+ROWS_PER_TASK = 100_000
 
 
 def spread_by_key(rows: DataFrame, key: str, rows_per_file: int = ROWS_PER_FILE) -> DataFrame:
-    """``rows`` clustered for a sink with one folder a key: each key's rows are counted, and a
-    key of k files' worth of rows is dealt to k tasks by a hash of the row.
-
-    So the tasks that write a hot key, and the size of its files, follow from its rows, not
-    from how many files or tasks the input had."""
-    sizes = written(rows.groupBy(col(key).alias("_key")).agg(F.ceil(F.count(F.lit(1)) / rows_per_file).alias("_files")), "sink-keys", keys="count(1)")
+    """``rows`` clustered for a sink with one folder a key: each key's rows are counted, a key
+    of more than ``ROWS_PER_TASK`` rows (or a file's) is dealt to several tasks by a hash of the row.
+
+    The keys, one row each, are laid end to end; a task gets the parts that begin in its
+    stretch of that line.  So it holds at most two tasks' worth of rows however many rows a
+    key has, and neither that nor the size of the files follows from the input's files."""
+    most = min(rows_per_file, ROWS_PER_TASK)
+    counts = rows.groupBy(col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = written(counts.select("_key", F.ceil(F.col("_n") / most).alias("_parts"), "_n", before.alias("_start")),
+                    "sink-keys", keys="count(1)", rows="sum(_n)")
     few = seen(sizes)["keys"] <= M.BROADCAST_GROUPS
     spot = F.xxhash64("row_seq") if "row_seq" in rows.columns else F.xxhash64(*[col(c) for c in rows.columns])
-    return rows.join(F.broadcast(sizes) if few else sizes, col(key) == F.col("_key")) \
-        .repartition(col(key), F.pmod(spot, F.col("_files"))).drop("_key", "_files")
+    part = F.pmod(spot, F.col("_parts"))
+    task = F.expr(f"CAST((_start + (_part * _n) div _parts) div {most} AS INT)")
+    return rows.join(F.broadcast(sizes) if few else sizes, col(key) == F.col("_key")).withColumn("_part", part) \
+        .withColumn("_task", task).repartitionById(-(-(seen(sizes)["rows"] or 0) // most) or 1, F.col("_task")).drop("_key", "_parts", "_n", "_start", "_part", "_task")
 
 
 def write_enumerator_feedback(flagged: DataFrame, ctx: Context, path: str, rows_per_file: int = ROWS_PER_FILE) -> None:

@@ -123,3 +123,14 @@ def test_few_groups_move_no_rows(spark, hot):
     """With few groups the fences go to the rows: no exchange carries a row."""
     plan = _final_plan(M.box_outliers(hot, "EnuName", "Timing_Duration_Min", "_uuid"))
     assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan.split("== Final Plan ==")[-1].split("== Initial Plan ==")[0]
+
+
+def test_a_sink_task_holds_a_bounded_part(spark, monkeypatch):
+    """However large the files may be, a writer task sorts few rows; small keys share a task."""
+    monkeypatch.setattr(D, "ROWS_PER_TASK", 500)
+    df = spark.range(9000).select(F.when(F.col("id") < 8000, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("k"), F.col("id").alias("row_seq"))
+    out = D.spread_by_key(df.coalesce(1), "k")
+    by = out.groupBy(F.spark_partition_id().alias("t")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("k").alias("k")).collect()
+    assert out.count() == 9000 and out.columns == ["k", "row_seq"]
+    assert max(r.n for r in by) <= 1000 and 16 <= len(by) <= 18 and max(r.k for r in by) >= 20
+    assert D.spread_by_key(df.limit(0), "k").count() == 0
