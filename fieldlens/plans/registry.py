@@ -176,13 +176,17 @@ def _checks_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 UNREADABLE = {"HHSize": (97, 5, "many"), "FCSStap": (89, 3, "5d"), "today": (83, 7, "31/31/2024"), "start": (101, 9, "soon"), "rCSIBorrow": (79, 2, "  ")}
 
 
+# A moment is written as one number, not as the older 12-byte text of days and nanoseconds.
+INGEST_CONF = {**RULE_JOB_CONF, "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS"}
+
+
 def ingested_text(spark: SparkSession, sf_dir: str):
     """The survey as text with unreadable answers, ingested once for all queries that ask about it."""
     path = f"{checkpoint_dir(spark).rstrip('/')}/fieldlens/ingest-{input_fingerprint(spark, [events_path(sf_dir)])}-{code_version()}"
     if not exists(spark, f"{path}/report/_SUCCESS"):
         text = _as_text(spread_survey(spark, sf_dir)).withColumns({"row_seq": F.col("row_seq").cast("long")})
         hurt = text.withColumns({c: F.when(F.col("row_seq") % m == r, bad).otherwise(F.col(c)) for c, (m, r, bad) in UNREADABLE.items()})
-        with session_conf(spark, RULE_JOB_CONF):
+        with session_conf(spark, INGEST_CONF):
             ingest(spark, hurt, path, date_formats=list(dict.fromkeys(SHOWN.values())))
     return ingested(spark, path)
 

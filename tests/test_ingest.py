@@ -1,6 +1,8 @@
 """Ingest: typed table and report from one pass over the input."""
 import json
+import random
 
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -90,3 +92,54 @@ def test_numbers_as_text(spark):
     got = coerce_types(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, HHSize string")).orderBy("i").collect()
     inf = float("inf")
     assert [r.HHSize for r in got] == [1.0, 6.0, -0.5, 2.0, 1000.0, 0.01, inf, -inf, inf] + [None] * 11
+
+
+def test_plain_numbers_are_read_without_a_pattern(spark):
+    """Most answers need no pattern, and any text is read as the pattern reads it."""
+    from fieldlens.sources import survey as S
+
+    plain = ["1", "7.0", "-.5", "+2.", "1e3", "1E-2", "1e400", "0", "12345678901234567890"]
+    pick = random.Random(4)
+    odd = ["".join(pick.choice("0159+-.eExXpdDfFnNaAiI, \t\n\r\u0085\u00a0\u0665") for _ in range(pick.randint(0, 5))) for _ in range(4000)]
+    odd += ["5\n", "5\n\n", "\t5", "5\t", "5 \n", "0x1p3", "0X1P3d", "+0x1p3", "5d", "5dd", "5f", "+NaN", "-NaN", "NaNd", "+inf", "-Infinity", "infinityd", " 5 ", "5 d"]
+    rows = spark.createDataFrame([(t,) for t in plain + odd + [None]], "t string")
+    by_pattern = F.when(F.trim("t").rlike(S.NUMERIC_TEXT), F.trim("t").try_cast("double"))
+    seen = rows.select("t", S._plain_number(F.col("t")).alias("plain"), S._to_double(F.col("t"), T.StringType()).alias("got"), by_pattern.alias("want"))
+    assert seen.where("NOT got <=> want").collect() == []
+    assert seen.where("plain IS NOT NULL AND NOT plain <=> want").count() == 0
+    assert {r.t for r in seen.where("plain IS NOT NULL").collect()} >= set(plain)
+    assert seen.where("want IS NOT NULL").count() > 100 and seen.where("want IS NULL").count() > 100
+
+
+def test_a_date_pattern_is_tried_on_texts_with_its_marks(spark):
+    """A pattern whose marks a text lacks is not tried (a failed reading is an exception); results stay."""
+    from fieldlens.sources import survey as S
+
+    formats = ["dd/MM/yyyy HH:mm:ss.SSSSSS", "dd/MM/yyyy HH:mm", "dd/MM/yyyy", "yyyyMMdd", "dd-MM-yyyy['T'HH]"]
+    texts = ["01/05/2024", "01/05/2024 09:30", "01/05/2024 09:30:01.000002", "2024-05-01", "20240501", "01-05-2024", "01-05-2024T07", "31/31/2024", "soon", "", " 02/05/2024 ", None]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select(
+        "i", S._moment(F.col("t"), formats).cast("string").alias("m")).orderBy("i").collect()
+    assert [r.m for r in got] == ["2024-05-01 00:00:00", "2024-05-01 09:30:00", "2024-05-01 09:30:01.000002", "2024-05-01 00:00:00", "2024-05-01 00:00:00",
+                                  "2024-05-01 00:00:00", "2024-05-01 07:00:00", None, None, None, "2024-05-02 00:00:00", None]
+    tried = spark.range(1).select(S._with_marks(F.lit("01/05/2024"), formats[0], F.raise_error(F.lit("tried"))).cast("string").alias("m"))
+    assert tried.first().m is None
+
+
+def test_tasks_grow_up_to_a_bound():
+    """Few rows: tasks of 50,000; many: larger tasks, not ever more, yet 200,000 rows at most."""
+    from fieldlens.sources.survey import MOST_ROWS, task_count
+
+    assert [task_count(n, 12) for n in (1, 50_000, 600_000, 6_000_000, 36_000_000)] == [1, 1, 12, 64, 180]
+    assert all(n / task_count(n, c) <= MOST_ROWS for n in (10**5, 10**7, 10**9) for c in (1, 12, 500))
+    assert task_count(36_000_000, 100) == 400
+
+
+def test_an_ingest_writes_moments_as_one_number(spark, tmp_path, monkeypatch):
+    from conftest import sf_dir
+    from fieldlens.plans import registry as R
+
+    monkeypatch.setattr(R, "code_version", lambda: f"moments-test-{tmp_path.name}")
+    file = R.ingested_text(spark, sf_dir("0.001")).survey.inputFiles()[0].removeprefix("file://")
+    schema = pq.ParquetFile(file).schema
+    kinds = {schema.column(i).path: schema.column(i).physical_type for i in range(len(schema))}
+    assert kinds["start"] == kinds["end"] == "INT64"
