@@ -41,11 +41,11 @@ def declared_specs(profile: P.Profile | None = None) -> dict[str, P.ColumnSpec]:
 def _plain_number(c: Column) -> Column:
     """The number of a text as most are written, NULL if ``NUMERIC_TEXT`` has to look at it.
 
-    The text starts with a digit, sign or point, and with one more ``d`` (which a cast allows
-    once, at the end) it is still a number: so nothing but the number stands in it.  Without an x
-    it isn't hexadecimal; a comma or blank would only make the cast fail, which is slow."""
-    apart = reduce(lambda a, b: a | b, [F.contains(c, F.lit(x)) for x in "xX, "])
-    return F.when((c >= F.lit("+")) & (c < F.lit(":")) & ~apart, F.concat(c, F.lit("d")).try_cast("double"))
+    The text starts with a digit, and with one more ``d`` (which a cast allows once, at the end)
+    it is still a number: so nothing but the number stands in it.  It isn't hexadecimal; a comma
+    or a blank at the end would only make the cast fail, which is slow."""
+    apart = c.startswith("0x") | c.startswith("0X") | c.endswith(" ") | F.contains(c, F.lit(","))
+    return F.when((c >= F.lit("0")) & (c < F.lit(":")) & ~apart, F.concat(c, F.lit("d")).try_cast("double"))
 
 
 def _to_double(c: Column, dtype: T.DataType) -> Column:
@@ -130,22 +130,12 @@ def load_survey(spark: SparkSession, path: str, fmt: str = "parquet", options: d
     return coerce_types(reader.load(path), date_formats=date_formats, profile=profile)
 
 
-#: Rows that a task of the wide row rules gets, and the most it gets where there are many tasks.
+#: Rows that a task of the wide row rules gets.
 TASK_ROWS = 50_000
-MOST_ROWS = 200_000
-#: Tasks from which on they are larger instead of more, and the same for each core.
-MANY_TASKS = 64
-CORE_TASKS = 4
 
 
-def task_count(rows: int, cores: int, task_rows: int = TASK_ROWS, most_rows: int = MOST_ROWS) -> int:
-    """Tasks for ``rows``: of ``task_rows`` each until there are many, then larger ones of ``most_rows``
-    at most.  A task of the wide rules first builds their code, which takes a second or so."""
-    return max(min(-(-rows // task_rows), max(MANY_TASKS, CORE_TASKS * cores)), -(-rows // most_rows))
-
-
-def spread(df: DataFrame, task_rows: int = TASK_ROWS, most_rows: int = MOST_ROWS) -> DataFrame:
-    """``df`` in tasks of about ``task_rows`` rows (``task_count``), if some task has more than twice as many.
+def spread(df: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
+    """``df`` in tasks of about ``task_rows`` rows, if some task has more than twice as many.
 
     A file of one row group is read by one task, whatever its rows; the rules cost much more a
     row than its move.  The rows of each task are counted first (that reads file footers only).
@@ -153,8 +143,7 @@ def spread(df: DataFrame, task_rows: int = TASK_ROWS, most_rows: int = MOST_ROWS
     sizes = df.select().groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("rows")).first()
     if (sizes.most or 0) <= 2 * task_rows:
         return df
-    tasks = task_count(sizes.rows, df.sparkSession.sparkContext.defaultParallelism, task_rows, most_rows)
-    return df.repartition(tasks, *[F.col(f"`{f.name}`") for f in df.schema.fields if not _holds_map(f.dataType)])
+    return df.repartition(-(-sizes.rows // task_rows), *[F.col(f"`{f.name}`") for f in df.schema.fields if not _holds_map(f.dataType)])
 
 
 def _holds_map(t: T.DataType) -> bool:
