@@ -134,3 +134,17 @@ def test_an_ingest_writes_moments_as_one_number(spark, tmp_path, monkeypatch):
     schema = pq.ParquetFile(file).schema
     kinds = {schema.column(i).path: schema.column(i).physical_type for i in range(len(schema))}
     assert kinds["start"] == kinds["end"] == "INT64"
+
+
+def test_rows_of_a_flagging_task_do_not_grow_with_the_table(spark, tmp_path, monkeypatch):
+    """``master_narratives`` reads a flagged table whose tasks, a file each, hold as many rows at ten times the events."""
+    from conftest import sf_dir
+    from fieldlens.plans import registry as R
+    from fieldlens.sources.survey import spread
+
+    monkeypatch.setattr(R, "spread", lambda df: spread(df, 400))
+    monkeypatch.setattr(R, "code_version", lambda: f"narratives-test-{tmp_path.name}")
+    for sf, rows in (("0.001", 1_000), ("0.01", 10_000)):
+        most = R.flagged(spark, sf_dir(sf)).groupBy(F.input_file_name()).count().agg(F.max("count"), F.sum("count")).first()
+        assert most[1] == rows and most[0] < 800
+        assert R.QUERIES["master_narratives"](spark, sf_dir(sf)).count() > rows / 4
