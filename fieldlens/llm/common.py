@@ -18,6 +18,8 @@ from ..session import checkpoint_dir
 #: Rows and bytes in one Arrow batch sent to a Python worker: they bound the worker's
 #: memory, whatever the size of a partition or of its texts.
 BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+#: Rows of a file of an intermediate table whose number of rows is known before it is written.
+FILE_ROWS = 20_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,10 +46,15 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/fieldlens-llm/{label}-{uuid.uuid4().hex}"
 
 
-def cut(spark: SparkSession, df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
+def cut(spark: SparkSession, df: DataFrame, label: str, compression: str = "zstd", rows: int | None = None) -> DataFrame:
     """Write ``df`` once into the shared folder and read it back: a lineage cut that a
-    lost executor cannot undo.  The folder stays until the cluster clears it or ``drop``."""
+    lost executor cannot undo.  The folder stays until the cluster clears it or ``drop``.
+
+    ``rows``: about how many rows ``df`` has, if known.  A small table then is a few files of
+    ``FILE_ROWS`` rows, not one of a few rows for each shuffle partition; a large one keeps its partitions."""
     path = shared_path(spark, label)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._fieldlens_path = path

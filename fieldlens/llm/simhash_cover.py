@@ -262,10 +262,11 @@ def _classes(marked: DataFrame, bits: int) -> DataFrame:
     if not 0 <= bits <= MAX_BITS:
         raise ValueError("the anchors cover distances of 0 to 2 bits")
     spark = marked.sparkSession
-    distinct = C.cut(spark, marked.select("fp").distinct(), "op5-distinct")
-    roots = components(spark, _links(spark, distinct, bits), "op5-edges")
+    distinct = C.cut(spark, marked.select("fp").distinct(), "op5-distinct", rows=marked.count())
+    n = distinct.count()
+    roots = components(spark, _links(spark, distinct, bits), "op5-edges", n)  # a few edges a fingerprint at most
     return C.cut(spark, distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-                 .select("fp", F.coalesce("root", "fp").alias("root")), "op5-classes")
+                 .select("fp", F.coalesce("root", "fp").alias("root")), "op5-classes", rows=n)
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, bits: int = MAX_BITS) -> DataFrame:
@@ -280,7 +281,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, bits: int = MAX
     # plain scans, so a fingerprint with very many copies can be split.
     least = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
     ids = classed.join(least, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = C.cut(spark, classed.join(ids, "root").select("fp", "component_id"), "op5-ids")
+    by_fp = C.cut(spark, classed.join(ids, "root").select("fp", "component_id"), "op5-ids", rows=classed.count())
     return marked.join(by_fp, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 

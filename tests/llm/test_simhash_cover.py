@@ -123,3 +123,35 @@ def test_a_point_has_few_fingerprints(spark):
     near = [x] + [x ^ 1 << i for i in range(63)] + [x ^ 1 << i ^ 1 << j for i in range(40) for j in range(i)]
     points = spark.createDataFrame([(p,) for p in near], "fp long").mapInArrow(S._midpoint_job(2), "bit int, point long, fp long")
     assert points.groupBy("point").count().agg(F.max("count")).first()[0] <= 65
+
+
+def test_rounds_over_few_edges_write_few_files(spark, monkeypatch):
+    """A small table is no file for each shuffle partition, also where the session keeps them apart."""
+    from fieldlens.llm import common as C
+    from fieldlens.llm.components import components
+
+    files, cut = [], C.cut
+
+    def counted(spark, df, label, *a, **k):
+        out = cut(spark, df, label, *a, **k)
+        files.append((label, len(out.inputFiles())))
+        return out
+
+    monkeypatch.setattr(C, "cut", counted)
+    monkeypatch.setattr(C, "FILE_ROWS", 100, raising=False)
+    r = np.random.default_rng(7)
+    pairs = [(i, int(r.integers(max(0, i - 9), i))) for i in range(1, 400) if i % 40] + [(900, 899)]
+    root = list(range(901))
+    for u, v in pairs:  # v < u: roots are known in this order
+        root[u] = root[v] if u < 900 else 899
+    keys = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    old = [spark.conf.get(k) for k in keys]
+    try:
+        for k, v in zip(keys, ("60", "false")):
+            spark.conf.set(k, v)
+        got = {g.node: g.root for g in components(spark, spark.createDataFrame(pairs, "u long, v long"), "t").collect()}
+    finally:
+        for k, v in zip(keys, old):
+            spark.conf.set(k, v)
+    assert got == {u: root[u] for u, _ in pairs}
+    assert len(files) > 5 and max(n for _, n in files[1:]) <= 4, files
