@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import os
 import zlib
-from array import array
+from itertools import chain, compress, repeat
 from typing import Iterator
 
 import numpy as np
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 END_ID = 1
-#: Words, and words without their punctuation, kept per Python worker (about 250 MB).
+#: Pieces of words kept per Python worker (about 120 MB).
 MEMO_PIECES = 600_000
 #: Ids in a block, a little more at most than the last document adds.
 BLOCK_IDS = 1 << 16
@@ -42,62 +42,79 @@ TAIL = ".,;:!?&%$#*|-"
 
 
 class WordIds:
-    """Ids of words, kept for reuse inside one Python worker: a word's number leads to its ids
-    in one array, so the ids of a whole batch are gathered by numpy.
+    """Ids of pieces of words, kept for reuse inside one Python worker: a piece's number leads to
+    its ids in one array, so the ids of a whole batch are gathered by numpy.
 
-    At most ``limit`` words are kept: a batch that would exceed it starts anew, so memory is
-    bounded by that and by a batch."""
+    At most ``limit`` pieces are kept: a batch that would exceed it first drops those that did not
+    come again since the last time, then all but its own, so memory is bounded by that and by a batch."""
 
-    def __init__(self, encode, limit: int):
-        self.encode, self.limit = encode, limit
+    def __init__(self, model, whole, limit: int):
+        """``model``: ids of normalised letters or punctuation, ``whole``: of any word; both of many
+        pieces at once, as a flat array and the number of ids of each."""
+        self.model, self.whole, self.limit = model, whole, limit
         self.clear()
 
-    def _clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids, self.ends, self.used = np.zeros(1 << 16, dtype="<u4"), np.zeros(1 << 16, dtype=np.int64), 0
-
-    def numbers(self, words: list[str]) -> np.ndarray:
-        """The number of each of ``words``, which differ from each other."""
+    def numbers(self, plain: list[str], odd: list[str]) -> np.ndarray:
+        """The number of each of ``plain`` (for ``model``) and ``odd`` (for ``whole``), which all differ."""
         C.PieceMemo.take(self)
-        got = list(map(self.known.get, words))
-        if None in got:
-            new = [w for w, k in zip(words, got) if k is None]
-            if len(self.known) + len(new) > self.limit and self.known:
-                self._clear()
-                new = words
-            self._add(new)
-            got = list(map(self.known.__getitem__, words))
-        return np.array(got, dtype=np.int64)
-
-    def _add(self, words: list[str]) -> None:
-        coded = self.encode(words, self.parts)
-        if len(self.parts) > self.limit:
-            self.parts = {"": b""}
-        sizes = np.fromiter(map(len, coded), dtype=np.int64, count=len(words)) // 4
-        fresh = np.frombuffer(b"".join(coded), dtype="<u4")
-        first, n = len(self.known), len(words)
+        pieces = plain + odd
+        got = np.fromiter(map(self.known.get, pieces, repeat(-1)), dtype=np.int64, count=len(pieces))
+        self.again[got[got >= 0]] = True
+        if len(self.known) + np.count_nonzero(got < 0) > self.limit and self.known:
+            self._keep(self.again[:len(self.known)], np.count_nonzero(got < 0), got)
+            got = np.fromiter(map(self.known.get, pieces, repeat(-1)), dtype=np.int64, count=len(pieces))
+        miss = np.flatnonzero(got < 0)
+        if len(miss):
+            n = int(np.searchsorted(miss, len(plain)))
+            new = [pieces[i] for i in miss.tolist()]
+            got[miss] = len(self.known) + np.arange(len(miss))
+            for coded, some in ((self.model, new[:n]), (self.whole, new[n:])):
+                if some:
+                    self._add(some, *coded(some))
+        return got
+
+    def _keep(self, again: np.ndarray, more: int, own: np.ndarray) -> None:
+        """Drop pieces until half of ``limit`` and the ``more`` new ones are enough, if that can be."""
+        if np.count_nonzero(again) > min(self.limit // 2, self.limit - more):
+            again = np.zeros(len(again), dtype=bool)
+            again[own[own >= 0]] = True
+        kept = list(compress(self.known, again.tolist()))
+        ids, ends = self.gather(np.flatnonzero(again))
+        self.clear()
+        self._add(kept, ids, np.diff(ends, prepend=0))
+
+    def _add(self, pieces: list[str], fresh: np.ndarray, sizes: np.ndarray) -> None:
+        first, n = len(self.known), len(pieces)
         need = self.used + len(fresh)
         if need > len(self.ids):
             self.ids = np.concatenate([self.ids[:self.used], np.zeros(2 * need - self.used, dtype="<u4")])
         if first + n > len(self.ends):
             self.ends = np.concatenate([self.ends[:first], np.zeros(first + 2 * n, dtype=np.int64)])
+            self.again = np.concatenate([self.again[:first], np.zeros(first + 2 * n, dtype=bool)])
         self.ids[self.used:need] = fresh
         self.ends[first:first + n] = self.used + np.cumsum(sizes)
-        self.known.update(zip(words, range(first, first + n)))
+        self.known.update(zip(pieces, range(first, first + n)))
         self.used = need
 
     def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of a sequence of words, and where each word's ids end among them."""
-        start = np.where(numbers > 0, self.ends[numbers - 1], 0)
-        length = self.ends[numbers] - start
-        ends = np.cumsum(length)
-        total = int(ends[-1]) if len(ends) else 0
-        at = np.repeat(start - ends + length, length) + np.arange(total)
-        return self.ids[at], ends
+        """All ids of a sequence of pieces, and where each piece's ids end among them."""
+        return _gather(self.ids, self.ends, numbers)
 
     def clear(self) -> None:
-        self.parts: dict[str, bytes] = {"": b""}  # words without their punctuation
-        self._clear()
+        self.known: dict[str, int] = {}
+        self.ids, self.ends, self.used = np.zeros(1 << 16, dtype="<u4"), np.zeros(1 << 16, dtype=np.int64), 0
+        self.again = np.zeros(1 << 16, dtype=bool)  # pieces that came in a later batch too
+
+
+def _gather(ids: np.ndarray, ends: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ``ids`` that end at ``ends``, in the order of ``numbers``, and where each ends then."""
+    start = np.where(numbers > 0, ends[numbers - 1], 0)
+    length = ends[numbers] - start
+    out_ends = np.cumsum(length)
+    total = int(out_ends[-1]) if len(out_ends) else 0
+    at = np.repeat(start - out_ends + length, length)
+    at += np.arange(total)
+    return ids[at], out_ends
 
 
 _WORDS: dict[str, WordIds] = {}
@@ -113,9 +130,7 @@ def _words(tokenizer_path: str) -> WordIds:
         mark = next(iter(specials), None)  # an added token never joins its neighbours
         mark_id = specials.get(mark)
 
-        model = _pretoken_ids(tok)
-
-        def marked(pieces: list[str]) -> list[bytes]:
+        def marked(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
             """Pieces of one call are joined by a special token and split at its id."""
             out: list = [None] * len(pieces)
             rest = [i for i, p in enumerate(pieces) if mark is not None and mark not in p]
@@ -123,38 +138,21 @@ def _words(tokenizer_path: str) -> WordIds:
                 part = rest[k:k + 2000]
                 ids = np.asarray(tok.encode(mark.join([pieces[i] for i in part]), add_special_tokens=False).ids, dtype="<u4")
                 for i, got in zip(part, np.split(ids, np.flatnonzero(ids == mark_id))):
-                    out[i] = (got[1:] if len(got) and got[0] == mark_id else got).tobytes()
-            return [array("I", tok.encode(p, add_special_tokens=False).ids).tobytes() if o is None else o for p, o in zip(pieces, out)]
-
-        def encode(pieces: list[str], parts: dict[str, bytes]) -> list[bytes]:
-            """``parts``: words without their punctuation, which come again with another one."""
-            if model is None:
-                return marked(pieces)
-            out: list = []
-            odd: list[int] = []
-            for i, p in enumerate(pieces):
-                word = p.rstrip(TAIL)
-                if word.strip(LETTERS):  # some character is no plain letter
-                    odd.append(i)
-                    out.append(None)
-                    continue
-                tail = p[len(word):]
-                if word not in parts:
-                    parts[word] = model(word)
-                if tail not in parts:
-                    parts[tail] = model(tail)
-                out.append(parts[word] + parts[tail])
-            for i, got in zip(odd, marked([pieces[i] for i in odd])):
-                out[i] = got
-            return out
-
-        _WORDS[tokenizer_path] = WordIds(encode, MEMO_PIECES)
+                    out[i] = got[1:] if len(got) and got[0] == mark_id else got
+            return _flat([tok.encode(p, add_special_tokens=False).ids if o is None else o for p, o in zip(pieces, out)])
+
+        _WORDS[tokenizer_path] = WordIds(_pretoken_ids(tok), marked, MEMO_PIECES)
     return _WORDS[tokenizer_path]
 
 
+def _flat(coded: list) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded))
+    return np.fromiter(chain.from_iterable(coded), dtype="<u4", count=int(sizes.sum())), sizes
+
+
 def _pretoken_ids(tok):
-    """Ids of a pre-token of LETTERS or of TAIL, straight from the tokenizer's model, or None if
-    its normaliser or pre-tokenizer doesn't treat each of these characters for itself."""
+    """Ids of pre-tokens of lower-case LETTERS or of TAIL, straight from the tokenizer's model, or None
+    if its normaliser or pre-tokenizer doesn't treat each character for itself and its case as nothing."""
     table = {}
     for c in LETTERS + TAIL:
         if tok.normalizer is None or tok.pre_tokenizer is None:
@@ -163,26 +161,63 @@ def _pretoken_ids(tok):
         if len(found) != 1:
             return None
         table[ord(c)] = found[0][0]
-    tokenize, as_is = tok.model.tokenize, all(table[ord(c)] == c.lower() for c in LETTERS + TAIL if c.isascii())
+    small = _lower(pa.array([*LETTERS])).to_pylist()
+    if any(table.get(ord(s)) != table[ord(c)] for c, s in zip(LETTERS, small)):
+        return None
+    tokenize, as_is = tok.model.tokenize, all(table[ord(c)] == c for c in [*small, *TAIL] if c.isascii())
     samples = [LETTERS[i:i + 7] for i in range(0, len(LETTERS), 7)] + [TAIL, TAIL[::-1], "word", "WORD", *LETTERS, *TAIL]
 
-    def ids(part: str) -> bytes:
-        return array("I", [t.id for t in tokenize(part.lower() if as_is and part.isascii() else part.translate(table))]).tobytes()
+    def ids(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return _flat([[t.id for t in tokenize(p if as_is and p.isascii() else p.translate(table))] for p in parts])
+
+    want = _flat([tok.encode(x, add_special_tokens=False).ids for x in samples])
+    return ids if all(map(np.array_equal, ids(_lower(pa.array(samples)).to_pylist()), want)) else None
+
+
+def _lower(words: pa.Array) -> pa.Array:
+    return pc.utf8_lower(words)
+
+
+def _distinct(words: pa.Array) -> tuple[list[str], np.ndarray]:
+    """The different ones of ``words``, and for each its place among them."""
+    coded = words.dictionary_encode()
+    return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+
+
+def _word_ids(words: pa.Array, store: WordIds) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of different words one after the other, and where each word's end.
 
-    return ids if all(ids(x) == array("I", tok.encode(x, add_special_tokens=False).ids).tobytes() for x in samples) else None
+    A word of plain letters with or without punctuation behind is two pieces, its letters (in
+    lower case) and its punctuation, which come again in other words; any other word is one."""
+    if store.model is None:
+        return store.gather(store.numbers([], words.to_pylist()))
+    core, tail = pc.utf8_rtrim(words, TAIL), pc.utf8_ltrim(words, LETTERS)
+    # the first run of letters ends where the last run of punctuation begins
+    plain = pc.equal(pc.add(pc.binary_length(core), pc.binary_length(tail)), pc.binary_length(words))
+    cores, core_at = _distinct(pa.concat_arrays([_lower(core.filter(plain)), tail.filter(plain)]))
+    odd = words.filter(pc.invert(plain)).to_pylist()  # never letters or punctuation alone, so no piece of the others
+    numbers = store.numbers(cores, odd)
+    is_plain = plain.to_numpy(zero_copy_only=False)
+    pieces = np.full((len(words), 2), -1, dtype=np.int64)
+    pieces[is_plain] = numbers[core_at].reshape(2, -1).T
+    pieces[~is_plain, 0] = numbers[len(cores):]
+    flat = pieces.ravel()
+    used = np.flatnonzero(flat >= 0)
+    ids, ends = store.gather(flat[used])
+    last = np.cumsum(np.where(is_plain, 2, 1)) - 1  # each word's last piece
+    return ids, ends[last]
 
 
 def encode_column(texts: pa.Array, tokenizer_path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts one after the other (end ids included), and where each text's end;
     equal to encoding each whole text at once.
 
-    The texts are split and their words numbered in Arrow; only words that differ are looked
-    up, only new ones are encoded, and the ids are gathered by numpy."""
+    The texts are split and their words numbered in Arrow; only pieces of words that differ are
+    looked up, only new ones are encoded, and the ids are gathered by numpy."""
     words = pc.ascii_split_whitespace(texts)
     coded = words.flatten().dictionary_encode()
-    store = _words(tokenizer_path)
-    numbers = store.numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
-    ids, word_ends = store.gather(numbers)
+    own_ids, own_ends = _word_ids(coded.dictionary, _words(tokenizer_path))
+    ids, word_ends = _gather(own_ids, own_ends, coded.indices.to_numpy())
     behind = words.offsets.to_numpy() - words.offsets[0].as_py()
     text_ends = np.concatenate([[0], word_ends])[behind[1:]]
     out = np.full(len(ids) + len(texts), END_ID, dtype="<u4")

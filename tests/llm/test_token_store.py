@@ -67,6 +67,33 @@ def test_plain_letters_come_straight_from_the_model():
     assert [i.tolist() for i in T.encode_texts(words, PATH)] == [whole(t) for t in words]
 
 
+def test_a_word_is_kept_once_whatever_its_case_and_punctuation():
+    """Encoding cost follows the different words, not their spellings with punctuation."""
+    stems = ["haus", "été", "naïve", "tion"]
+    texts = [" ".join(f"{case(w)}{tail}" for w in stems for tail in ["", *T.TAIL, "...", "?!"]) for case in (str.lower, str.upper, str.title)]
+    store = T._words(PATH)
+    store.clear()
+    assert [i.tolist() for i in T.encode_texts(texts, PATH)] == [whole(t) for t in texts]
+    assert len(store.known) <= len(stems) + len(T.TAIL) + 3
+    store.clear()
+
+
+def test_words_that_come_again_outlive_a_full_memo():
+    store = T._words(PATH)
+    old, store.limit = store.limit, 40
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    try:
+        store.clear()
+        for k in range(4):
+            texts = [("alpha beta, " if k < 2 else "") + " ".join(f"{letters[k]}{c}x" for c in letters[:10])]
+            assert [i.tolist() for i in T.encode_texts(texts, PATH)] == [whole(t) for t in texts]
+            assert len(store.known) <= 40
+        assert "alpha" in store.known and "aax" not in store.known  # the last batch, for which room was made, had neither
+    finally:
+        store.limit = old
+        store.clear()
+
+
 def test_store_round_trip(spark):
     rows = [(5, "Some words", "x"), (2, None, None), (2, "tie one", None), (2, "tie two, longer", None), (9, "", "y"), (None, "no id", None),
             (7, "long " * 60_000, None), (5, "Some words", "x")] + [(k, f"doc {k} text{k % 7}", None) for k in range(100, 160)]
