@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -94,6 +95,25 @@ def test_words_that_come_again_outlive_a_full_memo():
         store.clear()
 
 
+def test_ids_are_counted_many_documents_at_a_time(monkeypatch):
+    """A count is as long as the vocabulary, so its cost must not come once a document."""
+    docs = [np.array([k % 7, 49_000, 1] * 10 if k % 5 else [70_000 + k], dtype="<u4") for k in range(200)] + [np.zeros(0, dtype="<u4")]
+    press, calls, bincount = T.zstandard.ZstdCompressor(), [], np.bincount
+    blobs = [press.compress(T._narrow(d)) for d in docs]
+    batches = [T.pa.RecordBatch.from_pydict({"ids": T.pa.array(blobs[k:k + 64], T.pa.binary())}) for k in range(0, len(blobs), 64)]
+    monkeypatch.setattr(T, "COUNT_IDS", 600, raising=False)
+    monkeypatch.setattr(T.np, "bincount", lambda *a, **b: calls.append(1) or bincount(*a, **b))
+    got = [r for b in T._count_job(iter(batches)) for r in b.to_pylist()]
+    assert {r["id"]: r["n"] for r in got} == Counter(np.concatenate(docs).tolist())
+    assert 2 < len(calls) < 20
+
+
+def test_a_piece_without_ids_alone():
+    store = T._words(PATH)
+    store.clear()
+    assert store.gather(store.numbers([""], []))[0].tolist() == []
+
+
 def test_store_round_trip(spark):
     rows = [(5, "Some words", "x"), (2, None, None), (2, "tie one", None), (2, "tie two, longer", None), (9, "", "y"), (None, "no id", None),
             (7, "long " * 60_000, None), (5, "Some words", "x")] + [(k, f"doc {k} text{k % 7}", None) for k in range(100, 160)]
