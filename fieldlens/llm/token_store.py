@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 END_ID = 1
-#: Pieces of words kept per Python worker (about 120 MB).
+#: Pieces of words kept per Python worker (about 90 MB).
 MEMO_PIECES = 600_000
 #: Ids in a block, a little more at most than the last document adds.
 BLOCK_IDS = 1 << 16
